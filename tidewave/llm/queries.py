@@ -24,6 +24,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import roundtrip
+
+    return roundtrip(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenid import read_ids, write_ids
 
@@ -39,11 +45,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_personal_data": op4_personal_data,
+    "op6_warc": op6_warc,
     "op7_token_ids": op7_token_ids,
     "op9_token_counts": op9_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f
+    """,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
