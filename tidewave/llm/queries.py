@@ -24,6 +24,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
@@ -51,6 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_embeddings": op3_embeddings,
     "op4_personal_data": op4_personal_data,
     "op6_warc": op6_warc,
     "op7_token_ids": op7_token_ids,
@@ -74,6 +81,18 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) m ON m.id = d.doc_id
     """,
+    "op3_embeddings": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.9),
+        r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.root)
+        SELECT m.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.root AS component_id, m.id = m.root AS kept
+        FROM (SELECT id, min(root) AS root FROM r GROUP BY id) m LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = m.id
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
