@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize, work_dir
 from .files import create, opened_at
+from .wordbpe import WordSplitter
 
 MAGIC, TAIL = b"TWTOKID1", b"TWTOKIX1"
 #: Entries of a worker's chunk cache; beyond, it restarts.
@@ -30,42 +31,60 @@ CACHE_ENTRIES = 500_000
 INDEX = (("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n_bytes", "<u4"), ("n_tokens", "<u8"), ("width", "u1"))
 
 
-class ChunkEncoder:
-    """Ids by the tokenizers library, kept for each run without ASCII white space.
+class ChunkEncoder(WordSplitter):
+    """Ids by the tokenizers library, kept for each piece and each run without ASCII white space.
 
-    Holds for vocabularies whose pre-tokenizer drops white space, so that no token crosses it.
+    The library's merges run once for each piece that is not in a worker's cache.
     """
 
     def __init__(self, path: str):
+        super().__init__(path)
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        known = self.known
-        if len(known) >= CACHE_ENTRIES:
-            known.clear()
-        new = list({w for words in texts for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model  # keep: the library hands out a new object each time
+        self.by_chunk: dict[bytes, bytes] = {}
+        self.by_piece: dict[str, bytes] = {}
+        self.special_ids = {s: struct.pack("<I", tokenizer.token_to_id(s)) for s in self.special}
+
+    def chunk(self, chunk: bytes) -> bytes:
+        out = []
+        for p in self.split(chunk):
+            got = self.by_piece.get(p)
+            if got is None:
+                got = self.special_ids.get(p)
+                if got is None:
+                    if len(self.by_piece) >= CACHE_ENTRIES:
+                        self.by_piece.clear()
+                    word = p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()])
+                    ids = [t.id for t in self.model.tokenize(word)]
+                    got = self.by_piece[p] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(got)
+        return b"".join(out)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        known = self.by_chunk
+        out = list(map(known.get, words))
+        if None in out:
+            for i, w in enumerate(words):
+                if out[i] is None:
+                    got = known.get(w)
+                    if got is None:
+                        got = self.chunk(w)
+                        if len(known) >= CACHE_ENTRIES:
+                            known.clear()
+                        if len(w) <= 64:
+                            known[w] = got
+                    out[i] = got
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        words = [(t or "").encode().split() for t in texts]
-        self.learn(words)
-        known, end = self.known, struct.pack("<I", end_id)
-        return [np.frombuffer(b"".join([*map(known.__getitem__, w), end]), "<u4") for w in words]
+        end = struct.pack("<I", end_id)
+        return [np.frombuffer(b"".join([*self.words((t or "").encode().split()), end]), "<u4") for t in texts]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path)
 
 
@@ -75,8 +94,10 @@ def packed(ids: np.ndarray) -> tuple[int, bytes]:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int, dict_bytes: int) -> bytes:
-    """From the ``sample_docs`` documents with the smallest hash of their id (a bounded sample; it only steers compression)."""
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").collect()
+    """From about ``sample_docs`` documents, whole, chosen by a hash of their id (a bounded sample; it only steers compression)."""
+    share = min(1.0, sample_docs / max(docs.count(), 1))
+    chosen = F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = docs.where(chosen).select("text").limit(2 * sample_docs).collect()
     samples = [packed(x)[1] for x in encoder(path).encode([r.text for r in rows], end_id)]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()

@@ -22,19 +22,43 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class HeapCounter:
-    """Counts tokens of texts; emits no ids."""
+class WordSplitter:
+    """Splits runs without ASCII white space, which no token crosses, as the vocabulary's normalizer and pre-tokenizer do."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): (i, "".join(m if isinstance(m, list) else m.split(" "))) for i, m in enumerate(spec["model"]["merges"])}
-        self.suffix = spec["model"]["end_of_word_suffix"] or ""
+            self.spec = spec = json.load(f)
         self.letters = _byte_letters()
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.special_split = regex.compile("|".join(map(regex.escape, self.special)))
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
+
+    def split(self, chunk: bytes) -> list[str]:
+        """Lower-case pieces; a special string stands as itself, in which form no piece can be."""
+        text = chunk.decode()
+        if "<|" in text:
+            return [p for i, part in enumerate(self.special_split.split(text)) for p in ([part] if i % 2 else self._plain(part))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        if text.isascii():
+            text = text.lower()
+            if text.isalpha():
+                return [text]
+        else:  # lower-cased letter by letter, without regard to neighbours
+            text = "".join(map(str.lower, self.space.sub(" ", unicodedata.normalize("NFC", text))))
+        return self.pieces.findall(text)
+
+
+class HeapCounter(WordSplitter):
+    """Counts tokens of texts; emits no ids."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec = self.spec
+        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): (i, "".join(m if isinstance(m, list) else m.split(" "))) for i, m in enumerate(spec["model"]["merges"])}
+        self.suffix = spec["model"]["end_of_word_suffix"] or ""
         self.by_chunk: dict[bytes, int] = {}
         self.by_piece: dict[str, int] = {}
 
@@ -81,23 +105,17 @@ class HeapCounter:
         return n - merges
 
     def chunk(self, chunk: bytes) -> int:
-        """Tokens of a run without ASCII white space, no token of which can cross its ends."""
-        text = chunk.decode()
         total = 0
-        if any(s in text for s in self.special):
-            total += len(self.special_split.findall(text))
-            parts = self.special_split.split(text)
-        else:
-            parts = [text]
-        for part in parts:
-            part = "".join(c.lower() if c != "İ" else "i̇" for c in self.space.sub(" ", unicodedata.normalize("NFC", part))) if not part.isascii() else part.lower()
-            for p in self.pieces.findall(part):
-                got = self.by_piece.get(p)
-                if got is None:
-                    if len(self.by_piece) >= CACHE_ENTRIES:
-                        self.by_piece.clear()
-                    got = self.by_piece[p] = self.piece(p)
-                total += got
+        for p in self.split(chunk):
+            got = self.by_piece.get(p)
+            if got is None:
+                if p in self.special:
+                    total += 1
+                    continue
+                if len(self.by_piece) >= CACHE_ENTRIES:
+                    self.by_piece.clear()
+                got = self.by_piece[p] = self.piece(p)
+            total += got
         return total
 
     def count(self, data: bytes) -> int:
