@@ -36,6 +36,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_embeddings": op3_embeddings,
     "op4_personal_data": op4_personal_data,
+    "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_ids": op7_token_ids,
     "op9_token_counts": op9_token_counts,
