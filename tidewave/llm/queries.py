@@ -54,6 +54,12 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(*write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytebpe import roundtrip
+
+    return roundtrip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wordbpe import token_counts
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_ids": op7_token_ids,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scores": op10_lm_scores,
 }
