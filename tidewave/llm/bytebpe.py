@@ -61,14 +61,20 @@ class Literals:
     def place(p: bytes) -> int:
         return zlib.crc32(p.decode("latin-1").encode()) % BUCKETS
 
-    def rank(self, s: Column) -> Column:
-        bucket = F.get(self.ranks, (F.crc32(s.cast("binary")) % BUCKETS).cast("int"))
+    @staticmethod
+    def rank(table: Column, s: Column) -> Column:
+        bucket = F.get(table, (F.crc32(s.cast("binary")) % BUCKETS).cast("int"))
         return F.try_element_at(bucket, s)
 
 
 def encode_word(word: Column, tables: Literals) -> Column:
     """The ids of a non-empty word (bytes as letters): merge the adjacent pair of lowest rank, the first of equals, until no pair has a rank."""
-    rank = lambda s: F.coalesce(tables.rank(s), F.lit(NO_RANK))
+    return _let(tables.ranks, lambda table: _fold(word, table))  # the literal stands in the plan once
+
+
+def _fold(word: Column, table: Column) -> Column:
+    known = lambda s: Literals.rank(table, s)
+    rank = lambda s: F.coalesce(known(s), F.lit(NO_RANK))
     n = F.length(word)
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(word, i, F.lit(1)))
     ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substr(word, i, F.lit(2))))
@@ -93,13 +99,13 @@ def encode_word(word: Column, tables: Literals) -> Column:
     def step(acc: Column, _: Column) -> Column:
         return _let(F.array_min(acc["r"]), lambda least: F.when(F.coalesce(least, F.lit(NO_RANK)) < NO_RANK, merge(acc, least)).otherwise(acc))
 
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: F.transform(acc["s"], tables.rank))
-    return _let(tables.rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n > 1, folded))
+    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: F.transform(acc["s"], known))
+    return _let(known(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n > 1, folded))
 
 
 def decode_word(ids: Column, tables: Literals) -> Column:
     """The bytes of ids, their binary pieces concatenated."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tables.pieces, i)), ""), "ISO-8859-1")
+    return _let(tables.pieces, lambda pieces: F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1"))
 
 
 STREAM = "kind tinyint, word string, doc_id bigint, words binary"
