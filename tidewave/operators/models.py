@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .channels import affine
 
 #: Moments of this many channels at most are gathered on the driver: a matrix of their square.
-MOST_CHANNELS = 2048
+MOST_CHANNELS = 512
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,11 @@ class Model:
         return cls(tuple(r[0]), np.array(r[1]), np.array(r[2]), None if r[3] is None else np.array(r[3]))
 
 
+def _total(parts: DataFrame, add, schema: str):
+    """One row from the tasks' partial rows: added up in a few tasks as they stream in, then in one."""
+    return parts.repartition(16).mapInPandas(add, schema).coalesce(1).mapInPandas(add, schema).first()
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, means and sample covariances by one pass; partial sums in the tasks, one small row a task to add up."""
     n = len(columns)
@@ -62,18 +67,20 @@ def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.
             scatter = scatter + (x - m).T @ (x - m) + np.outer(d, d) * count * len(x) / both
             mean, count = mean + d * len(x) / both, both
         if count:
-            yield pd.DataFrame({"k": [0], "n": [count], "mean": [mean], "s": [scatter.ravel()]})
+            yield pd.DataFrame({"n": [count], "mean": [mean], "s": [scatter.ravel()]})
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
+    def add(frames):
         count, mean, scatter = 0, np.zeros(n), np.zeros((n, n))
-        for c, m, s in zip(frame["n"], frame["mean"], frame["s"], strict=True):
-            d, both = m - mean, count + c
-            scatter = scatter + s.reshape(n, n) + np.outer(d, d) * count * c / both
-            mean, count = mean + d * c / both, both
-        return pd.DataFrame({"n": [count], "mean": [mean], "s": [scatter.ravel()]})
-
-    tasks = df.select(*[F.col(c).cast("double") for c in columns]).mapInPandas(part, "k int, n bigint, mean array<double>, s array<double>")
-    row = tasks.groupBy("k").applyInPandas(add, "n bigint, mean array<double>, s array<double>").first()
+        for f in frames:
+            for c, m, s in zip(f["n"], f["mean"], f["s"], strict=True):
+                d, both = m - mean, count + c
+                scatter = scatter + s.reshape(n, n) + np.outer(d, d) * count * c / both
+                mean, count = mean + d * c / both, both
+        if count:
+            yield pd.DataFrame({"n": [count], "mean": [mean], "s": [scatter.ravel()]})
+
+    schema = "n bigint, mean array<double>, s array<double>"
+    row = _total(df.select(*[F.col(c).cast("double") for c in columns]).mapInPandas(part, schema), add, schema)
     if row is None:
         raise ValueError("no rows")
     return row[0], np.array(row[1]), np.array(row[2]).reshape(n, n) / max(row[0] - 1, 1)
@@ -108,6 +115,7 @@ def ica(df: DataFrame, columns: Sequence[str], iterations: int = 200, tolerance:
     white = whitening(df, columns, 1e-12)
     n = len(columns)
     z = white.transform(df, prefix="_z").select(*[f"_z{i}" for i in range(n)])
+    schema = "n bigint, g array<double>, d array<double>"
     w = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))[0]
     for _ in range(iterations):
         now = w
@@ -119,12 +127,16 @@ def ica(df: DataFrame, columns: Sequence[str], iterations: int = 200, tolerance:
                 t = np.tanh(x @ now.T)
                 g, dg, count = g + t.T @ x, dg + (1 - t**2).sum(0), count + len(x)
             if count:
-                yield pd.DataFrame({"k": [0], "n": [count], "g": [g.ravel()], "d": [dg]})
+                yield pd.DataFrame({"n": [count], "g": [g.ravel()], "d": [dg]})
 
-        def add(f: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"n": [f["n"].sum()], "g": [np.sum(f["g"].tolist(), axis=0)], "d": [np.sum(f["d"].tolist(), axis=0)]})
+        def add(frames):
+            count, g, d = 0, 0.0, 0.0
+            for f in frames:
+                count, g, d = count + f["n"].sum(), g + np.sum(f["g"].tolist(), axis=0), d + np.sum(f["d"].tolist(), axis=0)
+            if count:
+                yield pd.DataFrame({"n": [count], "g": [g], "d": [d]})
 
-        c, g, d = z.mapInPandas(part, "k int, n bigint, g array<double>, d array<double>").groupBy("k").applyInPandas(add, "n bigint, g array<double>, d array<double>").first()
+        c, g, d = _total(z.mapInPandas(part, schema), add, schema)
         new = np.array(g).reshape(n, n) / c - (np.array(d) / c)[:, None] * w
         u, _, vt = np.linalg.svd(new)
         new = u @ vt
