@@ -691,6 +691,62 @@ def chain(spark, sf):
     return Pipeline().rectify().moving_average(size=5).rms(size=5).run(s).select("event_id", r6("value", "y"))
 
 
+# streams
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _stream(spark, sf, build, mode="append"):
+    from pyspark.sql.types import _parse_datatype_string
+
+    from .streaming.replay import replay
+
+    return replay(spark, f"{sf}/events.parquet", _parse_datatype_string(EVENTS), lambda d: build(d.withColumn("ts", F.col("ts").cast("timestamp"))), mode)
+
+
+@query("stream_ema", SQL["ema"])
+def _(spark, sf):
+    from .functions.kernels import Ema
+    from .streaming.stateful import stream
+
+    return _stream(spark, sf, lambda d: stream(d, Ema(0.3), ["user_id"], ["ts", "event_id"], ["value"])).select("event_id", r6("y"))
+
+
+@query("stream_moving_average", SQL["moving_average"])
+def _(spark, sf):
+    from .streaming.stateful import RowWindow, stream
+
+    return _stream(spark, sf, lambda d: stream(d, RowWindow(7, np.mean), ["user_id"], ["ts", "event_id"], ["value"])).select("event_id", r6(F.col("y") + OFF_TIE))
+
+
+@query("stream_moving_average_time", SQL["moving_average_time"])
+def _(spark, sf):
+    from .streaming.stateful import TimeWindow, stream
+
+    def build(d):
+        return stream(d.withColumn("us", F.unix_micros("ts").cast("double")), TimeWindow(WEEK_MS, np.mean), ["user_id"], ["ts", "event_id"], ["value", "us"])
+
+    return _stream(spark, sf, build).select("event_id", r6(F.col("y") + OFF_TIE))
+
+
+@query("stream_tumbling", "SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value) + 1.23e-7::DOUBLE, 6) AS mean, epoch_us(ts::TIMESTAMP) // 86400000000 AS day FROM events GROUP BY user_id, day")
+def _(spark, sf):
+    from .streaming.stateful import tumbling
+
+    d = _stream(spark, sf, lambda d: tumbling(d, "ts", "1 day", ["user_id"]), "complete")
+    return d.select("user_id", "n", "low", "high", r6(F.col("mean") + OFF_TIE, "mean"), F.floor(F.unix_micros("start") / 86_400_000_000).cast("bigint").alias("day"))
+
+
+@query(
+    "session_windows",
+    f"""WITH g AS (SELECT *, CASE WHEN epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER ({W}) < 172800000000 THEN 0 ELSE 1 END AS b FROM events),
+        s AS (SELECT *, sum(b) OVER ({W}) AS s FROM g) SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""",
+)
+def _(spark, sf):
+    from .streaming.stateful import sessions
+
+    return sessions(events(spark, sf).df, "ts", "2 days", ["user_id"]).select("user_id", "n", F.round("total", 4).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
