@@ -152,6 +152,21 @@ def test_kalman_starts_at_the_first_measurement(spark):
     assert (got.kf_x, got.kf_y) == pytest.approx((10.0, 20.0), abs=1e-3)
 
 
+def test_kalman_equals_the_matrix_form():
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.standard_normal((30, 2)).cumsum(0), rng.uniform(0.5, 2, 30)])
+    k = K.Kalman(2, 0.01, 0.5, 2.0)
+    got, _ = k.run(k.start(), x)
+    s, p, h = np.concatenate([x[0, :2], [0, 0]]), np.eye(4) * 2.0, np.hstack([np.eye(2), np.zeros((2, 2))])
+    for i, row in enumerate(x):
+        f = np.eye(4)
+        f[:2, 2:] = np.eye(2) * (row[2] if i else 0)
+        s, p = f @ s, f @ p @ f.T + 0.01 * np.eye(4)
+        gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + 0.5 * np.eye(2))
+        s, p = s + gain @ (row[:2] - h @ s), (np.eye(4) - gain @ h) @ p
+        assert np.allclose(got[i], s[:2])
+
+
 def test_long_series_pass_batches(spark):
     x = np.random.default_rng(3).standard_normal(30_000)
     s = signal(spark, x, series=("a", "b"))

@@ -171,25 +171,31 @@ class Kalman:
             raise ValueError("dims are 1 to 10")
 
     def start(self):
-        return (None, None)
+        return None, None, (self.initial, 0.0, self.initial)
 
     def run(self, state, x):
-        d = self.dims
-        s, p = state
-        h = np.hstack([np.eye(d), np.zeros((d, d))])
-        out = np.empty((len(x), d))
-        for i, row in enumerate(x):
-            z, dt = row[:d], row[d]
-            if s is None:
-                s, p, dt = np.concatenate([z, np.zeros(d)]), np.eye(2 * d) * self.initial, 0.0
-            f = np.eye(2 * d)
-            f[:d, d:] = np.eye(d) * dt
-            s, p = f @ s, f @ p @ f.T + np.eye(2 * d) * self.process
-            k = p @ h.T @ np.linalg.inv(h @ p @ h.T + np.eye(d) * self.measure)
-            s = s + k @ (z - h @ s)
-            p = (np.eye(2 * d) - k @ h) @ p
-            out[i] = s[:d]
-        return out, (s, p)
+        # the dimensions share one 2 x 2 covariance (c00, c01, c11), as noise and motion are alike in all and independent
+        d, q, r = self.dims, self.process, self.measure
+        at, speed, (c00, c01, c11) = state
+        out = []
+        for row in x.tolist():
+            dt = row[d]
+            if at is None:
+                at, speed, dt = row[:d], [0.0] * d, 0.0
+            c00, c01, c11 = c00 + dt * (2 * c01 + dt * c11) + q, c01 + dt * c11, c11 + q
+            s = c00 + r
+            k0, k1 = c00 / s, c01 / s
+            here, then = [], []
+            for z, p, v in zip(row, at, speed):
+                p += v * dt
+                e = z - p
+                here.append(p + k0 * e)
+                then.append(v + k1 * e)
+            at, speed = here, then
+            c11 -= k1 * c01
+            c00, c01 = (1 - k0) * c00, (1 - k0) * c01
+            out.append(at)
+        return np.array(out).reshape(len(x), d), (at, speed, (c00, c01, c11))
 
 
 @dataclass(frozen=True)
