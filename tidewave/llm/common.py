@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast up to this many rows (of a few longs each), beyond it the join shuffles.
@@ -47,13 +49,60 @@ def sized(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def components(edges: DataFrame, name: str = "cc", max_rounds: int = 40) -> DataFrame:
+def sorted_groups(batches, key: tuple[str, ...]):
+    """(key, table) of each run of equal integer keys in a partition sorted by them; a group is held, not a partition."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = np.stack([b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in key], 1)
+        cuts = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            now = tuple(cols[lo].tolist())
+            if held and now != last:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
+#: Counted edges up to this many (16 bytes each) are joined by one task; beyond, by rounds of shuffles.
+ONE_TASK_EDGES = 500_000
+
+
+def union_find(batches):
+    """Rows (id, root) of the edges (a, b) of all batches, root the smallest id."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := root.setdefault(v, v)) != v:
+            root[v] = root[p]
+            v = root[v]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    ids = list(root)
+    for at in range(0, len(ids), 10_000):
+        part = ids[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(i) for i in part], pa.int64())], names=["id", "root"])
+
+
+def components(edges: DataFrame, name: str = "cc", max_rounds: int = 40, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as rows (id, root), root the smallest id.
 
-    Alternates a minimum over neighbours with pointer jumping, all in shuffled
+    Edges that are counted to be at most ``one_task`` go through one task. More alternate a minimum over neighbours with pointer jumping, all in shuffled
     aggregates; each round's labels are written out. Nodes without edges are absent.
     A hub with many edges is pre-aggregated map-side, as only minima are taken.
     """
+    if edges.count() <= one_task:
+        return materialize(edges.select("a", "b").coalesce(1).mapInArrow(union_find, "id bigint, root bigint"), name)
     both = materialize(
         edges.where("a <> b").select("a", "b").distinct().selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))"),
         name,

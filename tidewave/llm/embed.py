@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, materialize
+from .common import components, materialize, sorted_groups
 
 BITS = 256
 WIDTH = 5.0
@@ -134,32 +134,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def runs(batches):
     """Blocks of a partition sorted by block: dim, t, p, q and arrays own, id, size and vectors."""
-    held: list[pa.RecordBatch] = []
-
-    def out(parts):
-        r = pa.Table.from_batches(parts).combine_chunks()
-        at = lambda c: r.column(c)[0].as_py()
-        whole = lambda c: r.column(c).to_numpy()
-        dim = at("dim")
-        v = r.column("v").combine_chunks()
-        x = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        return dim, at("t"), at("p"), at("q"), whole("own"), whole("id"), whole("size"), x
-
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = np.stack([b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("dim", "t", "k", "p", "q")], 1)
-        cuts = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            key = tuple(cols[lo])
-            if held and key != last:
-                yield out(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
-            last = key
-    if held:
-        yield out(held)
+    for key, r in sorted_groups(batches, ("dim", "t", "k", "p", "q")):
+        dim, t, _, p, q = key
+        x = r.column("v").combine_chunks()
+        x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        yield dim, t, p, q, r.column("own").to_numpy(), r.column("id").to_numpy(), r.column("size").to_numpy(), x
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -19,13 +19,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, discard, materialize, sized
+from .common import components, discard, materialize, sized, sorted_groups
 
 WIDTH = 5
 BANDS, ROWS = 51, 5
 COORDINATES = BANDS * ROWS
 #: Sketches of 256 bits differ in 32 on average at a similarity of 0.75, with a deviation of 5.3.
 FAR_BITS = 64
+#: Buckets of more classes are compared in blocks inside tasks, without a row for each pair; of a chunk's classes at most so many.
+PAIRS_UP_TO = 32
+CHUNK = 512
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,6 +111,45 @@ def similar_batch(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def block_links(batches, percent: int):
+    """Links (a, b) of blocks (h, p, q) of rows with own chunk, id, root, n, sketch, bands and text.
+
+    Pairs of different components whose sizes and sketches allow a link and that no earlier band has together are compared on full sets.
+    """
+    for (_, p, q), r in sorted_groups(batches, ("h", "p", "q")):
+        get = lambda c: r.column(c).to_numpy()
+        own, ids, root, n = get("own"), get("id"), get("root"), get("n")
+        sketch = np.ascontiguousarray(np.stack([get(f"s{j}") for j in range(4)], 1))
+        sign = np.unpackbits(sketch.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        bands = np.stack(r.column("bands").to_numpy())
+        band = int(r.column("band")[0].as_py())
+        texts = r.column("text")
+        sets: dict[int, np.ndarray] = {}
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        if not len(left) or not len(right):
+            continue
+        far = (256 - sign[left] @ sign[right].T) / 2
+        ok = (far <= FAR_BITS) & (root[left][:, None] != root[right]) & (100 * n[left][:, None] >= percent * n[right]) & (100 * n[right] >= percent * n[left][:, None])
+        i, j = np.nonzero(ok)
+        i, j = left[i], right[j]
+        if p == q:
+            i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+        if band and len(i):
+            first = ~(bands[i, :band] == bands[j, :band]).any(1)
+            i, j = i[first], j[first]
+        out = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = shingles(texts[z].as_py())
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                out.append((ids[x], ids[y]))
+        if out:
+            a, b = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _close(x: str, y: str, percent: int) -> Column:
     """Sizes and sketches allow the bound."""
     size = (100 * F.col(f"{x}.n") >= percent * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= percent * F.col(f"{x}.n"))
@@ -121,8 +163,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Equal sets form a class under its smallest id; only classes are compared. Each bucket of a
     band is compared in a star round its smallest class, first one star for each class, then all;
     after each round linked classes are joined, and last, only classes of a shared bucket that are
-    still in different components are compared pair by pair. So a group of many copies costs
-    a number of comparisons in proportion to it, and no link that joins components is left out.
+    still in different components are compared pair by pair: of small buckets by joins, of large ones
+    in blocks inside tasks. So a group of many copies costs a number of comparisons in proportion to it, one of many
+    texts that are similar but below the bound costs its pairs, but no rows for them, and no link that joins components is left out.
 
     A null or empty text has no shingles and is its own component. Rows with a null id link with
     nothing, have a null component and are kept. Repeated rows have the same component. An empty
@@ -144,13 +187,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select("d", "id", "size", "x.*"),
         "minhash-classes",
     )
-    entries = classes.select("id", F.explode("bands").alias("h"))
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1").select(F.col("h").alias("g"), "hub")
-    members = materialize(entries.join(shared, F.col("h") == F.col("g")).select("h", "id", "hub"), "minhash-buckets")
-    sketches = classes.select("id", "n", "s0", "s1", "s2", "s3")
+    entries = classes.select("id", F.posexplode("bands").alias("band", "h"))
+    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1").select(F.col("h").alias("g"), "c", "hub")
+    members = materialize(entries.join(shared, F.col("h") == F.col("g")).select("h", "band", "c", "id", "hub"), "minhash-buckets")
     ids = materialize(members.select("id").distinct(), "minhash-ids")
     n_ids = ids.count()
-    texts = materialize(docs.join(sized(ids, n_ids), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "minhash-texts") if n_ids else None
+    sketches = materialize(classes.join(sized(ids, n_ids), "id", "left_semi").select("id", "n", "s0", "s1", "s2", "s3", "bands"), "minhash-all-sketches")
+    bands = sketches.select("id", "bands")
+    sketches = sketches.drop("bands")
+    texts = materialize(docs.join(sized(ids, n_ids), F.col("doc_id") == F.col("id"), "left_semi"), "minhash-texts") if n_ids else None
 
     def verify(batches):
         for b in batches:
@@ -168,23 +213,49 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         """With the component so far as ``root``."""
         if label is None:
             return frame.withColumn("root", F.col("id"))
-        return frame.join(label.withColumnRenamed("id", "lid").withColumnRenamed("root", "lroot"), F.col("id") == F.col("lid"), "left").select(
+        known = label.select(F.col("id").alias("lid"), F.col("root").alias("lroot"))
+        return frame.join(sized(known, n_ids), F.col("id") == F.col("lid"), "left").select(
             *frame.columns, F.coalesce("lroot", "id").alias("root")
         )
 
-    links, tested, label = None, None, None
+    links, tested, label, n_tested = None, None, None, 0
+
+    def open_buckets() -> DataFrame:
+        """Entries of buckets that hold more than one component."""
+        each = labelled(members.select("h", "band", "c", "id"))
+        split = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("h").alias("g"))
+        return each.join(split, F.col("h") == F.col("g")).select("h", "band", "c", "id")
+
+    def compare_blocks() -> DataFrame:
+        """Links of the large open buckets: each pair of chunks of a bucket is a block, so a hot bucket spreads over tasks."""
+        chunks = F.ceil(F.col("c") / CHUNK).cast("int")
+        placed = (
+            open_buckets()
+            .where(F.col("c") > PAIRS_UP_TO)
+            .withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            .select("h", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "band", "id")
+        )
+        rows = (
+            placed.join(sized(labelled(sketches), n_ids), "id")
+            .join(bands, "id")
+            .join(texts.select(F.col("doc_id").alias("tid"), "text"), F.col("id") == F.col("tid"))
+            .select("h", "p", "q", "own", "band", "id", "root", "n", "s0", "s1", "s2", "s3", "bands", "text")
+        )
+
+        def run(batches):
+            yield from block_links(batches, percent)
+
+        return materialize(rows.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
 
     def candidates(kind: str) -> DataFrame:
-        m = labelled(members.join(sketches, "id"))
+        m = sized(labelled(sketches), n_ids)
         if kind == "rest":
-            open_ = m.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-            m = materialize(m.join(open_, "h"), "minhash-open")
-            x, y = m.alias("x"), m.alias("y")
+            each = open_buckets().where(F.col("c") <= PAIRS_UP_TO).select("h", "id").join(m, "id")
+            x, y = each.alias("x"), each.alias("y")
             pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
             pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         else:
-            stars = members.where("hub <> id").select("hub", F.col("id").alias("b")).distinct()
-            m = labelled(sketches.join(ids, "id", "left_semi"))
             x, y = m.alias("x"), m.alias("y")
             pairs = (
                 stars.join(x, F.col("hub") == F.col("x.id"))
@@ -194,16 +265,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             )
             if kind == "one":
                 pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        return pairs if tested is None else pairs.join(sized(tested, n_tested), ["a", "b"], "left_anti")
 
+    stars = materialize(members.where("hub <> id").select("hub", F.col("id").alias("b")).distinct(), "minhash-stars")
     for kind in ("one", "all", "rest") if n_ids else ():
         pairs = materialize(candidates(kind), "minhash-pairs")
-        if not pairs.limit(1).count():
+        n_pairs = pairs.count()
+        if not n_pairs:
             continue
+        n_tested += n_pairs
         found = compare(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         label = components(links, "minhash-components")
+    if n_ids and members.where(F.col("c") > PAIRS_UP_TO).limit(1).count():
+        found = compare_blocks()
+        links = found if links is None else links.union(found)
+        label = components(links, "minhash-components")
     if texts is not None:
         discard(texts)
     grouped = classes.select("d", "id", "size")
