@@ -279,7 +279,7 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                 q1 = (words[v] - 1) / max(train_tokens - 1, 1)
                 cell = (bucket(words[u]) * STEPS + log_bin(q2)) * STEPS + log_bin(q1)
                 one, back = np.unique(cell, return_inverse=True)
-                add = lambda x: pa.array(np.bincount(back, weights=x, minlength=len(one)))
+                add = lambda x: pa.array(np.bincount(back, weights=x, minlength=len(one)).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array((one // STEPS**2).astype(np.int64)), add(n * 1.0), add(n * q2), add(n * q1)], names=["cell", "b", "n", "q2", "q1"])
 
     # at most BUCKETS * STEPS ** 2 cells, and far fewer in fact, whatever the corpus
