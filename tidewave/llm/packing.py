@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 

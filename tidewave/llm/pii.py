@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
