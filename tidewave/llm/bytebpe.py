@@ -73,33 +73,36 @@ def encode_word(word: Column, tables: Literals) -> Column:
 
 
 def _fold(word: Column, table: Column) -> Column:
+    """State: the starts of the parts and the word's end (b), and the ranks of adjacent pairs (r)."""
     known = lambda s: Literals.rank(table, s)
-    rank = lambda s: F.coalesce(known(s), F.lit(NO_RANK))
+    span = lambda lo, hi: F.coalesce(known(F.substr(word, lo, hi - lo)), F.lit(NO_RANK))
     n = F.length(word)
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(word, i, F.lit(1)))
-    ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substr(word, i, F.lit(2))))
-    start = F.struct(parts.alias("s"), ranks.alias("r"))
+    none = F.array().cast("array<int>")
+    start = F.struct(
+        F.sequence(F.lit(1), n + 1).alias("b"),
+        F.transform(F.sequence(F.lit(1), n - 1), lambda i: span(i, i + 2)).alias("r"),
+    )
 
     def merge(acc: Column, least: Column) -> Column:
-        s, r = acc["s"], acc["r"]
+        def at(p: Column) -> Column:  # the pair is parts p and p + 1, counted from one; the start of part p + 1 goes
+            def cut(b: Column) -> Column:
+                r = acc["r"]
+                left = F.when(p > 1, F.array(span(F.get(b, p - 2), F.get(b, p)))).otherwise(none)
+                right = F.when(p < F.size(r), F.array(span(F.get(b, p - 1), F.get(b, p + 1)))).otherwise(none)
+                return F.struct(b.alias("b"), F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(r))).alias("r"))
 
-        def at(p: Column) -> Column:  # the pair is parts p and p + 1, counted from one
-            def joined(both: Column) -> Column:
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(s, p - 2), both)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p + 1 < F.size(s), F.array(rank(F.concat(both, F.get(s, p + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(s, F.lit(1), p - 1), F.array(both), F.slice(s, p + 2, F.size(s))).alias("s"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(s))).alias("r"),
-                )
+            return _let(F.array_remove(acc["b"], F.get(acc["b"], p)), cut)
 
-            return _let(F.concat(F.get(s, p - 1), F.get(s, p)), joined)
-
-        return _let(F.array_position(r, least).cast("int"), at)
+        return _let(F.array_position(acc["r"], least).cast("int"), at)
 
     def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc["r"]), lambda least: F.when(F.coalesce(least, F.lit(NO_RANK)) < NO_RANK, merge(acc, least)).otherwise(acc))
+        return _let(F.array_min(acc["r"]), lambda least: F.when(least < NO_RANK, merge(acc, least)).otherwise(acc))
+
+    def ids(acc: Column) -> Column:
+        b = acc["b"]
+        return F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: known(F.substr(word, F.get(b, i), F.get(b, i + 1) - F.get(b, i))))
 
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: F.transform(acc["s"], known))
+    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, ids)
     return _let(known(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n > 1, folded))
 
 
