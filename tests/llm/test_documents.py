@@ -229,6 +229,26 @@ def test_packing(docs, spark):
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(docs, spark):
+    rows = [(r.doc_id, r.text, "s") for r in docs.select("doc_id", "text").collect()]
+    long = [f"w{i}" for i in range(60)]
+    spaced, edited = "  ".join(long), " ".join([*long[:-1], "other"])
+    rows += [(9000, " ".join(long), "s"), (9001, spaced, "s"), (9002, edited, "s"), (None, spaced + " ", "s"), (9003, "É", "s"), (9004, "é", "s")]
+    text = {i: t for i, t, _ in rows}
+    _, root = brute_components(list(text.values()))
+    cluster = dict(zip(text, root, strict=True))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = packing.pack(df, capacity=100_000, per_source=1000).collect()
+    assert len(got) == len(rows)
+    at = collections.defaultdict(list)
+    for r in got:
+        at[r.bin_id].append(r.doc_id)
+    assert max(map(len, at.values())) > 1
+    for ids in at.values():
+        assert len({cluster[i] for i in ids}) == len(ids)
+        assert len({(text[i] or "").lower() for i in ids}) == len(ids)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(1)
     items = [(rng.randint(1, 60), rng.choice("abc") if rng.random() < 0.9 else None, rng.randint(0, 30)) for _ in range(400)]

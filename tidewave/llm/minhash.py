@@ -83,6 +83,7 @@ def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of (doc_id, text, ...): the id, sizes, digest, sketch and bands; with further columns, these and n_words, the number of words, after them."""
     n, digest, sketch, bands = [], [], [], []
     none = np.zeros(0, np.int64)
     for text in batch.column(1).to_pylist():
@@ -93,9 +94,13 @@ def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sketch.append(k)
         bands.append(b)
     sketch = np.array(sketch, np.int64).reshape(-1, 4)
+    more, names = batch.columns[2:], batch.schema.names[2:]
+    if more:
+        more.append(pa.array([len((t or "").encode().split()) for t in batch.column(1).to_pylist()], pa.int64()))
+        names = [*names, "n_words"]
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], pa.array(bands, pa.list_(pa.int64()))],
-        names=["doc_id", "n", "d", "s0", "s1", "s2", "s3", "bands"],
+        [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], pa.array(bands, pa.list_(pa.int64())), *more],
+        names=["doc_id", "n", "d", "s0", "s1", "s2", "s3", "bands", *names],
     )
 
 
@@ -157,8 +162,8 @@ def _close(x: str, y: str, percent: int) -> Column:
     return size & (far <= FAR_BITS)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept; with ``carry``, then these columns of ``docs`` and n_words.
 
     Equal sets form a class under its smallest id; only classes are compared. Each bucket of a
     band is compared in a star round its smallest class, first one star for each class, then all;
@@ -169,16 +174,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     A null or empty text has no shingles and is its own component. Rows with a null id link with
     nothing, have a null component and are kept. Repeated rows have the same component. An empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; columns that are not carried are not read.
     """
-    docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    docs = rows.select("doc_id", "text")
+    more = "".join(f", {c} {t}" for c, t in rows.dtypes[2:]) + (", n_words bigint" if carry else "")
 
     def sign(batches):
         for b in batches:
             yield signature_batch(b)
 
     s = materialize(
-        docs.mapInArrow(sign, "doc_id bigint, n bigint, d binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"), "minhash-signatures"
+        rows.mapInArrow(sign, "doc_id bigint, n bigint, d binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>" + more), "minhash-signatures"
     )
     classes = materialize(
         s.where("doc_id is not null and d is not null")
@@ -196,6 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     bands = sketches.select("id", "bands")
     sketches = sketches.drop("bands")
     texts = materialize(docs.join(sized(ids, n_ids), F.col("doc_id") == F.col("id"), "left_semi"), "minhash-texts") if n_ids else None
+    if n_ids and texts.count() > n_ids:  # rows that repeat an id and text are compared once
+        texts = materialize(texts.distinct(), "minhash-texts")
 
     def verify(batches):
         for b in batches:
@@ -289,7 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     grouped = materialize(grouped, "minhash-groups")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return s.join(sized(grouped, grouped.count()), F.col("d") == F.col("e"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), *carry, *(["n_words"] if carry else [])
     )
 
 

@@ -7,6 +7,8 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .minhash import near_duplicates
+
 #: Expected items of a shard, which is packed by one task at a time.
 SHARD_ITEMS = 2048
 
@@ -22,14 +24,16 @@ class Packer:
         self.counts: list[dict[int, int]] = []
         self.bits: dict = {}
 
-    def bit(self, kind: str, value) -> int:
+    def bit(self, kind: str | int, value) -> int:
         """The place of a source or cluster in its bitmap; a null has none and never conflicts."""
         return 0 if value is None else 1 << self.bits.setdefault((kind, value), len(self.bits))
 
-    def place(self, size: int, source, cluster) -> tuple[int, int]:
+    def place(self, size: int, source, *clusters) -> tuple[int, int]:
         """The bin taken and the offset in it: from the tightest bin that holds ``size``, successors are
         searched until one is compatible; if none is, a bin is opened."""
-        s, c = self.bit("s", source), self.bit("c", cluster)
+        s, c = self.bit("s", source), 0
+        for kind, cluster in enumerate(clusters):
+            c |= self.bit(kind, cluster)
         order = self.order
         for at in range(bisect_left(order, (size, -1)), len(order)):
             residual, b = order[at]
@@ -52,7 +56,7 @@ class Packer:
 
 
 def pack_items(items: list[tuple], capacity: int, per_source: int) -> list[tuple[int, int]]:
-    """(bin, offset) of each (size, source, cluster), largest first and in the given order among equals."""
+    """(bin, offset) of each (size, source, cluster of each kind), largest first and in the given order among equals."""
     packer = Packer(capacity, per_source)
     out: list = [None] * len(items)
     for i in sorted(range(len(items)), key=lambda i: -items[i][0]):
@@ -69,37 +73,42 @@ def word_tokens(text: Column) -> Column:
 def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items: int = SHARD_ITEMS, size: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """Rows (doc_id, piece, first_token, n_tokens, bin_id, position, source): where each piece of each document goes.
 
-    ``size`` is a document's tokens (default: words and an end mark) and ``cluster`` its duplicate
-    cluster (default: a hash of the text without regard to case). No bin holds two documents of a cluster or more than
-    ``per_source`` of a source. A document longer than ``capacity`` is cut into full pieces, each a bin of its
-    own, and a remainder, so no token is dropped. Null and empty texts take one token; null sources and
-    null ids conflict with nothing and are packed as others; repeated rows are packed each by itself, and so,
-    as one cluster, in different bins. An empty table gives an empty result.
+    ``size`` is a document's tokens (default: words and an end mark) and ``cluster`` its duplicate cluster. By default
+    documents conflict if ``near_duplicates`` puts them in one component or if their texts are equal without regard to case
+    (also texts without words). No bin holds two documents that conflict or more than ``per_source`` of a source. A document
+    longer than ``capacity`` is cut into full pieces, each a bin of its own, and a remainder, so no token is dropped. Null and
+    empty texts take one token; null sources conflict with nothing; rows with a null id are packed, and conflict, as others;
+    repeated rows are packed each by itself, and so, as one cluster, in different bins. An empty table gives an empty result.
 
     Documents are dealt to shards by a hash of their content and id, so a hot source or group of copies spreads over all shards;
     bins do not cross shards, whose number follows the number of rows. Only the lengths and keys are shuffled, not the texts.
     """
-    size = word_tokens(F.col("text")) if size is None else size
-    cluster = F.xxhash64(F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))) if cluster is None else cluster
     n = docs.count()
     shards = max(1, -(-n // shard_items))
-    items = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        size.alias("size"),
-        cluster.cast("bigint").alias("cluster"),
-    ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("bigint"))
+    text = F.col("text").cast("string")
+    own = F.col("doc_id").cast("bigint")
+    equal = F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
+    items = [own.alias("own_id"), F.col("source").cast("string").alias("source"), *([] if size is None else [size.cast("bigint").alias("size")])]
+    if cluster is None:
+        # a row without an id takes part under a hash of its text; words are counted where texts are cut into shingles
+        keyed = docs.select(F.coalesce(own, F.xxhash64(text)).alias("doc_id"), text.alias("text"), *items, equal.alias("equal"))
+        found = near_duplicates(keyed, carry=tuple(keyed.columns[2:]))
+        items = found.select("own_id", "source", (F.col("n_words") + 1 if size is None else F.col("size")).alias("size"), F.col("component_id").alias("cluster"), "equal")
+    else:
+        items = docs.select(*items, *([word_tokens(text).alias("size")] if size is None else []), cluster.cast("bigint").alias("cluster"))
+        items = items.select("own_id", "source", "size", "cluster", F.col("cluster").alias("equal"))
+    items = items.withColumnRenamed("own_id", "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "equal"), F.lit(shards)).cast("bigint"))
     names = ["doc_id", "piece", "first_token", "n_tokens", "bin_id", "position", "source"]
 
     def one(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[3] or 0, r[1] or "", r[2]))
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[4] or 0, r[1] or "", r[2]))
         whole, rest = [], []
         for r in rows:
             full, left = divmod(r[2], capacity)
             whole += [(r, k) for k in range(full)]
             if left or not full:
                 rest.append((r, full, left))
-        placed = pack_items([(left, r[1], r[3]) for r, _, left in rest], capacity, per_source)
+        placed = pack_items([(left, r[1], r[3], r[4]) for r, _, left in rest], capacity, per_source)
         used = max((b for b, _ in placed), default=-1) + 1
         out = [(r[0], k, k * capacity, left, (shard << 32) | b, at, r[1]) for (r, k, left), (b, at) in zip(rest, placed, strict=True)]
         out += [(r[0], k, k * capacity, capacity, (shard << 32) | (used + i), 0, r[1]) for i, (r, k) in enumerate(whole)]
@@ -119,7 +128,7 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items
             yield one(last, held)
 
     return (
-        items.select("shard", "doc_id", "source", "size", "cluster")
+        items.select("shard", "doc_id", "source", "size", "cluster", "equal")
         .repartition("shard")
         .sortWithinPartitions("shard")
         .mapInArrow(run, "doc_id bigint, piece bigint, first_token bigint, n_tokens bigint, bin_id bigint, position bigint, source string")
