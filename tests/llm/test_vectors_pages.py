@@ -63,6 +63,18 @@ def test_recall_bound():
         assert (1 - agree**bits) ** t <= embed.MISS
 
 
+def test_tables_allow_for_keys_of_one_code():
+    rng = np.random.default_rng(4)
+    agree = 1 - np.arccos(0.9) / np.pi
+    for n in (50_000, 500_000, 5_000_000):
+        bits, t = embed.tables(n, 0.9)
+        d = rng.binomial(embed.BITS, 1 - agree, 400_000)  # the bits in which the codes of a pair at the bound differ
+        same = np.ones(len(d))
+        for k in range(bits):
+            same *= np.maximum(embed.BITS - d - k, 0) / (embed.BITS - k)
+        assert ((1 - same) ** t).mean() <= 1.2 * embed.MISS
+
+
 def pages(spark):
     big, other = "<p>" + "x" * 200, "é" * 60
     rows = [(5, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (1, "u\r\nWARC-Type: bad", "short"), (3, "u", "short"), (4, "u", None), (6, "u", ""), (None, "u", big), (7, "u", other), (8, "u", other), (2, "again", big), (10, "u", "\r\n\r\n" * 100)]

@@ -8,7 +8,8 @@ precision; no other pair is.
 
 Pairs are looked for among vectors whose codes agree in all bits of one of several random bit sets;
 the number of bits follows the number of rows, so a bucket holds about as many rows at any size, and
-the number of sets is such that a pair at the threshold is missed by all with a chance below ``MISS``.
+the number of sets is such that a pair at the threshold is missed by all with a chance below ``MISS``,
+where the sets are drawn from one code: a pair whose codes differ in more bits than most has a small chance in each.
 """
 
 from __future__ import annotations
@@ -39,11 +40,28 @@ def rotation(dim: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim, :]
 
 
+def miss(bits: int, n: int, agree: float) -> float:
+    """Chance that a pair agrees in no key: the mean over the number of bits in which its codes differ, as all keys are drawn from the same ``BITS``."""
+    total = 0.0
+    for d in range(BITS + 1):
+        share = math.comb(BITS, d) * (1 - agree) ** d * agree ** (BITS - d)
+        total += share * (1 - math.comb(BITS - d, bits) / math.comb(BITS, bits)) ** n
+    return total
+
+
+@lru_cache(maxsize=64)
 def tables(rows: int, threshold: float) -> tuple[int, int]:
-    """Bits of a key and number of keys."""
+    """Bits of a key and number of keys: the least with a ``miss`` of at most ``MISS``, and four more."""
     agree = 1 - math.acos(min(threshold, 1.0)) / math.pi
     bits = max(4, math.ceil(math.log2(max(rows, 2) / BUCKET)))
-    return bits, math.ceil(math.log(MISS) / math.log1p(-(agree**bits))) + 4
+    high = 1
+    while miss(bits, high, agree) > MISS:
+        high *= 2
+    low = high // 2  # too few
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if miss(bits, mid, agree) <= MISS else (mid, high)
+    return bits, high + 4
 
 
 @lru_cache(maxsize=8)
