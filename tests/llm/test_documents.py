@@ -204,6 +204,23 @@ def test_field_enforces_consistency():
     assert linked > alone
 
 
+def test_field_links_short_repeats():
+    rng = random.Random(8)
+    texts = []
+    for i in range(400):
+        while not pii.luhn(d := "".join(rng.choice("0123456789") for _ in range(16))):
+            pass
+        texts.append(f"card {d[:4]} {d[4:8]} {d[8:12]} {d[12:]} ok, {i} seen, host 10.{i % 200}.3.4 and part {i} 2000 {i % 7} sold")
+    model = pii.train(texts)
+    t = "card 4111 1111 1111 1111 ok. Later 4111 1111 1111 1111 2 again"
+    base, both = pii.all_spans(t, model, 0.9)  # the second card is followed by a digit, so no pattern has it
+    assert [s[0] for s in base] == ["card"]
+    assert any(k == "card" and a == t.rindex("4111") for k, a, _ in both)
+    c = pii.Chain("from 1.2.3.4 to (1.2.3.4), +44 20 7946 0958 or +44 20 7946 0958", [])
+    assert {(c.words[i][2].strip("(),"), c.words[j][2].strip("(),")) for i, j in c.skip} == {(w, w) for w in ("1.2.3.4", "+44", "20", "7946", "0958")}
+    assert len(pii.Chain("5 mm or 5 cm", []).skip) == 1 and len(pii.Chain("1111 1111", []).skip) == 0
+
+
 def test_packing(docs, spark):
     rows = docs.select("doc_id", "text", "source").collect()
     got = packing.pack(docs, capacity=100, per_source=2, shard_items=50).collect()

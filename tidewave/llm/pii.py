@@ -28,6 +28,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ACTIVE = re.compile(r"[0-9@]")
 WORD = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 NOT_DIGIT = re.compile(r"[^0-9]")
+GROUP = re.compile(r"[^\w@]*[0-9]+[^\w@]*")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -92,6 +93,24 @@ def similar_key(word: str) -> str | None:
     return "w" + plain if "@" in word and len(plain) >= 5 else None
 
 
+def skip_keys(words: list[str], near: np.ndarray) -> list[tuple[str, ...]]:
+    """Keys of each node: its similar key, or else itself without outer punctuation; a short group of digits that adjoins
+    other nodes is too common by itself and has one key with the node before and one with the node after."""
+    plain = [w.lower().strip(".,;:!?()[]<>\"'") for w in words]
+    out: list[tuple[str, ...]] = []
+    for i, w in enumerate(words):
+        k = similar_key(w)
+        if k is not None:
+            out.append((k,))
+            continue
+        before, after = i > 0 and bool(near[i - 1]), i + 1 < len(words) and bool(near[i])
+        if (before or after) and GROUP.fullmatch(w):
+            out.append((*([f"p{plain[i - 1]} {plain[i]}"] if before else []), *([f"n{plain[i]} {plain[i + 1]}"] if after else [])))
+        else:
+            out.append(("=" + plain[i],))
+    return out
+
+
 class Chain:
     """A document's nodes and edges."""
 
@@ -114,14 +133,13 @@ class Chain:
                 self.feats[i, j] = zlib.crc32(f.encode()) % N_FEATURES
         self.next = np.flatnonzero(near)
         last: dict[str, int] = {}
-        skip = []
-        for i, w in enumerate(self.words):
-            k = similar_key(w[2])
-            if k is not None:
-                if k in last:
-                    skip.append((last[k], i))  # occurrences are linked in a line, so edges stay linear in words
+        skip = {}
+        for i, ks in enumerate(skip_keys([w[2] for w in self.words], near)):
+            for k in ks:
+                if k in last and not (last[k] == i - 1 and near[i - 1]):
+                    skip[last[k], i] = None  # occurrences are linked in a line, so edges stay linear in words
                 last[k] = i
-        self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        self.skip = np.array(list(skip), np.int64).reshape(-1, 2)
 
 
 class Model:
