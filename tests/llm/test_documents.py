@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import common, lm, minhash, packing, pii, quality
 
@@ -68,9 +69,11 @@ def brute_components(texts):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("pairs_up_to, one_task", [(32, 500_000), (2, 0)])
-def test_near_duplicates(docs, monkeypatch, pairs_up_to, one_task):
-    monkeypatch.setattr(minhash, "PAIRS_UP_TO", pairs_up_to)
+@pytest.mark.parametrize("rounds, sparse, one_task", [(5, 4, 500_000), (1, 0, 0), (0, 0, 500_000)])
+def test_near_duplicates(docs, monkeypatch, rounds, sparse, one_task):
+    """Stars and sparse blocks; one star and dense blocks; dense blocks alone."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "SPARSE", sparse)
     monkeypatch.setattr(minhash, "CHUNK", 8)
     monkeypatch.setattr(minhash, "components", lambda e, n: common.components(e, n, one_task=one_task))
     sets, root = brute_components(corpus())
@@ -89,6 +92,19 @@ def test_near_duplicate_edges(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in enumerate(brute_components(corpus())[1]) if r == i}
 
 
+def test_block_rows_grow_with_a_bucket(spark):
+    """A large component with a few strangers gives each of its classes one row; two buckets with the same members are one."""
+    for size in (10_000, 20_000):
+        rows = [(h, i, 0 if i < size else i) for h in (1, 2) for i in range(size + 3)]
+        entries = spark.createDataFrame(rows, "h bigint, id bigint, root bigint")
+        open_ = spark.createDataFrame([(1,), (2,)], "g bigint")
+        blocks = minhash._blocks(entries, open_)
+        chunks = -(-size // minhash.CHUNK)
+        assert blocks.count() == size + 3 * (chunks + 1)
+        met = blocks.groupBy("p", "q").agg(F.count_distinct("root").alias("n")).collect()
+        assert len(met) == chunks + 1
+
+
 def test_circulant_signature_estimates():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -318,8 +334,9 @@ def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
-    one = {r.id: r.root for r in common.components(df).collect()}
-    many = {r.id: r.root for r in common.components(df, one_task=0).collect()}
+    scratch = common.Scratch(spark, "test")
+    one = {r.id: r.root for r in common.components(df, scratch).collect()}
+    many = {r.id: r.root for r in common.components(df, scratch, one_task=0).collect()}
     assert {k: many[k] for k in many} == {k: one[k] for k in many}
     assert all(one[i] == 400 for i in range(400, 461))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ BROADCAST_ROWS = 200_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, a local one is set (tests)."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local master (tests) sets one of its own and a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewave-")
         spark.conf.set("spark.checkpoint.dir", base)
     if ":" not in base:
@@ -35,13 +38,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``materialize`` result that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables of one run that cut lineage, in a folder of their own; ``clear`` deletes those that no later plan reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, work_dir(spark, name), 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
 
 
 def sized(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -94,21 +109,19 @@ def union_find(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(i) for i in part], pa.int64())], names=["id", "root"])
 
 
-def components(edges: DataFrame, name: str = "cc", max_rounds: int = 40, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long) as rows (id, root), root the smallest id.
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Connected components of ``edges`` (a long, b long) as rows (id, root), root the smallest id; a table of ``scratch``.
 
     Edges that are counted to be at most ``one_task`` go through one task. More alternate a minimum over neighbours with pointer jumping, all in shuffled
     aggregates; each round's labels are written out. Nodes without edges are absent.
     A hub with many edges is pre-aggregated map-side, as only minima are taken.
     """
     if edges.count() <= one_task:
-        return materialize(edges.select("a", "b").coalesce(1).mapInArrow(union_find, "id bigint, root bigint"), name)
-    both = materialize(
-        edges.where("a <> b").select("a", "b").distinct().selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))"),
-        name,
-    )
+        return scratch.save(edges.select("a", "b").coalesce(1).mapInArrow(union_find, "id bigint, root bigint"))
+    own = Scratch(scratch.spark, "components")
+    both = own.save(edges.where("a <> b").select("a", "b").distinct().selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))"))
     label = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root"))
-    label = materialize(label, name)
+    label = own.save(label)
     for _ in range(max_rounds):
         near = (
             both.join(label, both.b == label.id)
@@ -122,15 +135,12 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 40, one_tas
         step = near.join(hook, near.old == hook.o).select("id", "old", F.least("cand", "h").alias("root"))
         # jump: follow the root's own root once
         up = step.select(F.col("id").alias("r"), F.col("root").alias("rr"))
-        new = materialize(
-            step.join(up, step.root == up.r, "left").select("id", "old", F.least("root", F.coalesce("rr", "root")).alias("root")),
-            name,
-        )
-        moved = new.where("root <> old").limit(1).count()
-        discard(label)
+        new = own.save(step.join(up, step.root == up.r, "left").select("id", "old", F.least("root", F.coalesce("rr", "root")).alias("root")))
         label = new.select("id", "root")
-        if not moved:
+        if not new.where("root <> old").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
+    label = scratch.save(label)
+    own.clear()
     return label

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, materialize, sorted_groups
+from .common import Scratch, components, materialize, sorted_groups
 
 BITS = 256
 WIDTH = 5.0
@@ -247,7 +247,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 
     group = ["dim", "t", "k", "p", "q"]
     found = materialize(placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(blocks, "id bigint, other bigint, links bigint"), "embed-links")
-    label = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), "embed-components")
+    label = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), Scratch(vectors.sparkSession, "embed-components"))
     sums = found.groupBy("id").agg(F.sum("links").alias("far"))
     per_class = (
         classes.join(sums, "id", "left")

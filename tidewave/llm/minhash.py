@@ -3,11 +3,11 @@
 A shingle's hash is placed in a universe of 2**32 points by a first permutation. Coordinate k of a
 signature is the least value of one second permutation over the points shifted k places round the
 universe, so two permutations make all coordinates. ``ROWS`` coordinates make a band; documents that
-share a band are candidates. One bit of each coordinate makes a sketch, by which candidates whose
+share a band are candidates. Two bits of each coordinate make a sketch, by which candidates whose
 similarity cannot be near the bound are left out before sets are compared.
 
-With 51 bands of 5 a pair at the bound of 0.75 shares no band with probability 1e-6, and its sketch
-is beyond ``FAR_BITS`` with probability below 1e-8; both fall fast above the bound.
+With 36 bands of 4 a pair at the bound of 0.75 shares no band with probability 1.2e-6, and its sketch
+is beyond ``FAR_BITS`` with probability 2e-7; both fall fast above the bound.
 """
 
 from __future__ import annotations
@@ -19,20 +19,38 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, discard, materialize, sized, sorted_groups
+from .common import Scratch, components, sized, sorted_groups
 
 WIDTH = 5
-BANDS, ROWS = 51, 5
+BANDS, ROWS = 36, 4
 COORDINATES = BANDS * ROWS
-#: Sketches of 256 bits differ in 32 on average at a similarity of 0.75, with a deviation of 5.3.
-FAR_BITS = 64
-#: Buckets of more classes are compared in blocks inside tasks, without a row for each pair; of a chunk's classes at most so many.
-PAIRS_UP_TO = 32
-CHUNK = 512
+#: Sketches of 256 bits differ in 32 on average at a similarity of 0.75, with a deviation of 6.3.
+FAR_BITS = 68
+#: Rounds of stars at most, before buckets are compared in blocks; they end early when a round links less than one in ``YIELD`` of its pairs.
+ROUNDS, YIELD = 5, 20
+#: Classes of a bucket that are compared in one block; of larger buckets, chunks of so many.
+CHUNK = 2048
+#: A block sends its candidate pairs on if they are at most so many times its classes; a denser one is compared on full sets inside a task.
+SPARSE = 4
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+class WordHashes(dict):
+    """Hashes of words, remembered up to a number of words."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
+
+
 def _mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
@@ -47,13 +65,14 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    w = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
     size = min(n, WIDTH)
     with np.errstate(over="ignore"):
         h = w[: n - size + 1] + np.uint64(size)
         for j in range(1, size):
             h = h * PRIME + w[j : n - size + 1 + j]
-        return np.unique(_mix64(h))
+        h = np.sort(_mix64(h))
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -77,8 +96,7 @@ def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.arange(1, BANDS + 1, dtype=np.uint64) * PRIME
         for j in range(ROWS):
             h = _mix64(h ^ sig.reshape(BANDS, ROWS)[:, j].astype(np.uint64)) * PRIME
-    bits = np.zeros(256, np.uint8)
-    bits[:COORDINATES] = sig & 1
+    bits = np.concatenate([sig[:128] & 1, sig[:128] >> 1 & 1]).astype(np.uint8)
     return h.view(np.int64), np.packbits(bits).view(np.int64)
 
 
@@ -116,186 +134,217 @@ def similar_batch(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def block_links(batches, percent: int):
-    """Links (a, b) of blocks (h, p, q) of rows with own chunk, id, root, n, sketch, bands and text.
+def candidates(sketch: np.ndarray, n: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of ``left`` and ``right`` in different components whose sizes and sketches allow a link."""
+    found = []
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        far = sum(np.bitwise_count(sketch[i, None, k] ^ sketch[None, right, k]).astype(np.uint16) for k in range(4))
+        ok = (far <= FAR_BITS) & (root[i, None] != root[None, right])
+        ok &= (100 * n[i, None] >= percent * n[None, right]) & (100 * n[None, right] >= percent * n[i, None])
+        x, y = np.nonzero(ok)
+        found.append((i[x], right[y]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
-    Pairs of different components whose sizes and sketches allow a link and that no earlier band has together are compared on full sets.
-    """
-    for (_, p, q), r in sorted_groups(batches, ("h", "p", "q")):
+
+def block_candidates(batches, percent: int, sparse: int):
+    """Rows (a, b) of a block's candidate pairs or, of a dense block, rows (block, a) of the classes that have some."""
+    none = lambda k: pa.nulls(k, pa.int64())
+    for block, r in sorted_groups(batches, ("h", "p", "q")):
         get = lambda c: r.column(c).to_numpy()
-        own, ids, root, n = get("own"), get("id"), get("root"), get("n")
-        sketch = np.ascontiguousarray(np.stack([get(f"s{j}") for j in range(4)], 1))
-        sign = np.unpackbits(sketch.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        bands = np.stack(r.column("bands").to_numpy())
-        band = int(r.column("band")[0].as_py())
-        texts = r.column("text")
-        sets: dict[int, np.ndarray] = {}
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        ids, own = get("id"), get("own")
+        sketch = np.stack([get(f"s{j}") for j in range(4)], 1).view(np.uint64)
+        left, right = np.flatnonzero(own == block[1]), np.flatnonzero(own == block[2])
         if not len(left) or not len(right):
             continue
-        far = (256 - sign[left] @ sign[right].T) / 2
-        ok = (far <= FAR_BITS) & (root[left][:, None] != root[right]) & (100 * n[left][:, None] >= percent * n[right]) & (100 * n[right] >= percent * n[left][:, None])
-        i, j = np.nonzero(ok)
-        i, j = left[i], right[j]
-        if p == q:
+        i, j = candidates(sketch, get("n"), get("root"), left, right, percent)
+        if block[1] == block[2]:
             i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
-        if band and len(i):
-            first = ~(bands[i, :band] == bands[j, :band]).any(1)
-            i, j = i[first], j[first]
-        out = []
-        for x, y in zip(i.tolist(), j.tolist()):
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = shingles(texts[z].as_py())
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                out.append((ids[x], ids[y]))
-        if out:
-            a, b = np.array(out, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def _close(x: str, y: str, percent: int) -> Column:
-    """Sizes and sketches allow the bound."""
-    size = (100 * F.col(f"{x}.n") >= percent * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= percent * F.col(f"{x}.n"))
-    far = sum((F.bit_count(F.col(f"{x}.s{j}").bitwiseXOR(F.col(f"{y}.s{j}"))) for j in range(4)), F.lit(0))
-    return size & (far <= FAR_BITS)
+        if not len(i):
+            continue
+        if len(i) <= sparse * len(ids):
+            cols = [none(len(i))] * 3 + [pa.array(ids[i]), pa.array(ids[j])]
+        else:
+            some = ids[np.union1d(i, j)]
+            cols = [pa.array(np.full(len(some), x, np.int64)) for x in block] + [pa.array(some), none(len(some))]
+        yield pa.RecordBatch.from_arrays(cols, names=["h", "p", "q", "a", "b"])
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all of ``left`` with all of ``right``, as products of membership matrices, some shingles at a time."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    number = np.cumsum(np.concatenate([[0], every[1:] != every[:-1]]))
+    often = np.bincount(number) > 1
+    keep = often[number]
+    number, of = (np.cumsum(often) - 1)[number[keep]], of[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
+        lo, hi = np.searchsorted(number, [at, at + 1024])
+        has = np.zeros((len(sets), 1024), np.float32)
+        has[of[lo:hi], number[lo:hi] - at] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def dense_links(batches, percent: int):
+    """Links (a, b) of dense blocks, from full sets; of a block's links, as many as join its components."""
+    for block, r in sorted_groups(batches, ("h", "p", "q")):
+        get = lambda c: r.column(c).to_numpy()
+        ids, own, root = get("id"), get("own"), get("root")
+        left, right = np.flatnonzero(own == block[1]), np.flatnonzero(own == block[2])
+        if not len(left) or not len(right):
+            continue
+        sets = [shingles(x.as_py()) for x in r.column("text")]
+        n = np.array([len(x) for x in sets], np.int64)
+        both = overlaps(sets, left, right)
+        i, j = np.nonzero((100 * both >= percent * (n[left][:, None] + n[right] - both)) & (root[left][:, None] != root[right]))
+        a, b = ids[left[i]], ids[right[j]]
+        _, first = np.unique(np.stack([root[left[i]], root[right[j]]], 1), axis=0, return_index=True)
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
+
+
+def _close(percent: int) -> Column:
+    """Sizes and sketches of x and y allow the bound."""
+    size = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    return size & (_far() <= FAR_BITS)
+
+
+def _far() -> Column:
+    return sum((F.bit_count(F.col(f"x.s{j}").bitwiseXOR(F.col(f"y.s{j}"))) for j in range(4)), F.lit(0))
+
+
+def _blocks(entries: DataFrame, open_: DataFrame) -> DataFrame:
+    """Rows (h, p, q, own, id, root) of the blocks of open buckets.
+
+    A bucket of up to ``CHUNK`` classes is one block. Of a larger one, the classes of its largest component M, which have nothing to
+    compare among themselves, and the others R are cut into chunks; blocks pair chunks of R with those of M and of R. So an M of any size with
+    a small R gives a row for each class. Buckets with the same members are compared once.
+    """
+    same = entries.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    once = same.join(open_, F.col("h") == F.col("g"), "left_semi").groupBy("c", "x", "y").agg(F.min("h").alias("g")).select("g", "c")
+    each = entries.join(once, F.col("h") == F.col("g")).select("h", "c", "id", "root")
+    small = each.where(F.col("c") <= CHUNK).select("h", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("own"), "id", "root")
+    large = each.where(F.col("c") > CHUNK)
+    most = (
+        large.groupBy("h", "c", "root").agg(F.count(F.lit(1)).alias("m")).groupBy(F.col("h").alias("g"), "c").agg(F.max(F.struct("m", "root")).alias("x"))
+        .select("g", F.col("x.root").alias("main"), F.ceil(F.col("x.m") / CHUNK).cast("int").alias("cm"), F.ceil((F.col("c") - F.col("x.m")) / CHUNK).cast("int").alias("cr"))
+    )
+    placed = large.drop("c").join(most, F.col("h") == F.col("g")).withColumn("in_main", F.col("root") == F.col("main"))
+    # chunks of R are 0 to cr - 1, those of M follow
+    placed = placed.withColumn("own", F.when(F.col("in_main"), F.col("cr") + F.pmod(F.xxhash64("id"), F.col("cm"))).otherwise(F.pmod(F.xxhash64("id"), F.col("cr"))).cast("int"))
+    with_ = F.explode(F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("cr")).otherwise(F.col("cr") + F.col("cm")) - 1))
+    pairs = placed.select("h", "own", "id", "root", with_.alias("w")).select("h", F.least("own", "w").alias("p"), F.greatest("own", "w").alias("q"), "own", "id", "root")
+    return small.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept; with ``carry``, then these columns of ``docs`` and n_words.
 
-    Equal sets form a class under its smallest id; only classes are compared. Each bucket of a
-    band is compared in a star round its smallest class, first one star for each class, then all;
-    after each round linked classes are joined, and last, only classes of a shared bucket that are
-    still in different components are compared pair by pair: of small buckets by joins, of large ones
-    in blocks inside tasks. So a group of many copies costs a number of comparisons in proportion to it, one of many
-    texts that are similar but below the bound costs its pairs, but no rows for them, and no link that joins components is left out.
+    Equal sets form a class under its smallest id; only classes are compared. In each round, every bucket of a
+    band that holds several components takes one of its classes as hub, and each class in another component is compared with the nearest of its
+    hubs by sketch; linked classes are joined. What the rounds leave apart in a shared bucket is compared pair by pair, by sketch in blocks and
+    then on full sets, so no link that joins components is left out. Rows grow with a bucket, not with its pairs: a round has one pair for
+    a class, a block sends on a bounded number of pairs for a class or else compares full sets itself. Many
+    texts that are alike but below the bound cost their pairs in CPU time only.
 
     A null or empty text has no shingles and is its own component. Rows with a null id link with
     nothing, have a null component and are kept. Repeated rows have the same component. An empty
     table gives an empty result; columns that are not carried are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    docs = rows.select("doc_id", "text")
     more = "".join(f", {c} {t}" for c, t in rows.dtypes[2:]) + (", n_words bigint" if carry else "")
+    result, scratch = Scratch(docs.sparkSession, "minhash"), Scratch(docs.sparkSession, "minhash-steps")
+    save = scratch.save
 
     def sign(batches):
         for b in batches:
             yield signature_batch(b)
 
-    s = materialize(
-        rows.mapInArrow(sign, "doc_id bigint, n bigint, d binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>" + more), "minhash-signatures"
-    )
-    classes = materialize(
+    s = result.save(rows.mapInArrow(sign, "doc_id bigint, n bigint, d binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>" + more))
+    classes = save(
         s.where("doc_id is not null and d is not null")
         .groupBy("d")
         .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "bands")).alias("x"))
-        .select("d", "id", "size", "x.*"),
-        "minhash-classes",
+        .select("d", "id", "size", "x.*")
     )
-    entries = classes.select("id", F.posexplode("bands").alias("band", "h"))
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1").select(F.col("h").alias("g"), "c", "hub")
-    members = materialize(entries.join(shared, F.col("h") == F.col("g")).select("h", "band", "c", "id", "hub"), "minhash-buckets")
-    ids = materialize(members.select("id").distinct(), "minhash-ids")
+    bands = classes.select("id", F.explode("bands").alias("h"))
+    shared = bands.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("g"))
+    members = save(bands.join(shared, F.col("h") == F.col("g")).select("h", "id"))
+    ids = save(members.select("id").distinct())
     n_ids = ids.count()
-    sketches = materialize(classes.join(sized(ids, n_ids), "id", "left_semi").select("id", "n", "s0", "s1", "s2", "s3", "bands"), "minhash-all-sketches")
-    bands = sketches.select("id", "bands")
-    sketches = sketches.drop("bands")
-    texts = materialize(docs.join(sized(ids, n_ids), F.col("doc_id") == F.col("id"), "left_semi"), "minhash-texts") if n_ids else None
-    if n_ids and texts.count() > n_ids:  # rows that repeat an id and text are compared once
-        texts = materialize(texts.distinct(), "minhash-texts")
-
-    def verify(batches):
-        for b in batches:
-            yield similar_batch(b, percent)
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        rows = (
-            pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-            .select("a", "b", "x", "y")
-        )
-        return materialize(rows.mapInArrow(verify, "a bigint, b bigint"), "minhash-links")
+    label, links, sparse = None, None, SPARSE
 
     def labelled(frame: DataFrame) -> DataFrame:
         """With the component so far as ``root``."""
         if label is None:
             return frame.withColumn("root", F.col("id"))
         known = label.select(F.col("id").alias("lid"), F.col("root").alias("lroot"))
-        return frame.join(sized(known, n_ids), F.col("id") == F.col("lid"), "left").select(
-            *frame.columns, F.coalesce("lroot", "id").alias("root")
-        )
-
-    links, tested, label, n_tested = None, None, None, 0
-
-    def open_buckets() -> DataFrame:
-        """Entries of buckets that hold more than one component."""
-        each = labelled(members.select("h", "band", "c", "id"))
-        split = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("h").alias("g"))
-        return each.join(split, F.col("h") == F.col("g")).select("h", "band", "c", "id")
-
-    def compare_blocks() -> DataFrame:
-        """Links of the large open buckets: each pair of chunks of a bucket is a block, so a hot bucket spreads over tasks."""
-        chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-        placed = (
-            open_buckets()
-            .where(F.col("c") > PAIRS_UP_TO)
-            .withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-            .withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            .select("h", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "band", "id")
-        )
-        rows = (
-            placed.join(sized(labelled(sketches), n_ids), "id")
-            .join(bands, "id")
-            .join(texts.select(F.col("doc_id").alias("tid"), "text"), F.col("id") == F.col("tid"))
-            .select("h", "p", "q", "own", "band", "id", "root", "n", "s0", "s1", "s2", "s3", "bands", "text")
-        )
-
-        def run(batches):
-            yield from block_links(batches, percent)
-
-        return materialize(rows.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
-
-    def candidates(kind: str) -> DataFrame:
-        m = sized(labelled(sketches), n_ids)
-        if kind == "rest":
-            each = open_buckets().where(F.col("c") <= PAIRS_UP_TO).select("h", "id").join(m, "id")
-            x, y = each.alias("x"), each.alias("y")
-            pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        else:
-            x, y = m.alias("x"), m.alias("y")
-            pairs = (
-                stars.join(x, F.col("hub") == F.col("x.id"))
-                .join(y, F.col("b") == F.col("y.id"))
-                .where((F.col("x.root") != F.col("y.root")) & _close("x", "y", percent))
-                .select(F.col("x.id").alias("a"), "b")
-            )
-            if kind == "one":
-                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        return pairs if tested is None else pairs.join(sized(tested, n_tested), ["a", "b"], "left_anti")
-
-    stars = materialize(members.where("hub <> id").select("hub", F.col("id").alias("b")).distinct(), "minhash-stars")
-    for kind in ("one", "all", "rest") if n_ids else ():
-        pairs = materialize(candidates(kind), "minhash-pairs")
-        n_pairs = pairs.count()
-        if not n_pairs:
-            continue
-        n_tested += n_pairs
-        found = compare(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        label = components(links, "minhash-components")
-    if n_ids and members.where(F.col("c") > PAIRS_UP_TO).limit(1).count():
-        found = compare_blocks()
+        return frame.join(sized(known, n_ids), F.col("id") == F.col("lid"), "left").select(*frame.columns, F.coalesce("lroot", "id").alias("root"))
+
+    def verify(batches):
+        for b in batches:
+            yield similar_batch(b, percent)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+        return save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
+
+    def joined(found: DataFrame) -> None:
+        nonlocal label, links
         links = found if links is None else links.union(found)
-        label = components(links, "minhash-components")
-    if texts is not None:
-        discard(texts)
-    grouped = classes.select("d", "id", "size")
-    grouped = labelled(grouped).where("size > 1 or root <> id").select(F.col("d").alias("e"), "root")
-    grouped = materialize(grouped, "minhash-groups")
+        label = components(links, scratch)
+
+    if n_ids:
+        sketches = save(classes.join(sized(ids, n_ids), "id", "left_semi").select("id", "n", "s0", "s1", "s2", "s3"))
+        texts = save(rows.select("doc_id", "text").join(sized(ids, n_ids), F.col("doc_id") == F.col("id"), "left_semi"))
+        if texts.count() > n_ids:  # rows that repeat an id and text are compared once
+            texts = save(texts.distinct())
+        near = sized(sketches, n_ids)
+        for turn in range(ROUNDS):
+            each = labelled(members)
+            first = F.min(F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("o"), "id", "root")).alias("hub")
+            hubs = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), first).where("lo <> hi").select(F.col("h").alias("g"), "hub")
+            stars = each.join(hubs, F.col("h") == F.col("g")).where("root <> hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+            near_ones = stars.join(near.alias("x"), F.col("a") == F.col("x.id")).join(near.alias("y"), F.col("b") == F.col("y.id")).where(_close(percent))
+            pairs = save(near_ones.groupBy("b").agg(F.min(F.struct(_far().alias("far"), "a")).alias("x")).select("x.a", "b"))
+            n_pairs = pairs.count()
+            if not n_pairs:
+                break
+            found = verified(pairs)
+            n_found = found.count()
+            if n_found:
+                joined(found)
+            if n_found * YIELD < n_pairs:
+                break
+        each = save(labelled(members))
+        open_ = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("h").alias("g"))
+        placed = save(_blocks(each, open_))
+        block = ["h", "p", "q"]
+
+        def sift(batches):
+            yield from block_candidates(batches, percent, sparse)
+
+        def compare(batches):
+            yield from dense_links(batches, percent)
+
+        rest = save(placed.join(near, "id").repartition(*block).sortWithinPartitions(*block).mapInArrow(sift, "h bigint, p bigint, q bigint, a bigint, b bigint"))
+        for found in (verified(rest.where("b is not null").select("a", "b").distinct()), None):
+            if found is None:
+                dense = rest.where("b is null").select(*[F.col(c).cast("bigint").alias(f"d{c}") for c in block], F.col("a").alias("tid"))
+                if not dense.limit(1).count():
+                    break
+                of = placed.join(dense, [F.col(c) == F.col(f"d{c}") for c in block] + [F.col("id") == F.col("tid")], "left_semi")
+                full = of.join(texts, F.col("id") == F.col("doc_id")).select(*block, "own", "id", "root", "text")
+                found = save(full.repartition(*block).sortWithinPartitions(*block).mapInArrow(compare, "a bigint, b bigint"))
+            if found.limit(1).count():
+                joined(found)
+    grouped = labelled(classes.select("d", "id", "size")).where("size > 1 or root <> id").select(F.col("d").alias("e"), "root")
+    grouped = result.save(grouped)
+    scratch.clear()
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return s.join(sized(grouped, grouped.count()), F.col("d") == F.col("e"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), *carry, *(["n_words"] if carry else [])
@@ -304,5 +353,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] =
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group, the one with the smallest id."""
-    gone = materialize(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "minhash-gone")
-    return docs.join(sized(gone, gone.count()), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = Scratch(docs.sparkSession, "minhash-gone").save(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
+    out = sized(gone, gone.count())
+    return docs.join(out, docs["doc_id"] == out["doc_id"], "left_anti")
