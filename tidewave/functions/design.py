@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -11,20 +11,31 @@ from .expr import bark_to_hz, hz_to_bark, hz_to_mel, mel_to_hz
 
 @dataclass(frozen=True)
 class Coefficients:
+    """Of order above two, ``sections`` of up to second order are what is applied in cascade; b and a are their product, whose rounding moves poles."""
+
     b: tuple[float, ...]
     a: tuple[float, ...] = ()
+    sections: tuple[Coefficients, ...] = ()
 
     @property
     def order(self) -> int:
         return max(len(self.b) - 1, len(self.a))
 
+    @property
+    def parts(self) -> tuple[Coefficients, ...]:
+        return self.sections or (self,)
+
+    def radius(self) -> float:
+        """The largest pole's distance from zero."""
+        return max((float(np.abs(np.roots([1.0, *c.a])).max(initial=0.0)) for c in self.parts if c.a), default=0.0)
+
     def is_stable(self) -> bool:
         """All poles inside the unit circle."""
-        return not self.a or bool(np.all(np.abs(np.roots([1.0, *self.a])) < 1.0))
+        return self.radius() < 1.0
 
     def response(self, f: float, rate: float) -> complex:
         z = np.exp(-2j * np.pi * f / rate)
-        return complex(np.polyval(self.b[::-1], z) / np.polyval([1.0, *self.a][::-1], z))
+        return complex(np.prod([np.polyval(c.b[::-1], z) / np.polyval([1.0, *c.a][::-1], z) for c in self.parts]))
 
 
 def _of(b, a) -> Coefficients:
@@ -108,18 +119,39 @@ def power_line_notch(rate: float, line: float = 50.0, taps: int = 201, width: fl
 
 
 def cascade(*parts: Coefficients) -> Coefficients:
+    """One after the other; of second order in all, one section."""
     b, a = np.ones(1), np.ones(1)
     for p in parts:
         b, a = np.convolve(b, p.b), np.convolve(a, [1.0, *p.a])
-    return _of(b, a)
+    each = tuple(c for p in parts for c in p.parts)
+    return replace(_of(b, a), sections=each if len(each) > 1 and max(len(b), len(a)) > 3 else ())
 
 
 def _bilinear(poles: np.ndarray, zeros: np.ndarray, gain: float) -> Coefficients:
     """Analog poles and zeros (for a sample interval of 2) to a digital filter."""
     z = np.concatenate([(1 + zeros) / (1 - zeros), -np.ones(len(poles) - len(zeros))])
     p = (1 + poles) / (1 - poles)
-    k = gain * np.real(np.prod(1 - zeros) / np.prod(1 - poles))
-    return _of(k * np.real(np.poly(z)), np.real(np.poly(p)))
+    k = gain * float(np.real(np.prod(1 - zeros) / np.prod(1 - poles)))
+    if len(p) <= 2:
+        return _of(k * np.real(np.poly(z)), np.real(np.poly(p)))
+    made = _sections(z, p)
+    return cascade(Coefficients(tuple(x * k / np.prod([g for _, g in made]) for x in made[0][0].b), made[0][0].a), *[c for c, _ in made[1:]])
+
+
+def _sections(zeros: np.ndarray, poles: np.ndarray) -> list[tuple[Coefficients, float]]:
+    """Pairs of conjugate (or two real) poles with two of the real zeros each, the widest first; gain 1 away from the zeros, and the factor put in for that."""
+    upper = sorted(poles[poles.imag > 1e-12], key=abs)
+    real = sorted(poles[np.abs(poles.imag) <= 1e-12].real, key=abs)
+    groups = [real[i : i + 2] for i in range(0, len(real), 2)] + [[p, np.conj(p)] for p in upper]
+    groups.sort(key=lambda g: max(map(abs, g)))
+    out, left = [], list(np.real(zeros))
+    for g in groups:
+        own, left = left[: len(g)], left[len(g) :]
+        b, a = np.poly(own), np.real(np.poly(g))
+        at = -np.sign(own[0])
+        gain = float(np.polyval(a, at) / np.polyval(b, at))
+        out.append((_of(gain * b, a), gain))
+    return out
 
 
 def _prototype(order: int, ripple: float | None) -> tuple[np.ndarray, float]:

@@ -7,10 +7,66 @@ anywhere and carrying the state over gives the same outputs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
 
+BLOCK = 64
+
+
+@lru_cache(maxsize=256)
+def _responses(a: tuple[float, ...], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of y = f - sum a y': the answers of a block to its own inputs (rows) and to each of the outputs before it (rows, the latest first)."""
+    n = len(a)
+
+    def run(past: list[float], first: float) -> list[float]:
+        y = list(past)
+        for i in range(length):
+            y.append((first if i == 0 else 0.0) - sum(c * y[-1 - k] for k, c in enumerate(a)))
+        return y[n:]
+
+    h = np.array(run([0.0] * n, 1.0))
+    own = np.zeros((length, length))
+    for i in range(length):
+        own[i, i:] = h[: length - i]
+    before = np.array([run([1.0 if n - 1 - j == k else 0.0 for j in range(n)], 0.0) for k in range(n)]).reshape(n, length)
+    return own, before
+
+
+def recur(f: np.ndarray, a: tuple[float, ...], past: tuple[float, ...]) -> tuple[np.ndarray, tuple[float, ...]]:
+    """y = f - sum a y' from the outputs ``past`` (the latest first), and the outputs to go on from.
+
+    Blocks are answered from rest at once by a matrix product; only what a block leaves to the next is carried one by one.
+    """
+    n = len(a)
+    if not n or not len(f):
+        return f, past
+    length = max(BLOCK, n)
+    own, before = _responses(a, length)
+    if len(f) < 8 or not (np.isfinite(f).all() and np.isfinite(own).all() and np.isfinite(before).all()):
+        y = list(past[::-1])
+        for v in f.tolist():
+            y.append(v - sum(c * y[-1 - k] for k, c in enumerate(a)))
+        return np.array(y[n:]), tuple(y[: -n - 1 : -1])
+    rest = np.concatenate([f, np.zeros(-len(f) % length)]).reshape(-1, length) @ own
+    tails, carry = rest[:, : -n - 1 : -1], before[:, : -n - 1 : -1]
+    seen = np.empty((len(rest), n))
+    if n == 1:
+        y, c = past[0], float(carry[0, 0])
+        for i, t in enumerate(tails[:, 0].tolist()):
+            seen[i, 0] = y
+            y = t + c * y
+    else:
+        y = np.array(past)
+        for i in range(len(rest)):
+            seen[i] = y
+            y = tails[i] + y @ carry
+    out = (rest + seen @ before).ravel()[: len(f)]
+    ends = np.concatenate([np.array(past[::-1]), out[-n:]])[: -n - 1 : -1]
+    return out, tuple(ends.tolist())
+
+
 @dataclass(frozen=True)
 class Ema:
     """y = alpha x + (1 - alpha) y', from the first sample."""
@@ -25,12 +81,11 @@ class Ema:
         return (None,)
 
     def run(self, state, x):
-        (y,) = state
-        a, b, out = self.alpha, 1 - self.alpha, []
-        for v in x[:, 0].tolist():
-            y = v if y is None else a * v + b * y
-            out.append(y)
-        return np.array(out), (y,)
+        v = x[:, 0]
+        if not len(v):
+            return v, state
+        y = float(v[0]) if state[0] is None else state[0]  # as if the first sample had been there before
+        return recur(self.alpha * v, (self.alpha - 1,), (y,))
 
 
 @dataclass(frozen=True)
@@ -47,35 +102,56 @@ class LeakyIntegrator:
         return (0.0,)
 
     def run(self, state, x):
-        (y,) = state
-        a, out = self.alpha, []
-        for v in x[:, 0].tolist():
-            y = v + a * y
-            out.append(y)
-        return np.array(out), (y,)
+        return recur(x[:, 0], (-self.alpha,), state)
 
 
 @dataclass(frozen=True)
 class Iir:
-    """y = sum b x - sum a y, a without a0; transposed form."""
+    """y = sum b x - sum a y, a without a0; direct form."""
 
     b: tuple[float, ...]
     a: tuple[float, ...] = ()
 
     def start(self):
-        return ((0.0,) * max(len(self.b) - 1, len(self.a)),)
+        return np.zeros(len(self.b) - 1), (0.0,) * len(self.a)
+
+    def run(self, state, x):
+        k = len(self.b) - 1
+        whole = np.concatenate([state[0], x[:, 0]])
+        y, past = recur(np.convolve(whole, self.b)[k : len(whole)] if len(x) else x[:, 0], self.a, state[1])
+        return y, (whole[len(whole) - k :], past)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """Kernels in a row, each on the output of the one before."""
+
+    kernels: tuple
+
+    def start(self):
+        return tuple(k.start() for k in self.kernels)
 
     def run(self, state, x):
-        n = len(state[0])
-        b = [*self.b, *[0.0] * (n + 1 - len(self.b))]
-        a = [*self.a, *[0.0] * (n - len(self.a))]
-        z, out = [*state[0], 0.0], []
-        for v in x[:, 0].tolist():
-            y = b[0] * v + z[0]
-            for k in range(n):
-                z[k] = b[k + 1] * v - a[k] * y + z[k + 1]
-            out.append(y)
-        return np.array(out), (tuple(z[:n]),)
+        new = []
+        for k, s in zip(self.kernels, state, strict=True):
+            y, s = k.run(s, x)
+            new.append(s)
+            x = np.asarray(y, np.float64).reshape(len(x), -1)
+        return x, tuple(new)
+
+
+@dataclass(frozen=True)
+class Bank:
+    """Kernels side by side, each on the same inputs; an output for each."""
+
+    kernels: tuple
+
+    def start(self):
+        return tuple(k.start() for k in self.kernels)
+
+    def run(self, state, x):
+        made = [k.run(s, x) for k, s in zip(self.kernels, state, strict=True)]
+        return np.column_stack([np.asarray(y, np.float64).reshape(len(x), -1) for y, _ in made]), tuple(s for _, s in made)
 
 
 @dataclass(frozen=True)
@@ -95,20 +171,26 @@ class Fir:
 
 @dataclass(frozen=True)
 class Lms:
-    """Input x and desired d; gives the error d - w x of each sample. normalized: the step is divided by a running power."""
+    """Input x and desired d; gives the error d - w x of each sample. normalized: the step is divided by a running power.
+
+    Starts from ``weights`` (zeros unless given); with ``adapt`` off it only filters. The first part of its state is the weights.
+    """
 
     taps: int
     mu: float = 0.01
     leak: float = 0.0
     normalized: bool = False
     adapt: bool = True
+    weights: tuple[float, ...] | None = None
 
     def __post_init__(self):
         if self.taps < 1 or not 0 < self.mu <= 1:
             raise ValueError("taps are at least 1, mu in (0, 1]")
+        if self.weights is not None and len(self.weights) != self.taps:
+            raise ValueError("a weight for each tap")
 
     def start(self):
-        return np.zeros(self.taps), np.zeros(self.taps), 0.0
+        return np.zeros(self.taps) if self.weights is None else np.array(self.weights, np.float64), np.zeros(self.taps), 0.0
 
     def run(self, state, x):
         w, h, power = state[0].copy(), state[1].copy(), state[2]
@@ -208,16 +290,11 @@ class Cooldown:
         return (10**9,)
 
     def run(self, state, x):
-        (since,) = state
-        out = []
-        for flag in x[:, 0].tolist():
-            since += 1
-            if flag and since >= self.distance:
-                since = 0
-                out.append(1.0)
-            else:
-                out.append(0.0)
-        return np.array(out), (since,)
+        last, out = -state[0] - 1, np.zeros(len(x))  # the place of the last one kept, counted from this batch
+        for i in np.flatnonzero(x[:, 0]).tolist():
+            if i - last >= self.distance:
+                out[i], last = 1.0, i
+        return out, (len(x) - 1 - last,)
 
 
 @dataclass(frozen=True)
@@ -230,9 +307,4 @@ class IntervalPll:
         return (0.0,)
 
     def run(self, state, x):
-        (y,) = state
-        out = []
-        for d in x[:, 0].tolist():
-            y = (1 - self.weight) * y + self.weight * d
-            out.append(y)
-        return np.array(out), (y,)
+        return recur(self.weight * x[:, 0], (self.weight - 1,), state)

@@ -6,41 +6,130 @@ Parallel across series only; a single recurrence is sequential by nature.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import kernels as K
+from ..functions.design import Coefficients
 from ..sources.signal import Signal
 
 
-def scan(s: Signal, kernel, inputs: Sequence[str] | None = None, outputs: Sequence[str] = ("y",)) -> DataFrame:
-    """``s.df`` with the kernel's outputs; ``inputs`` are the columns that it reads (the value, if none)."""
-    inputs, outputs, keys = list(inputs or [s.value]), list(outputs), list(s.keys)
+def doubles(b: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """Columns as one matrix; a null is NaN."""
+    each = [pc.cast(b.column(b.schema.get_field_index(c)), pa.float64(), safe=False).to_numpy(zero_copy_only=False) for c in columns]
+    return np.stack(each, 1) if each else np.empty((b.num_rows, 0))
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+
+class Cuts:
+    """Cuts the batches of a sorted partition into runs of one series. Nulls are equal, as in a grouping; key values are compared, not converted."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys, self.last = list(keys), None
+
+    def __call__(self, b: pa.RecordBatch) -> Iterator[tuple[int, int, bool]]:
+        """(from, to, whether a series starts here)."""
+        cols = [b.column(b.schema.get_field_index(k)) for k in self.keys]
+        codes = np.stack([c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in cols], 1)
+        at = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        scalar = lambda c, i: c[i].value if pa.types.is_temporal(c.type) else c[i].as_py()
+        first = tuple(scalar(c, 0) for c in cols)
+        for lo, hi in zip(at, at[1:]):
+            yield lo, hi, lo > 0 or self.last is None or not _same(self.last, first)
+        self.last = tuple(scalar(c, b.num_rows - 1) for c in cols)
+
+
+def sorted_rows(s: Signal) -> DataFrame:
+    """The one exchange and sort of sequential stages."""
+    return s.df.repartition(*s.keys).sortWithinPartitions(*s.keys, *s.order)
+
+
+#: Marks rows that hold a saved state; they come before a series' samples.
+STATE = "_state"
+
+
+def scan(s: Signal, kernel, inputs: Sequence[str] | None = None, outputs: Sequence[str] = ("y",), states: DataFrame | None = None) -> DataFrame:
+    """``s.df`` with the kernel's outputs; ``inputs`` are the columns that it reads (the value, if none).
+
+    ``states`` are rows (keys, state) of ``last_states``, from which series go on. Columns that the kernel does not read pass through as they are.
+    """
+    inputs, outputs, keys, handed = list(inputs or [s.value]), list(outputs), list(s.keys), states is not None
     schema = T.StructType([*s.df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs]])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        for f in frames:
-            if not len(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, state = Cuts(keys), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = doubles(b, inputs), np.empty((b.num_rows, len(outputs)))
+            saved = b.column(b.schema.get_field_index(STATE)) if handed else None
+            for lo, hi, new in cuts(b):
+                if new:
+                    state = kernel.start()
+                if saved is not None:
+                    while lo < hi and saved[lo].is_valid:
+                        state, lo = pickle.loads(saved[lo].as_py()), lo + 1
+                if lo < hi:
+                    got, state = kernel.run(state, x[lo:hi])
+                    y[lo:hi] = np.asarray(got).reshape(hi - lo, -1)
+            columns = [*(c for c, f in zip(b.columns, b.schema, strict=True) if f.name != STATE), *[pa.array(y[:, j]) for j in range(len(outputs))]]
+            out = pa.RecordBatch.from_arrays(columns, names=[*(n for n in b.schema.names if n != STATE), *outputs])
+            yield out if saved is None else out.filter(saved.is_null())
+
+    if states is None:
+        return sorted_rows(s).mapInArrow(run, schema)
+    before = states.select(*keys, F.col("state").alias(STATE))
+    whole = s.df.withColumn(STATE, F.lit(None).cast("binary")).unionByName(before, allowMissingColumns=True)
+    rows = whole.repartition(*keys).sortWithinPartitions(*keys, F.col(STATE).isNull(), *s.order)
+    return rows.mapInArrow(run, schema)
+
+
+def last_states(s: Signal, kernel, inputs: Sequence[str] | None = None) -> DataFrame:
+    """Rows (keys, state): what the kernel has kept at the end of each series, to save and to hand to a later ``scan``."""
+    inputs, keys = list(inputs or [s.value]), list(s.keys)
+    schema = T.StructType([*[s.df.schema[k] for k in keys], T.StructField("state", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, state, row = Cuts(keys), None, None
+
+        def ended():
+            return pa.RecordBatch.from_arrays([*row, pa.array([pickle.dumps(state)], pa.binary())], names=[*keys, "state"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            x = f[inputs].to_numpy(np.float64)
-            y = np.empty((len(f), len(outputs)))
-            names = f[keys].apply(tuple, axis=1).to_numpy() if len(keys) > 1 else f[keys[0]].to_numpy()
-            same = np.fromiter((a == b for a, b in zip(names[1:], names)), bool, len(f) - 1)
-            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(f)]
-            for a, b in zip(cuts, cuts[1:]):
-                if state is None or names[a] != last:
-                    state, last = kernel.start(), names[a]
-                got, state = kernel.run(state, x[a:b])
-                y[a:b] = got.reshape(b - a, -1)
-            for j, o in enumerate(outputs):
-                f[o] = y[:, j]
-            yield f
-
-    return s.df.repartition(*keys).sortWithinPartitions(*keys, *s.order).mapInPandas(run, schema)
+            x = doubles(b, inputs)
+            for lo, hi, new in cuts(b):
+                if new:
+                    if row is not None:
+                        yield ended()
+                    state, row = kernel.start(), [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in keys]
+                _, state = kernel.run(state, x[lo:hi])
+        if row is not None:
+            yield ended()
+
+    need = list(dict.fromkeys([*keys, *s.order, *inputs]))
+    return sorted_rows(s.with_(s.df.select(*need))).mapInArrow(run, schema)
+
+
+def weights(states: DataFrame) -> DataFrame:
+    """Adaptive filters' states as rows (keys, weights)."""
+    keys = [c for c in states.columns if c != "state"]
+
+    def run(batches):
+        for b in batches:
+            w = [pickle.loads(x.as_py())[0] for x in b.column(b.schema.get_field_index("state"))]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], pa.array(w, pa.list_(pa.float64()))], names=[*keys, "weights"])
+
+    return states.mapInArrow(run, T.StructType([*[states.schema[k] for k in keys], T.StructField("weights", T.ArrayType(T.DoubleType()))]))
 
 
 def ema(s: Signal, alpha: float, out: str = "y") -> DataFrame:
@@ -58,25 +147,34 @@ def integrate(s: Signal, alpha: float = 0.99, out: str = "y") -> DataFrame:
 LAG_TAPS = 64
 
 
-def apply_filter(s: Signal, b: Sequence[float], a: Sequence[float] = (), out: str = "y") -> DataFrame:
-    """FIR or IIR with zero history."""
+def filter_kernel(b: Sequence[float] | Coefficients, a: Sequence[float] = ()):
+    """The kernel of a filter: its sections in cascade. A pole outside the unit circle is refused."""
+    c = b if isinstance(b, Coefficients) else Coefficients(tuple(b), tuple(a))
+    if c.radius() > 1 + 1e-9:
+        raise ValueError("an unstable filter: a pole lies outside the unit circle")
+    made = tuple(K.Iir(p.b, p.a) if p.a else K.Fir(p.b) for p in c.parts)
+    return made[0] if len(made) == 1 else K.Chain(made)
+
+
+def apply_filter(s: Signal, b: Sequence[float] | Coefficients, a: Sequence[float] = (), out: str = "y") -> DataFrame:
+    """FIR or IIR with zero history; a design of higher order runs as its second-order sections."""
     from .windows import weighted_lags
 
-    if not a and len(b) <= LAG_TAPS:
+    if isinstance(b, Coefficients) and not b.a:
+        b = b.b
+    if not isinstance(b, Coefficients) and not a and len(b) <= LAG_TAPS:
         return s.df.withColumn(out, weighted_lags(s, list(b)))
-    return scan(s, K.Iir(tuple(b), tuple(a)) if a else K.Fir(tuple(b)), outputs=[out])
+    return scan(s, filter_kernel(b, a), outputs=[out])
 
 
 convolve = apply_filter
 
 
-def filter_bank(s: Signal, bands: Sequence, channel: str = "channel", out: str = "y") -> DataFrame:
-    """Every series through every band: a row per band, numbered channel * bands + band (just the band without a channel)."""
+def filter_bank(s: Signal, bands: Sequence[Coefficients], channel: str = "channel", out: str = "y") -> DataFrame:
+    """Every series through every band in one scan: a row per band, numbered channel * bands + band (just the band without a channel)."""
     n = len(bands)
-    place = (F.col(channel) * n + F.col("band")) if channel in s.df.columns else F.col("band")
-    wide = s.df
-    for i, c in enumerate(bands):
-        wide = scan(s.with_(wide), K.Iir(tuple(c.b), tuple(c.a)), outputs=[f"_b{i}"])
+    place: Column = (F.col(channel) * n + F.col("band")) if channel in s.df.columns else F.col("band")
+    wide = scan(s, K.Bank(tuple(filter_kernel(c) for c in bands)), outputs=[f"_b{i}" for i in range(n)])
     pairs = F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"_b{i}").alias(out)) for i in range(n)])
     return wide.select(*s.df.columns, F.inline(pairs)).withColumn("out_channel", place.cast("bigint"))
 
