@@ -1,4 +1,4 @@
-"""Small vectors with known answers, chunk and permutation invariance, parameter checks."""
+"""Small vectors with known answers (fixed values: short inputs and results of common examples), chunk and permutation invariance, parameter checks."""
 
 import math
 
@@ -88,6 +88,17 @@ def test_autocorrelation(spark):
     assert values(got, "r", "lag") == [55, 40, 26, 14, 5]
 
 
+@pytest.mark.parametrize("max_lag", [None, 7, 12_000])
+def test_correlations_equal_numpy(spark, max_lag):
+    x, y = np.random.default_rng(7).standard_normal((2, 15_000))
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "i": np.arange(15_000), "x": x, "y": y})).union(spark.createDataFrame([(None, 0, 2.0, 3.0)], "k bigint, i bigint, x double, y double"))
+    got = windows.autocorrelation(Signal.of(df, ["k"], ["i"], "x"), max_lag, "y").toPandas()
+    assert got[got["k"].isna()]["r"].tolist() == [6.0]
+    n = 15_000 if max_lag is None else max_lag + 1
+    want = np.fft.irfft(np.conj(np.fft.rfft(x, 40_000)) * np.fft.rfft(y, 40_000), 40_000)[:n]
+    assert np.allclose(got[got["k"] == 1].sort_values("lag")["r"], want, atol=1e-7)
+
+
 @pytest.mark.parametrize(
     "t, v, rate, options, want",
     [
@@ -123,6 +134,32 @@ def test_resample_against_stuffing(spark, up, down):
     assert values(got, "idx") == list(range(len(want)))
 
 
+def test_resample_renews_timestamps(spark):
+    t = [0, 10, 20, 30, 40, 55]
+    ms = lambda df: [(r[0] - pd.Timestamp(0)).total_seconds() * 1000 for r in df.orderBy("idx").select(F.col("ts").cast("timestamp_ntz")).collect()]
+    s = signal(spark, range(6), t)
+    assert ms(resample.resample(s, 1, 2)) == [0, 20, 40]
+    assert ms(resample.resample(s, 2, 1)) == pytest.approx([0, 5, 10, 15, 20, 25, 30, 35, 40, 47.5, 55, 62.5])
+    n = 4
+    assert ms(resample.resample(s, 2, 3)) == pytest.approx(np.interp(np.arange(n) * 1.5, range(6), t).tolist())
+    again = resample.resample(s, 2, 1)
+    assert column(Signal.of(again, ["series"], ["idx"], "y", "ts"), F.lit(1.0)) == [1.0] * 12
+
+
+def test_align_keeps_the_exact_rate(spark):
+    t = np.arange(0, 2001, 1000)
+    got = resample.align(signal(spark, t / 1000.0, t.tolist()), 44_100)
+    assert got.count() == 88_201
+    k = np.array(values(got, "t_us", "idx"))
+    assert np.abs(k - np.arange(len(k)) * 1e6 / 44_100).max() <= 0.5
+    assert np.allclose(values(got, "y", "idx"), k / 1e6)
+    assert resample.align(signal(spark, [1, 2], [0, 1]), 4_000_000).count() == 4_001
+    st = resample.alignment_statistics(signal(spark, range(4), [0, 10, 20, 50]), 100, 20, "regression").first()
+    assert (st.input_samples, st.output_samples, st.span_ms, st.gaps) == (4, 6, 50.0, 1) and st.estimated_rate == pytest.approx(1000 / 16)
+    st = resample.alignment_statistics(signal(spark, range(3), [0, 10, 20]), 100, 20, "pll").first()
+    assert st.estimated_rate == pytest.approx(1000 / 1.9)
+
+
 @pytest.mark.parametrize(
     "kernel, width",
     [(K.Ema(0.3), 1), (K.LeakyIntegrator(0.9), 1), (K.Iir((0.2, 0.3, 0.1), (-0.4, 0.2)), 1), (K.Fir((0.5, 0.3, 0.2)), 1), (K.Lms(4, 0.1), 2), (K.Lms(4, 0.1, normalized=True), 2), (K.Rls(4), 2), (K.Kalman(2), 3), (K.Cooldown(3), 1), (K.IntervalPll(), 1)],
@@ -344,8 +381,8 @@ def test_logs(spark):
         [(i, t, lv, "m", pd.Timestamp(i, unit="s").to_pydatetime()) for i, (t, lv) in enumerate([("pipeline.stage.fft.done", "info"), ("pipeline.error", "error"), ("x", "debug"), ("pipeline.error.deep", "warn")])],
         "i long, topic string, level string, message string, ts timestamp",
     ).withColumn("priority", logs.priority())
-    got = logs.Router().errors().stage("fft").alerts().debug().default().route(df)
-    assert sorted((r.i, r.route) for r in got.collect()) == [(0, "default"), (0, "fft"), (1, "alerts"), (1, "default"), (1, "errors"), (2, "default"), (3, "default")]
+    got = logs.Router().errors().stage("fft").custom("urgent", "**", low=8).debug().default().route(df)
+    assert sorted((r.i, r.route) for r in got.collect()) == [(0, "default"), (0, "stage-fft"), (1, "default"), (1, "errors"), (1, "urgent"), (2, "default"), (3, "default")]
     assert {r.i for r in df.where(logs.topic_matches("topic", ["pipeline.*"])).collect()} == {1}
     assert {r.i for r in logs.latest(df, ["topic"], ["i"], 1).collect()} == {0, 1, 2, 3}
     text = df.orderBy("i").select(logs.as_text()).first()[0]
@@ -356,6 +393,29 @@ def test_logs(spark):
     assert len(logs.traceparent().split("-")) == 4
 
 
+def test_router_presets(spark):
+    topics = ["pipeline.error", "pipeline.fft.error", "pipeline.error.x", "pipeline.performance", "pipeline.a.b.performance", "pipeline.alert", "pipeline.alerts.high", "pipeline.stage.fft.x", "pipeline.stage.fftx.x", "pipeline.debug", "pipeline.debugger", "other"]
+    df = spark.createDataFrame([(t, 5) for t in topics], "topic string, priority int")
+    met = {}
+    for r in logs.Router().errors().performance().stage("fft").alerts().debug().route(df).collect():
+        met.setdefault(r.route, []).append(r.topic)
+    assert {k: sorted(v) for k, v in met.items()} == {
+        "errors": ["pipeline.error", "pipeline.fft.error"],
+        "performance": ["pipeline.a.b.performance"],
+        "stage-fft": ["pipeline.stage.fft.x"],
+        "alerts": ["pipeline.alert", "pipeline.alerts.high"],
+        "debug": ["pipeline.debug", "pipeline.debugger"],
+    }
+
+
+def test_levels(spark):
+    df = spark.createDataFrame([(i, logs.LEVELS[i % 6]) for i in range(600)], "i int, level string")
+    assert df.where(logs.at_least("warn")).count() == 300
+    got = {r.level: r["count"] for r in logs.sampled(df, {"info": 0.0, "debug": 0.5}).groupBy("level").count().collect()}
+    assert "info" not in got and 20 < got["debug"] < 80 and got["fatal"] == 100
+    assert {r[0] for r in df.where("level = 'fatal'").select(logs.severity("syslog")).collect()} == {"0"}
+
+
 def test_spectral_expressions(spark):
     df = spark.createDataFrame([([0.0, 0.0, 4.0, 0.0], [0.0, 3.0, 0.0, 0.0])], "m array<double>, p array<double>")
     r = df.select(expr.spectral_centroid("m", 8.0), expr.spectral_rolloff("m", 8.0), expr.spectral_flux("m", "p"), expr.peak_frequency("m", 8.0, 8)).first()

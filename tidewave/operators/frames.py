@@ -1,34 +1,74 @@
-"""Frame transforms: samples are gathered into arrays of a bounded size, then worked on in Arrow batches."""
+"""Frame transforms: frames are views of sorted Arrow batches; transforms of array columns work on batches of equal lengths."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import design
 from ..sources.signal import Signal
+from .recursive import Cuts, doubles, sorted_rows
 
 SPECTRUM = "struct<real:array<double>,imag:array<double>>"
 
 
-def frames(s: Signal, size: int, hop: int | None = None) -> DataFrame:
-    """Rows (keys, frame_idx, values) of the full frames; a partial last one is left out.
+#: Values of frames that are worked on at a time.
+AT_ONCE = 1 << 21
+
+
+def framed(s: Signal, size: int, hop: int | None = None, fn=None, out: str = "values") -> DataFrame:
+    """Rows (keys, frame_idx, ``out``): ``fn`` (the identity unless given) of each full frame; a partial last one is left out.
 
-    A sample is copied to the size / hop frames that hold it; frames, not series, are what a task holds.
+    ``fn`` takes a matrix with a frame a row and gives one, or a vector of a double for each frame. Samples are sorted once by series; the last
+    size - hop of a batch are kept for the next, and frames are views of them, so no sample is copied before ``fn`` and a task holds a batch.
     """
     hop = size if hop is None else hop
     if size < 1 or hop < 1:
         raise ValueError("size and hop are positive")
-    d = s.df.select(*s.keys, (F.row_number().over(s.window()) - 1).cast("bigint").alias("_i"), s.v.alias("_v"))
-    if hop == size:
-        d = d.withColumn("frame_idx", F.floor(F.col("_i") / size).cast("bigint"))
-    else:
-        low = F.greatest(F.ceil((F.col("_i") - size + 1) / hop), F.lit(0)).cast("bigint")
-        high = F.floor(F.col("_i") / hop).cast("bigint")
-        d = d.where(high >= low).withColumn("frame_idx", F.explode(F.sequence(low, high)))
-    g = d.groupBy(*s.keys, "frame_idx").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
-    return g.where(F.size("_s") == size).select(*s.keys, "frame_idx", F.transform("_s", lambda x: x["_v"]).alias("values"))
+    keys, value = list(s.keys), s.value
+    matrix = fn is None or fn(np.zeros((1, size))).ndim == 2
+    kind = T.ArrayType(T.DoubleType()) if matrix else T.DoubleType()
+    schema = T.StructType([*[s.df.schema[k] for k in keys], T.StructField("frame_idx", T.LongType()), T.StructField(out, kind)])
+    step = max(1, AT_ONCE // size)
+
+    def run(batches):
+        cuts = Cuts(keys)
+        held, done, skip = np.zeros(0), 0, 0  # samples kept, frames made, samples still to pass over (a hop beyond the size)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = doubles(b, [value])[:, 0]
+            for lo, hi, new in cuts(b):
+                if new:
+                    held, done, skip = np.zeros(0), 0, 0
+                part = x[lo:hi][skip:]
+                skip = max(0, skip - (hi - lo))
+                whole = np.concatenate([held, part])
+                n = (len(whole) - size) // hop + 1 if len(whole) >= size else 0
+                views = np.lib.stride_tricks.sliding_window_view(whole, size)[::hop] if n else None
+                for at in range(0, n, step):
+                    got = views[at : at + step] if fn is None else fn(views[at : at + step])
+                    m = len(got)
+                    if matrix:
+                        flat = np.ascontiguousarray(got, np.float64)
+                        column = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel()))
+                    else:
+                        column = pa.array(np.asarray(got, np.float64))
+                    row = [b.column(b.schema.get_field_index(k)).take(pa.array(np.full(m, lo))) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*row, pa.array(np.arange(done + at, done + at + m)), column], names=[*keys, "frame_idx", out])
+                done += n
+                skip = max(skip, n * hop - len(whole))
+                held = whole[n * hop :]
+
+    need = list(dict.fromkeys([*keys, *s.order, value]))
+    return sorted_rows(s.with_(s.df.select(*need))).mapInArrow(run, schema)
+
+
+def frames(s: Signal, size: int, hop: int | None = None) -> DataFrame:
+    """Rows (keys, frame_idx, values) of the full frames."""
+    return framed(s, size, hop)
 
 
 def _arrays(fn, out: str):
@@ -36,9 +76,7 @@ def _arrays(fn, out: str):
 
     def run(col: pd.Series) -> pd.Series:
         done = [None] * len(col)
-        lengths = np.array([-1 if v is None else len(v) for v in col])
-        for n in np.unique(lengths[lengths >= 0]):
-            at = np.flatnonzero(lengths == n)
+        for at in _by_length(np.array([-1 if v is None else len(v) for v in col])):
             got = fn(np.stack([np.asarray(col.iloc[i], np.float64) for i in at]))
             for i, g in zip(at, got, strict=True):
                 done[i] = g
@@ -47,20 +85,32 @@ def _arrays(fn, out: str):
     return F.pandas_udf(run, out)
 
 
+def _by_length(lengths: np.ndarray):
+    """Positions of rows of each length; nulls have -1 and are left out."""
+    for n in np.unique(lengths[lengths >= 0]):
+        yield np.flatnonzero(lengths == n)
+
+
 def _complex(fn):
     def run(col: pd.Series) -> pd.DataFrame:
-        re, im = [], []
-        for v in col:
-            z = None if v is None else fn(np.asarray(v, np.float64))
-            re.append(None if z is None else z.real.copy())
-            im.append(None if z is None else z.imag.copy())
+        re, im = [None] * len(col), [None] * len(col)
+        for at in _by_length(np.array([-1 if v is None else len(v) for v in col])):
+            z = fn(np.stack([np.asarray(col.iloc[i], np.float64) for i in at]))
+            for i, r, m in zip(at, np.ascontiguousarray(z.real), np.ascontiguousarray(z.imag), strict=True):
+                re[i], im[i] = r, m
         return pd.DataFrame({"real": re, "imag": im})
 
     return F.pandas_udf(run, SPECTRUM)
 
 
-def _of_complex(col: pd.DataFrame):
-    return (np.asarray(r, np.float64) + 1j * np.asarray(i, np.float64) for r, i in zip(col["real"], col["imag"], strict=True))
+def _of_complex(col: pd.DataFrame, fn) -> list:
+    """``fn`` of the spectra, those of equal length in one NumPy call."""
+    done = [None] * len(col)
+    for at in _by_length(np.array([-1 if v is None else len(v) for v in col["real"]])):
+        part = [np.stack([np.asarray(col[c].iloc[i], np.float64) for i in at]) for c in ("real", "imag")]
+        for i, g in zip(at, fn(part[0] + 1j * part[1]), strict=True):
+            done[i] = g
+    return done
 
 
 def fft(x: str | Column) -> Column:
@@ -75,8 +125,9 @@ def rfft(x: str | Column) -> Column:
 
 def ifft(z: str | Column) -> Column:
     def run(col: pd.DataFrame) -> pd.DataFrame:
-        got = [np.fft.ifft(x) for x in _of_complex(col)]
-        return pd.DataFrame({"real": [g.real.copy() for g in got], "imag": [g.imag.copy() for g in got]})
+        got = _of_complex(col, np.fft.ifft)
+        part = lambda f: [None if g is None else np.ascontiguousarray(f(g)) for g in got]
+        return pd.DataFrame({"real": part(np.real), "imag": part(np.imag)})
 
     return F.pandas_udf(run, SPECTRUM)(z)
 
@@ -85,7 +136,7 @@ def irfft(z: str | Column, size: int) -> Column:
     """The real frame of ``size`` samples, odd sizes too."""
 
     def run(col: pd.DataFrame) -> pd.Series:
-        return pd.Series([np.fft.irfft(x, size) for x in _of_complex(col)])
+        return pd.Series(_of_complex(col, lambda z: np.fft.irfft(z, size)))
 
     return F.pandas_udf(run, "array<double>")(z)
 
@@ -105,23 +156,29 @@ def phase_of(z: str) -> Column:
     return F.zip_with(F.col(z)["real"], F.col(z)["imag"], lambda a, b: F.atan2(b, a))
 
 
-def spectrum(df: DataFrame, form: str = "power", column: str = "values", out: str = "spectrum", half: bool = True) -> DataFrame:
-    """complex, magnitude, power or phase of each frame; non-complex forms leave NumPy as one array each."""
-    if form == "complex":
-        return df.withColumn(out, (rfft if half else fft)(column))
+def _form(form: str, half: bool = True):
     kind = np.fft.rfft if half else np.fft.fft
     made = {"power": lambda x: np.abs(kind(x)) ** 2, "magnitude": lambda x: np.abs(kind(x)), "phase": lambda x: np.angle(kind(x))}
     if form not in made:
         raise ValueError("form is complex, magnitude, power or phase")
-    return df.withColumn(out, _arrays(made[form], "array<double>")(column))
+    return made[form]
+
+
+def spectrum(df: DataFrame, form: str = "power", column: str = "values", out: str = "spectrum", half: bool = True) -> DataFrame:
+    """complex, magnitude, power or phase of each frame; non-complex forms leave NumPy as one array each."""
+    if form == "complex":
+        return df.withColumn(out, (rfft if half else fft)(column))
+    return df.withColumn(out, _arrays(_form(form, half), "array<double>")(column))
 
 
 def stft(s: Signal, size: int, hop: int | None = None, window: str = "hann", form: str = "magnitude") -> DataFrame:
-    """Rows (keys, frame_idx, spectrum) of windowed frames; hop is half the size unless given."""
+    """Rows (keys, frame_idx, spectrum) of windowed frames; hop is half the size unless given. form "complex" has a struct of arrays."""
     w = design.window(window, size)
-    f = frames(s, size, max(1, size // 2) if hop is None else hop)
-    windowed = F.zip_with("values", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b)
-    return spectrum(f.withColumn("values", windowed), form).drop("values")
+    hop = max(1, size // 2) if hop is None else hop
+    if form == "complex":
+        return spectrum(framed(s, size, hop, lambda x: x * w), form).drop("values")
+    of = _form(form)
+    return framed(s, size, hop, lambda x: of(x * w), "spectrum")
 
 
 def moving_fft(s: Signal, size: int, hop: int = 1, form: str = "magnitude") -> DataFrame:
@@ -171,8 +228,7 @@ def envelope(x: str) -> Column:
 
 def hilbert_envelope(s: Signal, size: int = 512, hop: int | None = None) -> DataFrame:
     """The envelope's last sample of each frame: rows (keys, frame_idx, envelope)."""
-    f = frames(s, size, max(1, size // 2) if hop is None else hop)
-    return f.withColumn("envelope", F.element_at(envelope("values"), -1)).drop("values")
+    return framed(s, size, max(1, size // 2) if hop is None else hop, lambda x: np.abs(_analytic(x))[:, -1], "envelope")
 
 
 def wavelet(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +268,16 @@ def entropies(df: DataFrame, m: int = 2, r: float | None = None, column: str = "
     """Sample and approximate entropy of each frame (r: 0.2 deviations unless given)."""
 
     def count(x, w, tolerance, stop):
-        t = np.lib.stride_tricks.sliding_window_view(x, w)[:stop]
-        return (np.abs(t[:, None, :] - t[None, :, :]).max(2) <= tolerance).sum(1)
+        """Of each of the first ``stop`` templates of length ``w``, how many of these lie within the tolerance; some rows of the square at a time."""
+        n, step = min(stop, len(x) - w + 1), max(1, (1 << 20) // max(len(x), 1))
+        out = np.empty(max(n, 0), np.int64)
+        for at in range(0, n, step):
+            end = min(n, at + step)
+            near = np.ones((end - at, n), bool)
+            for k in range(w):
+                near &= np.abs(x[at + k : end + k, None] - x[None, k : n + k]) <= tolerance
+            out[at:end] = near.sum(1)
+        return out
 
     def run(col: pd.Series) -> pd.DataFrame:
         se, ae = [], []

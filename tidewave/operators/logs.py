@@ -14,11 +14,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 PRIORITY = {"debug": 2, "info": 5, "warn": 7, "error": 9}
 #: Names of levels at sinks.
 SEVERITY = {
-    "pagerduty": {"debug": "info", "info": "info", "warn": "warning", "error": "error"},
-    "loki": {"debug": "debug", "info": "info", "warn": "warn", "error": "error"},
-    "cloudwatch": {"debug": "DEBUG", "info": "INFO", "warn": "WARN", "error": "ERROR"},
-    "datadog": {"debug": "debug", "info": "info", "warn": "warn", "error": "error"},
+    "pagerduty": {"trace": "info", "debug": "info", "info": "info", "warn": "warning", "error": "error", "fatal": "critical"},
+    "loki": {"trace": "trace", "debug": "debug", "info": "info", "warn": "warn", "error": "error", "fatal": "fatal"},
+    "cloudwatch": {"trace": "TRACE", "debug": "DEBUG", "info": "INFO", "warn": "WARN", "error": "ERROR", "fatal": "FATAL"},
+    "datadog": {"trace": "debug", "debug": "debug", "info": "info", "warn": "warn", "error": "error", "fatal": "emergency"},
+    "syslog": {"trace": "7", "debug": "7", "info": "6", "warn": "4", "error": "3", "fatal": "0"},
 }
+#: From the least to the most severe.
+LEVELS = ("trace", "debug", "info", "warn", "error", "fatal")
+
+
+def at_least(least: str, level: str = "level") -> Column:
+    """Whether a row's level is ``least`` or more severe."""
+    return F.col(level).isin(*LEVELS[LEVELS.index(least) :])
+
+
+def sampled(logs: DataFrame, rates: dict[str, float], level: str = "level", seed: int = 0) -> DataFrame:
+    """A share of the rows of each level that has a rate; rows of other levels stay."""
+    rate = F.lit(1.0)
+    for name, share in rates.items():
+        rate = F.when(F.col(level) == name, share).otherwise(rate)
+    return logs.where(F.rand(seed) < rate)
 
 
 def topic_regex(pattern: str) -> str:
@@ -47,7 +63,7 @@ def priority(level: str = "level") -> Column:
 @dataclass(frozen=True)
 class Route:
     name: str
-    pattern: str
+    regex: str
     low: int = 0
     high: int = 10
 
@@ -58,30 +74,32 @@ class Router:
     def __init__(self, routes: tuple[Route, ...] = ()):
         self.routes = routes
 
-    def custom(self, name: str, pattern: str, low: int = 0, high: int = 10) -> Router:
-        return Router((*self.routes, Route(name, pattern, low, high)))
+    def custom(self, name: str, pattern: str | re.Pattern, low: int = 0, high: int = 10) -> Router:
+        """Topics by a pattern with stars or a regular expression, of priorities from low to high."""
+        return Router((*self.routes, Route(name, pattern.pattern if isinstance(pattern, re.Pattern) else topic_regex(pattern), low, high)))
 
+    # fixed values: the topics of the presets
     def errors(self, name: str = "errors") -> Router:
-        return self.custom(name, "pipeline.error")
+        return self.custom(name, re.compile(r"^pipeline\.(.*\.)?error$"))
 
     def performance(self, name: str = "performance") -> Router:
-        return self.custom(name, "pipeline.performance")
+        return self.custom(name, re.compile(r"^pipeline\..*\.performance$"))
 
     def stage(self, stage: str, name: str | None = None) -> Router:
-        return self.custom(name or stage, f"pipeline.stage.{stage}.**")
+        return self.custom(name or f"stage-{stage}", re.compile(rf"^pipeline\.stage\.{re.escape(stage)}\."))
 
     def alerts(self, name: str = "alerts") -> Router:
-        return self.custom(name, "**", low=8)
+        return self.custom(name, re.compile(r"^pipeline\.alert"))
 
     def debug(self, name: str = "debug") -> Router:
-        return self.custom(name, "pipeline.debug.**", high=3)
+        return self.custom(name, re.compile(r"^pipeline\.debug"))
 
     def default(self, name: str = "default") -> Router:
         return self.custom(name, "**")
 
     def route(self, logs: DataFrame, topic: str = "topic", rank: str = "priority") -> DataFrame:
         """A row for each log row and rule that it meets, in column ``route``. The rules are literals: no join."""
-        met = [F.when(F.col(topic).rlike(topic_regex(r.pattern)) & F.col(rank).between(r.low, r.high), F.lit(r.name)) for r in self.routes]
+        met = [F.when(F.col(topic).rlike(r.regex) & F.col(rank).between(r.low, r.high), F.lit(r.name)) for r in self.routes]
         return logs.select("*", F.explode(F.array_compact(F.array(*met))).alias("route"))
 
     def metrics(self, logs: DataFrame, **o) -> DataFrame:

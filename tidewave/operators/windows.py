@@ -6,7 +6,9 @@ A stage without size and duration works on the whole series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..sources.signal import Signal
 
@@ -189,17 +191,60 @@ def entropy_tracker(s: Signal, size: int, bins: int = 16, out: str = "y") -> Dat
     return df.select(*s.df.columns, F.when(F.col("_n") >= size, F.coalesce(h, F.lit(0.0))).alias(out))
 
 
-def autocorrelation(s: Signal, max_lag: int, other: str | None = None) -> DataFrame:
+def autocorrelation(s: Signal, max_lag: int | None = None, other: str | None = None) -> DataFrame:
     """r[k] = sum x[i] y[i+k] for k = 0 .. max_lag (y = x, or another column): rows (keys, lag, r).
 
-    A bounded band of leads in one window and one aggregate: no self-join.
+    Samples are sorted once; a task keeps the last ``max_lag`` values and the sums, and takes a batch by a product or a Fourier transform.
+    Without ``max_lag`` all lags are given; then a task holds a series (16 bytes a sample), as each sample meets every other.
     """
-    w = s.window()
-    y = F.col(other) if other else s.v
-    leads = s.df.select(*s.keys, s.v.alias("_x"), *[F.lead(y, k).over(w).alias(f"_{k}") for k in range(max_lag + 1)])
-    sums = leads.groupBy(*s.keys).agg(*[F.coalesce(F.sum(F.col("_x") * F.col(f"_{k}")), F.lit(0.0)).alias(f"_{k}") for k in range(max_lag + 1)], F.count(F.lit(1)).alias("_n"))
-    pairs = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"_{k}").alias("r")) for k in range(max_lag + 1)])
-    return sums.select(*s.keys, "_n", F.inline(pairs)).where(F.col("lag") < F.col("_n")).drop("_n")
+    from .recursive import Cuts, doubles, sorted_rows
+
+    keys, inputs = list(s.keys), [s.value, other or s.value]
+    schema = T.StructType([*[s.df.schema[k] for k in keys], T.StructField("lag", T.LongType()), T.StructField("r", T.DoubleType())])
+
+    def run(batches):
+        cuts, row, held, past, total, seen = Cuts(keys), None, [], None, None, 0
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal past, total
+            band = len(total) - 1
+            whole = np.concatenate([past, x])
+            if len(y) * band <= 1 << 22:
+                total += np.correlate(whole, y, "valid")[::-1]
+            else:
+                n = 1 << (len(whole) + len(y) - 1).bit_length()
+                total += np.fft.irfft(np.fft.rfft(whole, n) * np.conj(np.fft.rfft(y, n)), n)[band::-1]
+            past = whole[len(whole) - band :]
+
+        def ended():
+            nonlocal past, total
+            if max_lag is None:
+                x = np.concatenate(held)
+                past, total = np.zeros(len(x) - 1), np.zeros(len(x))
+                take(x[:, 0], x[:, 1])
+            n = min(len(total), seen)
+            return pa.RecordBatch.from_arrays([*[c.take(pa.array(np.zeros(n, np.int64))) for c in row], pa.array(np.arange(n)), pa.array(total[:n])], names=[*keys, "lag", "r"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = doubles(b, inputs)
+            for lo, hi, new in cuts(b):
+                if new:
+                    if row is not None:
+                        yield ended()
+                    row, held, seen = [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in keys], [], 0
+                    past, total = np.zeros(max_lag or 0), np.zeros((max_lag or 0) + 1)
+                seen += hi - lo
+                if max_lag is None:
+                    held.append(x[lo:hi])
+                else:
+                    take(x[lo:hi, 0], x[lo:hi, 1])
+        if row is not None:
+            yield ended()
+
+    need = list(dict.fromkeys([*keys, *s.order, *inputs]))
+    return sorted_rows(s.with_(s.df.select(*need))).mapInArrow(run, schema)
 
 
 def weighted_lags(s: Signal, taps: list[float]) -> Column:

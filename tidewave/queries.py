@@ -672,7 +672,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     e = events(spark, sf).df.select("event_id", F.concat(F.lit("events."), "event_type").alias("topic"), F.when(F.col("value") >= 90, "error").when(F.col("value") >= 70, "warn").otherwise("info").alias("level"))
-    routed = logs.Router().alerts("urgent").custom("all", "events.*").route(e.withColumn("priority", logs.priority()))
+    routed = logs.Router().custom("urgent", "**", low=8).custom("all", "events.*").route(e.withColumn("priority", logs.priority()))
     return routed.select("event_id", "route")
 
 
