@@ -1,10 +1,11 @@
 """Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
 
-A unit vector, padded to ``BITS`` dimensions, is turned by a random rotation; the signs are its code x
+A unit vector, padded to ``width`` dimensions, is turned by a random rotation; the signs are its code x
 and <x, v> (x scaled to length one) its correction factor f. For another turned unit vector q, <x, q> / f
-is an unbiased estimate of <v, q>, off by more than WIDTH * sqrt((1 - f^2) / (f^2 (BITS - 1))) with a
-chance that falls as exp(-WIDTH^2 / 2). A pair whose bound reaches the threshold is recomputed in double
-precision; no other pair is.
+is an unbiased estimate of <v, q>, off by more than WIDTH * sqrt((1 - f^2) / (f^2 (width - 1))) with a
+chance that falls as exp(-WIDTH^2 / 2). Code, factor and the turned vector itself, rounded to four bits a dimension with a dither so that the
+estimate stays unbiased, are made once and stored; only they go to the buckets. Pairs whose bound reaches the threshold are in doubt: for these the vectors
+are fetched and recomputed in double precision; for no others.
 
 Pairs are looked for among vectors whose codes agree in all bits of one of several random bit sets;
 the number of bits follows the number of rows, so a bucket holds about as many rows at any size, and
@@ -21,25 +22,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, components, materialize, sorted_groups
+from .common import Scratch, components, sized, sorted_groups
 
-BITS = 256
+#: Bits of a code at least, and bits at least that keys are drawn from: the code's and, of a short code, those of further directions.
+CODE_BITS, BITS = 128, 256
 WIDTH = 5.0
 MISS = 1e-4
 #: Rows of a bucket that are compared in one task at a time; larger buckets are cut into chunks, each pair of chunks by itself.
 CHUNK = 1024
-BUCKET = 128
+BUCKET = 512
 SEED = 20240229
 
 
-@lru_cache(maxsize=8)
-def rotation(dim: int) -> np.ndarray:
-    """BITS orthonormal directions of the padded space, cut to the ``dim`` coordinates that a vector has; a wider vector keeps its width."""
-    n = max(BITS, dim)
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, n)))
+def width(dim: int) -> int:
+    """Bits of a code: at least ``CODE_BITS``, and one for each dimension, in whole bytes."""
+    return max(CODE_BITS, -(-dim // 8) * 8)
+
+
+def key_bits(dim: int) -> int:
+    return max(BITS, width(dim))
+
+
+@lru_cache(maxsize=16)
+def rotation(dim: int, part: int = 0) -> np.ndarray:
+    """``width`` orthonormal directions of the padded space, cut to the ``dim`` coordinates that a vector has; another rotation for each ``part``."""
+    n = width(dim)
+    q, r = np.linalg.qr(np.random.default_rng(SEED + 10 * part).standard_normal((n, n)))
     return (q * np.sign(np.diag(r)))[:dim, :]
 
 
+@lru_cache(maxsize=8)
+def dither(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED + 2).random(n)
+
+
 def miss(bits: int, n: int, agree: float) -> float:
     """Chance that a pair agrees in no key: the mean over the number of bits in which its codes differ, as all keys are drawn from the same ``BITS``."""
     total = 0.0
@@ -70,10 +86,13 @@ def bit_sets(width: int, bits: int, n: int) -> np.ndarray:
     return np.stack([np.sort(rng.permutation(width)[:bits]) for _ in range(n)])
 
 
-def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (packed bits) and correction factors of unit vectors."""
-    y = x @ turn
-    return np.packbits(y >= 0, axis=1), np.abs(y).sum(1) / math.sqrt(turn.shape[1])
+def signs_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The turned vectors, and their signs with those of further directions up to ``key_bits``, packed."""
+    dim = unit.shape[1]
+    y = unit @ rotation(dim)
+    more = key_bits(dim) - width(dim)
+    bits = np.concatenate([y >= 0, *([unit @ rotation(dim, 1)[:, :more] >= 0] if more else [])], 1)
+    return y, np.packbits(bits, axis=1)
 
 
 def keys(codes: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -101,34 +120,82 @@ def clean(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, np.int64), rows
 
 
-def compare(ids: np.ndarray, x: np.ndarray, other: tuple[np.ndarray, np.ndarray] | None, table: int, sets: np.ndarray, turn: np.ndarray, threshold: float):
-    """Linked pairs (positions) of one block with itself or another, first found in this table, by estimate and recomputation."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    codes, f = encode(unit, turn)
-    if other is None:
-        jds, jx, junit, jcodes = ids, x, unit, codes
-    else:
-        jds, jx = other
-        junit = jx / np.linalg.norm(jx, axis=1, keepdims=True)
-        jcodes = encode(junit, turn)[0]
-    sign = np.where(np.unpackbits(codes, axis=1)[:, : turn.shape[1]], 1.0, -1.0) / math.sqrt(turn.shape[1])
-    estimate = (sign @ (junit @ turn).T) / f[:, None]
-    slack = WIDTH * np.sqrt(np.maximum(1 - f**2, 0) / (f**2 * (turn.shape[1] - 1)))
-    i, j = np.nonzero(estimate + slack[:, None] >= threshold)
-    if other is None:
-        i, j = i[i < j], j[i < j]
-    # in double precision; sums in the order of the components, as a plain loop has them
-    dot = np.einsum("ij,ij->i", x[i], jx[j])
-    ni, nj = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", jx, jx))
-    hit = dot / (ni[i] * nj[j]) >= threshold
-    i, j = i[hit], j[hit]
-    if table and len(i):  # pairs that an earlier table has are counted there
-        differ = np.unpackbits(codes[i] ^ jcodes[j], axis=1).astype(bool)
-        first = np.ones(len(i), bool)
-        for s in sets[:table]:
-            first &= differ[:, s].any(1)
-        i, j = i[first], j[first]
-    return jds, i, j
+class Codes:
+    """Codes, factors and rounded turned vectors of unit vectors, as arrays and as a binary each."""
+
+    def __init__(self, signs: np.ndarray, factor: np.ndarray, low: np.ndarray, step: np.ndarray, level: np.ndarray):
+        self.signs, self.factor, self.low, self.step, self.level = signs, factor, low, step, level
+
+    @classmethod
+    def of(cls, unit: np.ndarray) -> Codes:
+        y, signs = signs_of(unit)
+        f = np.abs(y).sum(1) / math.sqrt(y.shape[1])
+        low = y.min(1)
+        step = np.maximum((y.max(1) - low) / 14.5, 1e-12)  # room for the dither below one whole step
+        level = np.floor((y - low[:, None]) / step[:, None] + dither(y.shape[1])).clip(0, 15).astype(np.uint8)
+        return cls(signs, *(a.astype(np.float32) for a in (f, low, step)), level)
+
+    def pack(self) -> list[bytes]:
+        rest = np.stack([self.factor, self.low, self.step], 1).astype("<f4").view(np.uint8)
+        half = self.level[:, ::2] << 4 | self.level[:, 1::2]
+        return [r.tobytes() for r in np.concatenate([self.signs, rest, half], 1)]
+
+    @classmethod
+    def unpack(cls, rows: list[bytes], dim: int) -> Codes:
+        raw, n = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), key_bits(dim) // 8
+        f, low, step = np.ascontiguousarray(raw[:, n : n + 12]).view("<f4").T
+        half = raw[:, n + 12 :]
+        return cls(raw[:, :n], f, low, step, np.stack([half >> 4, half & 15], 2).reshape(len(rows), -1))
+
+    def take(self, at: np.ndarray) -> Codes:
+        return Codes(self.signs[at], self.factor[at], self.low[at], self.step[at], self.level[at])
+
+
+def bounds(x: Codes, q: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of all inner products of ``x`` with ``q``, and by how much they may be off."""
+    n = q.level.shape[1]
+    sign = np.unpackbits(x.signs, axis=1)[:, :n].astype(np.float32) * 2 - 1
+    # a level stands for low + step * (level - dither + dither's mean), its rounding is unbiased over the rotation
+    dot = sign @ (q.level.astype(np.float32) + np.float32(0.5) - dither(n).astype(np.float32)).T
+    estimate = (sign.sum(1)[:, None] * q.low + dot * q.step) / (math.sqrt(n) * x.factor[:, None])
+    own = np.maximum(1 - x.factor.astype(np.float64) ** 2, 0) / (n - 1)
+    return estimate, WIDTH * np.sqrt(own[:, None] + q.step.astype(np.float64) ** 2 / 12) / x.factor[:, None]
+
+
+def newly(x: np.ndarray, y: np.ndarray, table: int, sets: np.ndarray) -> np.ndarray:
+    """Whether no table before ``table`` has the pairs of packed codes, that is, all of its bits agree."""
+    out = np.ones(len(x), bool)
+    differ = x ^ y
+    for s in sets[:table]:
+        mask = np.zeros(8 * x.shape[1], np.uint8)
+        mask[s] = 1
+        out &= (differ & np.packbits(mask)).any(1)
+    return out
+
+
+def doubtful(codes: Codes, left: np.ndarray, right: np.ndarray, table: int, sets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (positions) of a block whose bound reaches the threshold, first found in this table."""
+    found = []
+    for at in range(0, len(left), 256):
+        part = left[at : at + 256]
+        estimate, slack = bounds(codes.take(part), codes.take(right))
+        i, j = np.nonzero(estimate + slack >= threshold)
+        i, j = part[i], right[j]
+        if left is right:
+            i, j = i[i < j], j[i < j]
+        ok = newly(codes.signs[i], codes.signs[j], table, sets)
+        found.append((i[ok], j[ok]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of rows reach the threshold in double precision; sums in the order of the components, as a plain loop has them."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        out[at : at + (1 << 16)] = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -150,13 +217,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def runs(batches):
-    """Blocks of a partition sorted by block: dim, t, p, q and arrays own, id, size and vectors."""
-    for key, r in sorted_groups(batches, ("dim", "t", "k", "p", "q")):
-        dim, t, _, p, q = key
-        x = r.column("v").combine_chunks()
-        x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        yield dim, t, p, q, r.column("own").to_numpy(), r.column("id").to_numpy(), r.column("size").to_numpy(), x
+BLOCK = ("dim", "t", "k", "p", "q")
+
+
+def sides(r: pa.Table, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two chunks of a block; the same array twice for a chunk with itself."""
+    own = r.column("own").to_numpy()
+    left = np.flatnonzero(own == key[3])
+    return left, left if key[3] == key[4] else np.flatnonzero(own == key[4])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -170,6 +238,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     """
     kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
+    result, scratch = Scratch(vectors.sparkSession, "embed"), Scratch(vectors.sparkSession, "embed-steps")
 
     def usable(batches):
         for b in batches:
@@ -177,65 +246,67 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             yield b.take(pa.array(at))
 
     good = rows.where("vec_id is not null and v is not null").distinct().mapInArrow(usable, f"vec_id bigint, v {kind}")
-    classes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")), "embed-classes")
-    if not classes.limit(1).count():
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    classes = result.save(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
     n = classes.count()
+    if not n:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     bits, n_tables = tables(n, threshold)
 
-    def key(batches):
-        turns: dict[int, tuple] = {}
+    def code(batches):
         for b in batches:
             vs = b.column(0).to_pylist()
             dims = np.array([len(v) for v in vs], np.int64)
             for dim in np.unique(dims):
-                if dim not in turns:
-                    turn = rotation(int(dim))
-                    turns[dim] = (turn, bit_sets(turn.shape[1], bits, n_tables))
-                turn, sets = turns[dim]
                 at = np.flatnonzero(dims == dim)
                 x = np.array([vs[i] for i in at])
-                k = keys(encode(x / np.linalg.norm(x, axis=1, keepdims=True), turn)[0], sets)
-                ids, size = b.column(1).to_numpy()[at], b.column(2).to_numpy()[at]
+                made = Codes.of(x / np.linalg.norm(x, axis=1, keepdims=True))
+                k = keys(made.signs, bit_sets(key_bits(int(dim)), bits, n_tables))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids, n_tables)),
-                        pa.array(np.full(len(at) * n_tables, dim, np.int64)),
-                        pa.array(np.tile(np.arange(n_tables, dtype=np.int64), len(at))),
-                        pa.array(k.reshape(-1)),
-                    ],
-                    names=["id", "dim", "t", "k"],
+                    [pa.array(b.column(1).to_numpy()[at]), pa.array(np.full(len(at), dim, np.int64)), pa.array(list(k), pa.list_(pa.int64())), pa.array(made.pack(), pa.binary())],
+                    names=["id", "dim", "ks", "code"],
                 )
 
-    entries = materialize(classes.select("v", "id", "size").mapInArrow(key, "id bigint, dim bigint, t bigint, k bigint"), "embed-keys")
-    chunk = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
-    counted = entries.groupBy("dim", "t", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    codes = scratch.save(classes.select("v", "id").mapInArrow(code, "id bigint, dim bigint, ks array<bigint>, code binary"))
+    entries = codes.select("id", "dim", "code", F.posexplode("ks").alias("t", "k"))
+    large = scratch.save(entries.groupBy("dim", "t", "k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CHUNK))
+    chunks = F.coalesce(F.ceil(F.col("c") / CHUNK), F.lit(1)).cast("int")
     placed = (
-        entries.join(counted, ["dim", "t", "k"])
-        .withColumn("own", F.pmod(F.xxhash64("id"), chunk("c")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), chunk("c") - 1)))
-        .select("id", "dim", "t", "k", "own", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"))
-        .join(classes.select("id", "v", "size", F.size("v").cast("bigint").alias("dim")), ["id", "dim"])
+        entries.join(sized(large, large.count()), ["dim", "t", "k"], "left")
+        .withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("dim", "t", "k", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "id", "code")
     )
 
-    def blocks(batches):
-        for dim, t, p, q, own, ids, size, x in runs(batches):
-            turn = rotation(dim)
-            sets = bit_sets(turn.shape[1], bits, n_tables)
-            a, b = own == p, own == q
-            if p == q:
-                jds, i, j = compare(ids, x, None, t, sets, turn, threshold)
-                u, v, su, sv = ids[i], jds[j], size[i], size[j]
-            elif a.any() and b.any():
-                jds, i, j = compare(ids[a], x[a], (ids[b], x[b]), t, sets, turn, threshold)
-                u, v, su, sv = ids[a][i], jds[j], size[a][i], size[b][j]
-            else:
+    def sift(batches):
+        """Of each block the vectors that are in doubt with another."""
+        for key, r in sorted_groups(batches, BLOCK):
+            left, right = sides(r, key)
+            if r.num_rows < 2 or not len(left) or not len(right):
                 continue
-            if not len(u):
+            dim, table = key[:2]
+            i, j = doubtful(Codes.unpack(r.column("code").to_pylist(), dim), left, right, table, bit_sets(key_bits(dim), bits, n_tables), threshold)
+            some = np.union1d(i, j)
+            if len(some):
+                block = [pa.array(np.full(len(some), x, np.int64)) for x in key]
+                yield pa.RecordBatch.from_arrays([*block, r.column("own").combine_chunks().take(pa.array(some)).cast(pa.int64()), r.column("id").combine_chunks().take(pa.array(some))], names=[*BLOCK, "own", "id"])
+
+    doubt = scratch.save(placed.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(sift, "dim bigint, t bigint, k bigint, p bigint, q bigint, own bigint, id bigint"))
+
+    def blocks(batches):
+        for key, r in sorted_groups(batches, BLOCK):
+            dim, table = key[:2]
+            left, right = sides(r, key)
+            x = r.column("v").combine_chunks()
+            x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            i, j = doubtful(Codes.unpack(r.column("code").to_pylist(), dim), left, right, table, bit_sets(key_bits(dim), bits, n_tables), threshold)
+            hit = linked(x, i, j, threshold)
+            i, j = i[hit], j[hit]
+            if not len(i):
                 continue
-            one, back = np.unique(np.concatenate([u, v]), return_inverse=True)
-            links = np.bincount(back, weights=np.concatenate([sv, su])).astype(np.int64)
-            tree = np.array(forest(u, v), np.int64).reshape(-1, 2)
+            ids, size = r.column("id").to_numpy(), r.column("size").to_numpy()
+            one, back = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
+            links = np.bincount(back, weights=np.concatenate([size[j], size[i]])).astype(np.int64)
+            tree = np.array(forest(ids[i], ids[j]), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([one, tree[:, 0]])),
@@ -245,15 +316,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
                 names=["id", "other", "links"],
             )
 
-    group = ["dim", "t", "k", "p", "q"]
-    found = materialize(placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(blocks, "id bigint, other bigint, links bigint"), "embed-links")
-    label = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), Scratch(vectors.sparkSession, "embed-components"))
+    full = doubt.join(codes.select("id", "dim", "code"), ["id", "dim"]).join(classes.select("id", "v", "size", F.size("v").cast("bigint").alias("dim")), ["id", "dim"])
+    found = scratch.save(full.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(blocks, "id bigint, other bigint, links bigint"))
+    label = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     sums = found.groupBy("id").agg(F.sum("links").alias("far"))
-    per_class = (
+    per_class = result.save(
         classes.join(sums, "id", "left")
         .join(label, "id", "left")
         .select(F.col("v").alias("w"), (F.coalesce("far", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
     )
+    scratch.clear()
     root = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     joined = rows.join(per_class, (F.col("v") == F.col("w")) & F.col("vec_id").isNotNull(), "left")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(True)).alias("kept"))

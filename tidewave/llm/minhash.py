@@ -29,7 +29,7 @@ FAR_BITS = 68
 #: Rounds of stars at most, before buckets are compared in blocks; they end early when a round links less than one in ``YIELD`` of its pairs.
 ROUNDS, YIELD = 5, 20
 #: Classes of a bucket that are compared in one block; of larger buckets, chunks of so many.
-CHUNK = 2048
+CHUNK = 512
 #: A block sends its candidate pairs on if they are at most so many times its classes; a denser one is compared on full sets inside a task.
 SPARSE = 4
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
