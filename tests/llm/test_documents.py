@@ -282,6 +282,24 @@ def test_packing_keeps_near_copies_apart(docs, spark):
         assert len({(text[i] or "").lower() for i in ids}) == len(ids)
 
 
+def test_packing_spreads_repeated_rows(spark):
+    df = spark.range(20_000).selectExpr("7L as doc_id", "'one two three' as text", "'s' as source").union(spark.range(100).selectExpr("id", "string(id)", "'t'"))
+    got = packing.pack(df, cluster=df.doc_id)
+    shards = {r.s: r.n for r in got.where("doc_id = 7 and n_tokens = 4").groupBy(F.shiftright("bin_id", 32).alias("s")).agg(F.count("*").alias("n")).collect()}
+    assert sum(shards.values()) == 20_000 and len(shards) == 10 and max(shards.values()) < 2300
+    assert got.groupBy("bin_id", "doc_id").count().where("count > 1").count() == 0
+    assert packing.pack(df.drop("source"), cluster=df.doc_id).count() == 20_100  # no sources, no conflicts by them
+
+
+def test_packing_fills_bins(spark):
+    """Without conflicts nearly all of the bins' room is used."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "w " * rng.randint(10, 900), f"s{i}") for i in range(3000)], "doc_id bigint, text string, source string")
+    got = packing.pack(df, capacity=1000, cluster=df.doc_id)
+    r = got.agg(F.sum("n_tokens"), F.count_distinct("bin_id")).first()
+    assert r[0] / (1000 * r[1]) > 0.97
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(1)
     items = [(rng.randint(1, 60), rng.choice("abc") if rng.random() < 0.9 else None, rng.randint(0, 30)) for _ in range(400)]

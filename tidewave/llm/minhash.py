@@ -39,7 +39,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """Hashes of words, remembered up to a number of words."""
 
-    MOST = 500_000
+    MOST = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -59,9 +59,16 @@ def _mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles: five words each, or all of fewer words; empty without words."""
-    words = (text or "").encode().lower().split()
+    return shingles_of(words_of(text))
+
+
+def shingles_of(words: list[bytes]) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -102,11 +109,13 @@ def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Of (doc_id, text, ...): the id, sizes, digest, sketch and bands; with further columns, these and n_words, the number of words, after them."""
-    n, digest, sketch, bands = [], [], [], []
+    n, digest, sketch, bands, n_words = [], [], [], [], []
     none = np.zeros(0, np.int64)
-    for text in batch.column(1).to_pylist():
-        s = shingles(text)
+    for text in batch.column(1):
+        words = words_of(text.as_py())
+        s = shingles_of(words)
         n.append(len(s))
+        n_words.append(len(words))
         b, k = bands_and_sketch(s) if len(s) else (none, np.zeros(4, np.int64))
         digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
         sketch.append(k)
@@ -114,7 +123,7 @@ def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     sketch = np.array(sketch, np.int64).reshape(-1, 4)
     more, names = batch.columns[2:], batch.schema.names[2:]
     if more:
-        more.append(pa.array([len((t or "").encode().split()) for t in batch.column(1).to_pylist()], pa.int64()))
+        more.append(pa.array(n_words, pa.int64()))
         names = [*names, "n_words"]
     return pa.RecordBatch.from_arrays(
         [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], pa.array(bands, pa.list_(pa.int64())), *more],

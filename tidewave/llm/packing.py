@@ -11,6 +11,8 @@ from .minhash import near_duplicates
 
 #: Expected items of a shard, which is packed by one task at a time.
 SHARD_ITEMS = 2048
+#: Ordinals of a repeated row that are made at a time.
+REPEATS = 4096
 
 
 class Packer:
@@ -77,10 +79,10 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items
     documents conflict if ``near_duplicates`` puts them in one component or if their texts are equal without regard to case
     (also texts without words). No bin holds two documents that conflict or more than ``per_source`` of a source. A document
     longer than ``capacity`` is cut into full pieces, each a bin of its own, and a remainder, so no token is dropped. Null and
-    empty texts take one token; null sources conflict with nothing; rows with a null id are packed, and conflict, as others;
-    repeated rows are packed each by itself, and so, as one cluster, in different bins. An empty table gives an empty result.
+    empty texts take one token; null sources conflict with nothing (a table without a source column has null ones); rows with a null id
+    are packed, and conflict, as others; repeated rows are packed each by itself, and so, as one cluster, in different bins. An empty table gives an empty result.
 
-    Documents are dealt to shards by a hash of their content and id, so a hot source or group of copies spreads over all shards;
+    Documents are dealt to shards by a hash of their content, id and, of rows that repeat, their ordinal, so a hot source, group of copies or repeated row spreads over all shards;
     bins do not cross shards, whose number follows the number of rows. Only the lengths and keys are shuffled, not the texts.
     """
     n = docs.count()
@@ -88,7 +90,7 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items
     text = F.col("text").cast("string")
     own = F.col("doc_id").cast("bigint")
     equal = F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
-    items = [own.alias("own_id"), F.col("source").cast("string").alias("source"), *([] if size is None else [size.cast("bigint").alias("size")])]
+    items = [own.alias("own_id"), (F.col("source") if "source" in docs.columns else F.lit(None)).cast("string").alias("source"), *([] if size is None else [size.cast("bigint").alias("size")])]
     if cluster is None:
         # a row without an id takes part under a hash of its text; words are counted where texts are cut into shingles
         keyed = docs.select(F.coalesce(own, F.xxhash64(text)).alias("doc_id"), text.alias("text"), *items, equal.alias("equal"))
@@ -97,7 +99,11 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items
     else:
         items = docs.select(*items, *([word_tokens(text).alias("size")] if size is None else []), cluster.cast("bigint").alias("cluster"))
         items = items.select("own_id", "source", "size", "cluster", F.col("cluster").alias("equal"))
-    items = items.withColumnRenamed("own_id", "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "equal"), F.lit(shards)).cast("bigint"))
+    # rows that repeat are counted before they are dealt, then numbered; the numbers come from pieces of a bounded size
+    items = items.groupBy("own_id", "source", "size", "cluster", "equal").agg(F.count(F.lit(1)).alias("n"))
+    items = items.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(REPEATS).cast("bigint"))))
+    items = items.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + REPEATS, F.col("n")) - 1)))
+    items = items.withColumnRenamed("own_id", "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "equal", "copy"), F.lit(shards)).cast("bigint"))
     names = ["doc_id", "piece", "first_token", "n_tokens", "bin_id", "position", "source"]
 
     def one(shard: int, rows: list[tuple]) -> pa.RecordBatch:
