@@ -1,6 +1,9 @@
 """A corpus pipeline: quality rules, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
+
+Null and empty texts fail the base rules and go. Rows that repeat a doc_id stay or go together; rows without one are never copies of
+others. All columns of the documents pass through the stages but the last, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -135,7 +135,7 @@ def _bilinear(poles: np.ndarray, zeros: np.ndarray, gain: float) -> Coefficients
     if len(p) <= 2:
         return _of(k * np.real(np.poly(z)), np.real(np.poly(p)))
     made = _sections(z, p)
-    return cascade(Coefficients(tuple(x * k / np.prod([g for _, g in made]) for x in made[0][0].b), made[0][0].a), *[c for c, _ in made[1:]])
+    return cascade(Coefficients(tuple(float(x * k / np.prod([g for _, g in made])) for x in made[0][0].b), made[0][0].a), *[c for c, _ in made[1:]])
 
 
 def _sections(zeros: np.ndarray, poles: np.ndarray) -> list[tuple[Coefficients, float]]:

@@ -136,3 +136,9 @@ def spectral_flux(magnitudes, previous) -> Column:
         F.size(m) == F.size(p),
         F.sqrt(F.aggregate(F.zip_with(m, p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)),
     ).otherwise(0.0)
+
+
+def spectral_features(magnitudes, sample_rate: float, previous=None, share: float = 0.85) -> Column:
+    """Struct of centroid, rolloff and flux (0 without a previous frame)."""
+    flux = F.lit(0.0) if previous is None else F.coalesce(spectral_flux(magnitudes, previous), F.lit(0.0))
+    return F.struct(spectral_centroid(magnitudes, sample_rate).alias("centroid"), spectral_rolloff(magnitudes, sample_rate, share).alias("rolloff"), flux.alias("flux"))

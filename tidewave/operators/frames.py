@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import design
+from ..functions import design, expr
 from ..sources.signal import Signal
 from .recursive import Cuts, doubles, sorted_rows
 
@@ -186,6 +186,12 @@ def moving_fft(s: Signal, size: int, hop: int = 1, form: str = "magnitude") -> D
     return stft(s, size, hop, "none", form)
 
 
+def spectral_tracker(df: DataFrame, keys, rate: float, order: str = "frame_idx", column: str = "spectrum", share: float = 0.85) -> DataFrame:
+    """Columns centroid, rolloff and flux of each frame, the flux to the frame before in its series."""
+    before = F.lag(column).over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("_before", before).withColumn("_f", expr.spectral_features(column, rate, "_before", share)).select(*df.columns, "_f.*")
+
+
 def mel_spectrogram(df: DataFrame, bank, column: str = "spectrum", out: str = "mel") -> DataFrame:
     """Power bins times the rows of a bank."""
     m = np.asarray(bank, np.float64)

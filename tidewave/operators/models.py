@@ -13,6 +13,8 @@ from .channels import affine
 
 #: Moments of this many channels at most are gathered on the driver: a matrix of their square.
 MOST_CHANNELS = 512
+#: Up to so many channels, moments are one aggregate in the JVM; beyond, matrix products over Arrow batches.
+FEW_CHANNELS = 16
 
 
 @dataclass(frozen=True)
@@ -23,6 +25,7 @@ class Model:
     mean: np.ndarray
     matrix: np.ndarray
     values: np.ndarray | None = None  # eigenvalues or the like, largest first
+    settled: bool = True  # whether an iterative fit met its tolerance
 
     @property
     def explained(self) -> np.ndarray:
@@ -49,11 +52,31 @@ def _total(parts: DataFrame, add, schema: str):
     return parts.repartition(16).mapInPandas(add, schema).coalesce(1).mapInPandas(add, schema).first()
 
 
+def _aggregates(columns: Sequence[str]) -> list:
+    """Count, means and the upper triangle of covariances; partial results are combined by Spark."""
+    each = [F.col(c).cast("double") for c in columns]
+    return [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(each)], *[F.covar_samp(each[i], each[j]).alias(f"c{i}_{j}") for i in range(len(each)) for j in range(i, len(each))]]
+
+
+def _of_row(row, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    cov = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    return row["n"], np.array([row[f"m{i}"] for i in range(n)]), cov
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and sample covariances by one pass; partial sums in the tasks, one small row a task to add up."""
+    """Rows, means and sample covariances by one pass over the rows without a null in any column; partial sums in the tasks, one small row a task to add up."""
     n = len(columns)
     if n > MOST_CHANNELS:
         raise ValueError("too many channels")
+    df = df.select(*columns).dropna()
+    if n <= FEW_CHANNELS:
+        row = df.agg(*_aggregates(columns)).first()
+        if not row["n"]:
+            raise ValueError("no rows")
+        return _of_row(row, n)
 
     def part(frames):
         count, mean, scatter = 0, np.zeros(n), np.zeros((n, n))
@@ -111,10 +134,12 @@ def whitening(df: DataFrame, columns: Sequence[str], epsilon: float = 1e-5) -> M
 
 
 def ica(df: DataFrame, columns: Sequence[str], iterations: int = 200, tolerance: float = 1e-4, seed: int = 7) -> Model:
-    """FastICA with tanh: all components at once, kept orthogonal; each iteration is one pass of partial sums."""
+    """FastICA with tanh: all components at once, kept orthogonal; each iteration is one pass of partial sums over the whitened channels, which are kept meanwhile.
+    ``settled`` of the model says whether the tolerance was met within the iterations."""
     white = whitening(df, columns, 1e-12)
     n = len(columns)
-    z = white.transform(df, prefix="_z").select(*[f"_z{i}" for i in range(n)])
+    z = white.transform(df.select(*columns).dropna(), prefix="_z").select(*[f"_z{i}" for i in range(n)]).persist()
+    settled = False
     schema = "n bigint, g array<double>, d array<double>"
     w = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))[0]
     for _ in range(iterations):
@@ -143,14 +168,23 @@ def ica(df: DataFrame, columns: Sequence[str], iterations: int = 200, tolerance:
         moved = np.max(np.abs(np.abs((new * w).sum(1)) - 1))
         w = new
         if moved < tolerance:
+            settled = True
             break
-    return Model(tuple(columns), white.mean, white.matrix @ w.T)
+    z.unpersist()
+    return Model(tuple(columns), white.mean, white.matrix @ w.T, settled=settled)
 
 
 def csp(df: DataFrame, columns: Sequence[str], label: str, one, two, ridge: float = 1e-6) -> Model:
     """Common spatial patterns of two classes: filters by their share of the first class's variance, largest first."""
-    _, m1, c1 = moments(df.where(F.col(label) == one), columns)
-    _, m2, c2 = moments(df.where(F.col(label) == two), columns)
+    if len(columns) <= FEW_CHANNELS:  # both classes in one pass
+        both = df.where(F.col(label).isin(one, two)).select(label, *columns).dropna().groupBy(label).agg(*_aggregates(columns)).collect()
+        of = {r[label]: _of_row(r, len(columns)) for r in both}
+        if len(of) < 2:
+            raise ValueError("a class without rows")
+        (_, m1, c1), (_, m2, c2) = of[one], of[two]
+    else:
+        _, m1, c1 = moments(df.where(F.col(label) == one), columns)
+        _, m2, c2 = moments(df.where(F.col(label) == two), columns)
     c1, c2 = c1 + ridge * np.eye(len(columns)), c2 + ridge * np.eye(len(columns))
     w, v = _eigen(c1 + c2)
     p = v / np.sqrt(w)

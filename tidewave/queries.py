@@ -306,7 +306,14 @@ def _(spark, sf):
     return windows.entropy_tracker(events(spark, sf), 20, 8).select("event_id", r6("y"))
 
 
-@query("sample_approximate_entropy")
+@query(
+    "sample_approximate_entropy",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT vec_id, e, 0.2::DOUBLE * list_aggregate(e, 'stddev_pop') AS tol FROM v),
+        p AS (SELECT vec_id, i, j, greatest(abs(e[i] - e[j]), abs(e[i + 1] - e[j + 1])) <= tol AS two, abs(e[i + 2] - e[j + 2]) <= tol AS third FROM t, range(1, 64) a(i), range(1, 64) b(j)),
+        c AS (SELECT vec_id, i, count(*) FILTER (two) AS c2, count(*) FILTER (two AND j <= 62) AS b2, count(*) FILTER (two AND third AND j <= 62) AS c3 FROM p GROUP BY 1, 2),
+        s AS (SELECT vec_id, sum(c3 - 1) FILTER (i <= 62) AS a, sum(b2 - 1) FILTER (i <= 62) AS b, avg(ln(c2 / 63.0::DOUBLE)) - avg(ln(c3 / 62.0::DOUBLE)) FILTER (i <= 62) AS ae FROM c GROUP BY 1)
+        SELECT vec_id, CASE WHEN a > 0 AND b > 0 THEN round(-ln(a::DOUBLE / b), 6) + 0.0::DOUBLE ELSE 'inf'::DOUBLE END AS sample_entropy, round(ae, 6) + 0.0::DOUBLE AS approximate_entropy FROM s""",
+)
 def _(spark, sf):
     return frames.entropies(vectors(spark, sf)).select("vec_id", r6("sample_entropy", "sample_entropy"), r6("approximate_entropy", "approximate_entropy"))
 
@@ -376,6 +383,59 @@ for _name, _c in {
     SQL[_name] = iir_sql(_c)
 
 
+def sections_sql(c: design.Coefficients, rows: str = f"{NUM}", key: str = "user_id", out: str = "event_id") -> str:
+    """Second-order sections one after the other by recursion; each keeps its last two inputs (x) and outputs (y)."""
+    first, names, keep = "value", [], []
+    steps, starts = [], []
+    for k, part in enumerate(c.parts):
+        b, a = [*part.b, *[0.0] * (3 - len(part.b))], [*part.a, *[0.0] * (2 - len(part.a))]
+        steps.append((k, b, a))
+    inner_start, inner_step = first, "n.value"
+    start_cols, step_cols = [], []
+    for k, b, a in steps:
+        start_cols += [f"{inner_start} AS x1_{k}", f"0.0::DOUBLE AS x2_{k}", f"({b[0]!r}::DOUBLE) * ({inner_start}) AS y1_{k}", f"0.0::DOUBLE AS y2_{k}"]
+        now = " + ".join(f"({v!r}::DOUBLE) * {x}" for v, x in zip([*b, *[-v for v in a]], [f"({inner_step})", f"e.x1_{k}", f"e.x2_{k}", f"e.y1_{k}", f"e.y2_{k}"]))
+        step_cols += [inner_step, f"e.x1_{k}", now, f"e.y1_{k}"]
+        inner_start, inner_step = f"({b[0]!r}::DOUBLE) * ({inner_start})", f"({now})"
+    last = len(steps) - 1
+    return f"""WITH RECURSIVE {rows}, e AS (SELECT {key}, {out}, i, {', '.join(start_cols)} FROM n WHERE i = 1
+        UNION ALL SELECT n.{key}, n.{out}, n.i, {', '.join(step_cols)} FROM e JOIN n ON n.{key} = e.{key} AND n.i = e.i + 1)
+        SELECT {key}, {out}, round(y1_{last}, 6) + 0.0::DOUBLE AS y FROM e"""
+
+
+for _name, _c in {
+    "iir_butterworth_lowpass_4": design.butterworth_lowpass(4, 0.1, 1.0),
+    "iir_butterworth_highpass_3": design.butterworth_highpass(3, 0.2, 1.0),
+    "iir_butterworth_bandpass": design.butterworth_bandpass(2, 0.05, 0.2, 1.0),
+    "iir_chebyshev_bandpass": design.chebyshev_bandpass(2, 0.05, 0.2, 1.0),
+}.items():
+    on_events(_name, lambda s, c=_c: recursive.apply_filter(s, c), "SELECT")
+    SQL[_name] = f"SELECT event_id, y FROM ({sections_sql(_c)})"
+
+for _name, _c in {
+    "fir_highpass": design.fir_highpass(15, 0.2, 1.0),
+    "fir_bandpass": design.fir_bandpass(15, 0.1, 0.3, 1.0),
+    "fir_bandstop": design.fir_bandstop(15, 0.1, 0.3, 1.0),
+    "fir_optimal": design.optimal_lowpass(15, 0.2, 1.0, 0.3),
+}.items():
+    on_events(_name, lambda s, c=_c: recursive.apply_filter(s, c), " + ".join(f"({h!r}::DOUBLE) * coalesce(lag(value, {k}) OVER ({W}), 0.0::DOUBLE)" for k, h in enumerate(_c.b)))
+
+
+#: Users as series, those divisible by five as the one null series.
+NULLS = "n AS (SELECT event_id, value, CASE WHEN user_id % 5 <> 0 THEN user_id END AS k, row_number() OVER (PARTITION BY CASE WHEN user_id % 5 <> 0 THEN user_id END ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(
+    "ema_null_keys",
+    f"""WITH RECURSIVE {NULLS}, e AS (SELECT k, event_id, i, value AS y FROM n WHERE i = 1
+        UNION ALL SELECT n.k, n.event_id, n.i, 0.3::DOUBLE * n.value + 0.7::DOUBLE * e.y FROM e JOIN n ON n.k IS NOT DISTINCT FROM e.k AND n.i = e.i + 1) SELECT event_id, round(y, 6) AS y FROM e""",
+)
+def _(spark, sf):
+    s = events(spark, sf)
+    s = s.with_(s.df.withColumn("k", F.when(F.col("user_id") % 5 != 0, F.col("user_id"))), keys=("k",))
+    return recursive.ema(s, 0.3).select("event_id", r6("y"))
+
+
 @query("convolution_valid", f"SELECT event_id, round(y, 6) + 0.0::DOUBLE AS y FROM (SELECT event_id, value * 0.5::DOUBLE + lead(value) OVER ({W}) * 0.25::DOUBLE - lead(value, 2) OVER ({W}) AS y FROM events) WHERE y IS NOT NULL")
 def _(spark, sf):
     return windows.valid_correlation(events(spark, sf), [0.5, 0.25, -1.0]).select("event_id", r6("y"))
@@ -398,12 +458,25 @@ def _pairs(spark, sf):
     return suppliers(spark, sf)
 
 
-@query("lms")
+def adaptive_sql(power: str, step: str) -> str:
+    """Four taps by recursion over each supplier's rows: weights w, history h (the newest first), running power p."""
+    n = "n AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_discount AS v, l_tax AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem)"
+    seen = ["n.v", "e.h0", "e.h1", "e.h2"]
+    err = "n.d - (" + " + ".join(f"e.w{k} * {seen[k]}" for k in range(4)) + ")"
+    zero = ", ".join([*(f"0.0::DOUBLE AS w{k}" for k in range(4)), *(f"0.0::DOUBLE AS h{k}" for k in range(4))])
+    start = f"SELECT l_suppkey, 0::BIGINT AS l_orderkey, 0::BIGINT AS l_linenumber, 0::BIGINT AS i, 0.0::DOUBLE AS y, 0.0::DOUBLE AS p, {zero} FROM (SELECT DISTINCT l_suppkey FROM n)"
+    inner = f"SELECT n.*, e.w0, e.w1, e.w2, e.w3, {seen[0]} AS g0, {seen[1]} AS g1, {seen[2]} AS g2, {seen[3]} AS g3, {err} AS err, {power} AS q FROM e JOIN n ON n.l_suppkey = e.l_suppkey AND n.i = e.i + 1"
+    after = ", ".join([*(f"w{k} + {step} * err * g{k}" for k in range(4)), "g0", "g1", "g2", "g3"])
+    return f"""WITH RECURSIVE {n}, e AS ({start} UNION ALL SELECT l_suppkey, l_orderkey, l_linenumber, i, err, q, {after} FROM ({inner}))
+        SELECT l_orderkey, l_linenumber, round(y, 6) + 0.0::DOUBLE AS y FROM e WHERE i > 0"""
+
+
+@query("lms", adaptive_sql("0.0::DOUBLE", "0.05::DOUBLE"))
 def _(spark, sf):
     return recursive.lms(_pairs(spark, sf), "l_discount", "l_tax", 4, 0.05).select("l_orderkey", "l_linenumber", r6("y"))
 
 
-@query("nlms")
+@query("nlms", adaptive_sql("0.99::DOUBLE * e.p + 0.01::DOUBLE * n.v * n.v", "(0.05::DOUBLE / (q * 4 + 1e-6::DOUBLE))"))
 def _(spark, sf):
     return recursive.lms(_pairs(spark, sf), "l_discount", "l_tax", 4, 0.05, normalized=True).select("l_orderkey", "l_linenumber", r6("y"))
 
@@ -413,7 +486,16 @@ def _(spark, sf):
     return recursive.rls(_pairs(spark, sf), "l_discount", "l_tax", 4).select("l_orderkey", "l_linenumber", r6("y"))
 
 
-@query("kalman")
+KALMAN = f"""WITH RECURSIVE {NUM}, d AS (SELECT n.*, coalesce((epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER ({W})) / 1e6::DOUBLE, 0.0::DOUBLE) AS dt FROM n),
+    z AS (SELECT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, value AS place, 0.0::DOUBLE AS v, 1.0::DOUBLE AS c00, 0.0::DOUBLE AS c01, 1.0::DOUBLE AS c11 FROM d WHERE i = 1),
+    e AS (SELECT * FROM z UNION ALL
+        SELECT user_id, event_id, i, p + m00 / (m00 + 1) * (value - p), v + m01 / (m00 + 1) * (value - p), (1 - m00 / (m00 + 1)) * m00, (1 - m00 / (m00 + 1)) * m01, m11 - m01 / (m00 + 1) * m01
+        FROM (SELECT d.user_id, d.event_id, d.i, d.value, e.place + e.v * d.dt AS p, e.v, e.c00 + d.dt * (2 * e.c01 + d.dt * e.c11) + 0.001::DOUBLE AS m00, e.c01 + d.dt * e.c11 AS m01, e.c11 + 0.001::DOUBLE AS m11
+              FROM e JOIN d ON d.user_id = e.user_id AND d.i = e.i + 1))
+    SELECT event_id, round(place, 6) + 0.0::DOUBLE AS y FROM e WHERE i > 0"""
+
+
+@query("kalman", KALMAN)
 def _(spark, sf):
     return recursive.kalman(events(spark, sf), ["value"], 1e-3, 1.0).select("event_id", r6("kf_value", "y"))
 
@@ -473,7 +555,16 @@ def _(spark, sf):
     return frames.mfcc(_mel(spark, sf), 5, lifter=22).select("vec_id", F.posexplode("mfcc").alias("k", "c")).select("vec_id", F.col("k").cast("bigint").alias("coefficient"), r6("c", "c"))
 
 
-@query("hilbert_envelope")
+#: What the last sample of a 16-sample frame's quadrature is of its samples.
+QUADRATURE = [float(x) for x in frames._analytic(np.eye(16)).imag[:, -1]]
+FRAMES16 = "f AS (SELECT user_id, i - 1 AS i, value, unnest(range(greatest(0, (i - 1 - 15 + {hop} - 1) // {hop})::BIGINT, (i - 1) // {hop} + 1)) AS frame FROM n), g AS (SELECT user_id, frame, i - frame * {hop} AS n, value AS v FROM f WHERE i - frame * {hop} BETWEEN 0 AND 15), c AS (SELECT user_id, frame FROM g GROUP BY 1, 2 HAVING count(*) = 16)"
+
+
+@query(
+    "hilbert_envelope",
+    f"""WITH {NUM}, {FRAMES16.format(hop=8)}, h AS (SELECT unnest(range(0, 16)) AS n, unnest([{', '.join(f'{x!r}::DOUBLE' for x in QUADRATURE)}]) AS h)
+        SELECT user_id, frame AS frame_idx, round(sqrt(max(v) FILTER (n = 15) ** 2 + sum(v * h) ** 2), 6) AS envelope FROM g JOIN c USING (user_id, frame) JOIN h USING (n) GROUP BY 1, 2""",
+)
 def _(spark, sf):
     return frames.hilbert_envelope(events(spark, sf), 16, 8).select("user_id", "frame_idx", r6("envelope", "envelope"))
 
@@ -486,12 +577,47 @@ def _(spark, sf):
     return frames.haar(events(spark, sf)).select("user_id", "idx", r6("approx", "approx"), r6("detail", "detail"))
 
 
-@query("dwt_db4")
+def dwt_sql(name: str, n: int = 64) -> str:
+    """Each coefficient as a weighted sum of a vector's elements, extended by reflection."""
+    low, high = frames.wavelet(name)
+    k = len(low)
+    at = np.pad(np.arange(n), (k - 2 + n % 2, k - 1), mode="symmetric")
+    half = (len(at) - k) // 2 + 1
+    rows = ", ".join(f"({b * half + j}, {at[2 * j + t] + 1}, {float(f[t])!r}::DOUBLE)" for b, f in enumerate((low, high)) for j in range(half) for t in range(k))
+    return f"SELECT vec_id, k, round(sum(embedding[i]::DOUBLE * h), 6) + 0.0::DOUBLE AS c FROM embeddings, (VALUES {rows}) w(k, i, h) GROUP BY 1, 2"
+
+
+@query("dwt_db4", dwt_sql("db4"))
 def _(spark, sf):
     return vectors(spark, sf).select("vec_id", F.posexplode(frames.dwt("values", "db4")).alias("k", "c")).select("vec_id", F.col("k").cast("bigint").alias("k"), r6("c", "c"))
 
 
-@query("moving_fft")
+@query(
+    "dct",
+    "SELECT vec_id, k, round((CASE WHEN k = 0 THEN sqrt(1 / 64.0::DOUBLE) ELSE sqrt(2 / 64.0::DOUBLE) END) * sum(embedding[n]::DOUBLE * cos(pi() * k * (2 * n - 1) / 128)), 6) + 0.0::DOUBLE AS c FROM embeddings, range(1, 65) t(n), range(0, 64) f(k) GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return vectors(spark, sf).select("vec_id", F.posexplode(frames.dct("values")).alias("k", "c")).select("vec_id", F.col("k").cast("bigint").alias("k"), r6("c", "c"))
+
+
+@query(
+    "spectral_tracker",
+    f"""WITH {MAGS}, t AS (SELECT vec_id, k, m, sum(m) OVER (PARTITION BY vec_id ORDER BY k) AS c, sum(m) OVER (PARTITION BY vec_id) AS t FROM m),
+        a AS (SELECT vec_id, round(sum(k * m) * 1000 / 128 / sum(m), 6) AS centroid, round(min(k) FILTER (c >= 0.85::DOUBLE * t) * 1000.0::DOUBLE / 128, 6) AS rolloff FROM t GROUP BY vec_id),
+        p AS (SELECT vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS q FROM embeddings)
+        SELECT vec_id, centroid, rolloff, CASE WHEN q IS NULL THEN 0.0::DOUBLE ELSE round(list_distance(list_transform(e, lambda x: abs(x)), list_transform(q, lambda x: abs(x))), 6) END AS flux FROM a JOIN p USING (vec_id)""",
+)
+def _(spark, sf):
+    d = vectors(spark, sf).select("vec_id", "label", F.transform("values", F.abs).alias("spectrum"))
+    return frames.spectral_tracker(d, ["label"], 1000.0, "vec_id").select("vec_id", *[r6(c, c) for c in ("centroid", "rolloff", "flux")])
+
+
+@query(
+    "moving_fft",
+    f"""WITH {NUM}, {FRAMES16.format(hop=1)}
+        SELECT user_id, frame AS frame_idx, k AS bin, round(sqrt(sum(v * cos(2 * pi() * k * n / 16)) ** 2 + sum(v * sin(2 * pi() * k * n / 16)) ** 2), 6) + 0.0::DOUBLE AS magnitude
+        FROM g JOIN c USING (user_id, frame), range(0, 9) t(k) GROUP BY 1, 2, 3""",
+)
 def _(spark, sf):
     d = frames.moving_fft(events(spark, sf), 16, 1).select("user_id", "frame_idx", F.posexplode("spectrum").alias("bin", "m"))
     return d.select("user_id", "frame_idx", F.col("bin").cast("bigint").alias("bin"), r6("m", "magnitude"))
@@ -542,7 +668,20 @@ for _method, _policy, _y in [
     )(lambda spark, sf, m=_method, p=_policy: resample.align(events(spark, sf), 1 / 86_400, m, p, 3 * 86_400_000.0).select("user_id", "idx", "t_us", r6("y")))
 
 
-@query("align_sinc")
+def _sinc_sql() -> str:
+    near = ["v_3", "v_2", "v_1", "v", "v1", "v2", "v3", "v4"]
+    q = ", ".join([*(f"lag(v, {k}) OVER (PARTITION BY user_id ORDER BY t) AS v_{k}" for k in (1, 2, 3)), *(f"lead(v, {k}) OVER (PARTITION BY user_id ORDER BY t) AS v{k}" for k in (1, 2, 3, 4))])
+    d = [f"(u - ({j - 3}))" for j in range(8)]
+    weight = [f"(CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE (CASE WHEN abs({d[j]}) < 1e-9 THEN 1.0::DOUBLE ELSE sin(pi() * {d[j]}) / (pi() * {d[j]}) END) * (0.54::DOUBLE + 0.46::DOUBLE * cos(pi() * {d[j]} / 4)) END)" for j, x in enumerate(near)]
+    total = " + ".join(f"{w} * coalesce({x}, 0.0::DOUBLE)" for w, x in zip(weight, near))
+    norm = " + ".join(weight)
+    head = ALIGN[: ALIGN.index("    q AS (")]
+    return f"""{head} q AS (SELECT user_id, t, v, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS t1, {q} FROM s),
+        m AS (SELECT p.user_id, p.idx, p.g, q.* EXCLUDE (user_id), (p.g - q.t)::DOUBLE / (q.t1 - q.t) AS u FROM p ASOF JOIN q ON p.user_id = q.user_id AND p.g >= q.t)
+        SELECT user_id, idx, g AS t_us, round(CASE WHEN t1 IS NULL OR g = t THEN v WHEN abs({norm}) > 1e-9 THEN ({total}) / ({norm}) ELSE {LINEAR} END, 6) + 0.0::DOUBLE AS y FROM m"""
+
+
+@query("align_sinc", _sinc_sql())
 def _(spark, sf):
     return resample.align(events(spark, sf), 1 / 86_400, "sinc").select("user_id", "idx", "t_us", r6("y"))
 
@@ -555,7 +694,23 @@ def _(spark, sf):
     return resample.clock_rate(events(spark, sf)).select("user_id", F.round(F.col("us_per_sample") / 1e6, 3).alias("seconds_per_sample"))
 
 
-@query("clock_pll")
+@query(
+    "alignment_statistics",
+    f"""WITH {NUM}, d AS (SELECT user_id, i - 1 AS i, epoch_us(ts::TIMESTAMP) AS t, epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER ({W}) AS d FROM n)
+        SELECT user_id, count(*) AS input_samples, ceil((max(t) - min(t)) / 86400000000.0::DOUBLE)::BIGINT + 1 AS output_samples, (max(t) - min(t)) / 1000.0::DOUBLE AS span_ms,
+               count(*) FILTER (d > 3 * 86400000000) AS gaps, round(1e12 / regr_slope(t::DOUBLE, i::DOUBLE) FILTER (i < 100), 6) AS estimated_rate FROM d GROUP BY user_id""",
+)
+def _(spark, sf):
+    d = resample.alignment_statistics(events(spark, sf), 1 / 86_400, 3 * 86_400_000.0, "regression")
+    return d.withColumn("estimated_rate", F.round(F.col("estimated_rate") * 1e6, 6))
+
+
+PLL = f"""WITH RECURSIVE k AS (SELECT user_id, event_id, (epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER ({W}))::DOUBLE AS d, row_number() OVER ({W}) - 1 AS i FROM events),
+    e AS (SELECT user_id, event_id, i, 0.1::DOUBLE * d AS y FROM k WHERE i = 1 UNION ALL SELECT k.user_id, k.event_id, k.i, 0.9::DOUBLE * e.y + 0.1::DOUBLE * k.d FROM e JOIN k ON k.user_id = e.user_id AND k.i = e.i + 1)
+    SELECT event_id, round(y / 1e6, 6) AS interval_s FROM e"""
+
+
+@query("clock_pll", PLL)
 def _(spark, sf):
     return resample.clock_pll(events(spark, sf)).select("event_id", r6(F.col("interval_us") / 1e6, "interval_s"))
 
@@ -571,9 +726,9 @@ def _(spark, sf):
 
 
 # timing
-@query("drift", f"WITH {DELTA} SELECT event_id, d AS delta_ms, round(abs(d - {HOURS12}), 6) AS drift_ms, abs(d - {HOURS12}) / {HOURS12} * 100 > 10 AS is_drift FROM d WHERE d IS NOT NULL")
+@query("drift", f"WITH {DELTA} SELECT event_id, d AS delta_ms, round(abs(d - {HOURS12}), 6) AS drift_ms, round(abs(d - {HOURS12}) / {HOURS12} * 100, 6) AS drift_percent, abs(d - {HOURS12}) / {HOURS12} * 100 > 10 AS is_drift FROM d WHERE d IS NOT NULL")
 def _(spark, sf):
-    return quality.drift(events(spark, sf), RATE).select("event_id", "delta_ms", r6("drift_ms", "drift_ms"), "is_drift")
+    return quality.drift(events(spark, sf), RATE).select("event_id", "delta_ms", r6("drift_ms", "drift_ms"), r6("drift_percent", "drift_percent"), "is_drift")
 
 
 @query(
@@ -597,20 +752,20 @@ def _(spark, sf):
 @query(
     "monotonicity",
     """WITH d AS (SELECT *, epoch_us(o_orderdate::TIMESTAMP) - lag(epoch_us(o_orderdate::TIMESTAMP)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS d FROM orders)
-       SELECT o_orderkey, CASE WHEN d < 0 THEN 'backwards' ELSE 'duplicate' END AS violation FROM d WHERE d <= 0""",
+       SELECT o_orderkey, d / 1000.0::DOUBLE AS delta_ms, CASE WHEN d < 0 THEN 'backwards' ELSE 'duplicate' END AS violation FROM d WHERE d <= 0""",
 )
 def _(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return quality.monotonicity(Signal.of(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "o_orderdate"), "o_orderkey").select("o_orderkey", "violation")
+    return quality.monotonicity(Signal.of(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "o_orderdate"), "o_orderkey").select("o_orderkey", "delta_ms", "violation")
 
 
 @query(
     "sample_rate",
     f"""WITH {DELTA}, g AS (SELECT user_id, avg(d) AS a, stddev_pop(d) AS s FROM d WHERE d IS NOT NULL GROUP BY user_id)
-        SELECT user_id, round(s / a, 6) AS cv, CASE WHEN s / a < 0.01 THEN 'excellent' WHEN s / a < 0.05 THEN 'good' WHEN s / a < 0.15 THEN 'fair' WHEN s / a < 0.3 THEN 'poor' ELSE 'very poor' END AS regularity FROM g""",
+        SELECT user_id, round(1e6 / a, 6) AS rate_uhz, round(s / a, 6) AS cv, CASE WHEN s / a < 0.01 THEN 'excellent' WHEN s / a < 0.05 THEN 'good' WHEN s / a < 0.15 THEN 'fair' WHEN s / a < 0.3 THEN 'poor' ELSE 'very poor' END AS regularity FROM g""",
 )
 def _(spark, sf):
-    return quality.sample_rate(events(spark, sf)).select("user_id", r6("cv", "cv"), "regularity")
+    return quality.sample_rate(events(spark, sf)).select("user_id", r6(F.col("rate") * 1e3, "rate_uhz"), r6("cv", "cv"), "regularity")
 
 
 # models
@@ -657,10 +812,57 @@ def _(spark, sf):
     return m.transform(lineitem(spark, sf)).select("l_orderkey", "l_linenumber", r6("y0", "y0"), r6("y1", "y1"))
 
 
-@query("gsc", "SELECT l_orderkey, l_linenumber, round((l_quantity + l_extendedprice + l_discount + l_tax) / 2, 6) AS beam FROM lineitem")
+#: Covariances of the outputs i <= j; of uncorrelated outputs of variance one.
+UNIT = "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM range(0, 4) a(i), range(0, 4) b(j) WHERE i <= j"
+
+
+def _covariances(d: DataFrame, scale: float = 1.0) -> DataFrame:
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    one = d.agg(*[F.covar_samp(f"y{i}", f"y{j}").alias(f"c{i}{j}") for i, j in pairs])
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), (F.round(F.col(f"c{i}{j}") * scale, 6) + 0.0).alias("c")) for i, j in pairs])
+    return one.select(F.inline(rows))
+
+
+@query("whitening_identity", UNIT)
 def _(spark, sf):
-    w, b = models.beamformer(4)
-    return models.gsc(lineitem(spark, sf), FOUR, w, b).select("l_orderkey", "l_linenumber", r6("beam", "beam"))
+    d = lineitem(spark, sf)
+    return _covariances(models.whitening(d, FOUR, 0.0).transform(d))
+
+
+@query("ica_identity", UNIT)
+def _(spark, sf):
+    d = lineitem(spark, sf)
+    return _covariances(models.ica(d, FOUR, iterations=5).transform(d))
+
+
+@query("pca_identity", f"SELECT round({' + '.join(f'var_samp({c})' for c in FOUR)}, 2) AS total, 0.0::DOUBLE AS across, true AS ordered FROM lineitem")
+def _(spark, sf):
+    """The outputs' variances add up to the inputs', fall, and are uncorrelated."""
+    d = lineitem(spark, sf)
+    y = models.pca(d, FOUR).transform(d)
+    v = [F.var_samp(f"y{i}") for i in range(4)]
+    across = F.greatest(*[F.abs(F.corr(f"y{i}", f"y{j}")) for i in range(4) for j in range(i + 1, 4)])
+    return y.agg(F.round(v[0] + v[1] + v[2] + v[3], 2).alias("total"), (F.round(across, 6) + 0.0).alias("across"), ((v[0] > v[1]) & (v[1] > v[2]) & (v[2] > v[3])).alias("ordered"))
+
+
+@query("csp_identity", UNIT)
+def _(spark, sf):
+    """Both classes' covariances of the outputs add up to one on the diagonal and nothing beside it."""
+    d = lineitem(spark, sf)
+    y = models.csp(d, FOUR, "l_returnflag", "A", "N", 0.0).transform(d)
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    of = lambda i, j, k: F.covar_samp(F.when(F.col("l_returnflag") == k, F.col(f"y{i}")), F.when(F.col("l_returnflag") == k, F.col(f"y{j}")))
+    one = y.agg(*[(of(i, j, "A") + of(i, j, "N")).alias(f"c{i}{j}") for i, j in pairs])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), (F.round(f"c{i}{j}", 6) + 0.0).alias("c")) for i, j in pairs])))
+
+
+_WEIGHTS, _BLOCK = models.beamformer(4)
+NOISE = " + ".join(f"({x!r}::DOUBLE) * {c}" for x, c in zip(_BLOCK.sum(1).tolist(), FOUR))
+
+
+@query("gsc", f"SELECT l_orderkey, l_linenumber, round({NOISE}, 6) + 0.0::DOUBLE AS noise_reference, round((l_quantity + l_extendedprice + l_discount + l_tax) / 2, 6) AS beam FROM lineitem")
+def _(spark, sf):
+    return models.gsc(lineitem(spark, sf), FOUR, _WEIGHTS, _BLOCK).select("l_orderkey", "l_linenumber", r6("noise_reference", "noise_reference"), r6("beam", "beam"))
 
 
 # logs and chains
@@ -691,6 +893,50 @@ def chain(spark, sf):
     return Pipeline().rectify().moving_average(size=5).rms(size=5).run(s).select("event_id", r6("value", "y"))
 
 
+#: Resampled by 3 / 2 with timestamps on the line between neighbours, then a time window.
+CHAIN_RESAMPLE = f"""WITH {resample_sql(3, 2, 21).removeprefix("WITH ").replace("SELECT o.user_id,", ", r AS (SELECT o.user_id,", 1).replace("round(sum(h.h * b.value), 6) + 0.0::DOUBLE AS y", "sum(h.h * b.value) AS y")}),
+    t AS (SELECT user_id, i - 1 AS i, epoch_us(ts::TIMESTAMP)::DOUBLE AS t, (lead(epoch_us(ts::TIMESTAMP)) OVER ({W}))::DOUBLE AS t1, (lag(epoch_us(ts::TIMESTAMP)) OVER ({W}))::DOUBLE AS t0 FROM n),
+    z AS (SELECT r.user_id, r.idx, r.y, round(t.t + ((r.idx * 2) % 3) / 3.0::DOUBLE * coalesce(t1 - t, t - t0, 0))::BIGINT AS us FROM r JOIN t ON t.user_id = r.user_id AND t.i = (r.idx * 2) // 3)
+    SELECT user_id, idx, round(sqrt(avg(y * y) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {WEEK_MS * 1000 - 1} PRECEDING AND CURRENT ROW)) + {OFF_TIE}::DOUBLE, 6) AS y FROM z"""
+
+
+@query("chain_resample_rms", CHAIN_RESAMPLE)
+def _(spark, sf):
+    return Pipeline().resample(up=3, down=2, order=21).rms(duration_ms=WEEK_MS).run(events(spark, sf)).select("user_id", "idx", r6(F.col("value") + OFF_TIE))
+
+
+_BANK9 = np.round(design.mel_bank(4, 9, 2000.0), 6)
+BANK9 = ", ".join(f"({b}, {k}, {float(x)!r}::DOUBLE)" for b, row in enumerate(_BANK9) for k, x in enumerate(row))
+
+
+@query(
+    "chain_stft_mel_mfcc",
+    f"""WITH {NUM}, {FRAMES16.format(hop=8)}, w AS (SELECT user_id, frame, n, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 15)) AS v FROM g JOIN c USING (user_id, frame)),
+        p AS (SELECT user_id, frame, k, sum(v * cos(2 * pi() * k * n / 16)) ** 2 + sum(v * sin(2 * pi() * k * n / 16)) ** 2 AS p FROM w, range(0, 9) t(k) GROUP BY 1, 2, 3),
+        m AS (SELECT user_id, frame, b, sum(p * x) AS e FROM p JOIN (VALUES {BANK9}) f(b, k, x) USING (k) GROUP BY 1, 2, 3)
+        SELECT user_id, frame AS frame_idx, q AS coefficient, round((CASE WHEN q = 0 THEN sqrt(1 / 4.0::DOUBLE) ELSE sqrt(2 / 4.0::DOUBLE) END) * sum(ln(e + 1e-10) * cos(pi() * q * (2 * b + 1) / 8)), 6) + 0.0::DOUBLE AS c
+        FROM m, range(0, 3) t(q) GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    d = Pipeline().stft(size=16, hop=8, window="hann", form="power").mel(bank=_BANK9).mfcc(coefficients=3).run(events(spark, sf))
+    return d.select("user_id", "frame_idx", F.posexplode("value").alias("k", "c")).select("user_id", "frame_idx", F.col("k").cast("bigint").alias("coefficient"), r6("c", "c"))
+
+
+_LOW4 = design.butterworth_lowpass(4, 0.1, 1.0)
+ALIGNED = f"{ALIGN.removeprefix('WITH ')}, n AS (SELECT user_id, idx, idx + 1 AS i, CASE WHEN t1 IS NULL OR g = t THEN v ELSE {LINEAR} END AS value FROM m)"
+
+
+@query("chain_align_filter", sections_sql(_LOW4, ALIGNED, out="idx"))
+def _(spark, sf):
+    return Pipeline().align(rate=1 / 86_400).filter(b=_LOW4).run(events(spark, sf)).select("user_id", "idx", r6("value", "y"))
+
+
+@query("chain_kernels", SQL["ema"].replace("round(y, 6) AS y FROM e", "event_id AS same, y FROM e").replace("SELECT event_id, event_id AS same, y FROM e", f", n2 AS (SELECT e.user_id, e.event_id, e.i, e.y AS value FROM e), g AS (SELECT user_id, event_id, i, value AS y FROM n2 WHERE i = 1 UNION ALL SELECT n2.user_id, n2.event_id, n2.i, n2.value + 0.9::DOUBLE * g.y FROM g JOIN n2 ON n2.user_id = g.user_id AND n2.i = g.i + 1) SELECT event_id, round(y, 6) AS y FROM g"))
+def _(spark, sf):
+    """An EMA and a leaky sum in one scan."""
+    return Pipeline().ema(alpha=0.3).integrate(alpha=0.9).run(events(spark, sf)).select("event_id", r6("value", "y"))
+
+
 # streams
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -736,6 +982,15 @@ def _(spark, sf):
     return d.select("user_id", "n", "low", "high", r6(F.col("mean") + OFF_TIE, "mean"), F.floor(F.unix_micros("start") / 86_400_000_000).cast("bigint").alias("day"))
 
 
+@query("stream_hopping", "SELECT user_id, w AS start_day, count(*) AS n, round(avg(value) + 1.23e-7::DOUBLE, 6) AS mean FROM (SELECT user_id, value, unnest([d, d - 1]) AS w FROM (SELECT *, epoch_us(ts::TIMESTAMP) // 86400000000 AS d FROM events)) GROUP BY user_id, w")
+def _(spark, sf):
+    """Windows of two days that start every day."""
+    from .streaming.stateful import tumbling
+
+    d = _stream(spark, sf, lambda d: tumbling(d, "ts", "2 days", ["user_id"], slide="1 day"), "complete")
+    return d.select("user_id", F.floor(F.unix_micros("start") / 86_400_000_000).cast("bigint").alias("start_day"), "n", r6(F.col("mean") + OFF_TIE, "mean"))
+
+
 @query(
     "session_windows",
     f"""WITH g AS (SELECT *, CASE WHEN epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER ({W}) < 172800000000 THEN 0 ELSE 1 END AS b FROM events),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 
 class RowWindow:
@@ -99,3 +100,34 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: Sequence[str], value: str =
 def list_state(spark, checkpoint: str) -> DataFrame:
     """The saved state of a query, by the state data source."""
     return spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+
+
+class Callbacks(StreamingQueryListener):
+    """For ``spark.streams.addListener``: ``on_batch`` gets each micro-batch's progress, ``on_error`` a failed query's message, ``on_log`` a
+    log row (topic, level, message) of either, if its topic matches one of ``topics``."""
+
+    def __init__(self, on_batch=None, on_error=None, on_log=None, topics: Sequence[str] = ("**",)):
+        from ..operators.logs import topic_regex
+
+        self.on_batch, self.on_error, self.on_log = on_batch, on_error, on_log
+        self.topics = [re.compile(topic_regex(t)) for t in topics]
+
+    def log(self, topic: str, level: str, message: str) -> None:
+        if self.on_log and any(t.match(topic) for t in self.topics):
+            self.on_log({"topic": topic, "level": level, "message": message})
+
+    def onQueryStarted(self, event) -> None:
+        self.log("pipeline.started", "info", str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        if self.on_batch:
+            self.on_batch(event.progress)
+        self.log("pipeline.batch.performance", "info", f"{event.progress.numInputRows} rows in {event.progress.batchDuration} ms")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception and self.on_error:
+            self.on_error(event.exception)
+        self.log("pipeline.error" if event.exception else "pipeline.ended", "error" if event.exception else "info", event.exception or str(event.id))
