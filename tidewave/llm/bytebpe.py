@@ -1,7 +1,8 @@
 """Byte-level BPE: words are found in Python, their merges are folded by Spark's higher-order functions.
 
-A task's rows go through three steps without a shuffle, in order. The first splits texts into words
-and sends each word that is new to the task, once, followed by the documents as word numbers.
+The commonest words of a bounded sample of documents are folded first, once, and broadcast with their ids and bytes: a bounded
+store that spares work and changes no result. A task's rows then go through three steps without a shuffle, in order. The first splits texts into words
+and sends each word that is new to the store and the task, once, followed by the documents as word numbers.
 The second, in the JVM, folds the ranked merges over the bytes of each new word, with the ranks in a literal
 map, and concatenates the pieces of its ids again. The third puts documents together from its words.
 """
@@ -12,21 +13,31 @@ import base64
 import hashlib
 import json
 import re
-import struct
+import string
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Scratch
+
 #: Buckets of the literal map, whose lookups go through a bucket's few entries one by one.
 BUCKETS = 16384
-#: Words that a task numbers before it starts anew.
-WORDS = 500_000
+#: Words that a task numbers, besides the shared ones, before it starts anew.
+WORDS = 400_000
+#: Bytes of texts that are cut into words at a time.
+TEXT_BYTES = 1 << 23
+#: Documents of the sample, and words of at most so many bytes that are shared: at most so many, so the broadcast is bounded.
+SAMPLE_DOCS, SHARED_WORDS, SHARED_BYTES = 20_000, 300_000, 24
 NO_RANK = 2**31 - 1
 #: Unicode's white space, as the pattern's \\s has it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: No match of the pattern crosses the ends of one of these.
+MARKS = frozenset(string.punctuation)
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{SPACE}]", c))
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -114,59 +125,199 @@ def decode_word(ids: Column, tables: Literals) -> Column:
 STREAM = "kind tinyint, word string, doc_id bigint, words binary"
 
 
-def split_batches(batches, pattern: str):
-    """New words (kind 0), documents as word numbers (kind 1); kind 2 starts the numbers anew."""
-    import regex
+class Words(dict):
+    """Chunks of text as numbers of their words (four bytes each), with the words that got a number since ``fresh`` was emptied. The ``shared`` words have the first numbers."""
+
+    def __init__(self, pattern: str, shared: dict[str, int]):
+        import regex
+
+        super().__init__()
+        self.find, self.shared = regex.compile(pattern).findall, shared
+        # letters are one word, with a space before them or not, and a mark after them is another
+        self.plain = all(self.find(x + m) == [x, *m] for x in ("ab", " ab") for m in ("", *MARKS))
+        self.fresh: list[str] = []
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.number = dict(self.shared)
+
+    def of(self, word: str) -> bytes:
+        k = self.number.get(word)
+        if k is None:
+            k = self.number[word] = len(self.number)
+            self.fresh.append(word if word.isascii() else word.encode().decode("latin-1"))
+        return k.to_bytes(4, "little")
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk[:-1] if chunk[-1] in MARKS else chunk
+        if self.plain and core and core.isascii() and (core.isalpha() or core[0] == " " and core[1:].isalpha()):
+            out = self.of(core) if core is chunk else self.of(core) + self.of(chunk[-1])
+        else:
+            out = b"".join([self.of(p) for p in self.find(chunk)])
+        self[chunk] = out
+        return out
+
+    def payload(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+
+    def payloads(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """Texts as numbers. They are cut at their spaces, where no match of ``CHUNK`` crosses if no other white space is beside one;
+        each distinct piece is looked up once. Texts with a space at an end of a piece go through ``CHUNK`` whole."""
+        pieces = pc.split_pattern(texts.fill_null(""), pattern=" ")
+        at, flat = pieces.offsets.to_numpy().astype(np.int64), pieces.flatten()
+        at -= at[0]
+        coded = flat.dictionary_encode()
+        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(code), bool)
+        first[at[:-1]] = True
+        inner = np.zeros(len(distinct), bool)
+        inner[code[~first]] = True
+        odd = np.fromiter((not p or p[0] in SPACES or p[-1] in SPACES for p in distinct), bool, len(distinct))
+        whole = np.logical_or.reduceat(odd[code], at[:-1])
+        known = [self[" " + p] if i and not o else b"" for p, i, o in zip(distinct, inner.tolist(), odd.tolist(), strict=True)]
+        # a text's first piece has no space before it
+        starts = [self.payload(text or "") if w else self[distinct[c]] for text, w, c in zip(texts.to_pylist(), whole.tolist(), code[at[:-1]].tolist(), strict=True)] if len(texts) else []
+        code[at[:-1]] = len(known) + np.arange(len(texts))
+        if whole.any():
+            code = code[first | ~np.repeat(whole, np.diff(at))]
+            at = np.concatenate([[0], np.cumsum(np.where(whole, 1, np.diff(at)))])
+        taken = pa.array([*known, *starts], pa.large_binary()).take(pa.array(code))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(code) + 1]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), taken.buffers()[2]]).cast(pa.binary())
+
+
+def slices(batches):
+    """Batches cut where their texts have some megabytes, or else after one row."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TEXT_BYTES)))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def split_batches(batches, pattern: str, shared: dict[str, int]):
+    """New words (kind 0), documents as word numbers (kind 1); kind 2 starts the numbers after the shared ones anew."""
+    words = Words(pattern, shared)
+
+    def rows(kind, n, **columns):
+        of = {"word": pa.nulls(n, pa.string()), "doc_id": pa.nulls(n, pa.int64()), "words": pa.nulls(n, pa.binary())} | columns
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *of.values()], names=["kind", *of])
+
+    for part in slices(batches):
+        if len(words.number) >= WORDS + len(shared):
+            words.restart()
+            yield rows(2, 1)
+        payloads = words.payloads(part.column(1))
+        fresh, words.fresh = words.fresh, []
+        for i in range(0, len(fresh), 10_000):
+            yield rows(0, len(fresh[i : i + 10_000]), word=pa.array(fresh[i : i + 10_000], pa.string()))
+        yield rows(1, part.num_rows, doc_id=part.column(0), words=payloads)
 
-    find = regex.compile(pattern).findall
-    number: dict[str, int] = {}
-    chunks: dict[str, bytes] = {}
 
-    def learn(chunk: str, fresh: list[str]) -> bytes:
-        out = []
-        for p in find(chunk):
-            k = number.get(p)
-            if k is None:
-                k = number[p] = len(number)
-                fresh.append(p.encode().decode("latin-1"))
-            out.append(k)
-        got = chunks[chunk] = struct.pack(f"<{len(out)}I", *out)
-        return got
+def count_batches(batches, pattern: str):
+    """Rows (word, n) of the short words of these batches, bytes as letters."""
+    from collections import Counter
+
+    words = Words(pattern, {})
+    n: Counter = Counter()
+    for part in slices(batches):
+        number, often = np.unique(np.frombuffer(words.payloads(part.column(1)).buffers()[2] or b"", "<u4"), return_counts=True)
+        n.update(dict(zip(number.tolist(), often.tolist(), strict=True)))
+    names = [w if w.isascii() else w.encode().decode("latin-1") for w in words.number]
+    rows = [(names[k], c) for k, c in n.items() if len(names[k]) <= SHARED_BYTES]
+    for i in range(0, len(rows), 10_000):
+        w, c = zip(*rows[i : i + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.int64())], names=["word", "n"])
+
+
+def shared_words(docs: DataFrame, tables: Literals, pattern: str) -> pa.Table:
+    """Word, ids and decoded of words that are common in a sample by a hash of doc_id: at most ``SHARED_WORDS``."""
+    n = docs.count()
+    share = min(1.0, SAMPLE_DOCS / max(n, 1))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text")
+    counted = chosen.mapInArrow(lambda b: count_batches(b, pattern), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = Scratch(docs.sparkSession, "bpe-words").save(counted)
+    least, total = 1 << 62, 0  # the count from which words are taken
+    for r in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if total > SHARED_WORDS:
+            break
+        least = r.n
+    return folded(counted.where(F.col("n") >= least).select("word"), tables).toArrow()
+
+
+def folded(words: DataFrame, tables: Literals) -> DataFrame:
+    """The columns of ``words`` with ids and decoded of ``word`` (null of null)."""
+    rest = [c for c in words.columns]
+    ids = F.when(F.col("word").isNotNull(), encode_word(F.col("word"), tables))
+    return words.select(*rest, F.inline_outer(F.array(F.struct(ids.alias("ids"))))).select(*rest, "ids", decode_word(F.col("ids"), tables).alias("decoded"))
+
+
+#: What this process has made of a broadcast store, by the store's name and the use; of one store only.
+MADE: dict[tuple[str, str], object] = {}
+
+
+def made_once(name: str, use: str, make):
+    if (name, use) not in MADE:
+        for key in [k for k in MADE if k[0] != name]:
+            del MADE[key]
+        MADE[name, use] = make()
+    return MADE[name, use]
+
+
+def store_numbers(table: pa.Table) -> dict[str, int]:
+    return {w if w.isascii() else w.encode("latin-1").decode(): k for k, w in enumerate(table.column("word").to_pylist())}
+
+
+def spelled(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Decimal ids, a space after each, and how many."""
+    text = pc.binary_join_element_wise(column.flatten().cast(pa.string()), "", " ")
+    at = column.offsets.to_numpy()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at - at[0]), text), "").cast(pa.binary()), np.diff(at)
+
+
+class Results:
+    """What words' numbers stand for: their ids in decimal, bytes and counts."""
+
+    def __init__(self, shared: tuple[pa.Array, pa.Array, np.ndarray]):
+        self.shared = shared
+        self.restart()
+
+    def restart(self) -> None:
+        self.parts = [self.shared]
+
+    def add(self, ids: pa.Array, decoded: pa.Array) -> None:
+        text, counts = spelled(ids)
+        self.parts.append((text, decoded, counts))
+
+    def whole(self) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        if len(self.parts) > 1:
+            a, b, c = zip(*self.parts, strict=True)
+            self.parts = [(pa.concat_arrays(a), pa.concat_arrays(b), np.concatenate(c))]
+        return self.parts[0]
 
-    def rows(kinds, words, ids, payloads):
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), pa.array(words, pa.string()), pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], names=["kind", "word", "doc_id", "words"])
 
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(ids):
-            fresh: list[str] = []
-            some, payloads, held = [], [], 0
-            if len(number) >= WORDS:
-                number.clear()
-                chunks.clear()
-                yield rows([2], [None], [None], [None])
-            while at < len(ids) and held < 1 << 22 and len(number) < WORDS:
-                found = CHUNK.findall(texts[at] or "")
-                got = list(map(chunks.get, found))
-                if None in got:
-                    got = [g if g is not None else chunks.get(c) or learn(c, fresh) for c, g in zip(found, got, strict=True)]
-                payload = b"".join(got)
-                some.append(ids[at])
-                payloads.append(payload)
-                held += len(payload)
-                at += 1
-            for i in range(0, len(fresh), 10_000):
-                part = fresh[i : i + 10_000]
-                none = [None] * len(part)
-                yield rows([0] * len(part), part, none, none)
-            yield rows([1] * len(some), [None] * len(some), some, payloads)
-
-
-def join_batches(batches):
-    ids: list[bytes] = []
-    decoded: list[bytes] = []
-    counts = np.zeros(1 << 16, np.int64)
+def store_results(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    made = Results((pa.array([], pa.binary()), pa.array([], pa.binary()), np.zeros(0, np.int64)))
+    for b in table.to_batches():
+        made.add(b.column(b.schema.get_field_index("ids")), b.column(b.schema.get_field_index("decoded")))
+    return made.whole()
+
+
+def pieces_of(values: pa.Array, words: np.ndarray, cuts: np.ndarray):
+    """Of each text, from cut to cut, its words' values one after the other."""
+    taken = values.take(pa.array(words))
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(words) + 1].astype(np.int64)[cuts]
+    data = memoryview(taken.buffers()[2] or b"")
+    for a, b in zip(ends.tolist(), ends[1:].tolist()):
+        yield data[a:b]
+
+
+def join_batches(batches, shared: tuple[pa.Array, pa.Array, np.ndarray]):
+    made = Results(shared)
     for batch in batches:
         kinds = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
@@ -175,43 +326,38 @@ def join_batches(batches):
                 continue
             part = batch.slice(lo, hi - lo)
             if kinds[lo] == 2:
-                ids, decoded = [], []
+                made.restart()
             elif kinds[lo] == 0:
-                lists = part.column(3)
-                flat, ends = lists.flatten().to_pylist(), np.diff(lists.offsets.to_numpy())
-                text = [str(i).encode() for i in flat]
-                k = 0
-                first = len(ids)
-                for n in ends.tolist():
-                    ids.append(b" ".join(text[k : k + n]))
-                    k += n
-                decoded += part.column(4).to_pylist()
-                while len(ids) > len(counts):
-                    counts = np.concatenate([counts, np.zeros_like(counts)])
-                counts[first : len(ids)] = ends
+                made.add(part.column(3), part.column(4))
             else:
-                out_n, out_ids, out_text = [], [], []
-                for payload in part.column(2).to_pylist():
-                    w = np.frombuffer(payload, "<u4")
-                    out_n.append(int(counts[w].sum()))
-                    w = w.tolist()
-                    out_ids.append(hashlib.sha256(b" ".join([ids[i] for i in w])).hexdigest())
-                    out_text.append(hashlib.sha256(b"".join([decoded[i] for i in w])).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out_n, pa.int64()), pa.array(out_ids), pa.array(out_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def words_encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The stream of (kind, doc_id, words, ids, decoded): see the module's text."""
-    tables = Literals(read_ranks(path))
-    stream = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(lambda b: split_batches(b, pattern), STREAM)
-    ids = F.when(F.col("kind") == 0, encode_word(F.col("word"), tables))
-    return stream.select("kind", "doc_id", "words", F.inline_outer(F.array(F.struct(ids.alias("ids"))))).select("kind", "doc_id", "words", "ids", decode_word(F.col("ids"), tables).alias("decoded"))
+                ids, decoded, counts = made.whole()
+                for texts in slices([part.select([1, 2])]):
+                    payload = texts.column(1).to_pylist()
+                    words = np.frombuffer(b"".join(payload), "<u4").astype(np.int64)
+                    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in payload])])
+                    total = np.concatenate([[0], np.cumsum(counts[words])])[at]
+                    out_ids = [hashlib.sha256(x[:-1]).hexdigest() for x in pieces_of(ids, words, at)]
+                    out_text = [hashlib.sha256(x).hexdigest() for x in pieces_of(decoded, words, at)]
+                    yield pa.RecordBatch.from_arrays([texts.column(0), pa.array(np.diff(total)), pa.array(out_ids, pa.string()), pa.array(out_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256 (of decimal ids, a space between), decoded_sha256 (of the decoded bytes).
 
     Null texts are empty: no ids, no bytes. Null and repeated ids keep their rows; texts are processed whole at
-    any length; an empty table gives an empty result; other columns are not read. No shuffle.
+    any length; an empty table gives an empty result; other columns are not read. Documents are not shuffled.
     """
-    return words_encoded(docs, path, pattern).mapInArrow(join_batches, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    tables = Literals(read_ranks(path))
+    store = shared_words(docs, tables, pattern)
+    name = uuid.uuid4().hex
+    known = docs.sparkSession.sparkContext.broadcast(store)
+
+    def split(batches):
+        return split_batches(batches, pattern, made_once(name, "numbers", lambda: store_numbers(known.value)))
+
+    def join(batches):
+        return join_batches(batches, made_once(name, "results", lambda: store_results(known.value)))
+
+    stream = folded(docs.mapInArrow(split, STREAM), tables).select("kind", "doc_id", "words", "ids", "decoded")
+    return stream.mapInArrow(join, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
