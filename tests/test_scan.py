@@ -54,6 +54,22 @@ def test_states_go_on(odd):
     assert e[0] == pytest.approx(2.0 - w[1][0])
 
 
+@pytest.mark.parametrize("kernel", [K.Ema(0.1), K.LeakyIntegrator(0.99), K.Iir((0.2, 0.3), (-0.9, 0.2)), recursive.filter_kernel(design.butterworth_lowpass(5, 0.05, 1.0)), K.Chain((K.Ema(0.5), K.Fir((0.5, 0.25, 0.25)), K.IntervalPll()))])
+def test_slices_of_a_series_equal_one_scan(spark, kernel):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(v)) for k in ("a", None) for i, v in enumerate(rng.standard_normal(400) + 3)]
+    s = Signal.of(spark.createDataFrame(rows, "k string, i bigint, value double").repartition(4), ["k"], ["i"])
+    whole = {(r.k, r.i): r.y for r in recursive.scan(s, kernel).collect()}
+    sliced = recursive.scan_sliced(s, kernel, (F.col("i") / 37).cast("int"))
+    assert sliced.columns == [*s.df.columns, "y"]
+    assert {(r.k, r.i): r.y for r in sliced.collect()} == pytest.approx(whole)
+
+
+def test_only_linear_kernels_are_sliced(odd):
+    with pytest.raises(ValueError, match="linear"):
+        recursive.scan_sliced(Signal.of(odd, ["k"], ["i"]), K.Lms(3), F.lit(1), ["value", "i"])
+
+
 def sequential(f, a):
     y = []
     for i, v in enumerate(f):

@@ -12,6 +12,64 @@ from functools import lru_cache
 import numpy as np
 
 
+#: Kernels whose next state is linear in the state and the input, so that parts of a series can run from rest and be put together.
+LINEAR: list[type] = []
+
+
+def linear(cls):
+    LINEAR.append(cls)
+    return cls
+
+
+def at_rest(kernel):
+    """The state in which nothing has been seen."""
+    return (0.0,) if isinstance(kernel, Ema) else tuple(map(at_rest, kernel.kernels)) if isinstance(kernel, (Chain, Bank)) else kernel.start()
+
+
+def first_state(kernel, x: np.ndarray):
+    """The state that a series starts from, given its first inputs (a row)."""
+    if isinstance(kernel, Ema):
+        return (float(x[0, 0]),)
+    if isinstance(kernel, Bank):
+        return tuple(first_state(k, x) for k in kernel.kernels)
+    if isinstance(kernel, Chain):
+        out = []
+        for k in kernel.kernels:
+            out.append(first_state(k, x))
+            x = np.asarray(k.run(out[-1], x)[0], np.float64).reshape(1, -1)
+        return tuple(out)
+    return kernel.start()
+
+
+def is_linear(kernel) -> bool:
+    return all(map(is_linear, kernel.kernels)) if isinstance(kernel, (Chain, Bank)) else type(kernel) in LINEAR
+
+
+def flat(state) -> np.ndarray:
+    """A state's numbers as a vector."""
+    return np.concatenate([flat(x) for x in state] or [np.zeros(0)]) if isinstance(state, tuple) else np.atleast_1d(np.asarray(state, np.float64))
+
+
+def like(state, v: np.ndarray):
+    """A state of the form of ``state`` with the numbers ``v``."""
+    if isinstance(state, tuple):
+        out, at = [], 0
+        for x in state:
+            n = len(flat(x))
+            out.append(like(x, v[at : at + n]))
+            at += n
+        return tuple(out)
+    return v.copy() if isinstance(state, np.ndarray) else float(v[0])
+
+
+def advance(kernel, width: int, state, n: int, ended):
+    """The state after ``n`` rows from ``state``, if from rest these rows lead to ``ended``."""
+    rest = at_rest(kernel)
+    dim = len(flat(rest))
+    step = np.array([flat(kernel.run(like(rest, e), np.zeros((1, width)))[1]) for e in np.eye(dim)]).reshape(dim, dim).T
+    return like(rest, np.linalg.matrix_power(step, n) @ flat(state) + flat(ended))
+
+
 BLOCK = 64
 
 
@@ -67,6 +125,7 @@ def recur(f: np.ndarray, a: tuple[float, ...], past: tuple[float, ...]) -> tuple
     return out, tuple(ends.tolist())
 
 
+@linear
 @dataclass(frozen=True)
 class Ema:
     """y = alpha x + (1 - alpha) y', from the first sample."""
@@ -88,6 +147,7 @@ class Ema:
         return recur(self.alpha * v, (self.alpha - 1,), (y,))
 
 
+@linear
 @dataclass(frozen=True)
 class LeakyIntegrator:
     """y = x + alpha y'."""
@@ -105,6 +165,7 @@ class LeakyIntegrator:
         return recur(x[:, 0], (-self.alpha,), state)
 
 
+@linear
 @dataclass(frozen=True)
 class Iir:
     """y = sum b x - sum a y, a without a0; direct form."""
@@ -154,6 +215,7 @@ class Bank:
         return np.column_stack([np.asarray(y, np.float64).reshape(len(x), -1) for y, _ in made]), tuple(s for _, s in made)
 
 
+@linear
 @dataclass(frozen=True)
 class Fir:
     """y = sum b[k] x[n-k] by one convolution a chunk."""
@@ -297,6 +359,7 @@ class Cooldown:
         return out, (len(x) - 1 - last,)
 
 
+@linear
 @dataclass(frozen=True)
 class IntervalPll:
     """A running estimate of the interval: an average of the intervals seen with weight 0.1, from 0."""

@@ -120,6 +120,63 @@ def last_states(s: Signal, kernel, inputs: Sequence[str] | None = None) -> DataF
     return sorted_rows(s.with_(s.df.select(*need))).mapInArrow(run, schema)
 
 
+def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None = None, outputs: Sequence[str] = ("y",)) -> DataFrame:
+    """As ``scan`` of a linear kernel, parallel within a series: ``part`` (never null, such as an hour of the timestamp) cuts it into slices and does not fall in its order.
+
+    A first pass runs every slice from rest and keeps its last state and length. States are then carried from slice to slice, a row each; a
+    second pass runs every slice from its own. So a series with a third of all rows spreads over tasks, at the price of two passes.
+    """
+    if not K.is_linear(kernel):
+        raise ValueError("only linear kernels can run in slices")
+    inputs, keys = list(inputs or [s.value]), list(s.keys)
+    t = s.with_(s.df.withColumn("_part", part), keys=(*keys, "_part"))
+    width, rest = len(inputs), K.at_rest(kernel)
+    # of each slice: its last state from rest, its length, and what a series would start from with its first row
+    kind = T.StructType([*[t.df.schema[k] for k in t.keys], T.StructField("n", T.LongType()), T.StructField("ended", T.BinaryType()), T.StructField("first", T.BinaryType())])
+
+    def ends(batches):
+        cuts, row, state, n, first = Cuts(t_keys), None, None, 0, None
+
+        def made():
+            return pa.RecordBatch.from_arrays([*row, pa.array([n]), pa.array([pickle.dumps(state)], pa.binary()), pa.array([first], pa.binary())], names=[*t_keys, "n", "ended", "first"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = doubles(b, inputs)
+            for lo, hi, new in cuts(b):
+                if new:
+                    if row is not None:
+                        yield made()
+                    state, n, row = rest, 0, [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in t_keys]
+                    first = pickle.dumps(K.first_state(kernel, x[lo : lo + 1]))
+                _, state = kernel.run(state, x[lo:hi])
+                n += hi - lo
+        if row is not None:
+            yield made()
+
+    def carry(batches):
+        cuts, state = Cuts(keys), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            starts = []
+            for lo, hi, new in cuts(b):
+                for i in range(lo, hi):
+                    if new and i == lo:
+                        state = pickle.loads(col("first")[i].as_py())
+                    starts.append(pickle.dumps(state))
+                    state = K.advance(kernel, width, state, col("n")[i].as_py(), pickle.loads(col("ended")[i].as_py()))
+            yield pa.RecordBatch.from_arrays([*[col(k) for k in t_keys], pa.array(starts, pa.binary())], names=[*t_keys, "state"])
+
+    t_keys = list(t.keys)
+    need = list(dict.fromkeys([*t_keys, *s.order, *inputs]))
+    summary = sorted_rows(t.with_(t.df.select(*need))).mapInArrow(ends, kind)
+    states = summary.repartition(*keys).sortWithinPartitions(*keys, "_part").mapInArrow(carry, T.StructType([*[t.df.schema[k] for k in t_keys], T.StructField("state", T.BinaryType())]))
+    return scan(t, kernel, inputs, outputs, states).drop("_part")
+
+
 def weights(states: DataFrame) -> DataFrame:
     """Adaptive filters' states as rows (keys, weights)."""
     keys = [c for c in states.columns if c != "state"]
