@@ -19,10 +19,9 @@ GRID = {
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more; expects at least 3 words.
+    """The 3-word windows of at least 3 words, as sorted longs: the high bits of a window's hash, then as many low bits as the position needs.
 
-    Each window is a long: the high bits of its hash, then as many low bits as the position needs.
-    Sorting the longs brings equal windows together; no pairs are formed.
+    Sorting brings equal windows together; no pairs are formed. Windows that share their high bits are then compared word for word.
     """
     bits = F.length(F.bin(F.size(words).cast("bigint"))).cast("int")
     # Column.__getitem__ with a column index reads an element
@@ -65,6 +64,7 @@ def metrics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.col("q_symbols_i").cast("bigint").alias("q_n_symbols"),
         (F.col("q_lines_i") - F.col("q_distinct_i")).cast("bigint").alias("q_n_dup_lines"),
         F.col("q_lines_i").cast("bigint").alias("q_n_lines"),
+        "q_words",
         F.inline_outer(F.array(F.struct(F.when(F.size(w) >= 3, _repeat_words(w)).alias("q_sorted")))),
     )
     bits = F.length(F.bin(F.col("q_n_words"))).cast("int")
@@ -80,14 +80,20 @@ def metrics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         ),
         lambda p: p >= 0,
     )
-    three = two.select(*[c for c in two.columns if c != "q_sorted"], F.inline_outer(F.array(F.struct(F.sort_array(hit).alias("q_hit")))))
+    at = lambda p: F.concat_ws("\n", *[F.get("q_words", (p + k).cast("int")) for k in range(3)])  # noqa: E731  no word holds a line break
+    windows = F.sort_array(F.transform(hit, lambda p: F.struct(at(p).alias("w"), p.alias("p"))))
+    keep_two = [c for c in two.columns if c not in ("q_sorted", "q_words")]
+    three = two.select(*keep_two, F.inline_outer(F.array(F.struct(windows.alias("q_same")))))
+    t = F.col("q_same")
+    same = F.filter(t, lambda x, i: (F.get(t, i - 1)["w"] == x["w"]) | (F.get(t, i + 1)["w"] == x["w"]))
+    four = three.select(*keep_two, F.inline_outer(F.array(F.struct(F.sort_array(F.transform(same, lambda x: x["p"])).alias("q_hit")))))
     h = F.col("q_hit")
     covered = F.aggregate(
         F.transform(h, lambda p, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(h, i + 1) - p, F.lit(3).cast("bigint")))),
         F.lit(0).cast("bigint"),
         lambda a, x: a + x,
     )
-    return three.select(*[c for c in three.columns if c != "q_hit"], F.coalesce(covered, F.lit(0).cast("bigint")).alias("q_n_repeat_words"))
+    return four.select(*keep_two, F.coalesce(covered, F.lit(0).cast("bigint")).alias("q_n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -104,18 +110,28 @@ def _values() -> dict[str, Column]:
     }
 
 
+#: Up to so many, factors of a binomial coefficient are taken one by one; beyond, factorials by Stirling's series, which is then right to twelve digits.
+ONE_BY_ONE = 64
+
+
+def _log_factorial(x: Column) -> Column:
+    return x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+
+
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(Bin(n, p) <= k), exact, for k < n * p; 1 where k is not below n * p.
 
-    The largest term is summed in logarithms, the rest as ratios to it, which fall geometrically.
+    The largest term is summed in logarithms, the rest as ratios to it, which fall at least geometrically: beyond 12 deviations they vanish in a double,
+    so what is summed grows with the square root of k.
     """
-    top = F.aggregate(
-        F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>")),
-        F.lit(0.0),
-        lambda a, i: a + F.log((n - i + 1) / i),
-    ) + k * math.log(p) + (n - k) * math.log1p(-p)
+    none = F.array().cast("array<bigint>")
+    few = F.aggregate(F.when((k >= 1) & (k <= ONE_BY_ONE), F.sequence(F.lit(1).cast("bigint"), k)).otherwise(none), F.lit(0.0), lambda a, i: a + F.log((n - i + 1) / i))
+    x, y, z = (c.cast("double") for c in (n, k, n - k))
+    many = _log_factorial(x) - _log_factorial(y) - _log_factorial(z)
+    top = F.when(k <= ONE_BY_ONE, few).otherwise(many) + k * math.log(p) + (n - k) * math.log1p(-p)
+    last = F.greatest(F.lit(1).cast("bigint"), k - 64 - F.ceil(12 * F.sqrt(y)).cast("bigint"))
     ratios = F.aggregate(
-        F.when(k >= 1, F.sequence(k, F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
+        F.when((k >= 1) & (k < n * p), F.sequence(k, last, F.lit(-1).cast("bigint"))).otherwise(none),
         F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
         lambda a, i: F.struct(
             (a["t"] * i * ((1 - p) / p) / (n - i + 1)).alias("t"),
@@ -204,8 +220,9 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with their own columns."""
+    """The rows of ``docs`` that ``quality`` keeps, with their own columns, whatever these are called; without ``lang`` there is one stratum."""
+    whole = docs.select(F.struct(*docs.columns).alias("q_row"), "doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
     ids = labels.select("doc_id").distinct()
-    measured = metrics(docs.join(sized(ids, ids.count()), "doc_id", "left_semi"), ["doc_id", "lang"])
+    measured = metrics(whole.drop("q_row").join(sized(ids, ids.count()), "doc_id", "left_semi"), ["doc_id", "lang"])
     cuts = certify(measured, labels, **options)
-    return judge(metrics(docs), cuts).where("q_kept").select(*docs.columns)
+    return judge(metrics(whole, ["q_row", "lang"]), cuts).where("q_kept").select("q_row.*")
