@@ -201,51 +201,55 @@ class Model:
         return out
 
 
-def train(texts: list[str | None], epochs: int = 40) -> Model:
-    """Piecewise training on documents labelled by the patterns: a softmax for words, then smoothed
-    log-odds of label pairs for transitions and for similar words."""
+def train(texts: list[str | None], epochs: int = 60) -> Model:
+    """Pseudo-likelihood training on documents labelled by the patterns: each word's label given its features and the labels of all its
+    neighbours, along the chain and by skips, so that what an edge tells is not told again by the word's own weights."""
     k = len(LABELS)
-    chains = []
-    for t in texts:
-        if t and ACTIVE.search(t):
-            chains.append(Chain(t, base_spans(t)))
-    step, skip = np.full((k, k), 0.5), np.full((k, k), 0.5) + 2.0 * np.eye(k)
-    for c in chains:
-        np.add.at(step, (c.label[c.next], c.label[c.next + 1]), 1)
-        if len(c.skip):
-            np.add.at(skip, (c.label[c.skip[:, 0]], c.label[c.skip[:, 1]]), 1)
-
-    def odds(m: np.ndarray) -> np.ndarray:
-        m = m + m.T
-        p = m / m.sum()
-        q = p.sum(1)
-        return np.clip(np.log(p / np.outer(q, q)), -4, 4)
-
-    unary = np.zeros((N_FEATURES, k))
-    if chains:
-        x, y = np.concatenate([c.feats for c in chains]), np.concatenate([c.label for c in chains])
-        if len(x):
-            seen = np.full_like(unary, 1e-6)
-            for _ in range(epochs):
-                z = unary[x].sum(1)
-                p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-                p[np.arange(len(y)), y] -= 1
-                g = np.zeros_like(unary)
-                for j in range(x.shape[1]):
-                    np.add.at(g, x[:, j], p)
-                g = g / len(y) + 1e-6 * unary
-                seen += g * g
-                unary -= 0.5 * g / np.sqrt(seen)
-    return Model(unary, odds(step), odds(skip))
+    chains = [Chain(t, base_spans(t)) for t in texts if t and ACTIVE.search(t)]
+    unary, step, skip = np.zeros((N_FEATURES, k)), np.zeros((k, k)), 2.0 * np.eye(k)
+    start = np.cumsum([0, *(len(c.words) for c in chains)])
+    if not start[-1]:
+        return Model(unary, step, skip)
+    x, y = np.concatenate([c.feats for c in chains]), np.concatenate([c.label for c in chains])
+    left = np.concatenate([c.next + o for c, o in zip(chains, start)]).astype(np.int64)
+    right = left + 1
+    one, two = np.concatenate([c.skip + o for c, o in zip(chains, start)]).astype(np.int64).T
+    prior = skip.copy()
+    seen = [np.full_like(m, 1e-6) for m in (unary, step, skip)]
+    for _ in range(epochs):
+        z = unary[x].sum(1)
+        np.add.at(z, right, step[y[left]])
+        np.add.at(z, left, step[:, y[right]].T)
+        np.add.at(z, one, skip[y[two]])
+        np.add.at(z, two, skip[y[one]])
+        p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
+        p[np.arange(len(y)), y] -= 1
+        grads = [np.zeros_like(m) for m in (unary, step, skip)]
+        for j in range(x.shape[1]):
+            np.add.at(grads[0], x[:, j], p)
+        np.add.at(grads[1], y[left], p[right])
+        np.add.at(grads[1].T, y[right], p[left])
+        np.add.at(grads[2], y[two], p[one])
+        np.add.at(grads[2], y[one], p[two])
+        grads[2] = (grads[2] + grads[2].T) / 2
+        for m, g, s, toward, pull in zip((unary, step, skip), grads, seen, (0.0, 0.0, prior), (1e-6, 1e-5, 1e-5), strict=True):
+            g = g / len(y) + pull * (m - toward)
+            s += g * g
+            m -= 0.5 * g / np.sqrt(s)
+    return Model(unary, np.clip(step, -4, 4), np.clip(skip, -4, 4))
+
+
+#: Longer texts are not taken into the sample, so that its bytes are bounded; they are searched like others.
+SAMPLE_CHARS = 100_000
 
 
 def fit(docs: DataFrame, sample_docs: int = 1000) -> Model:
     """Trained on about ``sample_docs`` (twice as many at most) of the documents with a digit or an at sign,
-    chosen by a hash of their id: a bounded sample that decides weights only; patterns and inference cover all rows."""
+    chosen and ordered by hashes of their id and text, so that equal tables give equal weights: a bounded sample that decides weights only; patterns and inference cover all rows."""
     active = docs.where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, sample_docs / max(active.count(), 1))
     chosen = F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = active.where(chosen).select("text").limit(2 * sample_docs).collect()
+    rows = active.where(chosen & (F.length("text") <= SAMPLE_CHARS)).select("text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(2 * sample_docs).collect()
     return train([r.text for r in rows])
 
 
