@@ -15,6 +15,7 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -93,11 +94,17 @@ def packed(ids: np.ndarray) -> tuple[int, bytes]:
     return (2, ids.astype("<u2").tobytes()) if not len(ids) or ids.max() < 65536 else (4, ids.astype("<u4").tobytes())
 
 
+SAMPLE_CHARS = 100_000
+#: Bytes of frames, and documents, after which a shard is closed and another begun, so that a shard's index fits a task's memory.
+SHARD_BYTES, SHARD_DOCS = 1 << 28, 2_000_000
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int, dict_bytes: int) -> bytes:
-    """From about ``sample_docs`` documents, whole, chosen by a hash of their id (a bounded sample; it only steers compression)."""
+    """From about ``sample_docs`` documents, whole, of up to ``SAMPLE_CHARS`` characters, chosen and ordered by hashes of id and text (a bounded sample; it only steers compression)."""
     share = min(1.0, sample_docs / max(docs.count(), 1))
     chosen = F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = docs.where(chosen).select("text").limit(2 * sample_docs).collect()
+    short = F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS
+    rows = docs.where(chosen & short).select("text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(2 * sample_docs).collect()
     samples = [packed(x)[1] for x in encoder(path).encode([r.text for r in rows], end_id)]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
@@ -105,22 +112,23 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int,
         return b"".join(samples)[:dict_bytes]
 
 
-def write_shard(uri: str, frames, path: str, end_id: int, dictionary: bytes, level: int) -> tuple[int, int]:
-    """Write frames of (doc_id, text), already in order, as one shard; returns documents and ids."""
+def write_shard(uri: str, coded, dictionary: bytes, level: int, most: int) -> tuple[int, int]:
+    """Write (doc_id, ids) of an iterator, already in order, as one shard of about ``most`` bytes; returns documents and ids."""
     squeeze = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
     cols: dict[str, list] = {k: [] for k, _ in INDEX}
     at, total = 0, 0
     with create(uri) as out:
         out.write(MAGIC + hashlib.sha256(dictionary).digest())
-        for ids_of, texts in frames:
-            for doc_id, ids in zip(ids_of, encoder(path).encode(texts, end_id), strict=True):
-                width, raw = packed(ids)
-                blob = squeeze.compress(raw)
-                out.write(blob)
-                for k, v in zip(cols, (doc_id is not None, doc_id or 0, at, len(blob), len(ids), width), strict=True):
-                    cols[k].append(v)
-                at += len(blob)
-                total += len(ids)
+        for doc_id, ids in coded:
+            width, raw = packed(ids)
+            blob = squeeze.compress(raw)
+            out.write(blob)
+            for k, v in zip(cols, (doc_id is not None, doc_id or 0, at, len(blob), len(ids), width), strict=True):
+                cols[k].append(v)
+            at += len(blob)
+            total += len(ids)
+            if at >= most or len(cols["doc_id"]) >= SHARD_DOCS:
+                break
         out.write(zstandard.compress(b"".join(np.array(cols[k], kind).tobytes() for k, kind in INDEX), 3))
         out.write(struct.pack("<QQ", len(cols["doc_id"]), 40 + at) + TAIL)
     return len(cols["doc_id"]), total
@@ -177,13 +185,13 @@ def read_dictionary(folder: str) -> bytes:
         return f.read()
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, sample_docs: int = 256, dict_bytes: int = 65_536, level: int = 3) -> tuple[str, DataFrame]:
+def write_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, sample_docs: int = 256, dict_bytes: int = 65_536, level: int = 3, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order.
 
     Returns the folder and a manifest (shard, uri, n_docs, n_ids, start): start counts the ids of all
     shards before. Null texts are empty (the end id alone); null ids come first; equal ids are ordered
-    by text; other columns are not read; an empty table gives an empty manifest. A shard is one
-    partition of a range partitioning on doc_id, so its size follows ``spark.sql.shuffle.partitions``.
+    by a hash of the text, then the text; other columns are not read; an empty table gives an empty manifest. Shards are parts of
+    the partitions of a range partitioning on doc_id and that hash, so a frequent id spreads; a shard is closed at ``shard_bytes``.
     """
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
@@ -195,30 +203,27 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | None =
     def run(batches):
         from pyspark import TaskContext
 
-        dictionary = read_dictionary(folder)
-        batches = iter(batches)
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
+        import pyarrow as pa
 
-        def frames():
-            yield first.column(0).to_pylist(), first.column(1).to_pylist()
-            for b in batches:
-                yield b.column(0).to_pylist(), b.column(1).to_pylist()
+        dictionary, context, made = read_dictionary(folder), TaskContext.get(), 0
 
-        import pyarrow as pa
+        def coded():
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist(), end_id), strict=True)
 
-        context = TaskContext.get()
-        k = context.partitionId()
-        uri = f"{folder}/ids-{k:06d}-{context.taskAttemptId()}.bin"
-        n, total = write_shard(uri, frames(), path, end_id, dictionary, level)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int64()), "uri": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+        docs = coded()
+        first = next(docs, None)
+        while first is not None:
+            uri = f"{folder}/ids-{context.partitionId():06d}-{made:04d}-{context.taskAttemptId()}.bin"
+            n, total = write_shard(uri, chain([first], docs), dictionary, level, shard_bytes)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId() << 20 | made], pa.int64()), "uri": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+            made += 1
+            first = next(docs, None)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = materialize(
-        docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, "shard bigint, uri string, n_docs bigint, n_ids bigint"),
-        "token-manifest",
-    )
+    key = F.col("doc_id").asc_nulls_first()
+    rows = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, key, F.col("h").asc()).sortWithinPartitions(key, "h", F.col("text").asc_nulls_first()).drop("h")
+    manifest = materialize(rows.mapInArrow(run, "shard bigint, uri string, n_docs bigint, n_ids bigint"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return folder, manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint"))
 
