@@ -28,12 +28,31 @@ class WordSplitter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.spec = spec = json.load(f)
+        self._known(spec)
         self.letters = _byte_letters()
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
 
+    @staticmethod
+    def _known(spec: dict) -> None:
+        """Refuse a file whose steps are not those that are done here."""
+        steps = [n if n["type"] != "Replace" else (n["type"], n["pattern"], n["content"]) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        model = spec["model"]
+        ok = (
+            steps == [{"type": "NFC"}, ("Replace", {"Regex": r"\s+"}, " "), {"type": "Lowercase"}]
+            and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+            and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and "Regex" in cut[0]["pattern"]
+            and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+            and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+            and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+            and not spec.get("truncation") and not spec.get("padding")
+        )
+        if not ok:
+            raise ValueError("a tokenizer file with other normalizer, pre-tokenizer or model settings than are implemented")
+
     def split(self, chunk: bytes) -> list[str]:
         """Lower-case pieces; a special string stands as itself, in which form no piece can be."""
         text = chunk.decode()
