@@ -28,6 +28,8 @@ from .common import Scratch
 BUCKETS = 16384
 #: Words that a task numbers, besides the shared ones, before it starts anew.
 WORDS = 400_000
+#: Chunks of text whose words a task remembers from one cut to the next.
+CHUNKS = 150_000
 #: Bytes of texts that are cut into words at a time.
 TEXT_BYTES = 1 << 23
 #: Documents of the sample, and words of at most so many bytes that are shared: at most so many, so the broadcast is bounded.
@@ -164,6 +166,8 @@ class Words(dict):
     def payloads(self, texts: pa.StringArray) -> pa.BinaryArray:
         """Texts as numbers. They are cut at their spaces, where no match of ``CHUNK`` crosses if no other white space is beside one;
         each distinct piece is looked up once. Texts with a space at an end of a piece go through ``CHUNK`` whole."""
+        if len(self) > CHUNKS:
+            self.clear()
         pieces = pc.split_pattern(texts.fill_null(""), pattern=" ")
         at, flat = pieces.offsets.to_numpy().astype(np.int64), pieces.flatten()
         at -= at[0]
