@@ -138,7 +138,7 @@ def test_quality_metrics(spark, docs):
 
 
 def test_binomial_tail(spark):
-    for n, k, p in [(10, 0, 0.1), (500, 2, 0.01), (5000, 20, 0.01), (100000, 900, 0.01), (10, 5, 0.1)]:
+    for n, k, p in [(10, 0, 0.1), (500, 2, 0.01), (5000, 20, 0.01), (100000, 900, 0.01), (10, 5, 0.1), (10000, 64, 0.01), (10000, 65, 0.01), (3000000, 29000, 0.01)]:
         want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)) if k < n * p else 1.0
         from pyspark.sql import functions as F
 
@@ -168,6 +168,82 @@ def test_certified_cutoffs(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def brute_cutoffs(rows, labels, risk=0.04, delta=0.05, price=10.0):
+    """Per language and rule: the certified cutoff by exact binomials in rational arithmetic, or None."""
+    from fractions import Fraction
+
+    def tail(n, k, p):
+        p = Fraction(p).limit_denominator(10**6)
+        return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) if k < n * p else 1.0
+
+    value = {
+        "symbols": lambda m, n: m[2] / max(m[0], 1),
+        "repeats": lambda m, n: m[4] / max(m[0], 1),
+        "dup_lines": lambda m, n: m[3] / max(n, 1),
+        "word_length": lambda m, n: m[1] / max(m[0], 1),
+    }
+    held = collections.defaultdict(list)
+    for i, t, lang in rows:
+        m = metrics(t)
+        if i in labels and not (m[0] < 50 or 100 * m[4] > 50 * m[0]):
+            held[lang].append((labels[i], m, len([x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)])))
+    out = {}
+    for lang, docs in held.items():
+        for rule, grid in quality.GRID.items():
+            best, low = None, 0.0
+            n_good, n_bad = sum(g for g, *_ in docs), sum(1 - g for g, *_ in docs)
+            for k, t in enumerate(grid):
+                over = [g for g, m, n in docs if value[rule](m, n) > t]
+                low = max(low, tail(n_good, sum(over), risk / 4))
+                use = (len(over) - sum(over)) / max(n_bad, 1) - price * sum(over) / max(n_good, 1)
+                if low <= delta / (len(held) * 4) and use > 0 and (best is None or use > best[0] + 1e-12):
+                    best = (use, t)
+            if best:
+                out[lang, rule] = best[1]
+    return out
+
+
+def test_cutoffs_equal_exact_binomials(spark):
+    rng = random.Random(11)
+    rows, labels = [], {}
+    for i in range(3600):
+        good, lang = i % 4 > 0, ["en", None][i // 4 % 2]
+        w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(rng.randint(52, 70))]
+        if not good or rng.random() < 0.002:
+            for _ in range(rng.randint(0, 40)):
+                w[rng.randrange(len(w))] += "#"
+        if not good and rng.random() < 0.5:
+            w = w[:12] * 2 + w[:34] + ["x" * 40] * rng.randint(0, 9)
+        rows.append((i, " ".join(w), lang))
+        labels[i] = int(good)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    lab = spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")
+    got = {(r.lang, r.rule): r.cutoff for r in quality.certify(quality.metrics(df, ["doc_id", "lang"]), lab).collect()}
+    want = brute_cutoffs(rows, labels)
+    assert want and got == pytest.approx(want)
+    kept = {r.doc_id: r.kept for r in quality.quality(df, lab).collect()}
+    for i, t, lang in rows:
+        m = metrics(t)
+        bad = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        v = {"symbols": m[2] / max(m[0], 1), "repeats": m[4] / max(m[0], 1), "dup_lines": m[3] / 1, "word_length": m[1] / max(m[0], 1)}
+        assert kept[i] == (not bad and not any(x > want.get((lang, r), math.inf) for r, x in v.items()))
+
+
+def test_windows_of_one_hash_are_compared(spark, monkeypatch):
+    """With all windows under one hash only equal words count as a repeat."""
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.lit(7).cast("bigint"))
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    made = quality.metrics(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for r in made.collect():
+        assert r.q_n_repeat_words == metrics(rows[r.doc_id][1])[4]
+
+
+def test_quality_filter_takes_any_columns(spark):
+    df = spark.createDataFrame([(1, "a " * 20, 3, "x", 5), (2, " ".join(f"w{i}" for i in range(60)), 4, "y", None)], "doc_id bigint, text string, q_kept int, q_row string, q_n_words int")
+    got = quality.quality_filter(df, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert got.columns == df.columns and [tuple(r)[2:] for r in got.collect()] == [(4, "y", None)]
+
+
 def plain_spans(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -220,6 +296,52 @@ def test_field_enforces_consistency():
     assert linked > alone
 
 
+def small_chain(n, near, skips, label=None):
+    c = pii.Chain("", [])
+    rng = np.random.default_rng(n)
+    c.words = [(3 * i, 3 * i + 2, "x1") for i in range(n)]
+    c.feats = rng.integers(0, 50, (n, 4))
+    c.label = np.zeros(n, np.int64) if label is None else np.array(label)
+    c.next, c.skip = np.array(near, np.int64), np.array(skips, np.int64).reshape(-1, 2)
+    return c
+
+
+@pytest.mark.parametrize(
+    "n, near, skips, label, close",
+    [(1, [], [], None, 1e-9), (4, [0, 1, 2], [], None, 1e-3), (5, [0, 1], [(2, 4), (0, 3)], [0, 2, 0, 0, 0], 1e-3), (4, [0, 1, 2], [(0, 2), (1, 3)], None, 0.08)],
+)
+def test_beliefs_against_enumeration(n, near, skips, label, close):
+    """Exact on trees, near on loops."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    k = len(pii.LABELS)
+    skip = rng.normal(0, 0.5, (k, k))
+    m = pii.Model(rng.normal(0, 0.5, (pii.N_FEATURES, k)), rng.normal(0, 0.5, (k, k)), skip + skip.T)
+    c = small_chain(n, near, skips, label)
+    u = m.unary[c.feats].sum(1)
+    total = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        if any(c.label[i] and y[i] != c.label[i] for i in range(n)):
+            continue
+        e = sum(u[i, y[i]] for i in range(n)) + sum(m.step[y[i], y[i + 1]] for i in near) + sum(m.skip[y[i], y[j]] for i, j in skips)
+        for i in range(n):
+            total[i, y[i]] += math.exp(e)
+    want = total / total.sum(1, keepdims=True)
+    assert np.abs(m.beliefs(c, rounds=60) - want).max() <= close
+
+
+def test_added_spans_stay(spark):
+    """A phone without its plus, seen with it before; a number like it in no document stays."""
+    rows = [(i, f"call +1 (743) 555-{i:04d} now, or 743-555-{i:04d}; {i} of {i * 7} sold") for i in range(1000, 1400)] + [(1, "ring +1 (212) 555-0199 or 212-555-0199, page 212-555-0147 of 9")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert got[1].split(",")[0] == "phone:5:22" and got == {r.doc_id: r.spans for r in pii.find(df.repartition(3)).collect()}
+    for spans in got.values():
+        each = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in spans.split(",")]
+        assert each == sorted(each, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
 def test_field_links_short_repeats():
     rng = random.Random(8)
     texts = []
@@ -334,6 +456,50 @@ def test_language_model(docs, spark):
     assert lm.score(df.where("false")).count() == 0
 
 
+def test_scores_equal_plain_counting(spark):
+    """Deleted interpolation by plain dictionaries: weights by expectation-maximisation over every training occurrence, left out of its own counts."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(60)]
+    rows = []
+    for i in range(250):
+        w, t = rng.choice(vocab), []
+        for _ in range(rng.randint(0, 40)):
+            w = vocab[(vocab.index(w) * 7 + rng.choice([1, 2, 2, 3])) % 60] if rng.random() < 0.8 else rng.choice(vocab)
+            t.append(w.upper() if rng.random() < 0.1 else w)
+        rows.append((i, " ".join(t)))
+    tokens = {i: [*[w.translate(LOWER) for w in words(t)], "</s>"] for i, t in rows}
+    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in tokens}
+    one, two = collections.Counter(), collections.Counter()
+    for i, ws in tokens.items():
+        if train[i]:
+            one.update(ws)
+            two.update(zip(["</s>", *ws], ws))
+    n, types = sum(one.values()), len(one)
+    bucket = lambda c: min(c.bit_length(), lm.BUCKETS - 1)
+    events = collections.defaultdict(list)
+    for (u, v), c in two.items():
+        q = ((c - 1) / (one[u] - 1) if one[u] > 1 else 0.0, (one[v] - 1) / (n - 1), 1 / (types + 1))
+        events[bucket(one[u])].append((c, q))
+    weight = {}
+    for b, ev in events.items():
+        w, total = np.array([0.5, 0.4, 0.1]), sum(c for c, _ in ev)
+        for _ in range(200):
+            new = np.zeros(3)
+            for c, q in ev:
+                p = w * q
+                new += c * p / p.sum()
+            w = new / total
+        weight[b] = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
+    weight[0] = weight.get(1, np.array([0.0, 0.9, 0.1]))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), block_tokens=400).collect()}
+    for i, ws in tokens.items():
+        want = 0.0
+        for u, v in zip(["</s>", *ws], ws):
+            w = weight.get(bucket(one[u]), np.array([0.0, 0.9, 0.1]))
+            want += math.log10(w[0] * two[u, v] / max(one[u], 1) + w[1] * one[v] / n + w[2] / (types + 1))
+        assert got[i].score == pytest.approx(want, rel=0.005), i
+
+
 def test_interpolation_is_a_distribution_and_learns(spark):
     rng = random.Random(2)
     chain = {w: [rng.choice("abcdefghijklmnop") for _ in range(2)] for w in "abcdefghijklmnop"}
@@ -376,3 +542,20 @@ def test_pipeline(spark, sf):
     for i in left:
         if not pii.ACTIVE.search(text[i]):
             assert size[i] == len(words(text[i])) + 1
+
+
+@pytest.mark.parametrize("rows", [0, 4])
+def test_pipeline_edges(spark, tmp_path, rows):
+    """Null and empty texts fail the base rules; repeated rows count as copies; columns of any name pass; an empty table gives an empty result."""
+    p = importlib.import_module("corpus_pipeline")
+    good = " ".join(f"word{i}" for i in range(80))
+    made = [(1, good, "en", "s", 9, 1, "a", 2), (1, good, "en", "s", 9, 1, "a", 2), (2, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 1, "b", 3), (None, good + " more", None, None, None, 7, None, 1)][: rows and 5]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint, q_kept int, gone_id string, own_id int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    got = p.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == (["1", "1", "None"] if rows else [])

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import bytebpe, tokenid
 from tidewave.llm.wordbpe import HeapCounter, token_counts
@@ -54,9 +55,10 @@ def test_token_counts(spark, frame, library):
 
 
 def test_id_shards_round_trip(spark, frame, library):
-    folder, manifest = tokenid.write_ids(frame, WORD, 1)
+    folder, manifest = tokenid.write_ids(frame, WORD, 1, shard_bytes=2000)
+    assert manifest.count() > 8
     got = sorted(tokenid.read_ids(folder, manifest).collect(), key=lambda r: r.start)
-    rows = sorted(frame.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    rows = frame.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()
     start = 0
     assert len(got) == len(rows)
     for g, r in zip(got, rows):
@@ -75,11 +77,31 @@ def test_id_shards_of_an_empty_table(spark, frame):
     assert tokenid.read_ids(folder, manifest).count() == 0
 
 
+def test_a_frequent_id_spreads_over_shards(spark):
+    df = spark.range(4000).selectExpr("5L as doc_id", "string(id) as text").union(spark.createDataFrame([(1, "a"), (9, "b")], "doc_id bigint, text string"))
+    folder, manifest = tokenid.write_ids(df, WORD, 1)
+    assert manifest.count() > 4 and max(r.n_docs for r in manifest.collect()) < 1500
+    got = tokenid.read_ids(folder, manifest).orderBy("start").collect()
+    assert [got[0].doc_id, got[-1].doc_id] == [1, 9] and len(got) == 4002
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="normalizer"):
+        HeapCounter(str(tmp_path / "t.json"))
+
+
 def test_wide_ids_take_four_bytes():
     assert tokenid.packed(np.array([1, 70000], "<u4"))[0] == 4 and tokenid.packed(np.array([1, 2], "<u4"))[0] == 2
 
 
-def test_byte_bpe_equals_the_library(spark, frame):
+@pytest.mark.parametrize("shared", [300_000, 40])
+def test_byte_bpe_equals_the_library(spark, frame, monkeypatch, shared):
+    monkeypatch.setattr(bytebpe, "SHARED_WORDS", shared)
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE, "rb"))}
@@ -94,9 +116,10 @@ def test_byte_bpe_equals_the_library(spark, frame):
 
 
 def test_byte_bpe_numbers_start_anew(monkeypatch):
+    monkeypatch.setattr(bytebpe, "TEXT_BYTES", 8)
     import pyarrow as pa
 
     monkeypatch.setattr(bytebpe, "WORDS", 5)
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a b c d e f", "g h", "a b"]})
-    kinds = [k for b in bytebpe.split_batches([batch], P.PATTERN) for k in b.column(0).to_pylist()]
+    kinds = [k for b in bytebpe.split_batches([batch], P.PATTERN, {}) for k in b.column(0).to_pylist()]
     assert kinds.count(2) == 1 and kinds.count(1) == 3 and kinds.count(0) == 6 + 2 + 2
