@@ -481,7 +481,22 @@ def _(spark, sf):
     return recursive.lms(_pairs(spark, sf), "l_discount", "l_tax", 4, 0.05, normalized=True).select("l_orderkey", "l_linenumber", r6("y"))
 
 
-@query("rls")
+def rls_sql(forget: float, delta: float, n: int = 4) -> str:
+    """Recursive least squares by recursion: weights w, history g (the oldest first), inverse correlations p."""
+    rows = "n AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_discount AS v, l_tax AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem)"
+    k = range(n)
+    zero = ", ".join([*(f"0.0::DOUBLE AS w{i}" for i in k), *(f"0.0::DOUBLE AS h{i}" for i in k), *(f"{delta if i == j else 0.0}::DOUBLE AS p{i}{j}" for i in k for j in k)])
+    start = f"SELECT l_suppkey, 0::BIGINT AS l_orderkey, 0::BIGINT AS l_linenumber, 0::BIGINT AS i, 0.0::DOUBLE AS y, {zero} FROM (SELECT DISTINCT l_suppkey FROM n)"
+    keep = ", ".join([*(f"e.w{i}" for i in k), *(f"e.h{i + 1} AS g{i}" for i in k if i + 1 < n), f"n.v AS g{n - 1}", *(f"e.p{i}{j}" for i in k for j in k)])
+    one = f"SELECT n.*, {keep} FROM e JOIN n ON n.l_suppkey = e.l_suppkey AND n.i = e.i + 1"
+    two = f"SELECT *, d - ({' + '.join(f'w{i} * g{i}' for i in k)}) AS err, {', '.join('(' + ' + '.join(f'p{i}{j} * g{j}' for j in k) + f') AS q{i}' for i in k)} FROM ({one})"
+    three = f"SELECT *, {forget}::DOUBLE + {' + '.join(f'g{i} * q{i}' for i in k)} AS den FROM ({two})"
+    after = ", ".join([*(f"w{i} + q{i} / den * err" for i in k), *(f"g{i}" for i in k), *(f"(p{i}{j} - q{i} / den * q{j}) / {forget}::DOUBLE" for i in k for j in k)])
+    return f"""WITH RECURSIVE {rows}, e AS ({start} UNION ALL SELECT l_suppkey, l_orderkey, l_linenumber, i, err, {after} FROM ({three}))
+        SELECT l_orderkey, l_linenumber, round(y, 6) + 0.0::DOUBLE AS y FROM e WHERE i > 0"""
+
+
+@query("rls", rls_sql(0.99, 0.01))
 def _(spark, sf):
     return recursive.rls(_pairs(spark, sf), "l_discount", "l_tax", 4).select("l_orderkey", "l_linenumber", r6("y"))
 
