@@ -43,6 +43,23 @@ def cumulative_average(s: Signal) -> Column:
     return F.avg(s.v).over(s.window().rowsBetween(Window.unboundedPreceding, 0))
 
 
+def in_slices(s: Signal, column, duration_ms: float, width_ms: float, out: str = "y") -> DataFrame:
+    """``column`` (a function of a Signal, such as a time window's mean) over the last ``duration_ms``, parallel within a series.
+
+    A series is cut into slices of ``width_ms``, at least the duration; samples of the last duration before a slice are copied into it and
+    dropped after, so each slice is a partition of its own and a series with a third of all rows spreads over tasks.
+    """
+    d, w = round(duration_ms * 1000), round(width_ms * 1000)
+    if not s.ts or not 1 <= d <= w:
+        raise ValueError("slices need timestamps and are as wide as the duration at least")
+    us = F.unix_micros(F.col(s.ts))
+    own = F.floor(us / w).cast("bigint")
+    parts = F.when(us + d - 1 >= (own + 1) * w, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = s.df.select("*", own.alias("_own"), F.explode(parts).alias("_part"))
+    t = s.with_(rows, keys=(*s.keys, "_part"))
+    return rows.withColumn(out, column(t)).where("_own = _part").drop("_own", "_part")
+
+
 def large_moving_average(s: Signal, size: int) -> Column:
     """As ``moving_average`` by two running sums: constant work a row for large windows, less exact by rounding."""
     total = F.sum(s.v).over(s.window().rowsBetween(Window.unboundedPreceding, 0))

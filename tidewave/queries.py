@@ -64,7 +64,7 @@ def on_events(name: str, column: Callable[[Signal], Column | DataFrame], sql: st
     def run(spark, sf_dir):
         s = events(spark, sf_dir)
         got = column(s)
-        df = got if isinstance(got, DataFrame) else s.df.withColumn("y", got)
+        df = got if isinstance(got, DataFrame) else s.df.withColumn("y", got)  # a DataFrame has its column y
         return df.select("event_id", F.col("y").cast(cast).alias("y") if cast else r6(F.col("y") + (OFF_TIE if plain else 0.0)))
 
     plain = sql is not None and not sql.lstrip().upper().startswith(("SELECT", "WITH"))
@@ -187,6 +187,7 @@ for _name, _fn, _sql in [
     on_events(_name, lambda s, fn=_fn: fn(s, size=7), _sql.format(w=rows(7)))
     on_events(f"{_name}_time", lambda s, fn=_fn: fn(s, duration_ms=WEEK_MS), _sql.format(w=WEEK))
     on_events(f"{_name}_batch", lambda s, fn=_fn: fn(s), _sql.format(w=ALL))
+on_events("rms_time_in_slices", lambda s: windows.in_slices(s, lambda t: windows.rms(t, duration_ms=WEEK_MS), WEEK_MS, 4 * WEEK_MS), SQL["rms_time"].removeprefix("SELECT event_id, round(").removesuffix(f" + {OFF_TIE}::DOUBLE, 6) + 0.0::DOUBLE AS y FROM events"))
 on_events("cumulative_average", windows.cumulative_average, f"avg(value) OVER ({W} ROWS UNBOUNDED PRECEDING)")
 on_events("large_moving_average", lambda s: windows.large_moving_average(s, 40), f"avg(value) OVER {rows(40)}")
 on_events("differentiator", windows.difference, f"value - coalesce(lag(value) OVER ({W}), 0.0::DOUBLE)")
@@ -241,6 +242,8 @@ SQL["ema"] = f"""WITH RECURSIVE {NUM}, e AS (SELECT user_id, event_id, i, value
     UNION ALL SELECT n.user_id, n.event_id, n.i, 0.3::DOUBLE * n.value + 0.7::DOUBLE * e.y FROM e JOIN n ON n.user_id = e.user_id AND n.i = e.i + 1) SELECT event_id, round(y, 6) AS y FROM e"""
 on_events("integrator_leaky", lambda s: recursive.integrate(s, 0.9), "SELECT")
 SQL["integrator_leaky"] = SQL["ema"].replace("0.3::DOUBLE * n.value + 0.7::DOUBLE * e.y", "n.value + 0.9::DOUBLE * e.y")
+on_events("ema_in_slices", lambda s: recursive.scan_sliced(s, recursive.K.Ema(0.3), F.floor(F.unix_micros("ts") / (4000 * WEEK_MS))), "SELECT")
+SQL["ema_in_slices"] = SQL["ema"]
 on_events("integrator", lambda s: recursive.integrate(s, 1.0), f"sum(value) OVER ({W} ROWS UNBOUNDED PRECEDING)")
 
 
