@@ -500,6 +500,12 @@ def test_scores_equal_plain_counting(spark):
         assert got[i].score == pytest.approx(want, rel=0.005), i
 
 
+def test_scores_of_a_table_with_clashing_columns(spark):
+    rows = [(i, "a b c", "x", 1, 2, 3) for i in range(20)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string, uri string, n int, p int, kind int"))
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and got.count() == 20
+
+
 def test_interpolation_is_a_distribution_and_learns(spark):
     rng = random.Random(2)
     chain = {w: [rng.choice("abcdefghijklmnop") for _ in range(2)] for w in "abcdefghijklmnop"}

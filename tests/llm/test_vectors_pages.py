@@ -119,6 +119,18 @@ def test_archives_round_trip(spark):
     assert warc.roundtrip(df.where("false")).count() == 0
 
 
+def test_archives_of_a_table_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 200, 5, "a", 9), (2, "u", "x" * 200, 6, None, 8)], "page_id bigint, url string, html string, digest int, d string, first bigint")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.roundtrip(df).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1)}
+
+
+def test_vectors_of_a_table_with_clashing_columns(spark):
+    rows = [(i, [1.0, float(i % 2)], 7, "x", 1, 2) for i in range(4)]
+    got = embed.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, links int, root string, w int, id int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)]
+
+
 def test_reader_checks_what_it_reads(spark):
     body = b"y" * 300
     data = warc.record("response", 1, "http://a", body, hashlib.sha256(body).hexdigest(), None)

@@ -243,14 +243,17 @@ def shared_words(docs: DataFrame, tables: Literals, pattern: str) -> pa.Table:
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text")
     counted = chosen.mapInArrow(lambda b: count_batches(b, pattern), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = Scratch(docs.sparkSession, "bpe-words").save(counted)
+    scratch = Scratch(docs.sparkSession, "bpe-words")
+    counted = scratch.save(counted)
     least, total = 1 << 62, 0  # the count from which words are taken
     for r in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
         total += r["count"]
         if total > SHARED_WORDS:
             break
         least = r.n
-    return folded(counted.where(F.col("n") >= least).select("word"), tables).toArrow()
+    store = folded(counted.where(F.col("n") >= least).select("word"), tables).toArrow()
+    scratch.clear()
+    return store
 
 
 def folded(words: DataFrame, tables: Literals) -> DataFrame:
