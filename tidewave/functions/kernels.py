@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 
@@ -95,11 +96,15 @@ def _responses(a: tuple[float, ...], length: int) -> tuple[np.ndarray, np.ndarra
 def recur(f: np.ndarray, a: tuple[float, ...], past: tuple[float, ...]) -> tuple[np.ndarray, tuple[float, ...]]:
     """y = f - sum a y' from the outputs ``past`` (the latest first), and the outputs to go on from.
 
-    Blocks are answered from rest at once by a matrix product; only what a block leaves to the next is carried one by one.
+    Of first order it is run as it stands. Of higher order, blocks are answered from rest at once by a matrix product; only what a block leaves to the next is carried one by one.
     """
     n = len(a)
     if not n or not len(f):
         return f, past
+    if n == 1:
+        c = -a[0]
+        y = list(accumulate(f.tolist(), lambda y, v: v + c * y, initial=past[0]))
+        return np.array(y[1:]), (y[-1],)
     length = max(BLOCK, n)
     own, before = _responses(a, length)
     if len(f) < 8 or not (np.isfinite(f).all() and np.isfinite(own).all() and np.isfinite(before).all()):
@@ -110,16 +115,10 @@ def recur(f: np.ndarray, a: tuple[float, ...], past: tuple[float, ...]) -> tuple
     rest = np.concatenate([f, np.zeros(-len(f) % length)]).reshape(-1, length) @ own
     tails, carry = rest[:, : -n - 1 : -1], before[:, : -n - 1 : -1]
     seen = np.empty((len(rest), n))
-    if n == 1:
-        y, c = past[0], float(carry[0, 0])
-        for i, t in enumerate(tails[:, 0].tolist()):
-            seen[i, 0] = y
-            y = t + c * y
-    else:
-        y = np.array(past)
-        for i in range(len(rest)):
-            seen[i] = y
-            y = tails[i] + y @ carry
+    y = np.array(past)
+    for i in range(len(rest)):
+        seen[i] = y
+        y = tails[i] + y @ carry
     out = (rest + seen @ before).ravel()[: len(f)]
     ends = np.concatenate([np.array(past[::-1]), out[-n:]])[: -n - 1 : -1]
     return out, tuple(ends.tolist())
@@ -143,8 +142,10 @@ class Ema:
         v = x[:, 0]
         if not len(v):
             return v, state
-        y = float(v[0]) if state[0] is None else state[0]  # as if the first sample had been there before
-        return recur(self.alpha * v, (self.alpha - 1,), (y,))
+        if state[0] is not None:
+            return recur(self.alpha * v, (self.alpha - 1,), state)
+        y, past = recur(self.alpha * v[1:], (self.alpha - 1,), (float(v[0]),))
+        return np.concatenate([v[:1], y]), past
 
 
 @linear

@@ -166,7 +166,7 @@ def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None =
                 for i in range(lo, hi):
                     if new and i == lo:
                         state = pickle.loads(col("first")[i].as_py())
-                    starts.append(pickle.dumps(state))
+                    starts.append(pickle.dumps(kernel.start() if new and i == lo else state))
                     state = K.advance(kernel, width, state, col("n")[i].as_py(), pickle.loads(col("ended")[i].as_py()))
             yield pa.RecordBatch.from_arrays([*[col(k) for k in t_keys], pa.array(starts, pa.binary())], names=[*t_keys, "state"])
 

@@ -510,12 +510,12 @@ KALMAN = f"""WITH RECURSIVE {NUM}, d AS (SELECT n.*, coalesce((epoch_us(ts::TIME
         SELECT user_id, event_id, i, p + m00 / (m00 + 1) * (value - p), v + m01 / (m00 + 1) * (value - p), (1 - m00 / (m00 + 1)) * m00, (1 - m00 / (m00 + 1)) * m01, m11 - m01 / (m00 + 1) * m01
         FROM (SELECT d.user_id, d.event_id, d.i, d.value, e.place + e.v * d.dt AS p, e.v, e.c00 + d.dt * (2 * e.c01 + d.dt * e.c11) + 0.001::DOUBLE AS m00, e.c01 + d.dt * e.c11 AS m01, e.c11 + 0.001::DOUBLE AS m11
               FROM e JOIN d ON d.user_id = e.user_id AND d.i = e.i + 1))
-    SELECT event_id, round(place, 6) + 0.0::DOUBLE AS y FROM e WHERE i > 0"""
+    SELECT event_id, round(place + {OFF_TIE}::DOUBLE, 6) + 0.0::DOUBLE AS y FROM e WHERE i > 0"""
 
 
 @query("kalman", KALMAN)
 def _(spark, sf):
-    return recursive.kalman(events(spark, sf), ["value"], 1e-3, 1.0).select("event_id", r6("kf_value", "y"))
+    return recursive.kalman(events(spark, sf), ["value"], 1e-3, 1.0).select("event_id", r6(F.col("kf_value") + OFF_TIE))
 
 
 # spectra
@@ -744,9 +744,9 @@ def _(spark, sf):
 
 
 # timing
-@query("drift", f"WITH {DELTA} SELECT event_id, d AS delta_ms, round(abs(d - {HOURS12}), 6) AS drift_ms, round(abs(d - {HOURS12}) / {HOURS12} * 100, 6) AS drift_percent, abs(d - {HOURS12}) / {HOURS12} * 100 > 10 AS is_drift FROM d WHERE d IS NOT NULL")
+@query("drift", f"WITH {DELTA} SELECT event_id, d AS delta_ms, round(abs(d - {HOURS12}), 6) AS drift_ms, round(abs(d - {HOURS12}) / {HOURS12} * 100 + {OFF_TIE}::DOUBLE, 6) AS drift_percent, abs(d - {HOURS12}) / {HOURS12} * 100 > 10 AS is_drift FROM d WHERE d IS NOT NULL")
 def _(spark, sf):
-    return quality.drift(events(spark, sf), RATE).select("event_id", "delta_ms", r6("drift_ms", "drift_ms"), r6("drift_percent", "drift_percent"), "is_drift")
+    return quality.drift(events(spark, sf), RATE).select("event_id", "delta_ms", r6("drift_ms", "drift_ms"), r6(F.col("drift_percent") + OFF_TIE, "drift_percent"), "is_drift")
 
 
 @query(
@@ -949,10 +949,10 @@ def _(spark, sf):
     return Pipeline().align(rate=1 / 86_400).filter(b=_LOW4).run(events(spark, sf)).select("user_id", "idx", r6("value", "y"))
 
 
-@query("chain_kernels", SQL["ema"].replace("round(y, 6) AS y FROM e", "event_id AS same, y FROM e").replace("SELECT event_id, event_id AS same, y FROM e", f", n2 AS (SELECT e.user_id, e.event_id, e.i, e.y AS value FROM e), g AS (SELECT user_id, event_id, i, value AS y FROM n2 WHERE i = 1 UNION ALL SELECT n2.user_id, n2.event_id, n2.i, n2.value + 0.9::DOUBLE * g.y FROM g JOIN n2 ON n2.user_id = g.user_id AND n2.i = g.i + 1) SELECT event_id, round(y, 6) AS y FROM g"))
+@query("chain_kernels", SQL["ema"].replace("round(y, 6) AS y FROM e", "event_id AS same, y FROM e").replace("SELECT event_id, event_id AS same, y FROM e", f", n2 AS (SELECT e.user_id, e.event_id, e.i, e.y AS value FROM e), g AS (SELECT user_id, event_id, i, value AS y FROM n2 WHERE i = 1 UNION ALL SELECT n2.user_id, n2.event_id, n2.i, n2.value + 0.9::DOUBLE * g.y FROM g JOIN n2 ON n2.user_id = g.user_id AND n2.i = g.i + 1) SELECT event_id, round(y + {OFF_TIE}::DOUBLE, 6) AS y FROM g"))
 def _(spark, sf):
     """An EMA and a leaky sum in one scan."""
-    return Pipeline().ema(alpha=0.3).integrate(alpha=0.9).run(events(spark, sf)).select("event_id", r6("value", "y"))
+    return Pipeline().ema(alpha=0.3).integrate(alpha=0.9).run(events(spark, sf)).select("event_id", r6(F.col("value") + OFF_TIE))
 
 
 # streams
