@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.llm import common, lm, minhash, packing, pii, quality
+from tidewave.llm import common, files, lm, minhash, packing, pii, quality
 
 SPACE = "[\x20\x09-\x0d]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,6 +75,7 @@ def test_near_duplicates(docs, monkeypatch, rounds, sparse, one_task):
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     monkeypatch.setattr(minhash, "SPARSE", sparse)
     monkeypatch.setattr(minhash, "CHUNK", 8)
+    monkeypatch.setattr(minhash, "PART_HASHES", 50)
     monkeypatch.setattr(minhash, "components", lambda e, n: common.components(e, n, one_task=one_task))
     sets, root = brute_components(corpus())
     got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
@@ -92,6 +93,53 @@ def test_near_duplicate_edges(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in enumerate(brute_components(corpus())[1]) if r == i}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_with_several_texts(spark, monkeypatch, seed):
+    """Each row is a document under its id, in whatever order the rows come."""
+    monkeypatch.setattr(minhash, "SPARSE", 4 if seed % 2 else 0)
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    x, y, z = (" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(3))
+    rows = [(5, y), (1, x), (1, y), (7, y + " one"), (9, z), (5, z), (None, y + " two"), (None, z), (8, "two " + y), (3, "alone " * 3), (1, x)]
+    rng.shuffle(rows)
+    known = [r for r in rows if r[0] is not None]
+    _, root = brute_components([t for _, t in known])
+    least = [min(known[j][0] for j in range(len(known)) if root[j] == root[i]) for i in range(len(known))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = minhash.near_duplicates(df.withColumn("copy", F.col("text")), carry=("copy",) if seed < 2 else ()).collect()
+    want = sorted((i, c, i == c) for (i, _), c in zip(known, least, strict=True))
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == want
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+    kept = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[0] is None] + [r for r, c in zip(known, least, strict=True) if r[0] == c], key=str)
+
+
+def test_rows_without_id_and_text_conflict_with_nothing(spark):
+    """A row without id and text is no copy of the document whose id is the hash of nothing."""
+    df = spark.createDataFrame([(42, "a b c"), (None, None), (None, "a b c"), (7, "a b c")], "doc_id bigint, text string")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(df).collect():
+        bins[r.bin_id].append(r.doc_id)
+    assert len(bins) == 3 and sum(len(b) == 2 for b in bins.values()) == 1
+
+
+def test_work_folder_is_qualified(spark):
+    """A path without a scheme is on the default file system."""
+    conf = spark._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS")
+    try:
+        assert common.qualified(spark, "/tmp/x") == "file:///tmp/x"
+        conf.set("fs.viewfs.mounttable.store.link./tmp", "file:///tmp")
+        conf.set("fs.defaultFS", "viewfs://store/")
+        assert common.qualified(spark, "/tmp/x") == "viewfs://store/tmp/x"
+        assert common.qualified(spark, "file:///tmp/x") == "file:///tmp/x"
+    finally:
+        conf.set("fs.defaultFS", was)
+    assert re.fullmatch(r"file:///.*/n-\w{12}", common.work_dir(spark, "n"))
+    with pytest.raises(ValueError, match="file system"):
+        files.resolve("/tmp/x")
+
+
 def test_block_rows_grow_with_a_bucket(spark):
     """A large component with a few strangers gives each of its classes one row; two buckets with the same members are one."""
     for size in (10_000, 20_000):

@@ -10,7 +10,9 @@ from pyarrow import fs
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if ":" in uri else "file://" + os.path.abspath(uri))
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no file system; qualify it first")
+    return fs.FileSystem.from_uri(uri)
 
 
 @contextmanager

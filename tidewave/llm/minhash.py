@@ -30,6 +30,8 @@ FAR_BITS = 68
 ROUNDS, YIELD = 5, 20
 #: Classes of a bucket that are compared in one block; of larger buckets, chunks of so many.
 CHUNK = 512
+#: Hashes of a dense block that are held at a time, about.
+PART_HASHES = 2_000_000
 #: A block sends its candidate pairs on if they are at most so many times its classes; a denser one is compared on full sets inside a task.
 SPARSE = 4
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
@@ -108,10 +110,10 @@ def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Of (doc_id, text, ...): the id, sizes, digest, sketch and bands; with further columns, these and n_words, the number of words, after them."""
+    """Of (doc_id, t, text, ...): the id, t, size, digest, sketch and bands; with further columns, these and n_words, the number of words, after them."""
     n, digest, sketch, bands, n_words = [], [], [], [], []
     none = np.zeros(0, np.int64)
-    for text in batch.column(1):
+    for text in batch.column(2):
         words = words_of(text.as_py())
         s = shingles_of(words)
         n.append(len(s))
@@ -121,22 +123,22 @@ def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sketch.append(k)
         bands.append(b)
     sketch = np.array(sketch, np.int64).reshape(-1, 4)
-    more, names = batch.columns[2:], batch.schema.names[2:]
+    more, names = batch.columns[3:], batch.schema.names[3:]
     if more:
         more.append(pa.array(n_words, pa.int64()))
         names = [*names, "n_words"]
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], pa.array(bands, pa.list_(pa.int64())), *more],
-        names=["doc_id", "n", "d", "s0", "s1", "s2", "s3", "bands", *names],
+        [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], pa.array(bands, pa.list_(pa.int64())), *more],
+        names=["doc_id", "t", "n", "d", "s0", "s1", "s2", "s3", "bands", *names],
     )
 
 
 def similar_batch(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     """Pairs (a, b) of (a, b, text of a, text of b) whose full sets have 100 * intersection >= percent * union."""
     keep, last, left = [], None, None
-    for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-        if a != last:
-            last, left = a, shingles(x)
+    for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+        if left is None or x != last:
+            last, left = x, shingles(x)
         right = shingles(y)
         both = len(np.intersect1d(left, right, assume_unique=True))
         keep.append(100 * both >= percent * (len(left) + len(right) - both))
@@ -179,41 +181,79 @@ def block_candidates(batches, percent: int, sparse: int):
         yield pa.RecordBatch.from_arrays(cols, names=["h", "p", "q", "a", "b"])
 
 
-def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all of ``left`` with all of ``right``, as products of membership matrices, some shingles at a time."""
-    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    every = np.concatenate(sets)
+def shingle_parts(batches):
+    """Of rows (h, p, q, own, id, root, n, parts, text): a row for each of ``parts`` ranges of the hashes, with the text's hashes in that range."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            one = batch.slice(r, 1)
+            parts = one.column(7)[0].as_py()
+            s = shingles(one.column(8)[0].as_py())
+            cuts = np.searchsorted((s >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31), np.arange(parts + 1, dtype=np.uint64)).astype(np.int32)
+            at = pa.array(np.zeros(parts, np.int64))
+            cols = [one.column(i).take(at) for i in range(7)]
+            hashes = pa.ListArray.from_arrays(pa.array(cuts), pa.array(s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(parts)), hashes], names=["h", "p", "q", "own", "id", "root", "n", "part", "hashes"])
+
+
+def overlaps(of: np.ndarray, every: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all of ``left`` with all of ``right`` of n sets, as products of membership matrices, some shingles at a time.
+
+    ``every`` are hashes, ``of`` the sets that hold them.
+    """
     order = np.argsort(every, kind="stable")
     every, of = every[order], of[order]
-    number = np.cumsum(np.concatenate([[0], every[1:] != every[:-1]]))
+    number = np.cumsum(np.concatenate([[0], every[1:] != every[:-1]])) if len(every) else every
     often = np.bincount(number) > 1
     keep = often[number]
     number, of = (np.cumsum(often) - 1)[number[keep]], of[keep]
     out = np.zeros((len(left), len(right)), np.float32)
     for at in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
         lo, hi = np.searchsorted(number, [at, at + 1024])
-        has = np.zeros((len(sets), 1024), np.float32)
+        has = np.zeros((n, 1024), np.float32)
         has[of[lo:hi], number[lo:hi] - at] = 1
         out += has[left] @ has[right].T
     return out
 
 
+class Dense:
+    """A block whose full sets are compared, one range of the hashes after the other: it holds a part of the sets and the counts."""
+
+    def __init__(self, block: tuple[int, ...], first: pa.Table):
+        get = lambda c: first.column(c).to_numpy()
+        order = np.argsort(get("id"))
+        self.ids, self.root, self.n, own = (get(c)[order] for c in ("id", "root", "n", "own"))
+        self.left, self.right = np.flatnonzero(own == block[1]), np.flatnonzero(own == block[2])
+        self.both = np.zeros((len(self.left), len(self.right)))
+
+    def add(self, part: pa.Table) -> None:
+        lists = part.column("hashes").chunk(0)
+        of = np.repeat(np.searchsorted(self.ids, part.column("id").to_numpy()), np.diff(lists.offsets.to_numpy()))
+        self.both += overlaps(of, lists.flatten().to_numpy(), len(self.ids), self.left, self.right)
+
+    def links(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the links, as many as join the block's components."""
+        left, right, both = self.left, self.right, self.both
+        i, j = np.nonzero((100 * both >= percent * (self.n[left][:, None] + self.n[right] - both)) & (self.root[left][:, None] != self.root[right]))
+        _, first = np.unique(np.stack([self.root[left[i]], self.root[right[j]]], 1), axis=0, return_index=True)
+        return self.ids[left[i]][first], self.ids[right[j]][first]
+
+
 def dense_links(batches, percent: int):
     """Links (a, b) of dense blocks, from full sets; of a block's links, as many as join its components."""
-    for block, r in sorted_groups(batches, ("h", "p", "q")):
-        get = lambda c: r.column(c).to_numpy()
-        ids, own, root = get("id"), get("own"), get("root")
-        left, right = np.flatnonzero(own == block[1]), np.flatnonzero(own == block[2])
-        if not len(left) or not len(right):
-            continue
-        sets = [shingles(x.as_py()) for x in r.column("text")]
-        n = np.array([len(x) for x in sets], np.int64)
-        both = overlaps(sets, left, right)
-        i, j = np.nonzero((100 * both >= percent * (n[left][:, None] + n[right] - both)) & (root[left][:, None] != root[right]))
-        a, b = ids[left[i]], ids[right[j]]
-        _, first = np.unique(np.stack([root[left[i]], root[right[j]]], 1), axis=0, return_index=True)
-        if len(first):
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
+    last, dense = None, None
+
+    def found():
+        if dense is not None:
+            a, b = dense.links(percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for key, part in sorted_groups(batches, ("h", "p", "q", "part")):
+        if key[:3] != last:
+            yield from found()
+            last, dense = key[:3], Dense(key[:3], part)
+        dense.add(part)
+    yield from found()
 
 
 def _close(percent: int) -> Column:
@@ -253,19 +293,42 @@ def _blocks(entries: DataFrame, open_: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept; with ``carry``, then these columns of ``docs`` and n_words.
 
-    Equal sets form a class under its smallest id; only classes are compared. In each round, every bucket of a
+    A null or empty text has no shingles and is its own component. Rows with a null id link with
+    nothing, have a null component and are kept. Repeated rows have the same component. Rows that share an id but not a set of
+    shingles are documents of their own: each has the component of its text. An empty table gives an empty result; columns that are not carried are not read.
+    """
+    s, grouped = _classes(docs, percent, carry, F.col("doc_id").isNotNull())
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
+    return _labelled(s, grouped).select(
+        "doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), *carry, *(["n_words"] if carry else [])
+    )
+
+
+def clusters(docs: DataFrame, percent: int, carry: tuple[str, ...]) -> DataFrame:
+    """One row per input row: the columns ``carry``, n_words and cluster, the number of its component (null where no other text is linked); rows with a null id take part as others."""
+    s, grouped = _classes(docs, percent, carry, F.lit(True))
+    return _labelled(s, grouped).select(*carry, "n_words", F.col("root").alias("cluster"))
+
+
+def _labelled(s: DataFrame, grouped: DataFrame) -> DataFrame:
+    return s.join(sized(grouped, grouped.count()), F.col("d") == F.col("e"), "left")
+
+
+def _classes(docs: DataFrame, percent: int, carry: tuple[str, ...], named: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with their size and digest of shingles, and of the digests of several rows or in a component of several: (e, root, first), root the
+    number of the component and first its least id.
+
+    Equal sets of ``named`` rows form a class, which has a number of its own; only classes are compared. In each round, every bucket of a
     band that holds several components takes one of its classes as hub, and each class in another component is compared with the nearest of its
     hubs by sketch; linked classes are joined. What the rounds leave apart in a shared bucket is compared pair by pair, by sketch in blocks and
     then on full sets, so no link that joins components is left out. Rows grow with a bucket, not with its pairs: a round has one pair for
-    a class, a block sends on a bounded number of pairs for a class or else compares full sets itself. Many
+    a class, a block sends on a bounded number of pairs for a class or else compares full sets itself, a range of the hashes at a time. Many
     texts that are alike but below the bound cost their pairs in CPU time only.
-
-    A null or empty text has no shingles and is its own component. Rows with a null id link with
-    nothing, have a null component and are kept. Repeated rows have the same component. An empty
-    table gives an empty result; columns that are not carried are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    more = "".join(f", {c} {t}" for c, t in rows.dtypes[2:]) + (", n_words bigint" if carry else "")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"), *carry)
+    more = "".join(f", {c} {t}" for c, t in rows.dtypes[3:]) + (", n_words bigint" if carry else "")
+    # the text that stands for a class is found again by these two
+    own = F.coalesce("doc_id", "t")
     result, scratch = Scratch(docs.sparkSession, "minhash"), Scratch(docs.sparkSession, "minhash-steps")
     save = scratch.save
 
@@ -273,12 +336,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] =
         for b in batches:
             yield signature_batch(b)
 
-    s = result.save(rows.mapInArrow(sign, "doc_id bigint, n bigint, d binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>" + more))
+    s = result.save(rows.mapInArrow(sign, "doc_id bigint, t bigint, n bigint, d binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>" + more))
     classes = save(
-        s.where("doc_id is not null and d is not null")
+        s.where(F.col("d").isNotNull() & named)
         .groupBy("d")
-        .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "bands")).alias("x"))
-        .select("d", "id", "size", "x.*")
+        .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct(own.alias("k"), "t")).alias("of"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "bands")).alias("x"))
+        .select("d", F.monotonically_increasing_id().alias("id"), "first", "size", "of", "x.*")
     )
     bands = classes.select("id", F.explode("bands").alias("h"))
     shared = bands.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("g"))
@@ -299,7 +362,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] =
             yield similar_batch(b, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+        x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         return save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
 
     def joined(found: DataFrame) -> None:
@@ -309,7 +372,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] =
 
     if n_ids:
         sketches = save(classes.join(sized(ids, n_ids), "id", "left_semi").select("id", "n", "s0", "s1", "s2", "s3"))
-        texts = save(rows.select("doc_id", "text").join(sized(ids, n_ids), F.col("doc_id") == F.col("id"), "left_semi"))
+        of = classes.join(sized(ids, n_ids), "id", "left_semi").select("id", F.col("of.k").alias("k"), F.col("of.t").alias("ct"))
+        texts = save(rows.select(own.alias("own"), "t", "text").join(sized(of, n_ids), (F.col("own") == F.col("k")) & (F.col("t") == F.col("ct"))).select("id", "text"))
         if texts.count() > n_ids:  # rows that repeat an id and text are compared once
             texts = save(texts.distinct())
         near = sized(sketches, n_ids)
@@ -346,22 +410,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] =
                 dense = rest.where("b is null").select(*[F.col(c).cast("bigint").alias(f"d{c}") for c in block], F.col("a").alias("tid"))
                 if not dense.limit(1).count():
                     break
-                of = placed.join(dense, [F.col(c) == F.col(f"d{c}") for c in block] + [F.col("id") == F.col("tid")], "left_semi")
-                full = of.join(texts, F.col("id") == F.col("doc_id")).select(*block, "own", "id", "root", "text")
-                found = save(full.repartition(*block).sortWithinPartitions(*block).mapInArrow(compare, "a bigint, b bigint"))
+                of = placed.join(dense, [F.col(c) == F.col(f"d{c}") for c in block] + [F.col("id") == F.col("tid")], "left_semi").join(near.select("id", "n"), "id")
+                parts = of.groupBy(*block).agg((F.floor(F.sum("n") / PART_HASHES) + 1).cast("bigint").alias("parts"))
+                full = of.join(parts, block).join(texts, "id").select(*[F.col(c).cast("bigint").alias(c) for c in (*block, "own", "id", "root", "n", "parts")], "text")
+                full = full.mapInArrow(shingle_parts, "h bigint, p bigint, q bigint, own bigint, id bigint, root bigint, n bigint, part bigint, hashes array<bigint>")
+                found = save(full.repartition(*block).sortWithinPartitions(*block, "part").mapInArrow(compare, "a bigint, b bigint"))
             if found.limit(1).count():
                 joined(found)
-    grouped = labelled(classes.select("d", "id", "size")).where("size > 1 or root <> id").select(F.col("d").alias("e"), "root")
-    grouped = result.save(grouped)
+    # a component's least id is taken over its classes, then given to each of them
+    linked = classes.select(F.col("d").alias("e"), "id", "first", "size")
+    if label is None:
+        grouped = result.save(linked.where("size > 1").select("e", F.col("id").alias("root"), "first"))
+    else:
+        known = label.select(F.col("id").alias("lid"), F.col("root").alias("lroot"))
+        linked = linked.join(sized(known, n_ids), F.col("id") == F.col("lid"), "left").where("size > 1 or lroot is not null")
+        linked = save(linked.select("e", F.coalesce("lroot", "id").alias("root"), "first"))
+        least = save(linked.groupBy("root").agg(F.min("first").alias("first")))
+        grouped = result.save(linked.drop("first").join(sized(least, least.count()), "root").select("e", "root", "first"))
     scratch.clear()
-    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return s.join(sized(grouped, grouped.count()), F.col("d") == F.col("e"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), *carry, *(["n_words"] if carry else [])
-    )
+    return s, grouped
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group, the one with the smallest id."""
-    gone = Scratch(docs.sparkSession, "minhash-gone").save(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
-    out = sized(gone, gone.count())
-    return docs.join(out, docs["doc_id"] == out["doc_id"], "left_anti")
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group, the one with the smallest id.
+
+    Rows are told apart by id and text, so of an id with two texts one may stay.
+    """
+    text = F.col("text").cast("string")
+    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64(text).alias("text_hash")), percent, carry=("text_hash",))
+    gone = Scratch(docs.sparkSession, "minhash-gone").save(found.where("not kept").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct())
+    return docs.join(sized(gone, gone.count()), (docs["doc_id"].cast("bigint") == F.col("gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("text_hash")), "left_anti")

@@ -7,8 +7,10 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .minhash import near_duplicates
+from .minhash import clusters
 
+#: Similarity from which documents are near-duplicates.
+PERCENT = 75
 #: Expected items of a shard, which is packed by one task at a time.
 SHARD_ITEMS = 2048
 #: Ordinals of a repeated row that are made at a time.
@@ -76,7 +78,7 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items
     """Rows (doc_id, piece, first_token, n_tokens, bin_id, position, source): where each piece of each document goes.
 
     ``size`` is a document's tokens (default: words and an end mark) and ``cluster`` its duplicate cluster. By default
-    documents conflict if ``near_duplicates`` puts them in one component or if their texts are equal without regard to case
+    documents conflict if their texts are in one component of near-duplicates or if their texts are equal without regard to case
     (also texts without words). No bin holds two documents that conflict or more than ``per_source`` of a source. A document
     longer than ``capacity`` is cut into full pieces, each a bin of its own, and a remainder, so no token is dropped. Null and
     empty texts take one token; null sources conflict with nothing (a table without a source column has null ones); rows with a null id
@@ -92,10 +94,10 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard_items
     equal = F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
     items = [own.alias("own_id"), (F.col("source") if "source" in docs.columns else F.lit(None)).cast("string").alias("source"), *([] if size is None else [size.cast("bigint").alias("size")])]
     if cluster is None:
-        # a row without an id takes part under a hash of its text; words are counted where texts are cut into shingles
-        keyed = docs.select(F.coalesce(own, F.xxhash64(text)).alias("doc_id"), text.alias("text"), *items, equal.alias("equal"))
-        found = near_duplicates(keyed, carry=tuple(keyed.columns[2:]))
-        items = found.select("own_id", "source", (F.col("n_words") + 1 if size is None else F.col("size")).alias("size"), F.col("component_id").alias("cluster"), "equal")
+        # words are counted where texts are cut into shingles
+        keyed = docs.select(own.alias("doc_id"), text.alias("text"), *items, equal.alias("equal"))
+        found = clusters(keyed, PERCENT, carry=tuple(keyed.columns[2:]))
+        items = found.select("own_id", "source", (F.col("n_words") + 1 if size is None else F.col("size")).alias("size"), "cluster", "equal")
     else:
         items = docs.select(*items, *([word_tokens(text).alias("size")] if size is None else []), cluster.cast("bigint").alias("cluster"))
         items = items.select("own_id", "source", "size", "cluster", F.col("cluster").alias("equal"))

@@ -22,7 +22,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, work_dir
+from .common import materialize, qualified, work_dir
 from .files import create, opened_at
 from .wordbpe import WordSplitter
 
@@ -195,7 +195,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | None =
     """
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    folder = folder or work_dir(spark, "token-ids")
+    folder = qualified(spark, folder) if folder else work_dir(spark, "token-ids")
     dictionary = train_dictionary(docs, path, end_id, sample_docs, dict_bytes)
     with create(f"{folder}/dictionary.zdict") as f:
         f.write(dictionary)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, sized, work_dir
+from .common import materialize, qualified, sized, work_dir
 from .files import create, opened
 
 #: Payloads shorter than this are always written in full.
@@ -157,7 +157,7 @@ def write_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     table gives no archives. Payloads are not shuffled: only digests with more than one id are
     joined to them, by broadcast if they are counted to be few.
     """
-    folder = folder or work_dir(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else work_dir(pages.sparkSession, "warc")
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.col("url").cast("string").alias("url"),
