@@ -13,13 +13,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local master (tests) has one of its own and a cluster is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under ``spark.checkpoint.dir``, as a full URI (a path without a scheme is on the default file system); where that is unset, a
+    local master (tests) has one of its own and a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewave-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(base)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return f"{uri.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def replay(spark: SparkSession, path: str, schema: T.StructType, build: Callable[[DataFrame], DataFrame], mode: str = "append", folder: str | None = None) -> DataFrame:
