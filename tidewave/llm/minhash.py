@@ -439,4 +439,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     text = F.col("text").cast("string")
     found = near_duplicates(docs.select("doc_id", "text", F.xxhash64(text).alias("text_hash")), percent, carry=("text_hash",))
     gone = Scratch(docs.sparkSession, "minhash-gone").save(found.where("not kept").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct())
-    return docs.join(sized(gone, gone.count()), (docs["doc_id"].cast("bigint") == F.col("gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("text_hash")), "left_anti")
+    out = sized(gone, gone.count())
+    same = (docs["doc_id"].cast("bigint") == out["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == out["text_hash"])
+    return docs.join(out, same, "left_anti")
