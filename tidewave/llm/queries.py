@@ -72,6 +72,27 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, roundtrip
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(*own.columns)
+    return digests(roundtrip(rows.unionByName(own)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
@@ -83,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scores": op10_lm_scores,
+    "op11_search": op11_search,
+    "op12_spelling": op12_spelling,
+    "op13_chat": op13_chat,
 }
 
 SQL: dict[str, str] = {
@@ -123,6 +147,33 @@ SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM f
     """,
+    "op11_search": """
+        WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        g AS (SELECT sum(len(w))::BIGINT AS l, count(*)::BIGINT AS n FROM t WHERE len(w) > 0),
+        p AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t),
+        f AS MATERIALIZED (SELECT doc_id, term, any_value(n)::BIGINT AS n, count(*)::BIGINT AS tf FROM p GROUP BY doc_id, term),
+        q AS MATERIALIZED (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term, g.n),
+        s AS (SELECT item_id, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * f.n * g.n) // g.l))))::BIGINT AS score
+              FROM q JOIN f USING (term) JOIN w USING (term), g GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_chat": """
+        WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(regexp_replace(text, '([<\\[])(\\\\*)(s>|/s>|/?INST\\]|/?SYS\\]|ROLE:|/ROLE\\]|SEP\\])', '\\1\\2\\\\\\3', 'g')) AS n,
+                     lag(role) OVER w IS DISTINCT FROM role OR lag(conv_id) OVER w IS NULL AS new
+              FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        m AS (SELECT *, n + CASE WHEN NOT new THEN 5 WHEN role = 'user' THEN 15 WHEN role = 'system' THEN 13 WHEN role = 'assistant' THEN 5
+                             ELSE 16 + length(regexp_replace(role, '([\\\\\\]])', '\\\\\\1', 'g')) END AS piece FROM e),
+        c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, 3 + sum(piece) AS formatted_chars
+              FROM m GROUP BY conv_id)
+        SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c
+    """,
 }
 
 
