@@ -156,7 +156,8 @@ def phase_of(z: str) -> Column:
     return F.zip_with(F.col(z)["real"], F.col(z)["imag"], lambda a, b: F.atan2(b, a))
 
 
-def _form(form: str, half: bool = True):
+def form_fn(form: str, half: bool = True):
+    """The magnitude, power or phase of the spectrum of each row of a matrix."""
     kind = np.fft.rfft if half else np.fft.fft
     made = {"power": lambda x: np.abs(kind(x)) ** 2, "magnitude": lambda x: np.abs(kind(x)), "phase": lambda x: np.angle(kind(x))}
     if form not in made:
@@ -168,7 +169,7 @@ def spectrum(df: DataFrame, form: str = "power", column: str = "values", out: st
     """complex, magnitude, power or phase of each frame; non-complex forms leave NumPy as one array each."""
     if form == "complex":
         return df.withColumn(out, (rfft if half else fft)(column))
-    return df.withColumn(out, _arrays(_form(form, half), "array<double>")(column))
+    return df.withColumn(out, _arrays(form_fn(form, half), "array<double>")(column))
 
 
 def stft(s: Signal, size: int, hop: int | None = None, window: str = "hann", form: str = "magnitude") -> DataFrame:
@@ -177,7 +178,7 @@ def stft(s: Signal, size: int, hop: int | None = None, window: str = "hann", for
     hop = max(1, size // 2) if hop is None else hop
     if form == "complex":
         return spectrum(framed(s, size, hop, lambda x: x * w), form).drop("values")
-    of = _form(form)
+    of = form_fn(form)
     return framed(s, size, hop, lambda x: of(x * w), "spectrum")
 
 
@@ -192,32 +193,46 @@ def spectral_tracker(df: DataFrame, keys, rate: float, order: str = "frame_idx",
     return df.withColumn("_before", before).withColumn("_f", expr.spectral_features(column, rate, "_before", share)).select(*df.columns, "_f.*")
 
 
+def mel_fn(bank):
+    """Rows times the rows of a bank."""
+    m = np.asarray(bank, np.float64)
+    return lambda x: x @ m.T
+
+
 def mel_spectrogram(df: DataFrame, bank, column: str = "spectrum", out: str = "mel") -> DataFrame:
     """Power bins times the rows of a bank."""
-    m = np.asarray(bank, np.float64)
-    return df.withColumn(out, _arrays(lambda x: x @ m.T, "array<double>")(column))
+    return df.withColumn(out, _arrays(mel_fn(bank), "array<double>")(column))
 
 
-def mfcc(df: DataFrame, coefficients: int = 13, log: bool = True, lifter: int = 0, column: str = "mel", out: str = "mfcc") -> DataFrame:
-    """Logarithm of band energies, orthonormal DCT-II, the first coefficients, lifted."""
+def mfcc_fn(coefficients: int = 13, log: bool = True, lifter: int = 0):
+    """Logarithm of the rows of a matrix, orthonormal DCT-II, the first coefficients, lifted."""
 
     def run(x):
         y = (np.log(x + 1e-10) if log else x) @ design.dct_matrix(x.shape[1]).T
         y = y[:, :coefficients]
         return y * (1 + lifter / 2 * np.sin(np.pi * np.arange(y.shape[1]) / lifter)) if lifter else y
 
-    return df.withColumn(out, _arrays(run, "array<double>")(column))
+    return run
+
+
+def mfcc(df: DataFrame, coefficients: int = 13, log: bool = True, lifter: int = 0, column: str = "mel", out: str = "mfcc") -> DataFrame:
+    """Logarithm of band energies, orthonormal DCT-II, the first coefficients, lifted."""
+    return df.withColumn(out, _arrays(mfcc_fn(coefficients, log, lifter), "array<double>")(column))
+
+
+def dct_fn(v: np.ndarray) -> np.ndarray:
+    return v @ design.dct_matrix(v.shape[1]).T
 
 
 def dct(x: str) -> Column:
-    return _arrays(lambda v: v @ design.dct_matrix(v.shape[1]).T, "array<double>")(x)
+    return _arrays(dct_fn, "array<double>")(x)
 
 
 def idct(x: str) -> Column:
     return _arrays(lambda v: v @ design.dct_matrix(v.shape[1]), "array<double>")(x)
 
 
-def _analytic(x: np.ndarray) -> np.ndarray:
+def analytic(x: np.ndarray) -> np.ndarray:
     n = x.shape[1]
     h = np.zeros(n)
     h[0] = 1
@@ -229,12 +244,12 @@ def _analytic(x: np.ndarray) -> np.ndarray:
 
 def envelope(x: str) -> Column:
     """Magnitude of the analytic signal of each frame."""
-    return _arrays(lambda v: np.abs(_analytic(v)), "array<double>")(x)
+    return _arrays(lambda v: np.abs(analytic(v)), "array<double>")(x)
 
 
 def hilbert_envelope(s: Signal, size: int = 512, hop: int | None = None) -> DataFrame:
     """The envelope's last sample of each frame: rows (keys, frame_idx, envelope)."""
-    return framed(s, size, max(1, size // 2) if hop is None else hop, lambda x: np.abs(_analytic(x))[:, -1], "envelope")
+    return framed(s, size, max(1, size // 2) if hop is None else hop, lambda x: np.abs(analytic(x))[:, -1], "envelope")
 
 
 def wavelet(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +258,8 @@ def wavelet(name: str) -> tuple[np.ndarray, np.ndarray]:
     return low, (low * (-1) ** np.arange(len(low)))[::-1]
 
 
-def dwt(x: str, name: str = "haar") -> Column:
-    """One level: approximation, then detail, of a symmetrically extended frame."""
+def dwt_fn(name: str = "haar"):
+    """One level of each row: approximation, then detail, of a symmetrically extended frame."""
     low, high = wavelet(name)
 
     def run(v):
@@ -253,7 +268,12 @@ def dwt(x: str, name: str = "haar") -> Column:
         view = np.lib.stride_tricks.sliding_window_view(padded, k, axis=1)[:, ::2]
         return np.concatenate([view @ low, view @ high], axis=1)
 
-    return _arrays(run, "array<double>")(x)
+    return run
+
+
+def dwt(x: str, name: str = "haar") -> Column:
+    """One level: approximation, then detail, of a symmetrically extended frame."""
+    return _arrays(dwt_fn(name), "array<double>")(x)
 
 
 def haar(s: Signal) -> DataFrame:

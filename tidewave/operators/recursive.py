@@ -6,7 +6,6 @@ Parallel across series only; a single recurrence is sequential by nature.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import kernels as K
 from ..functions.design import Coefficients
+from ..functions.states import pack, unpack
 from ..sources.signal import Signal
 
 
@@ -76,7 +76,7 @@ def scan(s: Signal, kernel, inputs: Sequence[str] | None = None, outputs: Sequen
                     state = kernel.start()
                 if saved is not None:
                     while lo < hi and saved[lo].is_valid:
-                        state, lo = pickle.loads(saved[lo].as_py()), lo + 1
+                        state, lo = unpack(saved[lo].as_py()), lo + 1
                 if lo < hi:
                     got, state = kernel.run(state, x[lo:hi])
                     y[lo:hi] = np.asarray(got).reshape(hi - lo, -1)
@@ -101,7 +101,7 @@ def last_states(s: Signal, kernel, inputs: Sequence[str] | None = None) -> DataF
         cuts, state, row = Cuts(keys), None, None
 
         def ended():
-            return pa.RecordBatch.from_arrays([*row, pa.array([pickle.dumps(state)], pa.binary())], names=[*keys, "state"])
+            return pa.RecordBatch.from_arrays([*row, pa.array([pack(state)], pa.binary())], names=[*keys, "state"])
 
         for b in batches:
             if not b.num_rows:
@@ -138,7 +138,7 @@ def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None =
         cuts, row, state, n, first = Cuts(t_keys), None, None, 0, None
 
         def made():
-            return pa.RecordBatch.from_arrays([*row, pa.array([n]), pa.array([pickle.dumps(state)], pa.binary()), pa.array([first], pa.binary())], names=[*t_keys, "n", "ended", "first"])
+            return pa.RecordBatch.from_arrays([*row, pa.array([n]), pa.array([pack(state)], pa.binary()), pa.array([first], pa.binary())], names=[*t_keys, "n", "ended", "first"])
 
         for b in batches:
             if not b.num_rows:
@@ -149,7 +149,7 @@ def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None =
                     if row is not None:
                         yield made()
                     state, n, row = rest, 0, [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in t_keys]
-                    first = pickle.dumps(K.first_state(kernel, x[lo : lo + 1]))
+                    first = pack(K.first_state(kernel, x[lo : lo + 1]))
                 _, state = kernel.run(state, x[lo:hi])
                 n += hi - lo
         if row is not None:
@@ -165,9 +165,9 @@ def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None =
             for lo, hi, new in cuts(b):
                 for i in range(lo, hi):
                     if new and i == lo:
-                        state = pickle.loads(col("first")[i].as_py())
-                    starts.append(pickle.dumps(kernel.start() if new and i == lo else state))
-                    state = K.advance(kernel, width, state, col("n")[i].as_py(), pickle.loads(col("ended")[i].as_py()))
+                        state = unpack(col("first")[i].as_py())
+                    starts.append(pack(kernel.start() if new and i == lo else state))
+                    state = K.advance(kernel, width, state, col("n")[i].as_py(), unpack(col("ended")[i].as_py()))
             yield pa.RecordBatch.from_arrays([*[col(k) for k in t_keys], pa.array(starts, pa.binary())], names=[*t_keys, "state"])
 
     t_keys = list(t.keys)
@@ -183,7 +183,7 @@ def weights(states: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            w = [pickle.loads(x.as_py())[0] for x in b.column(b.schema.get_field_index("state"))]
+            w = [unpack(x.as_py())[0] for x in b.column(b.schema.get_field_index("state"))]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], pa.array(w, pa.list_(pa.float64()))], names=[*keys, "weights"])
 
     return states.mapInArrow(run, T.StructType([*[states.schema[k] for k in keys], T.StructField("weights", T.ArrayType(T.DoubleType()))]))

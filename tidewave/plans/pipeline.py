@@ -230,7 +230,19 @@ class Pipeline:
         return s.with_(df.drop(s.value).withColumnRenamed("_out", s.value).select(*s.df.columns))
 
     def run(self, signal: Signal) -> DataFrame:
-        return self.signal(signal).df
+        return self.stream(signal) if signal.df.isStreaming else self.signal(signal).df
+
+    def stream(self, signal: Signal, late_ms: float | None = None, initial: DataFrame | None = None, reset: str | None = None) -> DataFrame:
+        """The same on a stream: all stages with a state in one stateful operator. See ``streaming.pipelines.run_stream``."""
+        from ..streaming.pipelines import run_stream
+
+        return run_stream(self.optimized(signal).stages, signal, late_ms, initial, reset).df
+
+    def states(self, signal: Signal) -> DataFrame:
+        """Rows (keys, state) at the end of each series of a batch, for ``stream`` to go on from."""
+        from ..streaming.pipelines import states
+
+        return states(self.optimized(signal).stages, signal)
 
     def describe(self, spark: SparkSession) -> DataFrame:
         rows = [(i, st.name, st.kind, {k: str(v) for k, v in st.params.items()}) for i, st in enumerate(self.stages)]

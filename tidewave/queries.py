@@ -574,7 +574,7 @@ def _(spark, sf):
 
 
 #: What the last sample of a 16-sample frame's quadrature is of its samples.
-QUADRATURE = [float(x) for x in frames._analytic(np.eye(16)).imag[:, -1]]
+QUADRATURE = [float(x) for x in frames.analytic(np.eye(16)).imag[:, -1]]
 FRAMES16 = "f AS (SELECT user_id, i - 1 AS i, value, unnest(range(greatest(0, (i - 1 - 15 + {hop} - 1) // {hop})::BIGINT, (i - 1) // {hop} + 1)) AS frame FROM n), g AS (SELECT user_id, frame, i - frame * {hop} AS n, value AS v FROM f WHERE i - frame * {hop} BETWEEN 0 AND 15), c AS (SELECT user_id, frame FROM g GROUP BY 1, 2 HAVING count(*) = 16)"
 
 

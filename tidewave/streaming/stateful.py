@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Sequence
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
+from ..functions.states import pack, unpack
+
 
 class RowWindow:
     """A kernel of trailing windows: ``fn`` of the last ``size`` samples, fewer at the start."""
@@ -57,9 +58,9 @@ class Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         f = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.kernel.start()
+        state = unpack(self.state.get()[0]) if self.state.exists() else self.kernel.start()
         y, state = self.kernel.run(state, f[self.inputs].to_numpy(np.float64))
-        self.state.update((pickle.dumps(state),))
+        self.state.update((pack(state),))
         f = f[self.columns].copy()
         for j, o in enumerate(self.outputs):
             f[o] = np.asarray(y, np.float64).reshape(len(f), -1)[:, j]
