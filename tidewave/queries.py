@@ -992,6 +992,77 @@ def _(spark, sf):
     return _stream(spark, sf, build).select("event_id", r6(F.col("y") + OFF_TIE))
 
 
+# pipelines on streams: events come in three parts, the stream starts again from its checkpoint for each
+WAIT_MS = 3 * 86_400_000
+
+
+def _stream_pipeline(spark, sf, pipeline: Pipeline, ts: bool = True, arrival: Column | None = None, source: DataFrame | None = None, **how) -> DataFrame:
+    from .streaming.replay import replay_in_parts
+
+    df = events(spark, sf).df if source is None else source
+    us = F.unix_micros("ts") if arrival is None else arrival
+    return replay_in_parts(spark, df, us, lambda d: pipeline.stream(Signal.of(d, ["user_id"], ["ts", "event_id"], ts="ts" if ts else None), **how))
+
+
+def _emg(s: DataFrame) -> DataFrame:
+    return s.withColumn("value", F.col("value") - 50)
+
+
+@query("stream_chain_emg", SQL["chain_emg"])
+def _(spark, sf):
+    """``chain_emg`` in one stateful operator."""
+    p = Pipeline().apply("centre", _emg).rectify().moving_average(size=5).rms(size=5)
+    return _stream_pipeline(spark, sf, p).select("event_id", r6("value"))
+
+
+@query("stream_chain_kernels", SQL["chain_kernels"])
+def _(spark, sf):
+    return _stream_pipeline(spark, sf, Pipeline().ema(alpha=0.3).integrate(alpha=0.9)).select("event_id", r6(F.col("value") + OFF_TIE))
+
+
+@query("stream_stft", SQL["stft"])
+def _(spark, sf):
+    d = _stream_pipeline(spark, sf, Pipeline().stft(size=16, hop=8, form="power")).select("user_id", "frame_idx", F.posexplode("value").alias("bin", "p"))
+    return d.select("user_id", "frame_idx", F.col("bin").cast("bigint").alias("bin"), (F.round("p", 4) + 0.0).alias("power"))
+
+
+@query("stream_moving_fft", SQL["moving_fft"])
+def _(spark, sf):
+    d = _stream_pipeline(spark, sf, Pipeline().stft(size=16, hop=1, window="none")).select("user_id", "frame_idx", F.posexplode("value").alias("bin", "m"))
+    return d.select("user_id", "frame_idx", F.col("bin").cast("bigint").alias("bin"), r6("m", "magnitude"))
+
+
+@query("stream_resample", SQL["resample"])
+def _(spark, sf):
+    return _stream_pipeline(spark, sf, Pipeline().resample(up=3, down=2, order=21), ts=False).select("user_id", "idx", r6("value"))
+
+
+@query("stream_align_hold", SQL["align_linear_hold"] + " WHERE t1 IS NOT NULL")
+def _(spark, sf):
+    """The points up to each user's last event; what lies beyond waits for the next."""
+    d = _stream_pipeline(spark, sf, Pipeline().align(rate=1 / 86_400, gap_policy="hold", gap_ms=3 * 86_400_000.0))
+    return d.select("user_id", "idx", F.unix_micros("ts").alias("t_us"), r6("value"))
+
+
+@query("stream_out_of_order", SQL["chain_kernels"].replace("FROM events", f"FROM (SELECT * FROM (SELECT *, max(epoch_us(ts::TIMESTAMP)) OVER (PARTITION BY user_id) AS last FROM events) WHERE epoch_us(ts::TIMESTAMP) < last - {WAIT_MS * 1000}) events"))
+def _(spark, sf):
+    """Events arrive up to three days late, and wait as long: those before each user's last three days have gone on, in order."""
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(WAIT_MS * 1000))
+    d = _stream_pipeline(spark, sf, Pipeline().ema(alpha=0.3).integrate(alpha=0.9), arrival=arrival, late_ms=WAIT_MS)
+    return d.where("not late").select("event_id", r6(F.col("value") + OFF_TIE))
+
+
+@query("stream_from_batch", SQL["chain_emg"])
+def _(spark, sf):
+    """The first half of each user's events as a batch; a stream goes on from its states."""
+    p = Pipeline().apply("centre", _emg).rectify().moving_average(size=5).rms(size=5)
+    df = events(spark, sf).df
+    middle = df.select(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    before = Signal.of(df.where(F.unix_micros("ts") <= middle), ["user_id"], ["ts", "event_id"], ts="ts")
+    after = _stream_pipeline(spark, sf, p, source=df.where(F.unix_micros("ts") > middle), initial=p.states(before))
+    return p.run(before).unionByName(after).select("event_id", r6("value"))
+
+
 @query("stream_tumbling", "SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value) + 1.23e-7::DOUBLE, 6) AS mean, epoch_us(ts::TIMESTAMP) // 86400000000 AS day FROM events GROUP BY user_id, day")
 def _(spark, sf):
     from .streaming.stateful import tumbling

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,3 +39,18 @@ def replay(spark: SparkSession, path: str, schema: T.StructType, build: Callable
         q = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def replay_in_parts(spark: SparkSession, rows: DataFrame, by: Column, build: Callable[[DataFrame], DataFrame], parts: int = 3) -> DataFrame:
+    """As ``replay`` of ``rows``, which arrive in ``parts`` by the number ``by`` (cut at its quantiles): the stream stops after each and starts again from its checkpoint."""
+    folder = shared_folder(spark)
+    shares = [k / parts for k in range(1, parts)]
+    cuts = rows.select(F.percentile_approx(by, shares)).first()[0] if shares else []
+    part = F.lit(0)
+    for c in cuts or []:
+        part = part + F.when(by > c, 1).otherwise(0)
+    out = None
+    for k in range(parts):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/source")
+        out = replay(spark, f"{folder}/source", rows.schema, build, folder=folder)
+    return out
