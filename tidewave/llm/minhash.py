@@ -341,6 +341,8 @@ def _classes(docs: DataFrame, percent: int, carry: tuple[str, ...], named: Colum
         s.where(F.col("d").isNotNull() & named)
         .groupBy("d")
         .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct(own.alias("k"), "t")).alias("of"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "bands")).alias("x"))
+        # numbered in the order of their least ids: the first text of a group is its hub, as copies mostly come after what they copy
+        .orderBy(F.col("first").asc_nulls_last(), "d")
         .select("d", F.monotonically_increasing_id().alias("id"), "first", "size", "of", "x.*")
     )
     bands = classes.select("id", F.explode("bands").alias("h"))
