@@ -65,10 +65,24 @@ def like(state, v: np.ndarray):
 
 def advance(kernel, width: int, state, n: int, ended):
     """The state after ``n`` rows from ``state``, if from rest these rows lead to ``ended``."""
+    if isinstance(kernel, Fir) and n >= len(kernel.b) - 1:
+        return ended  # nothing of the state is left
+    if isinstance(kernel, Bank):
+        return tuple(advance(k, width, s, n, e) for k, s, e in zip(kernel.kernels, state, ended, strict=True))
+    return like(at_rest(kernel), _power(kernel, width, n) @ flat(state) + flat(ended))
+
+
+@lru_cache(maxsize=256)
+def _step(kernel, width: int) -> np.ndarray:
+    """What one row of zeros makes of a state."""
     rest = at_rest(kernel)
     dim = len(flat(rest))
-    step = np.array([flat(kernel.run(like(rest, e), np.zeros((1, width)))[1]) for e in np.eye(dim)]).reshape(dim, dim).T
-    return like(rest, np.linalg.matrix_power(step, n) @ flat(state) + flat(ended))
+    return np.array([flat(kernel.run(like(rest, e), np.zeros((1, width)))[1]) for e in np.eye(dim)]).reshape(dim, dim).T
+
+
+@lru_cache(maxsize=1024)
+def _power(kernel, width: int, n: int) -> np.ndarray:
+    return np.linalg.matrix_power(_step(kernel, width), n)
 
 
 BLOCK = 64
@@ -216,10 +230,37 @@ class Bank:
         return np.column_stack([np.asarray(y, np.float64).reshape(len(x), -1) for y, _ in made]), tuple(s for _, s in made)
 
 
+#: Taps from which a convolution goes by Fourier transforms.
+LONG = 128
+
+
+@lru_cache(maxsize=64)
+def _transformed(b: tuple[float, ...], size: int) -> np.ndarray:
+    return np.fft.rfft(np.array(b), size)
+
+
+def _overlap_save(whole: np.ndarray, b: tuple[float, ...]) -> np.ndarray:
+    """The valid part of the convolution, a block of some times the taps at a time: each holds the taps' reach before it, which its transform spoils and which is left out."""
+    reach = len(b) - 1
+    size = 1 << (8 * len(b) - 1).bit_length()
+    size = min(size, 1 << (len(whole) - 1).bit_length()) if len(whole) > 2 * len(b) else size
+    step = size - reach
+    n = len(whole) - reach
+    blocks = -(-n // step)
+    padded = np.concatenate([whole, np.zeros(blocks * step + reach - len(whole))])
+    h, out = _transformed(b, size), np.empty(blocks * step)
+    views = np.lib.stride_tricks.sliding_window_view(padded, size)[::step]
+    at_once = max(1, (1 << 20) // size)
+    for at in range(0, blocks, at_once):
+        z = np.fft.irfft(np.fft.rfft(views[at : at + at_once]) * h, size)[:, reach:]
+        out[at * step : at * step + z.size] = z.ravel()
+    return out[:n]
+
+
 @linear
 @dataclass(frozen=True)
 class Fir:
-    """y = sum b[k] x[n-k] by one convolution a chunk."""
+    """y = sum b[k] x[n-k]: by a convolution a chunk, of ``LONG`` taps and more by blocks of Fourier transforms that overlap (of a chunk with values that are not finite, not)."""
 
     b: tuple[float, ...]
 
@@ -229,7 +270,11 @@ class Fir:
     def run(self, state, x):
         k = len(self.b) - 1
         whole = np.concatenate([state[0], x[:, 0]])
-        return np.convolve(whole, self.b)[k : len(whole)], (whole[len(whole) - k :],)
+        if len(self.b) >= LONG and len(x) >= LONG and np.isfinite(whole).all():
+            y = _overlap_save(whole, self.b)
+        else:
+            y = np.convolve(whole, self.b)[k : len(whole)]
+        return y, (whole[len(whole) - k :],)
 
 
 @dataclass(frozen=True)
@@ -247,8 +292,8 @@ class Lms:
     weights: tuple[float, ...] | None = None
 
     def __post_init__(self):
-        if self.taps < 1 or not 0 < self.mu <= 1:
-            raise ValueError("taps are at least 1, mu in (0, 1]")
+        if self.taps < 1 or not 0 < self.mu <= 1 or not 0 <= self.leak < 1:
+            raise ValueError("taps are at least 1, mu in (0, 1], leak in [0, 1)")
         if self.weights is not None and len(self.weights) != self.taps:
             raise ValueError("a weight for each tap")
 
@@ -281,8 +326,8 @@ class Rls:
     delta: float = 0.01
 
     def __post_init__(self):
-        if self.taps < 1 or not 0 < self.forget <= 1:
-            raise ValueError("taps are at least 1, forget in (0, 1]")
+        if self.taps < 1 or not 0 < self.forget <= 1 or not self.delta > 0:
+            raise ValueError("taps are at least 1, forget in (0, 1], delta positive")
 
     def start(self):
         return np.zeros(self.taps), np.zeros(self.taps), np.eye(self.taps) * self.delta
@@ -312,8 +357,8 @@ class Kalman:
     initial: float = 1.0
 
     def __post_init__(self):
-        if not 1 <= self.dims <= 10:
-            raise ValueError("dims are 1 to 10")
+        if not 1 <= self.dims <= 10 or not (self.process >= 0 and self.measure > 0 and self.initial >= 0):
+            raise ValueError("dims are 1 to 10, noises and the first covariance not negative, the measurement's positive")
 
     def start(self):
         return None, None, (self.initial, 0.0, self.initial)

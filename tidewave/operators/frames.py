@@ -291,7 +291,10 @@ def distinct_spectra(df: DataFrame, form: str = "power", column: str = "values")
 
 
 def entropies(df: DataFrame, m: int = 2, r: float | None = None, column: str = "values") -> DataFrame:
-    """Sample and approximate entropy of each frame (r: 0.2 deviations unless given)."""
+    """Sample and approximate entropy of each frame (r: 0.2 deviations unless given); null for a null frame and for one of fewer than m + 2 samples.
+
+    A frame's templates all meet; ``entropy.series_entropies`` takes series of any length.
+    """
 
     def count(x, w, tolerance, stop):
         """Of each of the first ``stop`` templates of length ``w``, how many of these lie within the tolerance; some rows of the square at a time."""
@@ -308,6 +311,10 @@ def entropies(df: DataFrame, m: int = 2, r: float | None = None, column: str = "
     def run(col: pd.Series) -> pd.DataFrame:
         se, ae = [], []
         for v in col:
+            if v is None or len(v) < m + 2:
+                se.append(None)
+                ae.append(None)
+                continue
             x = np.asarray(v, np.float64)
             tol = 0.2 * x.std() if r is None else r
             n = len(x)
@@ -315,7 +322,7 @@ def entropies(df: DataFrame, m: int = 2, r: float | None = None, column: str = "
             se.append(-np.log(a / b) if a > 0 and b > 0 else np.inf)
             phi = [np.mean(np.log(count(x, w, tol, n - w + 1) / (n - w + 1))) for w in (m, m + 1)]
             ae.append(phi[0] - phi[1])
-        return pd.DataFrame({"sample_entropy": se, "approximate_entropy": ae})
+        return pd.DataFrame({"sample_entropy": se, "approximate_entropy": ae}, dtype=object)
 
     udf = F.pandas_udf(run, T.StructType([T.StructField("sample_entropy", T.DoubleType()), T.StructField("approximate_entropy", T.DoubleType())]))
     return df.withColumn("_e", udf(column)).select(*df.columns, "_e.*")

@@ -33,12 +33,13 @@ def interpolate(s: Signal, factor: int, order: int = 51, out: str = "y") -> Data
     return resample(s, factor, 1, order, out)
 
 
-def resample(s: Signal, up: int, down: int, order: int = 51, out: str = "y") -> DataFrame:
+def resample(s: Signal, up: int, down: int, order: int = 51, out: str = "y", index: str | None = None) -> DataFrame:
     """The rate times up / down: rows (keys, idx, y), and before y, if the signal has timestamps, that column renewed.
 
     Sample i of the input stands for positions i * up to i * up + up - 1; of these only the positions p with p + 1 a multiple of ``down``
     are computed, each as a weighted sum of lags, so the input is sorted once and no zero is stuffed. Output n has the time at n * down / up
-    samples from the start, on the line between neighbouring timestamps (past the end, on the last line).
+    samples from the start, on the line between neighbouring timestamps (past the end, on the last line). ``index`` names a column with the
+    samples' numbers, unless they are to be counted.
     """
     if up < 1 or down < 1:
         raise ValueError("factors are positive")
@@ -49,7 +50,7 @@ def resample(s: Signal, up: int, down: int, order: int = 51, out: str = "y") ->
     depth = -(-len(taps) // up)
     before = (1 - down) // up  # the time of a position lies between this many samples from its own and two more
     times = [F.unix_micros(F.lag(F.col(s.ts), -k).over(w) if k <= 0 else F.lead(F.col(s.ts), k).over(w)).cast("double") for k in range(before - 1, before + 3)] if s.ts else []
-    lagged = _numbered(s).select(
+    lagged = (_numbered(s) if index is None else s.df.withColumn("_i", F.col(index))).select(
         *s.keys, "_i", F.array(*[F.coalesce(F.lag(s.v, k).over(w), F.lit(0.0)) if k else s.v for k in range(depth)]).alias("_x"), F.array(*times).cast("array<double>").alias("_t")
     )
     first = F.pmod(-1 - F.col("_i") * up, F.lit(down)).cast("int")  # the first phase that stays

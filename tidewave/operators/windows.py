@@ -290,3 +290,101 @@ def vector_sums(s: Signal, other: str | None = None) -> DataFrame:
     if other:
         aggs.append(F.sum(s.v * F.col(other)).alias("dot"))
     return s.df.groupBy(*s.keys).agg(*aggs)
+
+
+#: Samples of a tile's side, and lags of a row that tiles give, of correlations over all lags.
+TILE, LAGS = 1 << 20, 1 << 14
+
+
+def correlation_tiles(s: Signal, other: str | None = None, tile: int = TILE) -> DataFrame:
+    """``autocorrelation`` over all lags of a signal whose rows are ``numbered``: rows (keys, lag, r), no task with more than two tiles of a series.
+
+    A series is cut into tiles of ``tile`` samples, and every tile meets each later one (and itself) by a Fourier transform; what a meeting adds to the lags is
+    summed by blocks of lags. A series of n samples sends n / tile copies of itself, the price of meeting every sample with every other.
+    """
+    from .recursive import doubles
+    from .slices import INDEX
+
+    if INDEX not in s.df.columns:
+        raise ValueError("number the rows first")
+    keys = list(s.keys)
+    x, y = s.v, F.col(other).cast("double") if other else s.v
+    # a row for each run of samples of a tile; a sample's place in its tile is kept, so runs may come in any order
+    own = F.floor(F.col(INDEX) / tile).cast("bigint")
+    whole = s.df.groupBy(*keys).agg(F.max(INDEX).alias("_top")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_top") + 1).alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = s.df.select(*keys, F.col(INDEX).alias("_i"), x.alias("_x"), y.alias("_y"), own.alias("_own")).join(whole, same or F.lit(True))
+    # x of tile p meets y of the tiles q >= p
+    as_x = rows.select(*keys, "_n", "_i", F.col("_x").alias("_v"), F.lit(0).alias("_side"), F.col("_own").alias("_p"), F.explode(F.sequence("_own", F.floor((F.col("_n") - 1) / tile).cast("bigint"))).alias("_q"))
+    as_y = rows.select(*keys, "_n", "_i", F.col("_y").alias("_v"), F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0).cast("bigint"), "_own")).alias("_p"), F.col("_own").alias("_q"))
+    kind = T.StructType([*[s.df.schema[k] for k in keys], T.StructField("block", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    width = LAGS
+
+    def meet(batches):
+        from .recursive import Cuts
+
+        cuts, held, row, at = Cuts([*keys, "_p", "_q"]), None, None, (0, 0, 0)
+
+        def ended():
+            p, q, n = at
+            a, b = held
+            if len(a) * len(b) <= 1 << 16:
+                r = np.correlate(np.concatenate([np.zeros(len(a) - 1), b, np.zeros(len(a) - 1)]), a, "valid")  # lags 1 - len(a) to len(b) - 1
+            else:
+                size = 1 << (len(a) + len(b) - 1).bit_length()
+                z = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)
+                r = np.concatenate([z[size - len(a) + 1 :], z[: len(b)]])
+            lags = np.arange(1 - len(a), len(b)) + (q - p) * tile
+            r, lags = r[lags >= 0], lags[lags >= 0]
+            for block in range(int(lags[0]) // width, int(lags[-1]) // width + 1):
+                sums = np.zeros(min(width, n - block * width))
+                here = (lags >= block * width) & (lags < (block + 1) * width)
+                sums[lags[here] - block * width] = r[here]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([block]), pa.array([sums], pa.list_(pa.float64()))], names=[*keys, "block", "sums"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            get = lambda c, b=b: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            v, side, i, p, q, n = doubles(b, ["_v"])[:, 0], get("_side"), get("_i"), get("_p"), get("_q"), get("_n")
+            for lo, hi, new in cuts(b):
+                if new:
+                    if row is not None:
+                        yield from ended()
+                    at, row = (int(p[lo]), int(q[lo]), int(n[lo])), [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in keys]
+                    held = [np.zeros(min(tile, at[2] - t * tile)) for t in at[:2]]
+                for k in (0, 1):
+                    mine = slice(lo, hi)
+                    of = side[mine] == k
+                    held[k][i[mine][of] - at[k] * tile] = v[mine][of]
+        if row is not None:
+            yield from ended()
+
+    def add(batches):
+        from .recursive import Cuts
+
+        cuts, total, row, block = Cuts([*keys, "block"]), None, None, 0
+
+        def ended():
+            n = len(total)
+            return pa.RecordBatch.from_arrays([*[c.take(pa.array(np.zeros(n, np.int64))) for c in row], pa.array(np.arange(n) + block * width), pa.array(total)], names=[*keys, "lag", "r"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sums = b.column(b.schema.get_field_index("sums"))
+            for lo, hi, new in cuts(b):
+                if new:
+                    if row is not None:
+                        yield ended()
+                    row, block, total = [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in keys], b.column(b.schema.get_field_index("block"))[lo].as_py(), None
+                for j in range(lo, hi):
+                    x = sums[j].values.to_numpy()
+                    total = x.copy() if total is None else total + x
+        if row is not None:
+            yield ended()
+
+    pairs = [*keys, "_p", "_q"]
+    met = as_x.unionByName(as_y).repartition(*pairs).sortWithinPartitions(*pairs).mapInArrow(meet, kind)
+    out = T.StructType([*[s.df.schema[k] for k in keys], T.StructField("lag", T.LongType()), T.StructField("r", T.DoubleType())])
+    return met.repartition(*keys, "block").sortWithinPartitions(*keys, "block").mapInArrow(add, out)
