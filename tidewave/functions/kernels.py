@@ -31,6 +31,8 @@ def first_state(kernel, x: np.ndarray):
     """The state that a series starts from, given its first inputs (a row)."""
     if isinstance(kernel, Ema):
         return (float(x[0, 0]),)
+    if isinstance(kernel, Kalman):
+        return tuple(x[0, : kernel.dims].tolist()), (0.0,) * kernel.dims, (kernel.initial, 0.0, kernel.initial)
     if isinstance(kernel, Bank):
         return tuple(first_state(k, x) for k in kernel.kernels)
     if isinstance(kernel, Chain):
@@ -316,6 +318,25 @@ class Lms:
             out[i] = e
         return out, (w, h, power)
 
+    def run_many(self, states, x: np.ndarray, lengths: np.ndarray):
+        """As ``run`` of many series side by side: inputs (series, row, 2), padded after ``lengths``, which do not rise. One step of all series for each row."""
+        w, h, power = (np.array([s[j] for s in states], np.float64) for j in range(3))
+        out = np.zeros(x.shape[:2])
+        for i in range(x.shape[1]):
+            n = int(np.searchsorted(-lengths, -i, "left"))  # the series that have a row i
+            v, d = x[:n, i, 0], x[:n, i, 1]
+            h[:n, 1:] = h[:n, :-1].copy()
+            h[:n, 0] = v
+            e = d - np.einsum("st,st->s", w[:n], h[:n])
+            step = np.full(n, self.mu)
+            if self.normalized:
+                power[:n] = 0.99 * power[:n] + 0.01 * v * v
+                step = self.mu / (power[:n] * self.taps + 1e-6)
+            if self.adapt:
+                w[:n] = (1 - self.mu * self.leak) * w[:n] + (step * e)[:, None] * h[:n]
+            out[:n, i] = e
+        return out, [(w[j], h[j], float(power[j])) for j in range(len(states))]
+
 
 @dataclass(frozen=True)
 class Rls:
@@ -346,6 +367,28 @@ class Rls:
             out[i] = e
         return out, (w, h, p)
 
+    def run_many(self, states, x: np.ndarray, lengths: np.ndarray):
+        """As ``run`` of many series side by side; see ``Lms.run_many``."""
+        w, h, p = (np.array([s[j] for s in states], np.float64) for j in range(3))
+        out = np.zeros(x.shape[:2])
+        for i in range(x.shape[1]):
+            n = int(np.searchsorted(-lengths, -i, "left"))
+            h[:n, :-1] = h[:n, 1:].copy()  # oldest first
+            h[:n, -1] = x[:n, i, 0]
+            e = x[:n, i, 1] - np.einsum("st,st->s", w[:n], h[:n])
+            ph = np.einsum("stu,su->st", p[:n], h[:n])
+            k = ph / (self.forget + np.einsum("st,st->s", h[:n], ph))[:, None]
+            w[:n] += k * e[:, None]
+            p[:n] = (p[:n] - k[:, :, None] * ph[:, None, :]) / self.forget
+            out[:n, i] = e
+        return out, [(w[j], h[j], p[j]) for j in range(len(states))]
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Of a stack of 2 x 2 matrices."""
+    a, b, c, d = m[..., 0, 0], m[..., 0, 1], m[..., 1, 0], m[..., 1, 1]
+    return np.stack([np.stack([d, -b], -1), np.stack([-c, a], -1)], -2) / (a * d - b * c)[..., None, None]
+
 
 @dataclass(frozen=True)
 class Kalman:
@@ -387,6 +430,47 @@ class Kalman:
             out.append(at)
         return np.array(out).reshape(len(x), d), (at, speed, (c00, c01, c11))
 
+    # What rows do to any state before them, as matrices (A, C, J; b and eta for each dimension) that can be joined in any grouping:
+    # covariance P -> A (I + P J)^-1 P A' + C, state x -> A (I + P J)^-1 (x + P eta) + b.
+
+    def digest(self, x: np.ndarray):
+        """Of the rows ``x``, joined pair by pair."""
+        d, q, s = self.dims, self.process, self.process + self.measure
+        n, z, dt = len(x), x[:, :d], x[:, d]
+        one, zero = np.ones(n), np.zeros(n)
+        k = q / s
+        a = np.stack([np.stack([(1 - k) * one, (1 - k) * dt], -1), np.stack([zero, one], -1)], -2)
+        c = np.broadcast_to(np.diag([(1 - k) * q, q]), (n, 2, 2))
+        j = np.stack([np.stack([one, dt], -1), np.stack([dt, dt * dt], -1)], -2) / s
+        b = np.stack([k * z, np.zeros((n, d))], 1)
+        eta = np.stack([z / s, dt[:, None] * z / s], 1)
+        e = (a, b, c, eta, j)
+        while len(e[0]) > 1:
+            m = len(e[0]) // 2 * 2
+            joined = self._pairs(tuple(v[0:m:2] for v in e), tuple(v[1:m:2] for v in e))
+            e = tuple(np.concatenate([v, w[m:]]) for v, w in zip(joined, e, strict=True))
+        return tuple(np.ascontiguousarray(v[0]) for v in e)
+
+    @staticmethod
+    def _pairs(first, then):
+        (a, b, c, eta, j), (a2, b2, c2, eta2, j2) = first, then
+        t = lambda m: np.swapaxes(m, -1, -2)
+        g = a2 @ _inverse(np.eye(2) + c @ j2)
+        h = t(a) @ _inverse(np.eye(2) + j2 @ c)
+        return g @ a, g @ (b + c @ eta2) + b2, g @ c @ t(a2) + c2, h @ (eta2 - j2 @ b) + eta, h @ j2 @ a + j
+
+    def join(self, first, then):
+        return tuple(v[0] for v in self._pairs(tuple(np.asarray(v)[None] for v in first), tuple(np.asarray(v)[None] for v in then)))
+
+    def after(self, state, e):
+        """The state after the rows of a digest."""
+        at, speed, (c00, c01, c11) = state
+        a, b, c, eta, j = e
+        p, x = np.array([[c00, c01], [c01, c11]]), np.array([at, speed])
+        g = a @ np.linalg.inv(np.eye(2) + p @ j)
+        x, p = g @ (x + p @ eta) + b, g @ p @ a.T + c
+        return tuple(x[0].tolist()), tuple(x[1].tolist()), (float(p[0, 0]), float(p[0, 1] + p[1, 0]) / 2, float(p[1, 1]))
+
 
 @dataclass(frozen=True)
 class Cooldown:

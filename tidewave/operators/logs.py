@@ -106,6 +106,45 @@ class Router:
         return self.route(logs, **o).groupBy("route").agg(F.count(F.lit(1)).alias("matched"))
 
 
+def route_by_table(logs: DataFrame, rules: DataFrame, topic: str = "topic", rank: str = "priority") -> DataFrame:
+    """A row for each log row and rule of the table (name, pattern, low, high) that it meets, in column ``route``; patterns with stars as in ``topic_regex``.
+
+    Patterns are a trie of their segments, as rows (node, segment, child). The distinct topics walk it together, a segment at a time: each step joins the nodes
+    reached with the segment itself and both stars, by equality, so the work follows what matches and not rules times topics. Rules without bounds take all
+    priorities. A null topic, pattern or name meets nothing; a rule that repeats counts each time; columns of ``logs`` stay.
+    """
+    if "route" in logs.columns:
+        raise ValueError("the column route is taken")
+    known = rules.where("name is not null and pattern is not null")
+    # a lone star takes any topic, the empty one too: a node of its own that every topic reaches
+    whole = F.when(F.col("pattern").isin("*", "**"), F.lit("")).otherwise(F.concat(F.lit("^."), "pattern"))
+    ends = known.select(whole.alias("node"), F.col("name").alias("_route"), F.coalesce("low", F.lit(-(1 << 31))).alias("_low"), F.coalesce("high", F.lit((1 << 31) - 1)).alias("_high"))
+    parts = F.split("pattern", r"\.", -1)
+    prefix = lambda n: F.concat_ws(".", F.lit("^"), F.slice("_parts", F.lit(1), n))
+    steps = known.where(~F.col("pattern").isin("*", "**")).select(parts.alias("_parts")).select("_parts", F.posexplode("_parts").alias("_n", "segment"))
+    root = F.lit("^")
+    trie = steps.select(F.when(F.col("_n") == 0, root).otherwise(prefix(F.col("_n"))).alias("node"), "segment", prefix(F.col("_n") + 1).alias("child")).distinct()
+    topics = logs.select(F.col(topic).alias("_topic")).where("_topic is not null").distinct().withColumn("_segments", F.split("_topic", r"\.", -1))
+    depth = topics.agg(F.max(F.size("_segments"))).first()[0] or 0
+    # bare: two stars that took one empty segment so far, which is too little
+    at = topics.select("_topic", "_segments", root.alias("node"), F.lit(False).alias("many"), F.lit(False).alias("bare"))
+    reached = topics.select("_topic", F.lit("").alias("node"))
+    edges = trie.select(F.col("node").alias("_from"), F.col("segment").alias("_segment"), "child")
+    for n in range(depth):
+        at = at.where(F.size("_segments") > n).withColumn("_s", F.get("_segments", F.lit(n)))
+        takes = F.array_distinct(F.array(F.col("_s"), F.when(F.col("_s") != "", F.lit("*")), F.lit("**")))
+        on = at.where(~F.col("bare")).select("_topic", "_segments", "_s", "node", F.explode(F.filter(takes, lambda x: x.isNotNull())).alias("_take"))
+        on = on.join(edges, (F.col("node") == F.col("_from")) & (F.col("_take") == F.col("_segment")))
+        many = F.col("_take") == "**"
+        # a literal segment of two stars in a topic is taken by the stars
+        went = on.select("_topic", "_segments", F.col("child").alias("node"), many.alias("many"), (many & (F.col("_s") == "")).alias("bare"))
+        stays = at.where("many").select("_topic", "_segments", "node", F.lit(True).alias("many"), F.lit(False).alias("bare"))
+        at = went.unionByName(stays).groupBy("_topic", "_segments", "node").agg(F.max("many").alias("many"), F.min("bare").alias("bare"))
+        reached = reached.unionByName(at.where((F.size("_segments") == n + 1) & ~F.col("bare")).select("_topic", "node"))
+    met = reached.join(ends, "node").select("_topic", "_route", "_low", "_high")
+    return logs.join(met, F.col(topic) == F.col("_topic")).where(F.col(rank).between(F.col("_low"), F.col("_high"))).select(*[logs[c] for c in logs.columns], F.col("_route").alias("route"))
+
+
 def latest(logs: DataFrame, keys: list[str], order: list[str], capacity: int = 32) -> DataFrame:
     """The last ``capacity`` rows of each key: a bounded buffer."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])

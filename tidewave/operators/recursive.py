@@ -56,6 +56,54 @@ def sorted_rows(s: Signal) -> DataFrame:
 STATE = "_state"
 
 
+#: Rows that are gathered for series to run side by side, and series from which they do.
+GATHER, SIDE_BY_SIDE = 65_536, 8
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``GATHER`` rows."""
+    held: list[pa.RecordBatch] = []
+
+    def one():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and sum(x.num_rows for x in held) + b.num_rows > GATHER:
+            yield one()
+            held = []
+        held.append(b)
+    if held:
+        yield one()
+
+
+def side_by_side(kernel, runs: list[tuple], x: np.ndarray, y: np.ndarray):
+    """Run series (from, to, state) of ``x`` into ``y``, those of like lengths side by side; the state of the last."""
+    ended: list = [None] * len(runs)
+    order = sorted(range(len(runs)), key=lambda i: runs[i][0] - runs[i][1])  # the longest first
+    at = 0
+    while at < len(order):
+        longest = runs[order[at]][1] - runs[order[at]][0]
+        some = [i for i in order[at : at + 4096] if 2 * (runs[i][1] - runs[i][0]) >= longest]  # at most half of the array is padding
+        at += len(some)
+        if len(some) < SIDE_BY_SIDE:
+            for i in some:
+                lo, hi, state = runs[i]
+                got, ended[i] = kernel.run(state, x[lo:hi])
+                y[lo:hi] = np.asarray(got).reshape(hi - lo, -1)
+            continue
+        lengths = np.array([runs[i][1] - runs[i][0] for i in some])
+        wide = np.zeros((len(some), longest, x.shape[1]))
+        for j, i in enumerate(some):
+            wide[j, : lengths[j]] = x[runs[i][0] : runs[i][1]]
+        got, states = kernel.run_many([runs[i][2] for i in some], wide, lengths)
+        for j, i in enumerate(some):
+            y[runs[i][0] : runs[i][1], 0] = got[j, : lengths[j]]
+            ended[i] = states[j]
+    return ended[-1]
+
+
 def scan(s: Signal, kernel, inputs: Sequence[str] | None = None, outputs: Sequence[str] = ("y",), states: DataFrame | None = None) -> DataFrame:
     """``s.df`` with the kernel's outputs; ``inputs`` are the columns that it reads (the value, if none).
 
@@ -64,22 +112,30 @@ def scan(s: Signal, kernel, inputs: Sequence[str] | None = None, outputs: Sequen
     inputs, outputs, keys, handed = list(inputs or [s.value]), list(outputs), list(s.keys), states is not None
     schema = T.StructType([*s.df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs]])
 
+    lockstep = hasattr(kernel, "run_many")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, state = Cuts(keys), None
-        for b in batches:
+        for b in gathered(batches) if lockstep else batches:
             if not b.num_rows:
                 continue
             x, y = doubles(b, inputs), np.empty((b.num_rows, len(outputs)))
             saved = b.column(b.schema.get_field_index(STATE)) if handed else None
+            runs = []
             for lo, hi, new in cuts(b):
                 if new:
                     state = kernel.start()
                 if saved is not None:
                     while lo < hi and saved[lo].is_valid:
                         state, lo = unpack(saved[lo].as_py()), lo + 1
-                if lo < hi:
+                if lo < hi and lockstep:
+                    runs.append((lo, hi, state))
+                elif lo < hi:
                     got, state = kernel.run(state, x[lo:hi])
                     y[lo:hi] = np.asarray(got).reshape(hi - lo, -1)
+            if runs:
+                ended = side_by_side(kernel, runs, x, y)
+                state = ended if runs[-1][1] == b.num_rows else state
             columns = [*(c for c, f in zip(b.columns, b.schema, strict=True) if f.name != STATE), *[pa.array(y[:, j]) for j in range(len(outputs))]]
             out = pa.RecordBatch.from_arrays(columns, names=[*(n for n in b.schema.names if n != STATE), *outputs])
             yield out if saved is None else out.filter(saved.is_null())
@@ -121,16 +177,17 @@ def last_states(s: Signal, kernel, inputs: Sequence[str] | None = None) -> DataF
 
 
 def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None = None, outputs: Sequence[str] = ("y",)) -> DataFrame:
-    """As ``scan`` of a linear kernel, parallel within a series: ``part`` (never null, such as an hour of the timestamp) cuts it into slices and does not fall in its order.
+    """As ``scan``, parallel within a series, of a linear kernel or one that can digest rows: ``part`` (never null, such as an hour of the timestamp) cuts a series into slices and does not fall in its order.
 
-    A first pass runs every slice from rest and keeps its last state and length. States are then carried from slice to slice, a row each; a
+    A first pass runs every slice from rest and keeps its last state and length, or its digest. States are then carried from slice to slice, a row each; a
     second pass runs every slice from its own. So a series with a third of all rows spreads over tasks, at the price of two passes.
     """
-    if not K.is_linear(kernel):
-        raise ValueError("only linear kernels can run in slices")
+    digests = hasattr(kernel, "digest")
+    if not digests and not K.is_linear(kernel):
+        raise ValueError("only linear kernels and those with digests can run in slices")
     inputs, keys = list(inputs or [s.value]), list(s.keys)
     t = s.with_(s.df.withColumn("_part", part), keys=(*keys, "_part"))
-    width, rest = len(inputs), K.at_rest(kernel)
+    width, rest = len(inputs), None if digests else K.at_rest(kernel)
     # of each slice: its last state from rest, its length, and what a series would start from with its first row
     kind = T.StructType([*[t.df.schema[k] for k in t.keys], T.StructField("n", T.LongType()), T.StructField("ended", T.BinaryType()), T.StructField("first", T.BinaryType())])
 
@@ -150,7 +207,10 @@ def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None =
                         yield made()
                     state, n, row = rest, 0, [b.column(b.schema.get_field_index(k)).slice(lo, 1) for k in t_keys]
                     first = pack(K.first_state(kernel, x[lo : lo + 1]))
-                _, state = kernel.run(state, x[lo:hi])
+                if digests:
+                    state = kernel.digest(x[lo:hi]) if state is None else kernel.join(state, kernel.digest(x[lo:hi]))
+                else:
+                    _, state = kernel.run(state, x[lo:hi])
                 n += hi - lo
         if row is not None:
             yield made()
@@ -167,7 +227,8 @@ def scan_sliced(s: Signal, kernel, part: Column, inputs: Sequence[str] | None =
                     if new and i == lo:
                         state = unpack(col("first")[i].as_py())
                     starts.append(pack(kernel.start() if new and i == lo else state))
-                    state = K.advance(kernel, width, state, col("n")[i].as_py(), unpack(col("ended")[i].as_py()))
+                    ended = unpack(col("ended")[i].as_py())
+                    state = kernel.after(state, ended) if digests else K.advance(kernel, width, state, col("n")[i].as_py(), ended)
             yield pa.RecordBatch.from_arrays([*[col(k) for k in t_keys], pa.array(starts, pa.binary())], names=[*t_keys, "state"])
 
     t_keys = list(t.keys)
@@ -189,6 +250,22 @@ def weights(states: DataFrame) -> DataFrame:
     return states.mapInArrow(run, T.StructType([*[states.schema[k] for k in keys], T.StructField("weights", T.ArrayType(T.DoubleType()))]))
 
 
+def states_of_weights(df: DataFrame, keys: Sequence[str], kernel: K.Lms | K.Rls) -> DataFrame:
+    """Rows (keys, state) for ``scan`` of an adaptive filter from rows (keys, weights), so that each series starts from its own; a null or an array of another length is refused."""
+    keys = list(keys)
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for w in b.column(b.schema.get_field_index("weights")).to_pylist():
+                if w is None or len(w) != kernel.taps or None in w:
+                    raise ValueError("a weight for each tap")
+                made.append(pack((np.array(w, np.float64), *kernel.start()[1:])))
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], pa.array(made, pa.binary())], names=[*keys, "state"])
+
+    return df.select(*keys, "weights").mapInArrow(run, T.StructType([*[df.schema[k] for k in keys], T.StructField("state", T.BinaryType())]))
+
+
 def ema(s: Signal, alpha: float, out: str = "y") -> DataFrame:
     return scan(s, K.Ema(alpha), outputs=[out])
 
@@ -244,6 +321,22 @@ def rls(s: Signal, x: str, desired: str, taps: int, forget: float = 0.99, delta:
     return scan(s, K.Rls(taps, forget, delta), [x, desired], [out])
 
 
+def kalman_sliced(s: Signal, columns: Sequence[str], process: float = 1e-5, measure: float = 1e-2, initial: float = 1.0, width: int = 100_000) -> DataFrame:
+    """``kalman`` over a signal whose rows are numbered (``slices.numbered``), parallel within a series: slices of ``width`` rows are digested, and states carried over their digests."""
+    from .slices import INDEX, in_row_slices
+
+    def interval(t: Signal) -> Column:
+        us = F.unix_micros(F.col(s.ts)) / 1e6
+        return F.coalesce(us - F.lag(us).over(t.window()), F.lit(0.0))
+
+    df = in_row_slices(s, interval, 1, width, "_dt") if s.ts else s.df.withColumn("_dt", F.lit(1.0))
+    if not s.ts:
+        df = df.withColumn("_dt", F.when(F.col(INDEX) == 0, 0.0).otherwise(F.col("_dt")))
+    k = K.Kalman(len(columns), process, measure, initial)
+    t = s.with_(df, order=(INDEX,))
+    return scan_sliced(t, k, F.floor(F.col(INDEX) / width), [*columns, "_dt"], [f"kf_{c}" for c in columns]).drop("_dt")
+
+
 def kalman(s: Signal, columns: Sequence[str], process: float = 1e-5, measure: float = 1e-2, initial: float = 1.0) -> DataFrame:
     """Columns named kf_* for each measured one; the interval is that of the timestamps, in seconds (1 without them)."""
     if s.ts:

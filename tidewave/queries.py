@@ -883,6 +883,65 @@ def _(spark, sf):
     return models.gsc(lineitem(spark, sf), FOUR, _WEIGHTS, _BLOCK).select("l_orderkey", "l_linenumber", r6("noise_reference", "noise_reference"), r6("beam", "beam"))
 
 
+# within a series: rows are numbered by a range of series and order, slices of them are partitions
+SLICE = 32
+
+
+def _numbered(spark, sf) -> Signal:
+    from .operators import slices
+
+    return slices.numbered(events(spark, sf))
+
+
+@query("moving_average_in_slices", SQL["moving_average"])
+def _(spark, sf):
+    from .operators.slices import in_row_slices
+
+    return in_row_slices(_numbered(spark, sf), lambda s: windows.moving_average(s, 7), 6, SLICE).select("event_id", r6(F.col("y") + OFF_TIE))
+
+
+@query("linear_regression_in_slices", SQL["linear_regression_slope"])
+def _(spark, sf):
+    from .operators.slices import in_row_slices
+
+    return in_row_slices(_numbered(spark, sf), lambda s: windows.linear_regression(s, 8, "slope"), 7, SLICE).select("event_id", r6("y"))
+
+
+@query("resample_in_slices", SQL["resample"])
+def _(spark, sf):
+    from .operators.slices import resample_sliced
+
+    return resample_sliced(_numbered(spark, sf), 3, 2, 21, SLICE).select("user_id", "idx", r6("y"))
+
+
+@query("autocorrelation_all_lags", SQL["autocorrelation"].replace(" AND b.i - a.i BETWEEN 0 AND 20", " AND b.i >= a.i"))
+def _(spark, sf):
+    return windows.correlation_tiles(_numbered(spark, sf), tile=SLICE).select("user_id", "lag", F.round("r", 4).alias("r"))
+
+
+@query("kalman_in_slices", SQL["kalman"])
+def _(spark, sf):
+    return recursive.kalman_sliced(_numbered(spark, sf), ["value"], 1e-3, 1.0, width=SLICE).select("event_id", r6(F.col("kf_value") + OFF_TIE))
+
+
+@query(
+    "series_entropies",
+    f"""WITH {NUM}, t AS (SELECT user_id, count(*) AS samples, 0.2::DOUBLE * stddev_pop(value) AS tol FROM events GROUP BY user_id),
+        w AS (SELECT user_id, i, value AS x0, lead(value) OVER (PARTITION BY user_id ORDER BY i) AS x1, lead(value, 2) OVER (PARTITION BY user_id ORDER BY i) AS x2 FROM n),
+        p AS (SELECT a.user_id, a.i, b.i AS j, t.samples, greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)) <= tol AS two, abs(a.x2 - b.x2) <= tol AS third
+              FROM w a JOIN w b USING (user_id) JOIN t USING (user_id) WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL AND t.samples >= 4),
+        c AS (SELECT user_id, i, samples, count(*) FILTER (two) AS c2, count(*) FILTER (two AND j <= samples - 2) AS b2, count(*) FILTER (two AND third) AS c3 FROM p GROUP BY 1, 2, 3),
+        s AS (SELECT user_id, samples, sum(c3 - 1) FILTER (i <= samples - 2) AS a, sum(b2 - 1) FILTER (i <= samples - 2) AS b,
+                     avg(ln(c2 / (samples - 1)::DOUBLE)) - avg(ln(c3 / (samples - 2)::DOUBLE)) FILTER (i <= samples - 2) AS ae FROM c GROUP BY 1, 2)
+        SELECT user_id, t.samples, CASE WHEN s.samples IS NULL THEN NULL WHEN a > 0 AND b > 0 THEN round(-ln(a::DOUBLE / b), 6) + 0.0::DOUBLE ELSE 'inf'::DOUBLE END AS sample_entropy,
+               round(ae, 6) + 0.0::DOUBLE AS approximate_entropy FROM t LEFT JOIN s USING (user_id)""",
+)
+def _(spark, sf):
+    from .operators.entropy import series_entropies
+
+    return series_entropies(_numbered(spark, sf), width=SLICE).select("user_id", "samples", r6("sample_entropy", "sample_entropy"), r6("approximate_entropy", "approximate_entropy"))
+
+
 # logs and chains
 @query(
     "topic_routing",
@@ -896,6 +955,26 @@ def _(spark, sf):
     return routed.select("event_id", "route")
 
 
+RULES = [("urgent", "**", 8, 10), ("all", "events.*", None, None), ("deep", "events.**.x", 0, 10), ("clicks", "events.click", 5, 7)]
+
+
+@query(
+    "topic_rules_table",
+    """WITH l AS (SELECT event_id, 'events.' || event_type AS topic, CASE WHEN value >= 90 THEN 9 WHEN value >= 70 THEN 7 ELSE 5 END AS priority FROM events),
+        u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT 'type-' || event_type AS name, 'events.' || event_type AS pattern, 6 AS low FROM (SELECT DISTINCT event_type FROM events))
+        SELECT event_id, 'urgent' AS route FROM l WHERE priority >= 8
+        UNION ALL SELECT event_id, 'all' FROM l WHERE regexp_full_match(topic, 'events\\.[^.]+')
+        UNION ALL SELECT event_id, 'clicks' FROM l WHERE topic = 'events.click' AND priority BETWEEN 5 AND 7
+        UNION ALL SELECT event_id, name FROM l JOIN r ON l.topic = r.pattern AND l.priority >= r.low""",
+)
+def _(spark, sf):
+    """Rules as rows: some given, one for each type of event."""
+    e = events(spark, sf).df.select("event_id", "event_type", F.concat(F.lit("events."), "event_type").alias("topic"), F.when(F.col("value") >= 90, "error").when(F.col("value") >= 70, "warn").otherwise("info").alias("level"))
+    rules = spark.createDataFrame(RULES, "name string, pattern string, low int, high int")
+    own = e.select("event_type").distinct().select(F.concat(F.lit("type-"), "event_type").alias("name"), F.concat(F.lit("events."), "event_type").alias("pattern"), F.lit(6).alias("low"), F.lit(None).cast("int").alias("high"))
+    return logs.route_by_table(e.withColumn("priority", logs.priority()), rules.unionByName(own)).select("event_id", "route")
+
+
 @query("log_buffer", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 32")
 def _(spark, sf):
     return logs.latest(events(spark, sf).df, ["user_id"], ["ts", "event_id"]).select("event_id")
