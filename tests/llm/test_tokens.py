@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import random
+import string
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from tidewave.llm import bytebpe, tokenid
@@ -123,3 +126,21 @@ def test_byte_bpe_numbers_start_anew(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a b c d e f", "g h", "a b"]})
     kinds = [k for b in bytebpe.split_batches([batch], P.PATTERN, {}) for k in b.column(0).to_pylist()]
     assert kinds.count(2) == 1 and kinds.count(1) == 3 and kinds.count(0) == 6 + 2 + 2
+
+
+def test_byte_bpe_of_long_runs(spark):
+    """Runs without an end equal tiktoken, in work that grows with them: letters, repeats, bytes of other scripts."""
+
+    rng = random.Random(4)
+    run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [run(30_000, string.ascii_lowercase), "a" * 2001, "ha" * 700, run(900, "กะาเแ"), "=" * 1500, run(3000, "etaoin") + " " + run(200, "é"), run(129, "xyz"), run(128, "xyz")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in bytebpe.roundtrip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert time.time() - began < 120
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), i
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()

@@ -35,6 +35,8 @@ TEXT_BYTES = 1 << 23
 #: Documents of the sample, and words of at most so many bytes that are shared: at most so many, so the broadcast is bounded.
 SAMPLE_DOCS, SHARED_WORDS, SHARED_BYTES = 20_000, 300_000, 24
 NO_RANK = 2**31 - 1
+#: Words of more bytes are folded in windows of so many, whose seams are then folded again with so many ids on either side until both ends of it hold.
+WINDOW, SEAMS = 128, (2, 8, 24)
 #: Unicode's white space, as the pattern's \\s has it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: No match of the pattern crosses the ends of one of these.
@@ -81,8 +83,52 @@ class Literals:
 
 
 def encode_word(word: Column, tables: Literals) -> Column:
-    """The ids of a non-empty word (bytes as letters): merge the adjacent pair of lowest rank, the first of equals, until no pair has a rank."""
-    return _let(tables.ranks, lambda table: _fold(word, table))  # the literal stands in the plan once
+    """The ids of a non-empty word (bytes as letters): merge the adjacent pair of lowest rank, the first of equals, until no pair has a rank.
+
+    A word of more than ``WINDOW`` bytes is folded in windows, and whole where no seam tells.
+    """
+
+    def of(t: Column) -> Column:  # the literals stand in the plan once
+        table, pieces = t["ranks"], t["pieces"]
+        long = _let(_windows(word, table), lambda w: F.coalesce(*[_joined(w, table, pieces, k) for k in SEAMS], _fold(word, table)))
+        return F.when(F.length(word) > WINDOW, long).otherwise(_fold(word, table))
+
+    return _let(F.struct(tables.ranks.alias("ranks"), tables.pieces.alias("pieces")), of)
+
+
+def _windows(word: Column, table: Column) -> Column:
+    """The ids of each window of a word."""
+    last = F.floor((F.length(word) - 1) / WINDOW).cast("int")
+    return F.transform(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(word, i * WINDOW + 1, F.lit(WINDOW))), lambda w: _fold(w, table))
+
+
+def _joined(windows: Column, table: Column, pieces: Column, k: int) -> Column:
+    """The ids of a word of any length from those of its windows, in work that grows with it; null where ``k`` ids on either side of a seam do not tell.
+
+    Ids are those of the merges if any two neighbours are: if the bytes of the two, merged by themselves, give the two again. At each seam the last ids of one window and
+    the first of the next are folded together, and hold if they are right beside their neighbours on both sides.
+    """
+    text = lambda ids: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+    folded = lambda bytes_: _let(bytes_, lambda w: _fold(w, table))
+
+    def beside(a: Column, b: Column) -> Column:
+        """Whether ids are right side by side; true if there is none."""
+        return F.when(a.isNull() | b.isNull(), True).otherwise(F.get(folded(F.concat(F.get(pieces, a), F.get(pieces, b))), 0) == a)
+
+    def add(acc: Column, then: Column) -> Column:
+        kept = F.greatest(F.size(acc["open"]) - k, F.lit(0))
+        before = F.when(kept > 0, F.get(acc["open"], kept - 1)).otherwise(acc["before"])
+        placed = lambda m: F.struct(
+            F.concat(acc["done"], F.array(F.slice(acc["open"], F.lit(1), kept))).alias("done"),
+            before.alias("before"),
+            F.concat(m, F.slice(then, F.lit(k + 1), F.greatest(F.size(then) - k, F.lit(0)))).alias("open"),
+            (beside(before, F.get(m, 0)) & beside(F.get(m, F.size(m) - 1), F.get(then, F.lit(k)))).alias("holds"),
+        )
+        seam = folded(F.concat(text(F.slice(acc["open"], kept + 1, F.lit(k))), text(F.slice(then, F.lit(1), F.lit(k)))))
+        return F.when(acc["holds"], _let(seam, placed)).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.lit(None).cast("int").alias("before"), F.array().cast("array<int>").alias("open"), F.lit(True).alias("holds"))
+    return F.aggregate(windows, start, add, lambda x: F.when(x["holds"], F.flatten(F.concat(x["done"], F.array(x["open"])))))
 
 
 def _fold(word: Column, table: Column) -> Column:
