@@ -158,8 +158,13 @@ def candidates(sketch: np.ndarray, n: np.ndarray, root: np.ndarray, left: np.nda
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
+#: Rows of ``block_candidates``.
+FOUND = ("h", "p", "q", "own", "a", "b", "root", "n", "parts")
+
+
 def block_candidates(batches, percent: int, sparse: int):
-    """Rows (a, b) of a block's candidate pairs or, of a dense block, rows (block, a) of the classes that have some."""
+    """Rows (a, b) of a block's candidate pairs or, of a dense block, rows (block, own, a, root, n, parts) of the classes that have some: parts is the
+    number of ranges of hashes in which their sets are compared."""
     none = lambda k: pa.nulls(k, pa.int64())
     for block, r in sorted_groups(batches, ("h", "p", "q")):
         get = lambda c: r.column(c).to_numpy()
@@ -174,11 +179,13 @@ def block_candidates(batches, percent: int, sparse: int):
         if not len(i):
             continue
         if len(i) <= sparse * len(ids):
-            cols = [none(len(i))] * 3 + [pa.array(ids[i]), pa.array(ids[j])]
+            cols = [*[none(len(i))] * 4, pa.array(ids[i]), pa.array(ids[j]), *[none(len(i))] * 3]
         else:
-            some = ids[np.union1d(i, j)]
-            cols = [pa.array(np.full(len(some), x, np.int64)) for x in block] + [pa.array(some), none(len(some))]
-        yield pa.RecordBatch.from_arrays(cols, names=["h", "p", "q", "a", "b"])
+            some = np.union1d(i, j)
+            each = np.full(len(some), 1, np.int64)
+            cols = [*[pa.array(each * x) for x in block], pa.array(own[some].astype(np.int64)), pa.array(ids[some]), none(len(some)), pa.array(get("root")[some])]
+            cols += [pa.array(get("n")[some]), pa.array(each * (int(get("n")[some].sum()) // PART_HASHES + 1))]
+        yield pa.RecordBatch.from_arrays(cols, names=list(FOUND))
 
 
 def shingle_parts(batches):
@@ -341,8 +348,6 @@ def _classes(docs: DataFrame, percent: int, carry: tuple[str, ...], named: Colum
         s.where(F.col("d").isNotNull() & named)
         .groupBy("d")
         .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct(own.alias("k"), "t")).alias("of"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "bands")).alias("x"))
-        # numbered in the order of their least ids: the first text of a group is its hub, as copies mostly come after what they copy
-        .orderBy(F.col("first").asc_nulls_last(), "d")
         .select("d", F.monotonically_increasing_id().alias("id"), "first", "size", "of", "x.*")
     )
     bands = classes.select("id", F.explode("bands").alias("h"))
@@ -373,7 +378,7 @@ def _classes(docs: DataFrame, percent: int, carry: tuple[str, ...], named: Colum
         label = components(links, scratch)
 
     if n_ids:
-        sketches = save(classes.join(sized(ids, n_ids), "id", "left_semi").select("id", "n", "s0", "s1", "s2", "s3"))
+        sketches = save(classes.join(sized(ids, n_ids), "id", "left_semi").select("id", "n", "s0", "s1", "s2", "s3", "first"))
         of = classes.join(sized(ids, n_ids), "id", "left_semi").select("id", F.col("of.k").alias("k"), F.col("of.t").alias("ct"))
         texts = save(rows.select(own.alias("own"), "t", "text").join(sized(of, n_ids), (F.col("own") == F.col("k")) & (F.col("t") == F.col("ct"))).select("id", "text"))
         if texts.count() > n_ids:  # rows that repeat an id and text are compared once
@@ -381,7 +386,10 @@ def _classes(docs: DataFrame, percent: int, carry: tuple[str, ...], named: Colum
         near = sized(sketches, n_ids)
         for turn in range(ROUNDS):
             each = labelled(members)
-            first = F.min(F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("o"), "id", "root")).alias("hub")
+            if not turn:  # the text of the least id is the first hub, as copies mostly come after what they copy
+                each = each.join(near.select("id", "first"), "id")
+            order = F.xxhash64("id", F.lit(turn)) if turn else F.coalesce("first", F.lit(2**63 - 1))
+            first = F.min(F.struct(order.alias("o"), "id", "root")).alias("hub")
             hubs = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), first).where("lo <> hi").select(F.col("h").alias("g"), "hub")
             stars = each.join(hubs, F.col("h") == F.col("g")).where("root <> hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
             near_ones = stars.join(near.alias("x"), F.col("a") == F.col("x.id")).join(near.alias("y"), F.col("b") == F.col("y.id")).where(_close(percent))
@@ -406,15 +414,13 @@ def _classes(docs: DataFrame, percent: int, carry: tuple[str, ...], named: Colum
         def compare(batches):
             yield from dense_links(batches, percent)
 
-        rest = save(placed.join(near, "id").repartition(*block).sortWithinPartitions(*block).mapInArrow(sift, "h bigint, p bigint, q bigint, a bigint, b bigint"))
+        rest = save(placed.join(near, "id").repartition(*block).sortWithinPartitions(*block).mapInArrow(sift, ", ".join(f"{c} bigint" for c in FOUND)))
         for found in (verified(rest.where("b is not null").select("a", "b").distinct()), None):
             if found is None:
-                dense = rest.where("b is null").select(*[F.col(c).cast("bigint").alias(f"d{c}") for c in block], F.col("a").alias("tid"))
+                dense = rest.where("b is null").drop("b")
                 if not dense.limit(1).count():
                     break
-                of = placed.join(dense, [F.col(c) == F.col(f"d{c}") for c in block] + [F.col("id") == F.col("tid")], "left_semi").join(near.select("id", "n"), "id")
-                parts = of.groupBy(*block).agg((F.floor(F.sum("n") / PART_HASHES) + 1).cast("bigint").alias("parts"))
-                full = of.join(parts, block).join(texts, "id").select(*[F.col(c).cast("bigint").alias(c) for c in (*block, "own", "id", "root", "n", "parts")], "text")
+                full = dense.join(texts, F.col("a") == F.col("id")).select(*block, "own", "id", "root", "n", "parts", "text")
                 full = full.mapInArrow(shingle_parts, "h bigint, p bigint, q bigint, own bigint, id bigint, root bigint, n bigint, part bigint, hashes array<bigint>")
                 found = save(full.repartition(*block).sortWithinPartitions(*block, "part").mapInArrow(compare, "a bigint, b bigint"))
             if found.limit(1).count():
