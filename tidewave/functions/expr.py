@@ -107,6 +107,26 @@ def bark_to_hz(b: float) -> float:
     return 1960.0 * (b + 0.53) / (26.28 - b)
 
 
+#: To a scale and back, as columns.
+_SCALES = {
+    "mel": (lambda f: 2595.0 * F.log10(1.0 + f / 700.0), lambda m: 700.0 * (F.pow(F.lit(10.0), m / 2595.0) - 1.0)),
+    "bark": (lambda f: 26.81 * f / (1960.0 + f) - 0.53, lambda b: 1960.0 * (b + 0.53) / (26.28 - b)),
+    "log": (lambda f: F.log10(f), lambda x: F.pow(F.lit(10.0), x)),
+    "linear": (lambda f: f, lambda x: x),
+}
+
+
+def bank_boundaries(scale: str, count: int, low, high) -> Column:
+    """count + 1 frequencies between two columns at equal steps of a scale; 0 Hz counts as 1. Null where low is not below high."""
+    if count < 1:
+        raise ValueError("a bank has bands")
+    to, back = _SCALES[scale]
+    low, high = _col(low).cast("double"), _col(high).cast("double")
+    a, b = to(F.when(low == 0, 1.0).otherwise(low)), to(high)
+    edges = F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i: back(a + (b - a) * i / count))
+    return F.when(low < high, edges)
+
+
 def spectral_centroid(magnitudes, sample_rate: float) -> Column:
     """Magnitude-weighted mean frequency, bin i of n at i * rate / (2 n); 0 for silence."""
     m = _col(magnitudes)

@@ -5,6 +5,7 @@ Values are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -357,9 +358,24 @@ def _(spark, sf):
 # filters
 TAPS = [0.4, 0.3, 0.2, 0.1]
 on_events("fir_filter", lambda s: recursive.apply_filter(s, TAPS), " + ".join(f"{h}::DOUBLE * coalesce(lag(value, {k}) OVER ({W}), 0.0::DOUBLE)" for k, h in enumerate(TAPS)))
+
+
+# closed forms for the SQL, apart from the designs under test: a sinc times Hamming of unit sum; the bilinear second-order Butterworth sections
+def closed_sinc(n: int, f: float) -> list[float]:
+    h = [2 * f * (1.0 if 2 * k == n - 1 else math.sin(2 * math.pi * f * (k - (n - 1) / 2)) / (2 * math.pi * f * (k - (n - 1) / 2))) * (0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1))) for k in range(n)]
+    return [x / math.fsum(h) for x in h]
+
+
+def closed_butterworth(f: float, high: bool) -> design.Coefficients:
+    k = math.tan(math.pi * f)
+    norm = 1 / (1 + math.sqrt(2) * k + k * k)
+    g = norm if high else k * k * norm
+    return design.Coefficients((g, -2 * g if high else 2 * g, g), (2 * (k * k - 1) * norm, (1 - math.sqrt(2) * k + k * k) * norm))
+
+
 _FIR = design.fir_lowpass(81, 0.1, 1.0)
 on_events("fir_filter_long", lambda s: recursive.apply_filter(s, _FIR.b), "SELECT")
-SQL["fir_filter_long"] = f"""WITH {NUM}, h AS (SELECT unnest(range(0, {len(_FIR.b)})) AS k, unnest([{', '.join(f'{x!r}::DOUBLE' for x in _FIR.b)}]) AS h)
+SQL["fir_filter_long"] = f"""WITH {NUM}, h AS (SELECT unnest(range(0, {len(_FIR.b)})) AS k, unnest([{', '.join(f'{x!r}::DOUBLE' for x in closed_sinc(81, 0.1))}]) AS h)
     SELECT a.event_id, round(sum(b.value * h.h), 6) + 0.0::DOUBLE AS y FROM n a JOIN n b ON a.user_id = b.user_id AND b.i <= a.i AND a.i - b.i < {len(_FIR.b)} JOIN h ON h.k = a.i - b.i GROUP BY a.event_id"""
 
 
@@ -383,7 +399,7 @@ for _name, _c in {
     "iir_high_shelf": design.high_shelf(0.2, 1.0, 6.0),
 }.items():
     on_events(_name, lambda s, c=_c: recursive.apply_filter(s, c.b, c.a), "SELECT")
-    SQL[_name] = iir_sql(_c)
+    SQL[_name] = iir_sql(closed_butterworth(0.1, "high" in _name) if "butterworth" in _name else _c)
 
 
 def sections_sql(c: design.Coefficients, rows: str = f"{NUM}", key: str = "user_id", out: str = "event_id") -> str:
@@ -444,9 +460,16 @@ def _(spark, sf):
     return windows.valid_correlation(events(spark, sf), [0.5, 0.25, -1.0]).select("event_id", r6("y"))
 
 
-@query("filter_bank_boundaries", "SELECT k AS band, round(700.0::DOUBLE * (10.0::DOUBLE ** ((a + (b - a) * k / 12) / 2595.0::DOUBLE) - 1), 6) AS hz FROM range(0, 13) t(k), (SELECT 2595.0::DOUBLE * log10(1 + 100.0::DOUBLE / 700) AS a, 2595.0::DOUBLE * log10(1 + 4000.0::DOUBLE / 700) AS b)")
+@query(
+    "filter_bank_boundaries",
+    """SELECT s_suppkey, k AS band, round(700.0::DOUBLE * (10.0::DOUBLE ** ((a + (b - a) * k / 12) / 2595.0::DOUBLE) - 1), 4) AS hz
+       FROM range(0, 13) t(k), (SELECT s_suppkey, 2595.0::DOUBLE * log10(1 + (100.0::DOUBLE + s_suppkey % 50) / 700) AS a, 2595.0::DOUBLE * log10(1 + (4000.0::DOUBLE + s_suppkey % 900) / 700) AS b FROM supplier)""",
+)
 def _(spark, sf):
-    return spark.createDataFrame(list(enumerate(design.bank_boundaries("mel", 12, 100.0, 4000.0))), "band bigint, hz double").select("band", r6("hz", "hz"))
+    """Each supplier's own band: twelve bands between its two frequencies."""
+    k = F.col("s_suppkey")
+    d = spark.read.parquet(f"{sf}/supplier.parquet").select(k, F.posexplode(expr.bank_boundaries("mel", 12, 100.0 + k % 50, 4000.0 + k % 900)).alias("band", "hz"))
+    return d.select("s_suppkey", F.col("band").cast("bigint").alias("band"), F.round("hz", 4).alias("hz"))
 
 
 _BANDS = [design.butterworth_lowpass(2, 0.1, 1.0), design.butterworth_highpass(2, 0.1, 1.0)]
@@ -550,8 +573,16 @@ def _(spark, sf):
     return d.select("user_id", "frame_idx", F.col("bin").cast("bigint").alias("bin"), (F.round("p", 4) + 0.0).alias("power"))
 
 
+def closed_triangles(bands: int, bins: int, rate: float) -> list[list[float]]:
+    """Triangles between mel-spaced edges from 0 to half the rate, apart from the design under test."""
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    edge = [700 * (10 ** (top * i / (bands + 1) / 2595) - 1) for i in range(bands + 2)]
+    f = [rate / 2 * k / (bins - 1) for k in range(bins)]
+    return [[round(max(0.0, min((x - a) / (b - a), (c - x) / (c - b))), 6) for x in f] for a, b, c in zip(edge, edge[1:], edge[2:])]
+
+
 _BANK = np.round(design.mel_bank(6, 64, 8000.0), 6)
-BANK = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in _BANK.tolist()) + "]"
+BANK = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in closed_triangles(6, 64, 8000.0)) + "]"
 MEL = f"mel AS (SELECT vec_id, b - 1 AS b, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), {BANK}[b]) AS e FROM embeddings, range(1, 7) t(b))"
 
 
@@ -574,7 +605,8 @@ def _(spark, sf):
 
 
 #: What the last sample of a 16-sample frame's quadrature is of its samples.
-QUADRATURE = [float(x) for x in frames.analytic(np.eye(16)).imag[:, -1]]
+# of 16 samples the last one's quadrature: the discrete Hilbert kernel 2 / 16 * cot(pi n / 16) at odd distances
+QUADRATURE = [2 / 16 / math.tan(math.pi * (15 - k) / 16) if (15 - k) % 2 else 0.0 for k in range(16)]
 FRAMES16 = "f AS (SELECT user_id, i - 1 AS i, value, unnest(range(greatest(0, (i - 1 - 15 + {hop} - 1) // {hop})::BIGINT, (i - 1) // {hop} + 1)) AS frame FROM n), g AS (SELECT user_id, frame, i - frame * {hop} AS n, value AS v FROM f WHERE i - frame * {hop} BETWEEN 0 AND 15), c AS (SELECT user_id, frame FROM g GROUP BY 1, 2 HAVING count(*) = 16)"
 
 
