@@ -27,11 +27,11 @@ from .common import Scratch
 #: Buckets of the literal map, whose lookups go through a bucket's few entries one by one.
 BUCKETS = 16384
 #: Words that a task numbers, besides the shared ones, before it starts anew.
-WORDS = 400_000
+WORDS = 200_000
 #: Chunks of text whose words a task remembers from one cut to the next.
-CHUNKS = 150_000
+CHUNKS = 100_000
 #: Bytes of texts that are cut into words at a time.
-TEXT_BYTES = 1 << 23
+TEXT_BYTES = 1 << 22
 #: Documents of the sample, and words of at most so many bytes that are shared: at most so many, so the broadcast is bounded.
 SAMPLE_DOCS, SHARED_WORDS, SHARED_BYTES = 20_000, 300_000, 24
 NO_RANK = 2**31 - 1
