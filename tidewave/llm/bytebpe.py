@@ -34,7 +34,6 @@ CHUNKS = 100_000
 TEXT_BYTES = 1 << 22
 #: Documents of the sample, and words of at most so many bytes that are shared: at most so many, so the broadcast is bounded.
 SAMPLE_DOCS, SHARED_WORDS, SHARED_BYTES = 20_000, 300_000, 24
-NO_RANK = 2**31 - 1
 #: Words of more bytes are folded in windows of so many, whose seams are then folded again with so many ids on either side until both ends of it hold.
 WINDOW, SEAMS = 128, (2, 8, 24)
 #: Unicode's white space, as the pattern's \\s has it.
@@ -132,34 +131,35 @@ def _joined(windows: Column, table: Column, pieces: Column, k: int) -> Column:
 
 
 def _fold(word: Column, table: Column) -> Column:
-    """State: the starts of the parts and the word's end (b), and the ranks of adjacent pairs (r)."""
+    """State: the starts of the parts and the word's end (b), and the ranks of adjacent pairs between two nulls (r), null where a pair has none.
+
+    A step binds one value by an inner ``aggregate`` from the state, which, unlike ``transform``, does not copy its result.
+    """
     known = lambda s: Literals.rank(table, s)
-    span = lambda lo, hi: F.coalesce(known(F.substr(word, lo, hi - lo)), F.lit(NO_RANK))
+    span = lambda lo, hi: known(F.substr(word, lo, hi - lo))
     n = F.length(word)
-    none = F.array().cast("array<int>")
+    edge = F.array(F.lit(None).cast("int"))
+    together = lambda *arrays: F.flatten(F.array(*arrays))  # noqa: E731  as concat of arrays goes through lazy lists when it is interpreted, several times slower
     start = F.struct(
         F.sequence(F.lit(1), n + 1).alias("b"),
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: span(i, i + 2)).alias("r"),
+        together(edge, F.transform(F.sequence(F.lit(1), n - 1), lambda i: span(i, i + 2)), edge).alias("r"),
     )
 
-    def merge(acc: Column, least: Column) -> Column:
-        def at(p: Column) -> Column:  # the pair is parts p and p + 1, counted from one; the start of part p + 1 goes
-            def cut(b: Column) -> Column:
-                r = acc["r"]
-                left = F.when(p > 1, F.array(span(F.get(b, p - 2), F.get(b, p)))).otherwise(none)
-                right = F.when(p < F.size(r), F.array(span(F.get(b, p - 1), F.get(b, p + 1)))).otherwise(none)
-                return F.struct(b.alias("b"), F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(r))).alias("r"))
-
-            return _let(F.array_remove(acc["b"], F.get(acc["b"], p)), cut)
-
-        return _let(F.array_position(acc["r"], least).cast("int"), at)
+    def merge(acc: Column, q: Column) -> Column:  # the pair is parts q - 1 and q, counted from one, its rank the q-th of r; the start of part q goes
+        b, r = acc["b"], acc["r"]
+        left, right = span(F.get(b, q - 3), F.get(b, q)), span(F.get(b, q - 2), F.get(b, q + 1))  # null past an end of b
+        return F.struct(
+            F.array_remove(b, F.get(b, q - 1)).alias("b"),
+            together(F.slice(r, F.lit(1), q - 2), F.array(left, right), F.slice(r, q + 2, F.size(r))).alias("r"),
+        )
 
     def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc["r"]), lambda least: F.when(least < NO_RANK, merge(acc, least)).otherwise(acc))
+        first = F.array_position(acc["r"], F.array_min(acc["r"])).cast("int")  # null if no pair has a rank
+        return F.aggregate(F.array(first), acc, lambda a, q: F.when(q.isNull(), a).otherwise(merge(a, q)))
 
     def ids(acc: Column) -> Column:
         b = acc["b"]
-        return F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: known(F.substr(word, F.get(b, i), F.get(b, i + 1) - F.get(b, i))))
+        return F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: span(F.get(b, i), F.get(b, i + 1)))
 
     folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, ids)
     return _let(known(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n > 1, folded))
