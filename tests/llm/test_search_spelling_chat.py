@@ -174,5 +174,17 @@ def test_queries_with_sql(spark, name):
     assert sorted(map(tuple, got[key].astype(str).values)) == sorted(map(tuple, want[key].astype(str).values))
 
 
+def test_search_query_has_the_columns_of_its_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(queries.SQL["op11_search"]).df()
+    got = queries.QUERIES["op11_search"](spark, "/root/testdata/sf0.001")
+    assert got.columns == list(want.columns)
+    assert got.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    rows = lambda f: sorted(map(tuple, f.astype("int64").values.tolist()))
+    assert rows(got.toPandas()) == rows(want)
+
+
 def test_work_folders_are_used(spark):
     assert common.work_dir(spark, "x").startswith("file:///")

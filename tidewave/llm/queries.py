@@ -75,7 +75,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .search import search
 
-    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
