@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewave.functions import design, kernels as K, states
 from tidewave.plans import Pipeline
 from tidewave.sources import Signal
-from tidewave.streaming import pipelines, steps as S
+from tidewave.streaming import pieces, pipelines, steps as S
 
 KEYS = "user bigint, n bigint, ts timestamp, value double, other double, tag string"
 
@@ -235,3 +235,14 @@ def test_expressions_stay_columns_and_what_cannot_stream_is_refused(spark, tmp_p
     for p in (Pipeline().moving_average(), Pipeline().detrend(), Pipeline().peaks(), Pipeline().align(rate=1.0, method="cubic"), Pipeline().stft(size=4).ema(alpha=0.1), Pipeline().ema(alpha=0.1).mel(bank=BANK), Pipeline().ema(alpha=0.1).square().rms(size=0)):
         with pytest.raises(ValueError):
             p.run(signal(df))
+
+
+def test_rows_go_through_a_processor_in_pieces(spark, table):
+    """One value for the rows of a series in a partition, so that a call does not cost by the row; rows, nulls and types come back as they were."""
+    df = frame(spark, table).withColumn("more", F.create_map(F.lit("a"), F.struct(F.col("n"), F.array("tag"))))
+    made = pieces.gathered(df, ["user"], pieces.to_arrow_schema(df.schema))
+    assert made.count() == table["user"].nunique(dropna=False)
+    text = lambda d: sorted(map(str, d.collect()))
+    assert text(pieces.spread(made.select(pieces.ROWS), df.schema)) == text(df)
+    b = pieces.ordered(pieces.pa.record_batch({"k": [3, None, 1, 3], "n": [1, 2, 3, 0]}), ["k", "n"])
+    assert b.to_pydict() == {"k": [1, 3, 3, None], "n": [3, 0, 1, 2]}

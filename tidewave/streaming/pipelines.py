@@ -6,21 +6,19 @@ whose state of a series is one value in one store. Batch runs of the same steps
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..functions import kernels as K
 from ..functions.states import pack, unpack
 from ..operators import frames, recursive
 from ..sources.signal import Signal
-from . import steps as S
+from . import pieces, steps as S
 
 #: Expression stages within the steps, as functions of arrays.
 _MAPS: dict[str, Callable] = {
@@ -160,128 +158,108 @@ def _timed(plan: Plan, s: Signal) -> bool:
     return bool(s.ts) and plan.shape == "idx" and not any(isinstance(x, (S.Frames, S.Flatten)) for x in plan.steps)
 
 
-#: Microseconds of the timestamp, beside the columns of the input: times in pandas depend on the session's zone.
-US = "_us"
-
-
 class Runner:
-    """Runs a plan over the rows of a series as a pandas frame, with the columns that they have."""
+    """Runs a plan over the rows of a series as a record batch."""
 
     def __init__(self, plan: Plan, s: Signal, reset: str | None):
-        self.plan, self.keys, self.value, self.ts, self.columns, self.reset = plan, list(s.keys), s.value, s.ts, list(s.df.columns), reset
-        self.order, self.read = [US if c == s.ts else c for c in s.order], [*s.df.columns, *([US] if s.ts else [])]
+        self.plan, self.keys, self.value, self.ts, self.columns, self.reset, self.order = plan, list(s.keys), s.value, s.ts, list(s.df.columns), reset, list(s.order)
         self.timed = _timed(plan, s)
 
-    def rows(self, f: pd.DataFrame) -> S.Rows:
-        return S.Rows(f[self.value].to_numpy(np.float64), f[US].to_numpy(np.int64) if self.ts else None, np.arange(len(f)), None, {c: f[c].to_numpy(np.float64) for c in self.plan.more})
+    def us(self, f: pa.RecordBatch) -> np.ndarray:
+        return f.column(self.ts).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy()
+
+    def rows(self, f: pa.RecordBatch) -> S.Rows:
+        x = recursive.doubles(f, [self.value, *self.plan.more])
+        return S.Rows(x[:, 0], self.us(f) if self.ts else None, np.arange(f.num_rows), None, {c: x[:, 1 + j] for j, c in enumerate(self.plan.more)})
 
-    def run(self, state, f: pd.DataFrame):
-        """(frames out, state); ``f`` is in order. A row whose ``reset`` is true starts its series anew."""
-        cuts = [0, len(f)]
+    def run(self, state, f: pa.RecordBatch):
+        """(columns out of each part, state); ``f`` is in order. A row whose ``reset`` is true starts its series anew."""
+        cuts, again = [0, f.num_rows], set()
         if self.reset:
-            again = np.flatnonzero(f[self.reset].fillna(False).to_numpy(bool))
-            cuts = sorted({0, len(f), *again.tolist()})
-            again = set(again.tolist())
+            again = set(np.flatnonzero(f.column(self.reset).fill_null(False).to_numpy(zero_copy_only=False)).tolist())
+            cuts = sorted({*cuts, *again})
         out = []
         for lo, hi in zip(cuts, cuts[1:]):
-            if state is None or self.reset and lo in again:
+            if state is None or lo in again:
                 state = self.plan.start()
-            part = f.iloc[lo:hi]
+            part = f.slice(lo, hi - lo)
             r, state = self.plan.run(state, self.rows(part))
-            out.append(self.made(part, r))
+            if len(r):
+                out.append(self.made(part, r))
         return out, state
 
-    def made(self, f: pd.DataFrame, r: S.Rows) -> pd.DataFrame:
-        value = pd.Series(list(r.value), dtype=object) if r.value.ndim == 2 else pd.Series(r.value)
+    def made(self, f: pa.RecordBatch, r: S.Rows) -> list[pa.Array]:
+        """The columns of ``_schema``, but for that of late rows."""
+        value = pa.array(np.ascontiguousarray(r.value, np.float64).ravel())
+        if r.value.ndim == 2:
+            value = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * r.value.shape[1]), value)
         if self.plan.shape == "rows":
-            g = f.iloc[r.place][self.columns].reset_index(drop=True)
-            g[self.value] = value
-            return g
-        g = pd.DataFrame({k: f[k].iloc[np.zeros(len(r), np.int64)].reset_index(drop=True) for k in self.keys})
-        g[self.plan.shape] = r.index
-        if self.timed:
-            g[self.ts] = r.us
-        g[self.value] = value
-        return g
+            return [value if c == self.value else f.column(c).take(pa.array(r.place)) for c in self.columns]
+        first = pa.array(np.zeros(len(r), np.int64))
+        return [*[f.column(k).take(first) for k in self.keys], pa.array(r.index, pa.int64()), *([pa.array(r.us, pa.int64())] if self.timed else []), value]
 
-
-def _to_bytes(f: pd.DataFrame) -> bytes:
-    sink = io.BytesIO()
-    t = pa.Table.from_pandas(f, preserve_index=False)
-    with pa.ipc.new_stream(sink, t.schema) as w:
-        w.write_table(t)
-    return sink.getvalue()
+    def late(self, f: pa.RecordBatch) -> list[pa.Array]:
+        """Of rows as they came: the columns that they have, no value of a step."""
+        if self.plan.shape == "rows":
+            return [f.column(c) for c in self.columns]
+        nothing = pa.nulls(f.num_rows)
+        return [*[f.column(k) for k in self.keys], nothing, *([pa.array(self.us(f))] if self.timed else []), nothing]
 
 
-def _from_bytes(b: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(b).read_pandas()
+def _to_bytes(f: pa.RecordBatch) -> bytes:
+    return f.serialize().to_pybytes()
 
 
-class PipelineProcessor(StatefulProcessor):
+class PipelineProcessor(pieces.PieceProcessor):
     """A series' rows in order through the steps, from the state that the last micro-batch left.
 
     With ``late_us``, rows wait until the series has got so far beyond them, then go on in order; a row that comes after its time has gone on is given out as it came, marked late.
     """
 
-    def __init__(self, runner: Runner, late_us: int | None):
+    def __init__(self, runner: Runner, late_us: int | None, read: T.StructType, made: T.StructType):
+        super().__init__(read, made)
         self.runner, self.late_us = runner, late_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(STATE, T.StructType([T.StructField("steps", T.BinaryType()), T.StructField("waiting", T.BinaryType()), T.StructField("horizon", T.LongType())]))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.state.update((bytes(initialState.iloc[0, -1]), None, None))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        run, steps, waiting, horizon = self.runner, None, None, None
-        if self.state.exists():
-            steps, waiting, horizon = self.state.get()
-            steps = None if steps is None else unpack(steps)
-        f = pd.concat(list(rows), ignore_index=True)
-        f.columns = run.read  # names that are no identifiers come in renamed
+        self.state.update((bytes(initialState[-1]), None, None))
+
+    def _batch(self, columns: list[pa.Array], late: bool | None = None) -> pa.RecordBatch:
+        return pieces.cast([*columns, *([] if late is None else [pa.array(np.full(len(columns[0]), late))])], self.made)
+
+    def handle(self, f: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        run = self.runner
+        steps, waiting, horizon = self.state.get() or (None, None, None)
+        steps = None if steps is None else unpack(steps)
         if self.late_us is None:
-            f = f.sort_values(run.order, kind="stable", ignore_index=True)
-            out, steps = run.run(steps, f)
+            out, steps = run.run(steps, pieces.ordered(f, run.order))
             self.state.update((pack(steps), None, None))
-            yield from (g for g in out if len(g))
+            for columns in out:
+                yield self._batch(columns)
             return
-        us = f[US].to_numpy(np.int64)
-        if horizon is not None and (us < horizon).any():
-            gone = f[us < horizon].reset_index(drop=True)
-            yield self._late(gone)
-            f = f[us >= horizon]
+        if horizon is not None:
+            gone = run.us(f) < horizon
+            if gone.any():
+                yield self._batch(run.late(f.filter(pa.array(gone))), True)
+                f = f.filter(pa.array(~gone))
         if waiting is not None:
-            f = pd.concat([_from_bytes(bytes(waiting)), f], ignore_index=True)
-        if not len(f):
+            f = pieces.join([pieces.read(bytes(waiting), self.read), f])
+        if not f.num_rows:
             return
-        f = f.sort_values(run.order, kind="stable", ignore_index=True)
-        us = f[US].to_numpy(np.int64)
+        f = pieces.ordered(f, run.order)
+        us = run.us(f)
         # all before the horizon go on; rows of the horizon's own time may still come
         horizon = max(int(us.max()) - self.late_us, -(1 << 62) if horizon is None else horizon)
-        go, stay = f[us < horizon].reset_index(drop=True), f[us >= horizon].reset_index(drop=True)
-        if len(go):
+        n = int((us < horizon).sum())
+        go, stay = f.slice(0, n), f.slice(n)
+        if n:
             out, steps = run.run(steps, go)
-            for g in out:
-                if len(g):
-                    g[LATE] = False
-                    yield g
+            for columns in out:
+                yield self._batch(columns, False)
         self.state.update((None if steps is None else pack(steps), _to_bytes(stay), horizon))
 
-    def _late(self, f: pd.DataFrame) -> pd.DataFrame:
-        """As rows of the output: its columns that they have, no value of a step."""
-        run = self.runner
-        g = f[run.columns].copy() if run.plan.shape == "rows" else f[run.keys].copy()
-        if run.plan.shape != "rows":
-            g[run.plan.shape] = pd.Series([None] * len(f), dtype=object)
-            if run.timed:
-                g[run.ts] = f[US]
-            g[run.value] = pd.Series([None] * len(f), dtype=object)
-        g[LATE] = True
-        return g
-
-    def close(self) -> None:
-        pass
-
 
 def run_stream(stages: Sequence, signal: Signal, late_ms: float | None = None, initial: DataFrame | None = None, reset: str | None = None) -> Signal:
     """The signal after all stages, on a stream.
@@ -298,14 +276,13 @@ def run_stream(stages: Sequence, signal: Signal, late_ms: float | None = None, i
     late = late_ms is not None
     if late and (not s.ts or s.order[0] != s.ts or late_ms < 0):
         raise ValueError("rows out of order need timestamps first in the order, and a wait of zero or more")
-    if late and LATE in s.df.columns or US in s.df.columns:
-        raise ValueError(f"the columns {LATE} and {US} are taken")
-    runner = Runner(plan, s, reset)
+    if late and LATE in s.df.columns:
+        raise ValueError(f"the column {LATE} is taken")
+    if pieces.ROWS in s.keys:
+        raise ValueError(f"the column {pieces.ROWS} is taken")
     more = {} if initial is None else {"initialState": initial.select(*s.keys, STATE).groupBy(*s.keys)}
-    rows = s.df.withColumn(US, F.unix_micros(F.col(s.ts))) if s.ts else s.df
-    out = rows.groupBy(*s.keys).transformWithStateInPandas(
-        PipelineProcessor(runner, round(late_ms * 1000) if late else None), outputStructType=_schema(plan, s, late), outputMode="Append", timeMode="None", **more
-    )
+    made = _schema(plan, s, late)
+    out = pieces.transform(s.df, s.keys, PipelineProcessor(Runner(plan, s, reset), round(late_ms * 1000) if late else None, s.df.schema, made), made, **more)
     if plan.shape != "rows" and s.ts in out.columns:
         out = out.withColumn(s.ts, F.timestamp_micros(F.col(s.ts)))
     order = s.order if plan.shape == "rows" else (plan.shape,)
