@@ -6,11 +6,13 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessorHandle, StreamingQueryListener
 
 from ..functions.states import pack, unpack
+from ..operators.recursive import doubles
+from . import pieces
 
 
 class RowWindow:
@@ -47,27 +49,24 @@ class TimeWindow:
         return out, (v[keep:], t[keep:])
 
 
-class Processor(StatefulProcessor):
+class Processor(pieces.PieceProcessor):
     """Runs a kernel over a key's rows of a micro-batch in order, from the state that the last one left."""
 
-    def __init__(self, kernel, key: list[str], order: list[str], inputs: list[str], outputs: list[str], columns: list[str]):
-        self.kernel, self.key, self.order, self.inputs, self.outputs, self.columns = kernel, key, order, inputs, outputs, columns
+    def __init__(self, kernel, order: list[str], inputs: list[str], outputs: list[str], read: T.StructType, made: T.StructType):
+        super().__init__(read, made)
+        self.kernel, self.order, self.inputs, self.outputs = kernel, order, inputs, outputs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", T.StructType([T.StructField("kernel", T.BinaryType())]))
 
-    def handleInputRows(self, key, rows, timerValues):
-        f = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = unpack(self.state.get()[0]) if self.state.exists() else self.kernel.start()
-        y, state = self.kernel.run(state, f[self.inputs].to_numpy(np.float64))
+    def handle(self, f):
+        f = pieces.ordered(f, self.order)
+        kept = self.state.get()
+        state = self.kernel.start() if kept is None else unpack(kept[0])
+        y, state = self.kernel.run(state, doubles(f, self.inputs))
         self.state.update((pack(state),))
-        f = f[self.columns].copy()
-        for j, o in enumerate(self.outputs):
-            f[o] = np.asarray(y, np.float64).reshape(len(f), -1)[:, j]
-        yield f
-
-    def close(self) -> None:
-        pass
+        y = np.asarray(y, np.float64).reshape(f.num_rows, -1)
+        yield pieces.cast([*f.columns, *[pa.array(y[:, j]) for j in range(len(self.outputs))]], self.made)
 
 
 def stream(df: DataFrame, kernel, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: Sequence[str] = ("y",)) -> DataFrame:
@@ -77,9 +76,7 @@ def stream(df: DataFrame, kernel, keys: Sequence[str], order: Sequence[str], inp
     batch they are sorted. Needs the RocksDB state store provider.
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs]])
-    return df.groupBy(*keys).transformWithStateInPandas(
-        Processor(kernel, list(keys), list(order), list(inputs), list(outputs), df.columns), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    return pieces.transform(df, keys, Processor(kernel, list(order), list(inputs), list(outputs), df.schema, schema), schema)
 
 
 def tumbling(df: DataFrame, ts: str, size: str, keys: Sequence[str], value: str = "value", late: str = "0 seconds", slide: str | None = None) -> DataFrame:
