@@ -134,3 +134,17 @@ def test_entropies_of_null_and_short_frames(spark):
     df = spark.createDataFrame([(0, None), (1, []), (2, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 1.0, 2.0, 1.0])], "i int, values array<double>")
     got = [(r.sample_entropy, r.approximate_entropy) for r in frames.entropies(df).orderBy("i").collect()]
     assert got[:3] == [(None, None)] * 3 and got[3][0] is not None
+
+
+def test_few_samples_are_one_cell(spark, monkeypatch):
+    """Entropies do not depend on whether a short series is cut into cells; also of repeated values, a constant and infinite results."""
+    rng = np.random.default_rng(8)
+    series = {1: rng.standard_normal(60), 2: np.repeat(rng.integers(0, 4, 30), 2).astype(float), 3: np.ones(20), 4: rng.standard_normal(3), 5: np.arange(8.0) * 100}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    s = slices.numbered(Signal.of(spark.createDataFrame(rows, "k bigint, n bigint, value double"), ["k"], ["n"]))
+    got = []
+    for whole in (entropy.WHOLE, 20, 0):
+        monkeypatch.setattr(entropy, "WHOLE", whole)
+        got.append(entropy.series_entropies(s, width=50).orderBy("k").toPandas().to_numpy(float))
+    assert entropy.WHOLE == 0 and len(got[0]) == 5
+    assert all(np.allclose(got[0], x, atol=1e-12, equal_nan=True) for x in got[1:])

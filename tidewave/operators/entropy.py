@@ -2,7 +2,8 @@
 
 A template is the m samples from a place and the one after them. Templates lie in cells of the tolerance's width by their first samples; those within the tolerance of one
 are in its cell or a neighbouring one, so each cell's templates meet copies of the cells around it, and never the whole series. Equal templates are counted once with
-their number. A full cell is cut into chunks of templates, and its neighbours' copies stream past each.
+their number. A full cell is cut into chunks of templates, and its neighbours' copies stream past each. A series of few samples is one cell, as its templates
+would be copied to nine cells of about one template each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .slices import INDEX, in_row_slices
 
 #: Templates of a cell that are held at a time.
 CHUNK = 2048
+#: A series of at most so many samples is one cell; fewer than ``CHUNK``.
+WHOLE = 512
 #: Rows of a slice in which templates are made.
 WIDTH = 100_000
 
@@ -50,11 +53,12 @@ def series_entropies(s: Signal, m: int = 2, r: float | None = None, width: int =
     both = F.filter(F.array(F.when(F.col(INDEX) >= m, F.array(*xs)), F.when(F.col(INDEX) == F.col("samples") - 1, after)), lambda x: x.isNotNull())
     made = known.select(*keys, "samples", "_mean", "_tol", F.explode(both).alias("_t")).groupBy(*keys, "samples", "_mean", "_tol", "_t").agg(F.count(F.lit(1)).alias("_c"))
     # wider than the tolerance by more than a rounding, so that neighbours are at most a cell apart
-    at = lambda i: F.when(F.col("_tol") > 0, F.floor((F.get("_t", F.lit(i)) - F.col("_mean")) / (F.col("_tol") * (1 + 1e-9)))).otherwise(F.xxhash64(F.get("_t", F.lit(i)) + 0.0))
+    few = F.col("samples") <= WHOLE
+    at = lambda i: F.when(few, F.lit(0)).when(F.col("_tol") > 0, F.floor((F.get("_t", F.lit(i)) - F.col("_mean")) / (F.col("_tol") * (1 + 1e-9)))).otherwise(F.xxhash64(F.get("_t", F.lit(i)) + 0.0))
     cells = [f"_cell{i}" for i in range(dims)]
     placed = made.select(*keys, "samples", "_tol", "_t", "_c", *[at(i).cast("bigint").alias(c) for i, c in enumerate(cells)])
     full = placed.groupBy(*keys, *cells).agg((F.floor((F.count(F.lit(1)) - 1) / CHUNK) + 1).cast("int").alias("_chunks"))
-    near: list[Column] = [F.explode(F.when(F.col("_tol") > 0, F.array(*[F.col(c) + d for d in (-1, 0, 1)])).otherwise(F.array(F.col(c)))).alias(c) for c in cells]
+    near: list[Column] = [F.explode(F.when(~few & (F.col("_tol") > 0), F.array(*[F.col(c) + d for d in (-1, 0, 1)])).otherwise(F.array(F.col(c)))).alias(c) for c in cells]
     copies = placed
     for c, e in zip(cells, near, strict=True):
         copies = copies.select(*[x for x in copies.columns if x != c], e)
