@@ -420,3 +420,13 @@ def test_spectral_expressions(spark):
     df = spark.createDataFrame([([0.0, 0.0, 4.0, 0.0], [0.0, 3.0, 0.0, 0.0])], "m array<double>, p array<double>")
     r = df.select(expr.spectral_centroid("m", 8.0), expr.spectral_rolloff("m", 8.0), expr.spectral_flux("m", "p"), expr.peak_frequency("m", 8.0, 8)).first()
     assert tuple(r) == (2.0, 2.0, 5.0, 2.0)
+
+
+def test_deinterleave_sorts_instead_of_hashing(spark):
+    """No hash map of all samples of a task; repeated and null positions of a sample as a grouping has them."""
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 4.0), (None, 0, 5.0), (None, 1, 6.0), ("b", 0, 7.0), ("b", 0, 8.0)], "s string, idx bigint, value double")
+    got = deinterleave(df, ["s"], 2)
+    assert "HashAggregate" not in got._jdf.queryExecution().toString()
+    assert got.columns == ["s", "sample", "c0", "c1"]
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == sorted([("a", 0, 1.0, 2.0), ("a", 1, None, 4.0), (None, 0, 5.0, 6.0), ("b", 0, 8.0, None)], key=str)

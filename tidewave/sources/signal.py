@@ -95,11 +95,19 @@ def interleave(df: DataFrame, keep: list[str], order: list[str], channels: list[
 
 
 def deinterleave(df: DataFrame, keys: list[str], channels: int, idx: str = "idx", value: str = "value") -> DataFrame:
-    """Rows (keys, sample, c0, c1, ...) from interleaved positions; an incomplete last sample is an error."""
-    cols = [F.max(F.when(F.pmod(F.col(idx), F.lit(channels)) == i, F.col(value))).alias(f"c{i}") for i in range(channels)]
-    out = df.groupBy(*keys, F.floor(F.col(idx) / channels).alias("sample")).agg(*cols, F.count(F.lit(1)).alias("_n"))
+    """Rows (keys, sample, c0, c1, ...) from interleaved positions; an incomplete last sample is an error.
+
+    Samples are dealt to tasks by themselves and come together in a sort, which spills; a grouping would hold each sample of a task in two hash maps, beside the sort of the
+    stage before.
+    """
+    sample = F.floor(F.col(idx) / channels)
+    rows = df.select(*keys, sample.alias("sample"), F.col(idx).alias("_idx"), F.col(value).alias("_value")).repartition(*keys, "sample")
+    w = Window.partitionBy(*keys, "sample").orderBy("_idx")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of = lambda i: F.max(F.when(F.pmod("_idx", F.lit(channels)) == i, F.col("_value"))).over(every)
+    made = rows.select("*", F.row_number().over(w).alias("_first"), F.count(F.lit(1)).over(every).alias("_n"), *[of(i).alias(f"c{i}") for i in range(channels)])
     whole = F.when(F.col("_n") == channels, F.col("c0")).otherwise(F.raise_error(F.lit("length is no multiple of the channels")).cast("double"))
-    return out.withColumn("c0", whole).drop("_n")
+    return made.where("_first = 1").select(*keys, "sample", whole.alias("c0"), *[f"c{i}" for i in range(1, channels)])
 
 
 def get_channel(df: DataFrame, k: int, channel: str = "channel") -> DataFrame:
