@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,57 @@ def test_circulant_signature_estimates():
     assert est == pytest.approx(1500 / 2500, abs=0.03)
 
 
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """Texts are cut, hashed and signed many at a time, with the sets that each has by itself."""
+    calls = []
+    digest = minhash.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(minhash.xxhash, "xxh3_64_intdigest", lambda w: calls.append(bytes(w)) or digest(w))
+    long = "x" * 64
+    texts = [*corpus(), "a\0", "a", "\0", "ab cd", "abcd", long, long + "y", long + "Y", "1234567", "12345678", "123456789", "a\x0bb\x1cc\xa0d", "É é", "z" * 7 + " ", " q", "q"] * 2
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    monkeypatch.setattr(minhash, "PIECE_BYTES", 900)
+    monkeypatch.setattr(minhash, "TILE", 100)
+    b = minhash.signature_batch(pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [column, column], names=["doc_id", "t", "text", "copy"]))
+    assert set(calls) == {(long + "y").encode()}  # none for a word of up to 64 bytes
+    sets = [frozenset(brute_components([t])[0][0]) for t in texts]
+    assert b.column("n").to_pylist() == [len(s) for s in sets] and b.column("n_words").to_pylist() == [len(words(t)) for t in texts]
+    of = collections.defaultdict(set)
+    for s, d in zip(sets, b.column("d").to_pylist(), strict=True):
+        of[s].add(d)
+    assert all(len(d) == 1 for d in of.values()) and of.pop(frozenset()) == {None} and len(set().union(*of.values())) == len(of)
+    for t, bands, *sketch in zip(texts, *(b.column(c).to_pylist() for c in ("bands", "s0", "s1", "s2", "s3")), strict=True):
+        s = minhash.shingles(t)
+        own = [x[0].tolist() for x in minhash.bands_and_sketches([s])] if len(s) else [[], [0] * 4]
+        assert [bands, sketch] == own
+    assert minhash.signature_batch(b.select(["doc_id", "t"]).append_column("text", column).slice(0, 0)).num_rows == 0
+
+
+def test_similar_pairs_of_a_batch(monkeypatch):
+    monkeypatch.setattr(minhash, "PIECE_BYTES", 3000)
+    texts = [t for t in corpus() if words(t)]
+    sets, _ = brute_components(texts)
+    pairs = [(i, j) for i in range(0, len(texts), 7) for j in range(len(texts))]
+    b = pa.RecordBatch.from_arrays([pa.array(c) for c in ([i for i, _ in pairs], [j for _, j in pairs], [texts[i] for i, _ in pairs], [texts[j] for _, j in pairs])], names=list("abxy"))
+    got = minhash.similar_batch(b, 75)
+    assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+
+
+def test_ranges_of_sets_come_many_at_a_time(monkeypatch):
+    monkeypatch.setattr(minhash, "PIECE_BYTES", 5000)
+    texts = [t for t in corpus() if words(t)]
+    parts = [1 + i % 4 for i in range(len(texts))]
+    ids = pa.array(range(len(texts)))
+    rows = pa.RecordBatch.from_arrays([ids] * 7 + [pa.array(parts), pa.array(texts)], names=["h", "p", "q", "own", "id", "root", "n", "parts", "text"])
+    got = list(minhash.shingle_parts([rows]))
+    assert 1 < len(got) < len(texts)
+    got = pa.Table.from_batches(got).to_pylist()
+    assert [(r[c], r["part"]) for r in got for c in ("h", "n")] == [(i, k) for i, n in enumerate(parts) for k in range(n) for _ in "hn"]
+    for i, t in enumerate(texts):
+        mine = [r["hashes"] for r in got if r["id"] == i]
+        assert [x % 2**64 for part in mine for x in part] == minhash.shingles(t).tolist()
+        assert all((x % 2**64 >> 33) * parts[i] >> 31 == k for k, part in enumerate(mine) for x in part)
+
+
 def metrics(t):
     w = words(t)
     n = len(w)

@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,23 +35,15 @@ CHUNK = 512
 PART_HASHES = 2_000_000
 #: A block sends its candidate pairs on if they are at most so many times its classes; a denser one is compared on full sets inside a task.
 SPARSE = 4
-SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
+#: Words of up to so many bytes are hashed side by side, eight bytes at a time; longer ones each by itself.
+LONG_WORD = 64
+#: Texts that are cut into words at once, in bytes; a longer text is cut by itself.
+PIECE_BYTES = 250_000
+#: Points that are shifted and permuted at once, so that they stay in a core's cache.
+TILE = 32_768
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """Hashes of words, remembered up to a number of words."""
-
-    MOST = 50_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
+#: Masks of the first bytes of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix64(h: np.ndarray) -> np.ndarray:
@@ -61,87 +54,157 @@ def _mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in their order, A-Z in lower case, and each text's number of words; null has none."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # spaces follow, so eight bytes can be taken from any place
+    b = np.concatenate([raw, np.full(8, 32, np.uint8)])
+    b += (b - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+    inside = (b != 32) & (b - np.uint8(9) > 4)
+    first, behind = inside.copy(), np.zeros(len(b), bool)
+    first[1:] &= ~inside[:-1]
+    behind[1:] = inside[:-1] & ~inside[1:]
+    # no word goes on from text to text
+    first[offsets] = inside[offsets]
+    behind[offsets] = inside[offsets - 1]
+    starts = np.flatnonzero(first)
+    size = np.flatnonzero(behind) - starts
+    eight = np.ndarray(len(b) - 7, np.dtype("<u8"), b, strides=(1,))
+    h = _mix64((eight[starts] & FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * PRIME))
+    long = np.flatnonzero(size > 8)
+    for at in range(8, LONG_WORD, 8):
+        long = long[size[long] > at]
+        h[long] = _mix64(h[long] * PRIME + (eight[starts[long] + at] & FIRST[np.minimum(size[long] - at, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(b[starts[i] : starts[i] + size[i]].tobytes())
+    return h, np.diff(np.searchsorted(starts, offsets))
+
+
+def pieces(*sizes: pa.Array | np.ndarray):
+    """Ranges (first row, number of rows) of rows that have about ``PIECE_BYTES`` each, by columns of texts or of bytes."""
+    of = lambda c: c if isinstance(c, np.ndarray) else pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sum(map(of, sizes)))
+    lo, done = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+        yield lo, hi - lo
+        lo, done = hi, int(ends[hi - 1])
+
+
+def shingle_sets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles (five words each, or all of fewer words; empty without words), and each text's number of words."""
+    w, n = word_hashes(texts)
+    starts = np.cumsum(n) - n
+    h = np.zeros(len(w), np.uint64)
+    # at the first word of each; those that run into the next text are left out below
+    x = w[: len(w) - WIDTH + 1] + np.uint64(WIDTH) if len(w) >= WIDTH else w[:0]
+    for j in range(1, WIDTH):
+        x = x * PRIME + w[j : len(x) + j]
+    h[: len(x)] = x
+    for size in range(1, WIDTH):
+        at = starts[n == size]
+        x = w[at] + np.uint64(size)
+        for j in range(1, size):
+            x = x * PRIME + w[at + j]
+        h[at] = x
+    h = _mix64(h)
+    sets = []
+    for lo, k in zip(starts.tolist(), np.where(n > WIDTH, n - WIDTH + 1, n > 0).tolist(), strict=True):
+        s = np.sort(h[lo : lo + k])
+        new = np.empty(k, bool)
+        new[:1] = True
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        sets.append(s[new])
+    return sets, n
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles: five words each, or all of fewer words; empty without words."""
-    return shingles_of(words_of(text))
-
-
-def shingles_of(words: list[bytes]) -> np.ndarray:
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
-    size = min(n, WIDTH)
-    with np.errstate(over="ignore"):
-        h = w[: n - size + 1] + np.uint64(size)
-        for j in range(1, size):
-            h = h * PRIME + w[j : n - size + 1 + j]
-        h = np.sort(_mix64(h))
-        return h[np.concatenate([[True], h[1:] != h[:-1]])]
+    """A text's set of shingles."""
+    return shingle_sets(pa.array([text], pa.string()))[0][0]
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """All coordinates of non-empty sets, a row for each.
+
+    The last step of the permutation keeps the order of its upper half, so it is taken after the minimum.
+    """
+    out = np.full((COORDINATES, len(sets)), 0xFFFFFFFF, np.uint32)
+    points = (_mix64(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum([0, *map(len, sets)])
+    for lo in range(0, len(points), TILE):
+        tile = points[lo : lo + TILE]
+        i, j = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, lo + len(tile))
+        cuts = np.maximum(starts[i:j] - lo, 0)
+        z, part = np.empty_like(tile), np.empty_like(tile)
+        for k in range(COORDINATES):
+            np.subtract(tile, np.uint32(k), out=z)
+            np.right_shift(z, np.uint32(16), out=part)
+            np.bitwise_xor(z, part, out=z)
+            np.multiply(z, np.uint32(0x85EBCA6B), out=z)
+            np.right_shift(z, np.uint32(13), out=part)
+            np.bitwise_xor(z, part, out=z)
+            np.multiply(z, np.uint32(0xC2B2AE35), out=z)
+            np.minimum(out[k, i:j], np.minimum.reduceat(z, cuts), out=out[k, i:j])
+    return np.ascontiguousarray((out ^ out >> np.uint32(16)).T)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """All coordinates of a non-empty set."""
-    points = (_mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
-    out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(points), 512):
-        z = points[None, at : at + 512] - SHIFTS
-        z ^= z >> np.uint32(16)
-        z *= np.uint32(0x85EBCA6B)
-        z ^= z >> np.uint32(13)
-        z *= np.uint32(0xC2B2AE35)
-        z ^= z >> np.uint32(16)
-        np.minimum(out, z.min(axis=1), out=out)
-    return out
+    return signatures([hashes])[0]
 
 
-def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sig = signature(hashes)
-    with np.errstate(over="ignore"):
-        h = np.arange(1, BANDS + 1, dtype=np.uint64) * PRIME
-        for j in range(ROWS):
-            h = _mix64(h ^ sig.reshape(BANDS, ROWS)[:, j].astype(np.uint64)) * PRIME
-    bits = np.concatenate([sig[:128] & 1, sig[:128] >> 1 & 1]).astype(np.uint8)
-    return h.view(np.int64), np.packbits(bits).view(np.int64)
+def bands_and_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bands and sketches of non-empty sets, a row for each."""
+    sig = signatures(sets)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64) * PRIME
+    for j in range(ROWS):
+        h = _mix64(h ^ sig[:, j::ROWS].astype(np.uint64)) * PRIME
+    bits = np.concatenate([sig[:, :128] & 1, sig[:, :128] >> 1 & 1], 1).astype(np.uint8)
+    return h.view(np.int64), np.packbits(bits, 1).view(np.int64)
 
 
 def signature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Of (doc_id, t, text, ...): the id, t, size, digest, sketch and bands; with further columns, these and n_words, the number of words, after them."""
-    n, digest, sketch, bands, n_words = [], [], [], [], []
-    none = np.zeros(0, np.int64)
-    for text in batch.column(2):
-        words = words_of(text.as_py())
-        s = shingles_of(words)
-        n.append(len(s))
-        n_words.append(len(words))
-        b, k = bands_and_sketch(s) if len(s) else (none, np.zeros(4, np.int64))
-        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+    n, digest, sketch, bands, n_words = [], [], [np.zeros((0, 4), np.int64)], [np.zeros((0, BANDS), np.int64)], []
+    texts = batch.column(2)
+    for piece in pieces(texts):
+        sets, words = shingle_sets(texts.slice(*piece))
+        n += map(len, sets)
+        n_words += words.tolist()
+        digest += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        some = [s for s in sets if len(s)]
+        k = np.zeros((len(sets), 4), np.int64)
+        if some:
+            b, k[words > 0] = bands_and_sketches(some)
+            bands.append(b)
         sketch.append(k)
-        bands.append(b)
-    sketch = np.array(sketch, np.int64).reshape(-1, 4)
+    sketch = np.concatenate(sketch)
+    cuts = np.concatenate([[0], np.cumsum(BANDS * (np.array(n, np.int64) > 0))]).astype(np.int32)
+    bands = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(bands).ravel()))
     more, names = batch.columns[3:], batch.schema.names[3:]
     if more:
         more.append(pa.array(n_words, pa.int64()))
         names = [*names, "n_words"]
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], pa.array(bands, pa.list_(pa.int64())), *more],
+        [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *[pa.array(sketch[:, j]) for j in range(4)], bands, *more],
         names=["doc_id", "t", "n", "d", "s0", "s1", "s2", "s3", "bands", *names],
     )
 
 
 def similar_batch(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     """Pairs (a, b) of (a, b, text of a, text of b) whose full sets have 100 * intersection >= percent * union."""
-    keep, last, left = [], None, None
-    for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-        if left is None or x != last:
-            last, left = x, shingles(x)
-        right = shingles(y)
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        keep.append(100 * both >= percent * (len(left) + len(right) - both))
+    keep = []
+    for piece in pieces(batch.column(2), batch.column(3)):
+        x, y = (batch.column(i).slice(*piece) for i in (2, 3))
+        # a text that stands in rows that follow each other is cut once
+        new = np.concatenate([[True], pc.fill_null(pc.not_equal(x[1:], x[:-1]), True).to_numpy(zero_copy_only=False)])
+        lefts, rights = shingle_sets(x.filter(pa.array(new)))[0], shingle_sets(y)[0]
+        for i, right in zip((np.cumsum(new) - 1).tolist(), rights, strict=True):
+            both = len(np.intersect1d(lefts[i], right, assume_unique=True))
+            keep.append(100 * both >= percent * (len(lefts[i]) + len(right) - both))
     return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -191,15 +254,19 @@ def block_candidates(batches, percent: int, sparse: int):
 def shingle_parts(batches):
     """Of rows (h, p, q, own, id, root, n, parts, text): a row for each of ``parts`` ranges of the hashes, with the text's hashes in that range."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            one = batch.slice(r, 1)
-            parts = one.column(7)[0].as_py()
-            s = shingles(one.column(8)[0].as_py())
-            cuts = np.searchsorted((s >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31), np.arange(parts + 1, dtype=np.uint64)).astype(np.int32)
-            at = pa.array(np.zeros(parts, np.int64))
-            cols = [one.column(i).take(at) for i in range(7)]
-            hashes = pa.ListArray.from_arrays(pa.array(cuts), pa.array(s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(parts)), hashes], names=["h", "p", "q", "own", "id", "root", "n", "part", "hashes"])
+        # a row has nine columns
+        for lo, k in pieces(batch.column(8), 72 * batch.column(7).to_numpy()):
+            rows = batch.slice(lo, k)
+            sets, parts = shingle_sets(rows.column(8))[0], rows.column(7).to_numpy()
+            cuts, at = [np.zeros(1, np.int64)], 0
+            for s, n in zip(sets, parts.tolist(), strict=True):
+                cuts.append(at + np.searchsorted((s >> np.uint64(33)) * np.uint64(n) >> np.uint64(31), np.arange(1, n + 1, dtype=np.uint64)))
+                at += len(s)
+            of = np.repeat(np.arange(k), parts)
+            part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            cols = [rows.column(i).take(pa.array(of)) for i in range(7)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(part), hashes], names=["h", "p", "q", "own", "id", "root", "n", "part", "hashes"])
 
 
 def overlaps(of: np.ndarray, every: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
